@@ -18,8 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bytes up to which a piece is merged directly.
-LEAF = 48
+#: Bytes up to which a piece is merged directly. Short leaves recur in many words, so their merges are remembered.
+LEAF = 8
+#: Remembered leaves, windows and pairs, of each kind.
+MEMORY = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,23 +38,30 @@ class TreeEncoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.merged: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by definition: the lowest-ranked adjacent pair, leftmost first, merges until none can."""
         ranks = self.ranks
+        if (known := self.merged.get(data)) is not None:
+            return known
         if len(data) > 4 * LEAF:
             return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        none = len(ranks) + 1
+        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if len(self.merged) > MEMORY:
+            self.merged.clear()
+        found = self.merged[data] = [ranks[p] for p in parts]
+        return found
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same merges with a heap over a linked list, n log n in the length."""
@@ -82,7 +91,7 @@ class TreeEncoder:
         key = (a, b)
         known = self.stable_pairs.get(key)
         if known is None:
-            if len(self.stable_pairs) > 200_000:
+            if len(self.stable_pairs) > MEMORY:
                 self.stable_pairs.clear()
             known = self.stable_pairs[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -122,49 +131,76 @@ class TreeEncoder:
 
 
 class ChunkCache:
-    """Ids of texts through a bounded cache of their blank-separated chunks.
+    """Ids of texts through a bounded cache of their chunks.
 
-    A lone blank between two characters that are not white space always begins a match of the pattern, so such chunks
-    are encoded independently of their neighbours. Texts with other runs of white space go through the pattern whole.
+    A lone blank or newline between two characters that are not white space is never matched together with what stands
+    before it, and a newline not with what follows either. So texts whose white space is of that kind are cut there and
+    their chunks encoded independently of each other; other texts go through the pattern whole.
     """
 
-    def __init__(self, encoder: TreeEncoder, most: int = 300_000):
+    def __init__(self, encoder: TreeEncoder, most: int = 400_000):
         self.encoder, self.most = encoder, most
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+        self.known: dict[str, list[int]] = {}
+        self.names = {i: str(i) for i in encoder.tokens}
+        self.newline = self._entry("\n")
 
     def _entry(self, text: str) -> tuple:
-        ids = tuple(self.encoder.encode(text))
-        return " ".join(map(str, ids)), ids
+        """Decimal ids joined by blanks, number of ids, bytes decoded from the ids."""
+        pieces, encode, found = self.known, self.encoder.encode_piece, []
+        for piece in self.encoder.pieces(text):
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = encode(piece.encode("utf-8", "surrogatepass"))
+                if len(piece) < 64:
+                    pieces[piece] = ids
+            found += ids
+        names = self.names
+        return " ".join([names[i] for i in found]), len(found), self.encoder.decode(found)
 
     @staticmethod
     def _apart(chunk: str) -> bool:
         return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
+    def _line(self, line: str) -> list[tuple]:
+        chunks = line.split(" ")
+        try:
+            return [self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]
+        except KeyError:
+            first, later, get = self.first, self.later, self._entry
+            if not all(map(self._apart, chunks)):
+                raise _Together from None
+            if chunks[0] not in first:
+                first[chunks[0]] = get(chunks[0])
+            for chunk in chunks[1:]:
+                if chunk not in later:
+                    later[chunk] = self.before.get(chunk) or get(" " + chunk)
+            return [first[chunks[0]], *map(later.__getitem__, chunks[1:])]
+
     def encode(self, text: str) -> tuple[str, int, bytes]:
         """Decimal ids joined by blanks, their number, and the bytes decoded from them."""
         if not text:
             return "", 0, b""
-        chunks = text.split(" ")
+        if len(self.later) > self.most:  # chunks that come again are fetched from the generation before
+            self.before, self.later = self.later, {}
+        for held in (self.first, self.known):
+            if len(held) > self.most:
+                held.clear()
         try:
-            parts = [self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]
-        except KeyError:
-            if not all(map(self._apart, chunks)):
-                parts = [self._entry(text)]
-            else:
-                if len(self.later) > self.most or len(self.first) > self.most // 8:
-                    self.later.clear()
-                    self.first.clear()
-                later, get = self.later, self._entry
-                if chunks[0] not in self.first:
-                    self.first[chunks[0]] = get(chunks[0])
-                for chunk in chunks[1:]:
-                    if chunk not in later:
-                        later[chunk] = get(" " + chunk)
-                parts = [self.first[chunks[0]], *map(later.__getitem__, chunks[1:])]
-        token = self.encoder.tokens
-        decoded = b"".join([token[i] for _, ids in parts for i in ids])
-        return " ".join([p[0] for p in parts]), sum([len(p[1]) for p in parts]), decoded
+            lines = text.split("\n")
+            parts = self._line(lines[0])
+            for line in lines[1:]:
+                parts.append(self.newline)
+                parts += self._line(line)
+        except _Together:
+            parts = [self._entry(text)]
+        return " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+
+
+class _Together(Exception):
+    """White space in this text may belong to a longer match."""
 
 
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
