@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, chat, mixing, neardup, packing, quality, substring
+from loomspan.llm import bpe, chat, mixing, neardup, packing, quality, substring, warc
 from loomspan.session import table
 
 #: Vocabulary files; their places are parameters of the operators.
@@ -15,6 +15,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_BPE_SIZE, WORD_BPE_END = 49_408, 2
 
 
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
@@ -54,6 +59,7 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_capture_index": op2_capture_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_source_mix": op6_source_mix,
@@ -64,6 +70,14 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_capture_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to
+        FROM k""",
     "op4_quality_rules": quality.SQL,
     "op9_chat_format": chat.SQL,
 }
