@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan import scratch
+
 #: The six white-space characters that part words.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters counted as symbols.
@@ -102,6 +104,7 @@ def depleted(docs: DataFrame, host: str = "source", min_docs: int = 10, share: f
     held = held.select("host", "_row", F.xxhash64("longest.line").alias("document"), F.explode("lines").alias("line"))
     flat = words(F.col("line"))
     held = held.select("host", "_row", "document", F.xxhash64(F.lower(F.array_join(flat, " "))).alias("line"), F.size(flat).alias("n"))
+    held = scratch.materialize(held, "lines")
 
     sizes = held.groupBy("host").agg(F.countDistinct("document").alias("host_docs"))
     found = held.groupBy("host", "line").agg(F.countDistinct("document").alias("line_docs")).where(F.col("line_docs") > min_docs)
