@@ -11,6 +11,8 @@ document (u8, one more than documents) | document ids (i8) | null marks (u1) | n
 from __future__ import annotations
 
 import io
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ MAGIC = b"LSIDS001"
 BLOCK = 1 << 16
 #: Between chunks that are encoded in one call: a special token, never part of what a chunk encodes to.
 SEPARATOR = "<|startoftext|>"
+#: Finds stops and commas that may belong to a longer run of symbols.
+_CLUSTERED = re.compile(r"[\W_][.,][ \n]").search
 
 
 def bits_for(vocabulary: int) -> int:
@@ -134,30 +138,33 @@ class Reader:
 
 
 class Encoder:
-    """Texts to ids with the tokenizers library, through a bounded cache of blank-separated chunks.
+    """Texts to ids with the tokenizers library, through a bounded cache of their chunks between blanks and newlines.
 
     White space only parts words for these tokenizers (it is dropped before the merges), so a text's ids are those of
     its chunks in turn. Unseen chunks go to the library together, parted by a special token.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cut = self.tokenizer.token_to_id(SEPARATOR)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
+        self.known.update((c, self.before[c]) for c in chunks if c in self.before)
+        chunks = [c for c in chunks if c not in self.before]
         whole = lambda c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4")
         odd = [c for c in chunks if self.cut is None or "<|" in c]
         plain = chunks if not odd else [c for c in chunks if c not in set(odd)]
         for c in odd:
             self.known[c] = whole(c).tobytes()
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = whole(SEPARATOR.join(some))
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        encoded = self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False)
+        for some, one in zip(groups, encoded, strict=True):
+            ids = np.array(one.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.cut), len(ids)]
             if len(ends) != len(some):
                 raise ValueError("the separator's id came from a chunk")
@@ -168,13 +175,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian u4."""
-        chunks = text.split(" ")
+        if len(self.known) > self.most:  # chunks that come again are fetched from the generation before
+            self.before, self.known = self.known, {}
+        if not _CLUSTERED(text):  # a lone comma or stop behind a word is a word of its own to these tokenizers
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        chunks = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self.known[c] for c in chunks])
         except KeyError:
             self._learn(list({c for c in chunks if c not in self.known}))
-            if any(c not in self.known for c in chunks):  # the cache was cleared just now
-                self._learn(list(set(chunks)))
             return b"".join([self.known[c] for c in chunks])
 
 
@@ -205,7 +214,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: i
                     part, path = part_no.as_py(), f"{folder}/ids-{part_no.as_py():06d}-{uuid.uuid4().hex[:8]}.bin"
                     fs, local = FileSystem.from_uri(path)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(local)
+                    out = fs.open_output_stream(local, compression=None)
                     writer = Writer(out, bits)
                 writer.add(doc_id.as_py(), np.frombuffer(encoder.encode(text.as_py() or "") + end, "<u4"))
         if writer is not None:
