@@ -19,7 +19,7 @@ from loomspan import scratch
 from loomspan.llm.quality import words
 
 #: Documents in a group of the tree's first level, and groups that meet in one above it.
-GROUP, FAN_IN = 20_000, 64
+GROUP, FAN_IN = 4_000, 64
 EPS = 1e-9
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, chat, mixing, neardup, packing, quality, substring, warc
+from loomspan.llm import ann, bpe, chat, lm, mixing, neardup, packing, quality, substring, warc
 from loomspan.session import table
 
 #: Vocabulary files; their places are parameters of the operators.
@@ -15,6 +15,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_BPE_SIZE, WORD_BPE_END = 49_408, 2
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -30,6 +34,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,9 +68,11 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_capture_index": op2_capture_index,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_small_world": op5_small_world,
     "op6_source_mix": op6_source_mix,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_odd_sketch_dedup": op8_odd_sketch_dedup,
