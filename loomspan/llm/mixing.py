@@ -155,12 +155,18 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, each as often as the mix takes it."""
+    """Rows of docs, each as often as the mix takes it; repeated rows get their copies in the order of their texts' hashes."""
     size = F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("bigint")
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("row").alias("_row"), "copies").where("copies > 0")
-    numbered = docs.withColumn("_n", size)
+    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("row", "copies"))).alias("_plan"))
+    plan = scratch.materialize(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_plan.copies").alias("_plan")), "mix-plan")
+
+    def taken(some: DataFrame) -> DataFrame:
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+        return docs.withColumn("_n", size).join(some, on)
+
+    single = taken(plan.where((F.size("_plan") == 1) & (F.col("_plan")[0] > 0))).withColumn("_copies", F.col("_plan")[0])
     order = Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))
-    numbered = numbered.withColumn("_k", F.row_number().over(order))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_row"))
-    taken = numbered.join(plan, on)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    several = taken(plan.where(F.size("_plan") > 1)).withColumn("_k", F.row_number().over(order))
+    several = several.withColumn("_copies", F.element_at("_plan", F.col("_k"))).where("_copies > 0").drop("_k")
+    both = single.unionByName(several)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan import scratch
 from loomspan.llm import bloom
@@ -266,3 +267,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("node", "_n"), F.col("doc_id") == F.col("_n"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def dedup(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """One row of docs for each component: its smallest doc_id, and of rows that share that id the one with the smallest text hash.
+
+    Rows without doc_id all stay. Only rows that may have to go move to a join; the others are passed on in place.
+    """
+    judged = scratch.materialize(near_duplicates(docs, k, percent, lower), "judged")
+    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    several = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = scratch.materialize(gone, "near-duplicates")
+    doubtful = bloom.of_column(gone.union(several))
+    held = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    sure = bloom.keep(held, "doc_id", doubtful, inside=False)
+    rest = bloom.keep(held, "doc_id", doubtful).join(gone, "doc_id", "left_anti")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rest = rest.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return sure.select(*docs.columns).union(rest.select(*docs.columns))

@@ -90,25 +90,34 @@ def counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def depleted(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2) -> DataFrame:
-    """Keys (`_row`, see row_key) of documents that lose nearly all their words to lines that are frequent in their host.
+def norm(line: Column) -> Column:
+    """Hash of a line that is trimmed, lower-cased and has single blanks."""
+    return F.xxhash64(F.lower(F.array_join(words(line), " ")))
 
-    Lines are compared trimmed, lower-cased and with single blanks, by hash. A line is frequent in a host if more than
-    max(min_docs, share of the host's documents) distinct documents there hold it. Documents with the same longest line
-    count once, so that copies of a document, exact or near, don't make its own lines frequent. A document is depleted
-    if fewer than keep_words of its words stand outside frequent lines. Null hosts form a host of their own.
-    """
+
+def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(host, _row, document, line, n) per line with a word: row_key, hash of the document's longest line, line hash, words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.col(host).alias("host"), row_key(host).alias("_row"), lines(text).alias("lines"))
     held = held.where(F.size("lines") > 0).withColumn("longest", F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))))
     held = held.select("host", "_row", F.xxhash64("longest.line").alias("document"), F.explode("lines").alias("line"))
-    flat = words(F.col("line"))
-    held = held.select("host", "_row", "document", F.xxhash64(F.lower(F.array_join(flat, " "))).alias("line"), F.size(flat).alias("n"))
-    held = scratch.materialize(held, "lines")
+    return scratch.materialize(held.select("host", "_row", "document", norm(F.col("line")).alias("line"), F.size(words(F.col("line"))).alias("n")), "lines")
+
+
+def frequent_lines(held: DataFrame, min_docs: int = 10, share: float = 0.02) -> DataFrame:
+    """(f_host, f_line) of a line table: lines of more than max(min_docs, share of the host's documents) distinct documents.
 
+    Documents with the same longest line count once, so that copies of a document, exact or near, don't make its own
+    lines frequent. Null hosts form a host of their own.
+    """
     sizes = held.groupBy("host").agg(F.countDistinct("document").alias("host_docs"))
     found = held.groupBy("host", "line").agg(F.countDistinct("document").alias("line_docs")).where(F.col("line_docs") > min_docs)
-    frequent = found.join(sizes, found.host.eqNullSafe(sizes.host)).where(F.col("line_docs") > share * F.col("host_docs")).select(found.host.alias("f_host"), F.col("line").alias("f_line"))
+    found = found.join(sizes, found.host.eqNullSafe(sizes.host)).where(F.col("line_docs") > share * F.col("host_docs"))
+    return scratch.materialize(found.select(found.host.alias("f_host"), F.col("line").alias("f_line")), "frequent-lines")
+
+
+def depleted(held: DataFrame, frequent: DataFrame, keep_words: float = 0.2) -> DataFrame:
+    """Keys (_row) of documents with fewer than keep_words of their words outside frequent lines."""
     marked = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left")
     lost = marked.groupBy("_row").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("f_line").isNotNull(), F.col("n")).otherwise(0)).alias("lost"))
     return lost.where(F.col("n") - F.col("lost") < keep_words * F.col("n")).select("_row")
@@ -119,7 +128,7 @@ def row_key(host: str = "source") -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce(F.col(host), F.lit("")))
 
 
-def judge(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2) -> DataFrame:
     """Each row of docs with its counts, base_failed and kept.
 
     kept is false if base_failed, and otherwise if the document is depleted. Repeated rows get equal verdicts; an empty
@@ -127,12 +136,42 @@ def judge(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row"}
     docs = docs.select(*[c for c in docs.columns if c not in made])
-    gone = depleted(docs.select("doc_id", "text", host), host, **limits).withColumn("_gone", F.lit(True))
+    held = line_table(docs.select("doc_id", "text", host), host)
+    return _judge(docs, host, held, frequent_lines(held, min_docs, share), keep_words)
+
+
+def _judge(docs: DataFrame, host: str, held: DataFrame, frequent: DataFrame, keep_words: float) -> DataFrame:
+    gone = depleted(held, frequent, keep_words).withColumn("_gone", F.lit(True))
     judged = counts(docs.withColumn("_row", row_key(host)))
     judged = judged.join(gone, "_row", "left")
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_row", "_gone")
 
 
+def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2, small: int = 10_000) -> DataFrame:
+    """The rows of docs that judge() keeps, without their frequent lines; texts without such lines stay as they are.
+
+    Up to `small` frequent lines are sent to the tasks, grouped by host; more are joined to the documents that hold them.
+    """
+    columns = docs.columns
+    held = line_table(docs.select("doc_id", "text", host), host)
+    frequent = frequent_lines(held, min_docs, share)
+    kept = _judge(docs, host, held, frequent, keep_words).where("kept").select(*columns)
+    if frequent.limit(small + 1).count() <= small:
+        hot = F.broadcast(frequent.groupBy(F.col("f_host").alias("_host")).agg(F.collect_list("f_line").alias("_hot")))
+        marked = kept.join(hot, F.col(host).eqNullSafe(F.col("_host")), "left")
+    else:
+        of_row = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
+        of_row = of_row.groupBy(F.col("_row").alias("_host")).agg(F.collect_set("line").alias("_hot"))
+        marked = kept.join(of_row, row_key(host) == F.col("_host"), "left")
+    split = F.split("text", "\n")
+    rest = F.filter(split, lambda x: ~F.array_contains("_hot", norm(x)))
+    text = F.when(F.col("_hot").isNull() | (F.size(rest) == F.size(split)), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    out = marked.withColumn("text", text)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
+
+
 #: The same result in DuckDB SQL, for the default limits.
 SQL = r"""
 WITH d AS (
