@@ -112,8 +112,8 @@ def frequent_lines(held: DataFrame, min_docs: int = 10, share: float = 0.02) ->
     """
     sizes = held.groupBy("host").agg(F.countDistinct("document").alias("host_docs"))
     found = held.groupBy("host", "line").agg(F.countDistinct("document").alias("line_docs")).where(F.col("line_docs") > min_docs)
-    found = found.join(sizes, found.host.eqNullSafe(sizes.host)).where(F.col("line_docs") > share * F.col("host_docs"))
-    return scratch.materialize(found.select(found.host.alias("f_host"), F.col("line").alias("f_line")), "frequent-lines")
+    found = found.join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).where(F.col("line_docs") > share * F.col("host_docs"))
+    return scratch.materialize(found.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), "frequent-lines")
 
 
 def depleted(held: DataFrame, frequent: DataFrame, keep_words: float = 0.2) -> DataFrame:
