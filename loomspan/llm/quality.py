@@ -72,15 +72,17 @@ def lines(text: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added (and `_at`).
 
     A null text has no words: all counts are 0 and base_failed is true.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     flat = docs.withColumn("_words", words(text)).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     held = flat.withColumn("_lines", lines(text))
+    # an indeterminate column keeps filters above this projection, so that no count is worked out in a filter again
     counted = held.select(
         *docs.columns,
+        F.monotonically_increasing_id().alias("_at"),
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
@@ -137,7 +139,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row"}
     docs = docs.select(*[c for c in docs.columns if c not in made])
     held = line_table(docs.select("doc_id", "text", host), host)
-    return _judge(docs, host, held, frequent_lines(held, min_docs, share), keep_words)
+    return _judge(docs, host, held, frequent_lines(held, min_docs, share), keep_words).drop("_at")
 
 
 def _judge(docs: DataFrame, host: str, held: DataFrame, frequent: DataFrame, keep_words: float) -> DataFrame:
@@ -155,7 +157,7 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     columns = docs.columns
     held = line_table(docs.select("doc_id", "text", host), host)
     frequent = frequent_lines(held, min_docs, share)
-    kept = _judge(docs, host, held, frequent, keep_words).where("kept").select(*columns)
+    kept = _judge(docs, host, held, frequent, keep_words).where(F.col("kept") & (F.col("_at") >= 0)).select(*columns)
     if frequent.limit(small + 1).count() <= small:
         hot = F.broadcast(frequent.groupBy(F.col("f_host").alias("_host")).agg(F.collect_list("f_line").alias("_hot")))
         marked = kept.join(hot, F.col(host).eqNullSafe(F.col("_host")), "left")
@@ -163,9 +165,8 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
         of_row = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
         of_row = of_row.groupBy(F.col("_row").alias("_host")).agg(F.collect_set("line").alias("_hot"))
         marked = kept.join(of_row, row_key(host) == F.col("_host"), "left")
-    split = F.split("text", "\n")
-    rest = F.filter(split, lambda x: ~F.array_contains("_hot", norm(x)))
-    text = F.when(F.col("_hot").isNull() | (F.size(rest) == F.size(split)), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_hot", norm(x)))
+    text = F.when(F.col("_hot").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     out = marked.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
