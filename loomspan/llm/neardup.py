@@ -5,9 +5,10 @@ signatures give the buckets in which nodes meet; an odd sketch (the parities of
 beside them, and the population count of the XOR of two sketches says how similar two sets are before any text moves.
 Pairs that may reach the threshold are confirmed on the full sets.
 
-A bucket of m nodes never becomes m * m pairs. First each member is paired with the bucket's smallest node. Members that
-are then connected need no further pairs; in buckets that still hold several components, only pairs across components
-are compared, by sketch, in tiles of bounded size, and only likely ones go on.
+A bucket of m nodes never becomes m * m pairs. First each member is paired with the bucket's first document. Members that
+are then connected need no further pairs. In buckets that still hold several components, sketches are compared across
+components, in tiles of bounded size, and nodes that may be similar are put in one cluster. The full sets of a cluster
+are then compared across components, again in tiles, and only true links leave the tasks.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from loomspan.llm.graph import components
 from loomspan.llm.hashing import mix, windows, word_hashes
 
 #: 40 bands of 5: at similarity 0.8 a pair meets in no band with odds of 1.2e-7. Samples and bits of a sketch.
-BANDS, ROWS, SAMPLES, SKETCH = 40, 5, 256, 1024
-#: How far below the threshold an estimate may be (over six standard deviations), and members of a tile.
-SLACK, TILE = 0.17, 1024
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
+BANDS, ROWS, SAMPLES, SKETCH = 40, 5, 512, 4096
+#: How far below the threshold an estimate may be (over five standard deviations), and members of a tile.
+SLACK, TILE = 0.1, 1024
+_SEEDS = np.random.default_rng(7).integers(1, 2**32, (2, SAMPLES), dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(h: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,17 +52,18 @@ def shingle_sets(h: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _signature(w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (rows, BANDS) and sketches (rows, SKETCH / 64) of non-empty sets that lie back to back."""
-    n = len(starts)
-    least = np.empty((n, SAMPLES), np.uint64)
+    n, held = len(starts), (mix(w) >> np.uint64(32)).astype(np.uint32)
+    turned, least = np.empty_like(held), np.empty((SAMPLES, n), np.uint32)
     for k in range(SAMPLES):
-        x = w * _SEEDS[0, k] + _SEEDS[1, k]
-        x ^= x >> np.uint64(31)
-        least[:, k] = np.minimum.reduceat(x * _SEEDS[0, k - 1], starts)
+        np.multiply(held, _SEEDS[0, k], out=turned)
+        turned += _SEEDS[1, k]
+        np.minimum.reduceat(turned, starts, out=least[k])
+    least = least.T.astype(np.uint64)
     bands = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
         bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, r : BANDS * ROWS : ROWS])
     bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
-    bits = (mix(least + np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(40)) % np.uint64(SKETCH)
+    bits = (mix(least << np.uint64(16) | np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(40)) % np.uint64(SKETCH)
     sketch = np.zeros((n, SKETCH), np.uint8)
     np.bitwise_xor.at(sketch, (np.repeat(np.arange(n), SAMPLES), bits.astype(np.int64).ravel()), 1)
     return bands, np.packbits(sketch, axis=1, bitorder="little").view("<u8")
@@ -111,9 +113,7 @@ def _distance(a: str, b: str) -> Column:
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach the threshold. Texts of nodes in a pair move, others don't."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.materialize(ends.join(nodes.select("node", "doc_id", "tk"), "node"), "pair-ends")
-    inside = bloom.of_column(wanted.select("doc_id"))
-    texts = bloom.keep(docs, "doc_id", inside).join(wanted.select("node", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")), (F.col("doc_id") == F.col("_d")) & (F.col("tk") == F.col("_t"))).select("node", "text")
+    texts = _texts(scratch.materialize(ends.join(nodes.select("node", "doc_id", "tk"), "node"), "pair-ends"), docs)
     of_a, of_b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,77 +145,129 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return both.where(fits).select("a", "b")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of members (key, node, component, n, sketch) in one bucket but not in one component.
-
-    Buckets are cut in tiles; every two tiles of a bucket meet in one task, which holds them alone. For two components
-    with a sure pair in a tile pair that pair is enough; of others all likely pairs go on.
-    """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    sizes = scratch.materialize(sizes, "bucket-tiles")
-    held = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "n", "sketch")
-    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    most, sure = _most_bits(percent / 100 - SLACK), _most_bits(min(1.0, percent / 100 + SLACK / 2))
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, comp, n, tile = (t[c].to_numpy() for c in ("node", "component", "n", "tile"))
-        sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        left = np.flatnonzero(tile == tile.min())
-        right = np.flatnonzero(tile == tile.max())
-        a_all, b_all, d_all = [], [], []
-        for part in np.array_split(left, max(1, len(left) * len(right) // 200_000)):
-            ok = comp[part][:, None] != comp[right][None, :]
-            ok &= 100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :])
-            i, j = np.nonzero(ok)
-            d = np.bitwise_count(sketch[part[i]] ^ sketch[right[j]]).sum(axis=1)
-            near = d <= most
-            a_all.append(part[i[near]])
-            b_all.append(right[j[near]])
-            d_all.append(d[near])
-        a, b, d = map(np.concatenate, (a_all, b_all, d_all))
-        order = np.argsort(d, kind="stable")
-        a, b, d = a[order], b[order], d[order]
-        done: set[tuple[int, int]] = set()
-        keep = np.ones(len(a), bool)
-        for x, (p, q, bits) in enumerate(zip(comp[a].tolist(), comp[b].tolist(), d.tolist(), strict=True)):
-            two = (min(p, q), max(p, q))
-            keep[x] = two not in done
-            if bits <= sure:
-                done.add(two)
-        a, b = node[a[keep]], node[b[keep]]
-        return np.minimum(a, b), np.maximum(a, b)
+def _grouped(rows: DataFrame, keys: list[str], work, schema: str, names: list[str]) -> DataFrame:
+    """work(table) for the rows of each key, streamed from sorted partitions; one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
-        def groups(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest
-            if not rest:
-                return
             t = pa.Table.from_batches(rest)
-            marks = [t[c].to_numpy() for c in ("key", "i", "j")]
+            marks = [t[c].to_numpy() for c in keys]
             cut = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
-            ends = [*cut.tolist(), t.num_rows] if last else cut.tolist()
             at = 0
-            for end in ends:
+            for end in [*cut.tolist(), t.num_rows] if last else cut.tolist():
                 if end - at > 1:
-                    yield pairs(t.slice(at, end - at))
+                    found = work(t.slice(at, end - at))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
                 at = end
             rest = t.slice(at).to_batches()
 
         for batch in batches:
-            rest.append(batch)
             if batch.num_rows:
-                yield from map(_pair_batch, groups(False))
-        yield from map(_pair_batch, groups(True))
+                rest.append(batch)
+                yield from groups(False)
+        if rest:
+            yield from groups(True)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+
+
+def _tiled(members: DataFrame, key: str, load: Column, most: int) -> DataFrame:
+    """Members of each key in tiles of about `most` load, once for every two tiles (i, j) of the key that theirs is one of."""
+    tiles = members.groupBy(key).agg(F.ceil(F.sum(load) / most).cast("int").alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    tiles = scratch.materialize(tiles.where("low < high").select(F.col(key).alias("_key"), "tiles"), "tiles")
+    held = members.join(tiles, F.col(key) == F.col("_key")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("_key", "tiles", "other")
+
+
+def _may_fit(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of a bucket (key, node, component, n, sketch) with likely pairs across components.
 
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    They form trees, at most one edge a node and task, and say which nodes have to be compared with each other.
+    """
+    most = _most_bits(percent / 100 - SLACK)
+
+    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, comp, n, tile = (t[c].to_numpy() for c in ("node", "component", "n", "tile"))
+        sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        left, right = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
+        root = np.arange(len(node))
+        for part in np.array_split(left, max(1, len(left) * len(right) // 100_000)):
+            ok = comp[part][:, None] != comp[right][None, :]
+            ok &= 100 * np.minimum(n[part][:, None], n[right][None, :]) >= percent * np.maximum(n[part][:, None], n[right][None, :])
+            i, j = np.nonzero(ok)
+            near = np.bitwise_count(sketch[part[i]] ^ sketch[right[j]]).sum(axis=1) <= most
+            a, b = part[i[near]], right[j[near]]
+            while len(a):  # hang all on the smallest place they are connected to
+                low = np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                root = root[root]
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+        hung = np.flatnonzero(root != np.arange(len(node)))
+        return node[hung], node[root[hung]]
+
+    met = _tiled(members, "key", F.lit(1), TILE).select("key", "i", "j", "tile", "node", "component", "n", "sketch")
+    return _grouped(met, ["key", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
+
+
+def _exact_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components among nodes (cluster, node, component, n, shingles) of one cluster, by their full sets.
+
+    A task counts the common shingles of all pairs of two tiles by products of 0/1 matrices. One link is given for two
+    components that have several in a task.
+    """
 
+    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, comp, n, tile = (t[c].to_numpy() for c in ("node", "component", "n", "tile"))
+        held = t["shingles"].combine_chunks()
+        row = np.repeat(np.arange(len(node)), n)
+        _, column, times = np.unique(held.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = times[column] > 1
+        row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max())
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 4096
+        for at in range(0, int(column.max(initial=-1)) + 1, width):
+            i, j = np.searchsorted(column, [at, at + width])
+            block = np.zeros((len(node), width), np.float32)
+            block[row[i:j], column[i:j] - at] = 1
+            both += block[left] @ block[right].T
+        ok = comp[left][:, None] != comp[right][None, :]
+        ok &= 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        a, b = np.nonzero(ok)
+        a, b = left[a], right[b]
+        two = np.sort(np.stack([comp[a], comp[b]]), axis=0)
+        _, one = np.unique(two, axis=1, return_index=True)
+        return node[a[one]], node[b[one]]
+
+    met = _tiled(members, "cluster", F.col("n"), 200_000).select("cluster", "i", "j", "tile", "node", "component", "n", "shingles")
+    return _grouped(met, ["cluster", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of wanted (node, doc_id, tk). Texts of other documents don't move."""
+    inside = bloom.of_column(wanted.select("doc_id"))
+    of = wanted.select("node", F.col("doc_id").alias("_d"), F.col("tk").alias("_t"))
+    return bloom.keep(docs, "doc_id", inside).join(of, (F.col("doc_id") == F.col("_d")) & (F.col("tk") == F.col("_t"))).select("node", "text")
+
+
+def _with_sets(wanted: DataFrame, docs: DataFrame, k: int, lower: bool) -> DataFrame:
+    """(node, shingles) of wanted (node, doc_id, tk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, h, places in word_hashes(batch.column(1), lower):
+                w, starts = shingle_sets(h, places, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(w.view(np.int64)))], ["node", "shingles"])
 
-def _pair_batch(two: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(two[0], pa.int64()), pa.array(two[1], pa.int64())], ["a", "b"])
+    return _texts(wanted, docs).dropDuplicates(["node"]).mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -236,14 +288,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     nodes = own.join(first, (F.col("doc_id") == F.col("_d")) & (F.col("tk") == F.col("_t")) & (F.col("set1") == F.col("_1")) & (F.col("set2") == F.col("_2"))).select("node", "doc_id", "tk", "n", "bands", "sketch").dropDuplicates(["node"])
     nodes = scratch.materialize(nodes, "nodes")
 
-    # buckets of several nodes, with their smallest node
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = scratch.materialize(shared.select(F.col("key").alias("_key"), "lead"), "buckets")
+    # buckets of several nodes, with the node of their first document: of copies it is most likely what they were made from
+    keys = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min(F.struct("doc_id", "node")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = scratch.materialize(shared.select(F.col("key").alias("_key"), F.col("lead.node").alias("lead")), "buckets")
     members = scratch.materialize(keys.join(shared, F.col("key") == F.col("_key")).select("key", "node", "lead"), "members")
 
     light = nodes.select("node", "n", "sketch")
-    stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     tried = scratch.materialize(_likely_pairs(stars, light, percent), "likely-stars")
     links = scratch.materialize(_confirm(tried, nodes, docs, k, lower, percent), "star-links")
     joined = scratch.materialize(components(links), "star-components")
@@ -254,9 +306,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("_key"))
     mixed = scratch.materialize(mixed, "mixed-buckets")
     open_ones = placed.join(mixed, F.col("key") == F.col("_key")).join(light, "node").select("key", "node", "component", "n", "sketch")
-    more = _across(open_ones, percent).join(tried, ["a", "b"], "left_anti")
-    more = scratch.materialize(more, "likely-across")
-    across = scratch.materialize(_confirm(more, nodes, docs, k, lower, percent), "across-links")
+    near = scratch.materialize(_may_fit(open_ones, percent), "may-fit")
+    clusters = components(near).select("node", F.col("component").alias("cluster"))
+    wanted = clusters.join(nodes.select("node", "doc_id", "tk", "n"), "node").join(placed.select("node", "component").distinct(), "node")
+    wanted = scratch.materialize(wanted, "clusters")
+    with_sets = wanted.join(_with_sets(wanted.select("node", "doc_id", "tk"), docs, k, lower), "node")
+    across = scratch.materialize(_exact_links(with_sets.select("cluster", "node", "component", "n", "shingles"), percent), "across-links")
 
     # documents hang on their set's first document, linked sets on each other's
     of_node = nodes.select("node", "doc_id")
