@@ -1 +1,3 @@
-"""See the README for what this folder holds."""
+"""Registered queries; importing this package registers them."""
+
+from loomspan.plans import interval_queries, panel_queries, table_queries  # noqa: F401
