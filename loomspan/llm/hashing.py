@@ -14,14 +14,14 @@ _LOWER[65:91] += 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64)
-#: Bytes hashed at a time; the power tables are as long.
-PIECE = 1 << 20
+#: Bytes hashed at a time (the power tables are as long), and rows copied at a time.
+PIECE, SLICE = 1 << 18, 256
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(20, (n + 1).bit_length())
+    size = 1 << max(18, (n + 1).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         base, inverse = np.full(size, _BASE, _U), np.full(size, pow(_BASE, -1, 2**64), _U)
@@ -44,7 +44,12 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    for first in range(0, len(texts), SLICE):
+        for row, end, h, places in _word_hashes(texts.slice(first, SLICE).cast(pa.large_string()).fill_null(""), lower):
+            yield first + row, first + end, h, places
+
+
+def _word_hashes(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
