@@ -1,0 +1,224 @@
+"""Queries over tables: joins, aggregates, parsers, profiles and rankings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from loomspan.functions import scalars
+from loomspan.operators import aggregates as agg
+from loomspan.operators import joins
+from loomspan.plans.base import DENSE, dense_events, r
+from loomspan.plans.registry import query
+from loomspan.session import table
+
+
+def _named_customers(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    first = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation_key"), "c_mktsegment")
+    spend = t("orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"))
+    return first, spend
+
+
+@query("audited_left_join", """WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+  SELECT 'orders' AS step, count(c_custkey) AS rows_before, count(c_custkey) AS rows_after, 3 AS cols_before, 4 AS cols_after, CAST(0 AS BIGINT) AS left_repeated, CAST(0 AS BIGINT) AS right_repeated,
+    count(CASE WHEN o_custkey IS NULL THEN 1 END) AS left_unmatched, count(CASE WHEN c_custkey IS NULL THEN 1 END) AS right_unmatched, true AS ok FROM customer FULL JOIN o ON c_custkey = o_custkey""")
+def audited_left_join(spark, sf_dir):
+    first, spend = _named_customers(spark, sf_dir)
+    return joins.audited_left_join(first, spend, ["key"], "orders")[1]
+
+
+@query("outer_join_indicator", """WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 <> 0), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+  SELECT CASE WHEN c_custkey IS NULL THEN 'right_only' WHEN o_custkey IS NULL THEN 'left_only' ELSE 'both' END AS side, count(*) AS n FROM c FULL JOIN o ON c_custkey = o_custkey GROUP BY 1""")
+def outer_join_indicator(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"))
+    o = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("key")).distinct()
+    return joins.with_indicator(c, o, ["key"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("crosswalk_fanout", """SELECT n_name AS zone, CASE WHEN s_suppkey IS NULL THEN 'unmatched' ELSE 'matched' END AS status, count(*) AS n, count(DISTINCT c_custkey) AS customers
+  FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey % 4 <> 0) ON s_nationkey = c_nationkey GROUP BY 1, 2""")
+def crosswalk_fanout(spark, sf_dir):
+    walk = table(spark, sf_dir, "supplier").where("s_nationkey % 4 <> 0").select(F.col("s_nationkey").alias("zone_key"), "s_suppkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("zone_key"))
+    out = joins.crosswalk(c, walk, ["zone_key"], "s_suppkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("zone_key") == F.col("n_nationkey"))
+    return out.groupBy(F.col("n_name").alias("zone"), "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("customers"))
+
+
+_POINTS = """p AS (SELECT c_custkey AS point, (c_custkey * 7919 % 1000) / 10.0 AS x, (c_custkey * 104729 % 1000) / 10.0 AS y FROM customer),
+  s AS (SELECT s_suppkey AS site, (s_suppkey * 6101 % 1000) / 10.0 AS sx, (s_suppkey * 3571 % 1000) / 10.0 AS sy FROM supplier)"""
+
+
+@query("nearest_join_with_fallback", f"""WITH {_POINTS}, d AS (SELECT point, site, sqrt(pow(CAST(x AS DOUBLE) - CAST(sx AS DOUBLE), 2) + pow(CAST(y AS DOUBLE) - CAST(sy AS DOUBLE), 2)) AS distance FROM p CROSS JOIN s),
+  k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY distance, site) AS rk FROM d)
+  SELECT point, site, round(distance, 6) AS distance, CAST(rk AS INTEGER) AS rank FROM k WHERE distance <= 5.03 OR rk = 1""")
+def nearest_join_with_fallback(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), (F.col("c_custkey") * 7919 % 1000 / 10.0).alias("x"), (F.col("c_custkey") * 104729 % 1000 / 10.0).alias("y"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 6101 % 1000 / 10.0).alias("x"), (F.col("s_suppkey") * 3571 % 1000 / 10.0).alias("y"))
+    out = joins.within_or_nearest(p, s, 5.03, 6.0)
+    return out.select("point", "site", r(F.col("distance")).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("zonal_weighted_mean", """WITH c AS (SELECT l_suppkey AS zone, l_quantity AS w, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS x FROM lineitem JOIN part ON p_partkey = l_partkey)
+  SELECT zone, round(sum(CASE WHEN x IS NOT NULL THEN x * w END) / sum(CASE WHEN x IS NOT NULL THEN w END), 6) AS mean, round(sum(CASE WHEN x IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) AS valid FROM c GROUP BY 1""")
+def zonal_weighted_mean(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    cells = cells.select(F.col("l_suppkey").alias("zone"), F.col("l_quantity").alias("w"), F.when(F.col("l_partkey") % 11 != 0, F.col("p_retailprice")).alias("x"))
+    valid = F.sum(F.when(F.col("x").isNotNull(), F.col("w")).otherwise(0.0)) / F.sum("w")
+    return cells.groupBy("zone").agg(r(agg.weighted_mean("x", "w")).alias("mean"), r(valid).alias("valid"))
+
+
+@query("pooled_variance", """WITH p AS (SELECT l_returnflag AS zone, l_linestatus AS part, avg(l_quantity) AS m, var_pop(l_quantity) AS v, count(*) AS w FROM lineitem GROUP BY 1, 2)
+  SELECT zone, round(sum(w * (v + m * m)) / sum(w) - pow(sum(w * m) / sum(w), 2), 6) AS variance FROM p GROUP BY 1""")
+def pooled_variance(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("zone"), "l_linestatus").agg(F.avg("l_quantity").alias("m"), F.var_pop("l_quantity").alias("v"), F.count(F.lit(1)).alias("w"))
+    return p.groupBy("zone").agg(r(agg.weighted_variance("m", "v", "w")).alias("variance"))
+
+
+@query("event_type_counts", """SELECT user_id AS entity, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS events, count(DISTINCT event_type) AS kinds, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS errors,
+  round(sum(value), 6) AS total, max(value) AS largest, CAST(max(CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END) AS INTEGER) AS flag FROM events GROUP BY 1, 2""")
+def event_type_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("entity"), F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("errors"),
+        r(F.sum("value")).alias("total"), F.max("value").alias("largest"), F.max(F.col("event_type").isin("error", "purchase").cast("int")).alias("flag"),
+    )
+
+
+_CODED = """CASE l_linenumber WHEN 1 THEN '(D)' WHEN 2 THEN ' (NA) ' WHEN 3 THEN '1,' || CAST(CAST(l_quantity AS INTEGER) + 100 AS VARCHAR) WHEN 4 THEN '' WHEN 5 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.5' END"""
+
+
+@query("coded_numeric_parse", f"""WITH t AS (SELECT l_linenumber AS line, upper(trim({_CODED})) AS c FROM lineitem),
+  p AS (SELECT line, CASE c WHEN '' THEN 'missing' WHEN '(D)' THEN 'withheld' WHEN '(NA)' THEN 'not_available' ELSE CASE WHEN try_cast(replace(c, ',', '') AS DOUBLE) IS NULL THEN 'unparsed' ELSE 'ok' END END AS status, try_cast(replace(c, ',', '') AS DOUBLE) AS v FROM t)
+  SELECT line, status, count(*) AS n, sum(v) AS total FROM p GROUP BY 1, 2""")
+def coded_numeric_parse(spark, sf_dir):
+    q = F.col("l_quantity").cast("int")
+    text = F.when(F.col("l_linenumber") == 1, "(D)").when(F.col("l_linenumber") == 2, " (NA) ").when(F.col("l_linenumber") == 3, F.concat(F.lit("1,"), (q + 100).cast("string")))
+    text = text.when(F.col("l_linenumber") == 4, "").when(F.col("l_linenumber") == 5, "n/a").otherwise(F.concat(q.cast("string"), F.lit(".5")))
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), scalars.coded_number(text).alias("p"))
+    return p.groupBy("line", F.col("p.status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.value").alias("total"))
+
+
+@query("money_parse", """SELECT l_linenumber AS line, round(sum(l_quantity * CASE l_linenumber % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1e3 WHEN 2 THEN 1e6 ELSE 1e9 END), 2) AS usd, round(sum(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber % 6 END), 2) AS scale FROM lineitem GROUP BY 1""")
+def money_parse(spark, sf_dir):
+    unit = F.element_at(F.array(*map(F.lit, ("", "K", "m", "B"))), F.col("l_linenumber") % 4 + 1)
+    scale = F.when(F.col("l_linenumber") == 7, "none").otherwise(F.concat(F.lit("EF"), (F.col("l_linenumber") % 6).cast("string")))
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), scalars.money(F.concat(F.col("l_quantity").cast("string"), unit)).alias("usd"), scalars.tornado_scale(scale).alias("scale"))
+    return p.groupBy("line").agg(r(F.sum("usd"), 2).alias("usd"), r(F.sum("scale"), 2).alias("scale"))
+
+
+@query("topk_ranking", "SELECT CAST(row_number() OVER (ORDER BY q DESC, l_suppkey) AS INTEGER) AS rank, l_suppkey AS entity, q FROM (SELECT l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) ORDER BY q DESC, l_suppkey LIMIT 20")
+def topk_ranking(spark, sf_dir):
+    top = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.sum("l_quantity").cast("bigint").alias("q")).orderBy(F.desc("q"), "entity").limit(20)
+    return top.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("q"), "entity")).alias("rank"), "entity", "q")
+
+
+@query("state_weighted_summary", """SELECT n_name AS state, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, count(DISTINCT s_suppkey) AS entities, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted,
+  round(avg(l_extendedprice), 4) AS mean, round(min(l_discount), 6) AS low, round(max(l_discount), 6) AS high FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2""")
+def state_weighted_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    return li.groupBy(F.col("n_name").alias("state"), F.year("l_shipdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("s_suppkey").alias("entities"), r(agg.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("weighted"),
+        r(F.avg("l_extendedprice"), 4).alias("mean"), r(F.min("l_discount")).alias("low"), r(F.max("l_discount")).alias("high"),
+    )
+
+
+@query("compound_class_deviation", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS errors, sum(value) AS v FROM events GROUP BY 1, 2),
+  u AS (SELECT user_id, count(CASE WHEN errors > 0 THEN 1 END) AS days, sum(v) AS v FROM d GROUP BY 1), c AS (SELECT CASE WHEN days >= 8 THEN 'high' WHEN days >= 4 THEN 'moderate' ELSE 'low' END AS class, v - (SELECT avg(v) FROM u) AS dev FROM u)
+  SELECT class, count(*) AS n, round(median(dev), 4) AS med, round(quantile_cont(dev, 0.25), 4) AS p25, round(quantile_cont(dev, 0.75), 4) AS p75, round(avg(CASE WHEN dev < 0 THEN 1.0 ELSE 0.0 END), 6) AS below FROM c GROUP BY 1""")
+def compound_class_deviation(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    d = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("v"))
+    u = d.groupBy("user_id").agg(F.count_if(F.col("errors") > 0).alias("days"), F.sum("v").alias("v"))
+    c = u.crossJoin(F.broadcast(u.agg(F.avg("v").alias("m")))).select(F.when(F.col("days") >= 8, "high").when(F.col("days") >= 4, "moderate").otherwise("low").alias("class"), (F.col("v") - F.col("m")).alias("dev"))
+    return c.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), r(F.percentile("dev", F.lit(0.5)), 4).alias("med"), r(F.percentile("dev", F.lit(0.25)), 4).alias("p25"), r(F.percentile("dev", F.lit(0.75)), 4).alias("p75"),
+        r(F.avg(F.when(F.col("dev") < 0, 1.0).otherwise(0.0))).alias("below"),
+    )
+
+
+@query("coverage_report_rollup", f"""WITH {DENSE} SELECT coalesce(CAST(entity % 5 AS VARCHAR), 'ALL') AS part, count(*) AS expected, count(value) AS present, round(100.0 * count(value) / count(*), 6) AS pct FROM dense GROUP BY ROLLUP (entity % 5)""")
+def coverage_report_rollup(spark, sf_dir):
+    d = dense_events(spark, sf_dir).withColumn("part", (F.col("entity") % 5).cast("string"))
+    out = d.rollup("part").agg(F.count(F.lit(1)).alias("expected"), F.count("value").alias("present"))
+    return out.select(F.coalesce("part", F.lit("ALL")).alias("part"), "expected", "present", r(100.0 * F.col("present") / F.col("expected")).alias("pct"))
+
+
+_PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PROFILE = """SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max,
+  round(count({c}) / ((count({c}) - 1.0) * (count({c}) - 2.0)) * sum(pow(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem), 3)), 6) AS skew,
+  round(count({c}) * (count({c}) + 1.0) / ((count({c}) - 1.0) * (count({c}) - 2.0) * (count({c}) - 3.0)) * sum(pow(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem), 4)) - 3 * pow(count({c}) - 1.0, 2) / ((count({c}) - 2.0) * (count({c}) - 3.0)), 6) AS kurt,
+  round(100.0 * count(CASE WHEN {c} < (SELECT 2.5 * quantile_cont({c}, 0.25) - 1.5 * quantile_cont({c}, 0.75) FROM lineitem) OR {c} > (SELECT 2.5 * quantile_cont({c}, 0.75) - 1.5 * quantile_cont({c}, 0.25) FROM lineitem) THEN 1 END) / count({c}), 6) AS iqr_outlier_pct FROM lineitem"""
+
+
+@query("distribution_profile", " UNION ALL ".join(_PROFILE.format(c=c) for c in _PROFILED))
+def distribution_profile(spark, sf_dir):
+    out = agg.profile(table(spark, sf_dir, "lineitem"), _PROFILED)
+    return out.withColumns({c: r(F.col(c)) for c in ("mean", "std", "skew", "kurt", "iqr_outlier_pct")})
+
+
+@query("iqr_zscore_outliers", """WITH s AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders)
+  SELECT count(CASE WHEN o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1) THEN 1 END) AS iqr_outliers, count(CASE WHEN abs(o_totalprice - m) > 1.5 * sd THEN 1 END) AS z_outliers, count(*) AS n FROM orders CROSS JOIN s""")
+def iqr_zscore_outliers(spark, sf_dir):
+    o, v = table(spark, sf_dir, "orders").select("o_totalprice"), F.col("o_totalprice")
+    s = o.agg(F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"), F.avg(v).alias("m"), F.stddev(v).alias("sd"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return o.crossJoin(F.broadcast(s)).agg(F.count_if((v < F.col("q1") - reach) | (v > F.col("q3") + reach)).alias("iqr_outliers"), F.count_if(F.abs(v - F.col("m")) > 1.5 * F.col("sd")).alias("z_outliers"), F.count(F.lit(1)).alias("n"))
+
+
+@query("missing_profile", """SELECT 'o_totalprice' AS "column", count(*) AS n, count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) AS missing, round(100.0 * count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) / count(*), 6) AS missing_pct FROM orders
+  UNION ALL SELECT 'o_orderstatus', count(*), count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END), round(100.0 * count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END) / count(*), 6) FROM orders""")
+def missing_profile(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return agg.missing_profile(o, ["o_totalprice", "o_orderstatus"]).withColumn("missing_pct", r(F.col("missing_pct")))
+
+
+@query("dedup_latest", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def dedup_latest(spark, sf_dir):
+    # a running best needs no window: the row with the largest order is an aggregate
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+
+
+@query("pair_validation", """WITH p AS (SELECT l_returnflag AS part, l_extendedprice AS x, l_quantity * 1400.0 AS y FROM lineitem)
+  SELECT part, count(*) AS n, round(corr(x, y), 6) AS pearson, round(avg(x - y), 4) AS bias, round(avg(abs(x - y)), 4) AS mae, round(sqrt(avg((x - y) * (x - y))), 4) AS rmse FROM p GROUP BY 1""")
+def pair_validation(spark, sf_dir):
+    x, y = F.col("l_extendedprice"), F.col("l_quantity") * 1400.0
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("part")).agg(F.count(F.lit(1)).alias("n"), r(F.corr(x, y)).alias("pearson"), r(F.avg(x - y), 4).alias("bias"), r(F.avg(F.abs(x - y)), 4).alias("mae"), r(F.sqrt(F.avg((x - y) * (x - y))), 4).alias("rmse"))
+
+
+@query("pivot_by_status", "SELECT o_orderpriority AS priority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS \"F\", round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS \"O\", round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS \"P\" FROM orders GROUP BY 1")
+def pivot_by_status(spark, sf_dir):
+    out = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    return out.select("priority", *[r(F.col(c), 4).alias(c) for c in "FOP"])
+
+
+@query("qc_battery", """SELECT 'unique_orders' AS name, count(*) = count(DISTINCT o_orderkey) AS passed, count(*) - count(DISTINCT o_orderkey) AS failures FROM orders
+  UNION ALL SELECT 'positive_price', count(CASE WHEN o_totalprice <= 0 THEN 1 END) = 0, count(CASE WHEN o_totalprice <= 0 THEN 1 END) FROM orders
+  UNION ALL SELECT 'known_customer', count(CASE WHEN c_custkey IS NULL THEN 1 END) = 0, count(CASE WHEN c_custkey IS NULL THEN 1 END) FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'small_quantity', count(CASE WHEN l_quantity > 45 THEN 1 END) = 0, count(CASE WHEN l_quantity > 45 THEN 1 END) FROM lineitem""")
+def qc_battery(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    bad = o.agg((F.count(F.lit(1)) - F.countDistinct("o_orderkey")).alias("unique_orders"), F.count_if(F.col("o_totalprice") <= 0).alias("positive_price"))
+    lost = o.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("known_customer"))
+    large = li.agg(F.count_if(F.col("l_quantity") > 45).alias("small_quantity"))
+    long = bad.crossJoin(lost).crossJoin(large).unpivot([], ["unique_orders", "positive_price", "known_customer", "small_quantity"], "name", "failures")
+    return long.select("name", (F.col("failures") == 0).alias("passed"), "failures")
+
+
+@query("fourier_and_classes", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status, round(avg(CASE WHEN o_custkey % 6 >= 3 THEN 1.0 ELSE 0.0 END), 6) AS extreme, round(avg(CASE WHEN o_custkey % 6 BETWEEN 1 AND 2 THEN 1.0 ELSE 0.0 END), 6) AS moderate,
+  round(sin(2 * 3.141592653589793 * (year(o_orderdate) - 1995) / 7.0), 5) AS s, round(cos(2 * 3.141592653589793 * (year(o_orderdate) - 1995) / 7.0), 5) AS c FROM orders GROUP BY ALL""")
+def fourier_and_classes(spark, sf_dir):
+    sin, cos = scalars.fourier(F.col("year"), 1995, 7.0)
+    cls = scalars.year_class(F.col("o_custkey") % 6)
+    share = lambda name: r(F.avg(F.when(cls == name, 1.0).otherwise(0.0)))
+    out = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status")).agg(share("Extreme").alias("extreme"), share("Moderate").alias("moderate"))
+    return out.select("*", r(sin, 5).alias("s"), r(cos, 5).alias("c"))
+
+
+@query("set_operations", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) <= 1997), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) >= 2000)
+  SELECT 'both' AS part, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'second_only', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
+def set_operations(spark, sf_dir):
+    # one pass over the keys gives all three parts
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.year("o_orderdate") <= 1997).alias("a"), F.bool_or(F.year("o_orderdate") >= 2000).alias("b"))
+    n = o.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("first_only"), F.count_if(F.col("b") & ~F.col("a")).alias("second_only"))
+    return n.unpivot([], ["both", "first_only", "second_only"], "part", "n")
