@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspan import scratch
 from loomspan.llm import bpe, mixing, neardup, quality, substring
-from loomspan.llm.queries import BYTE_BPE
-from loomspan.session import table
+from loomspan.llm.batches import keep_small
+from loomspan.llm.queries import BYTE_BPE, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that shingles of five words link at 0.8 or more."""
+    keep_small(spark)
     return neardup.dedup(docs, k=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 50-word windows that start in an earlier document."""
+    keep_small(spark)
     return substring.strip(docs)
 
 
@@ -36,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document left."""
+    keep_small(spark)
     return bpe.encode_digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan import scratch
+from loomspan.llm.columns import hide, show
 from loomspan.llm.quality import words
 
 #: Documents in a group of the tree's first level, and groups that meet in one above it.
@@ -156,6 +157,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, each as often as the mix takes it; repeated rows get their copies in the order of their texts' hashes."""
+    docs, names = hide(docs, "doc_id", "text", "source")
     size = F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("bigint")
     plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("row", "copies"))).alias("_plan"))
     plan = scratch.materialize(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_plan.copies").alias("_plan")), "mix-plan")
@@ -169,4 +171,5 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     several = taken(plan.where(F.size("_plan") > 1)).withColumn("_k", F.row_number().over(order))
     several = several.withColumn("_copies", F.element_at("_plan", F.col("_k"))).where("_copies > 0").drop("_k")
     both = single.unionByName(several)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return show(both, names, "doc_id", "text", "source")

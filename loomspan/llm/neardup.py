@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from loomspan import scratch
 from loomspan.llm import bloom
+from loomspan.llm.columns import hide, show
 from loomspan.llm.graph import components
 from loomspan.llm.hashing import mix, windows, word_hashes
 
@@ -329,6 +330,7 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) ->
 
     Rows without doc_id all stay. Only rows that may have to go move to a join; the others are passed on in place.
     """
+    docs, names = hide(docs, "doc_id", "text")
     judged = scratch.materialize(near_duplicates(docs, k, percent, lower), "judged")
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
     several = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -339,4 +341,4 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) ->
     rest = bloom.keep(held, "doc_id", doubtful).join(gone, "doc_id", "left_anti")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     rest = rest.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return sure.select(*docs.columns).union(rest.select(*docs.columns))
+    return show(sure.select(*docs.columns).union(rest.select(*docs.columns)), names, "doc_id", "text")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan import scratch
+from loomspan.llm.columns import hide, show
 
 #: The six white-space characters that part words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -134,9 +135,9 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     """Each row of docs with its counts, base_failed and kept.
 
     kept is false if base_failed, and otherwise if the document is depleted. Repeated rows get equal verdicts; an empty
-    table gives no rows; columns besides doc_id, text and the host pass through unless they bear an output's name.
+    table gives no rows; columns besides doc_id, text and the host pass through unless they bear the name of an output or a working column.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row"}
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row", "_gone", "_at", "_words", "_hashes", "_lines"}
     docs = docs.select(*[c for c in docs.columns if c not in made])
     held = line_table(docs.select("doc_id", "text", host), host)
     return _judge(docs, host, held, frequent_lines(held, min_docs, share), keep_words).drop("_at")
@@ -154,6 +155,8 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
 
     Up to `small` frequent lines are sent to the tasks, grouped by host; more are joined to the documents that hold them.
     """
+    needed = ("doc_id", "text", host, "n_chars")
+    docs, names = hide(docs, *needed)
     columns = docs.columns
     held = line_table(docs.select("doc_id", "text", host), host)
     frequent = frequent_lines(held, min_docs, share)
@@ -170,7 +173,7 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     out = marked.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return show(out, names, *needed)
 
 
 #: The same result in DuckDB SQL, for the default limits.

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import ann, bpe, chat, lm, mixing, neardup, packing, quality, substring, warc
-from loomspan.session import table
+from loomspan.llm.batches import keep_small
+from loomspan.session import table as plain_table
 
 #: Vocabulary files; their places are parameters of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +16,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_BPE_SIZE, WORD_BPE_END = 49_408, 2
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    keep_small(spark)
+    return plain_table(spark, sf_dir, name)
+
+
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.llm import bloom
+from loomspan.llm.columns import hide, show
 from loomspan.llm.hashing import windows, word_hashes
 
 WINDOW, BLOCK = 50, 25
@@ -149,6 +150,8 @@ def strip(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
 
     Texts are handled as in dedup_digests(); all columns of docs are returned, n_chars (if there) for the new text.
     """
+    needed = ("doc_id", "text", "n_chars")
+    docs, names = hide(docs, *needed)
     clean, some = _split(docs, window, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def strip(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFram
     out = clean.unionByName(some)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return show(out, names, *needed)
 
 
 def _stripped(text: str | None, gone: list[int] | None, window: int) -> str | None:
