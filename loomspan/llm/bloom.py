@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from loomspan.llm.hashing import mix
 
-#: Bits of a filter (16 MB), and bytes of the pieces that are merged.
-BITS, CHUNK = 1 << 27, 1 << 16
+#: Bits of a filter of text hashes (16 MB) and of one of ids (4 MB), and bytes of the pieces that are merged.
+BITS, ID_BITS, CHUNK = 1 << 27, 1 << 25, 1 << 16
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def merged(parts: DataFrame, bits: int = BITS):
     return parts.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
 
-def of_column(values: DataFrame, bits: int = BITS):
+def of_column(values: DataFrame, bits: int = ID_BITS):
     """A broadcast filter of the one bigint column of values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

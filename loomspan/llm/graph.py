@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomspan import scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for edges (a, b) of bigints: component is the smallest node that can be reached.
 
     Every round hangs neighbours on the smallest one they know of; the number of rounds grows with the logarithm of the
-    longest path. Each round is written to the shared folder. Nodes without an edge to another node don't appear.
+    longest path. Each round is written to the shared folder. Nodes without an edge to another node don't appear. With
+    `rounds` it stops there: nodes of one component are still connected, but a component may be in several parts.
     """
     spark = edges.sparkSession
-    now = scratch.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    mark = _mark(now)
-    while mark[0]:
+    now, mark = _write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    done = 0
+    while mark[0] and (rounds is None or done < rounds):
+        done += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        least = scratch.materialize(least, "star-roots")
+        # written, so that the join below can split a node of very many neighbours
+        least = scratch.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-roots")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.materialize(large, "large-stars")
-        low = scratch.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star-roots")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = scratch.materialize(small.where("u <> v").distinct(), "stars")
-        new = _mark(after)
-        scratch.remove(spark, now, least, large, low)
+        after, new = _write(small.where("u <> v").distinct())
+        scratch.remove(spark, now, least)
         now = after
         if new == mark:
             break
         mark = new
-    return now.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    leaves = now.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component"))
+    return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(leaves.select("node"), "node", "left_anti"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and a mark that changes with them, taken on the way."""
+    seen = Observation()
+    table = scratch.materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("s")), "stars")
+    return table, (seen.get["n"], seen.get["s"])

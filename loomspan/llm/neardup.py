@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     stars = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     tried = scratch.materialize(_likely_pairs(stars, light, percent), "likely-stars")
     links = scratch.materialize(_confirm(tried, nodes, docs, k, lower, percent), "star-links")
-    joined = scratch.materialize(components(links), "star-components")
+    # parts of components will do here: they only spare comparisons
+    joined = scratch.materialize(components(links, rounds=2), "star-components")
 
     # pairs across components in buckets that hold several
     placed = members.select("key", "node").join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))

@@ -87,7 +87,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     index = _index(docs, block)
     hits = _probe(docs, index, block).groupBy("h").agg(F.sum("aligned").alias("aligned"), F.max("probed").alias("probed"))
-    shared = bloom.of_column(hits.where((F.col("aligned") > 1) | (F.col("aligned") > 0) & (F.col("probed") > 0)).select("h"))
+    shared = bloom.of_column(hits.where((F.col("aligned") > 1) | (F.col("aligned") > 0) & (F.col("probed") > 0)).select("h"), bloom.BITS)
     found = _candidates(docs, shared, window, block)
     # the smallest document of each window, for windows of several; written, so that the join below can split hot windows
     first = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
