@@ -15,6 +15,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,11 @@ MAGIC = b"LSIDS001"
 BLOCK = 1 << 16
 #: Between chunks that are encoded in one call: a special token, never part of what a chunk encodes to.
 SEPARATOR = "<|startoftext|>"
-#: Finds stops and commas that may belong to a longer run of symbols.
+#: Finds letters outside the Latin blocks or special tokens; stops and commas that may belong to a longer run of symbols.
+#: The letter that byte-level tokenizers put for each byte: printable ones stay, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
+_UNEVEN = re.compile(r"[^\x00-\u024f]|<\|").search
 _CLUSTERED = re.compile(r"[\W_][.,][ \n]").search
 
 
@@ -144,12 +149,13 @@ class Encoder:
     its chunks in turn. Unseen chunks go to the library together, parted by a special token.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cut = self.tokenizer.token_to_id(SEPARATOR)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -157,6 +163,14 @@ class Encoder:
         self.known.update((c, self.before[c]) for c in chunks if c in self.before)
         chunks = [c for c in chunks if c not in self.before]
         whole = lambda c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4")
+        rest = []
+        for c in chunks:
+            if c.isalpha() and not _UNEVEN(c):  # one word of letters: the merges alone
+                ids = [t.id for t in self.model.tokenize("".join(map(_VISIBLE.__getitem__, c.lower().encode())))]
+                self.known[c] = array("I", ids).tobytes()
+            else:
+                rest.append(c)
+        chunks = rest
         odd = [c for c in chunks if self.cut is None or "<|" in c]
         plain = chunks if not odd else [c for c in chunks if c not in set(odd)]
         for c in odd:
@@ -179,6 +193,8 @@ class Encoder:
             self.before, self.known = self.known, {}
         if not _CLUSTERED(text):  # a lone comma or stop behind a word is a word of its own to these tokenizers
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        if not _UNEVEN(text):  # the tokenizers lower the case, as Python does for these letters
+            text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
         try:
             return b"".join([self.known[c] for c in chunks])
