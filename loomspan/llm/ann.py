@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from loomspan import scratch
 
 #: Neighbours of a node on a level, kept candidates while building and searching, most nodes of a shard.
-DEGREE, BUILD, SEARCH, SHARD = 16, 64, 160, 8192
+DEGREE, BUILD, SEARCH, SHARD = 16, 64, 96, 8192
 #: Queries that a task holds at a time.
 QUERIES = 1024
 

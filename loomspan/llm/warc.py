@@ -207,9 +207,21 @@ def read_pages(keys: DataFrame, parts: DataFrame) -> DataFrame:
     those of the payload read; a revisit's are those its record states of the full payload. Each index part is read by
     the tasks that the keys in its range are dealt to; captures, not keys, are then dealt evenly for the range reads.
     """
-    # the ranges of the parts are a step function of the key; one row a file, so its size is that of a task list
-    bounds = parts.select("part", "path", F.col("first"), F.col("last"))
-    routed = keys.join(F.broadcast(bounds), (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("path", "key")
+    # the top of the directory has one row a file, as many as there were tasks
+    top = sorted((r.first, r.last, r.path) for r in parts.toLocalIterator())
+    firsts = [r[0] for r in top]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                k = bisect.bisect_right(firsts, key) - 1
+                while k >= 0 and top[k][1] >= key:  # a key that fills parts is in each of them
+                    rows.append((top[k][2], key))
+                    k -= 1
+            yield _columns(rows, ["path", "key"], [pa.string(), pa.string()])
+
+    routed = keys.select("key").mapInArrow(route, "path string, key string")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, IndexPart | None] = ("", None)
