@@ -12,7 +12,7 @@ import tiktoken
 from loomspan import scratch
 from loomspan.llm import bpe
 from loomspan.llm.queries import BYTE_BPE
-from test_operators import WORDS, linked, prose, quality_counts, removed
+from test_numbered_operators import WORDS, linked, prose, quality_counts, removed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
