@@ -148,10 +148,10 @@ def gdd_and_heat(spark, sf_dir):
   e AS (SELECT CAST(((slot - 1 + o + 365) % 365) + 1 AS INTEGER) AS near, v FROM s CROSS JOIN (SELECT unnest(range(-7, 8)) AS o))
   SELECT near AS slot, count(*) AS n, round(avg(v), 4) AS mean FROM e GROUP BY 1""")
 def slot_climatology(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(ts.day_slot(F.col("o_orderdate")).alias("slot"), F.col("o_totalprice").alias("v"))
-    # a slot is summed first: its 15 copies then cost 15 rows, not 15 times the table
+    o = table(spark, sf_dir, "orders").select(ts.day_slot(F.col("o_orderdate")).alias("slot"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
+    # a slot is summed first: its 15 copies then cost 15 rows, not 15 times the table; whole cents add up exactly
     sums = o.groupBy("slot").agg(F.sum("v").alias("s"), F.count("v").alias("c"))
-    return ts.near_slots(sums, "slot", 7).groupBy(F.col("near").cast("int").alias("slot")).agg(F.sum("c").alias("n"), r(F.sum("s") / F.sum("c"), 4).alias("mean"))
+    return ts.near_slots(sums, "slot", 7).groupBy(F.col("near").cast("int").alias("slot")).agg(F.sum("c").alias("n"), r(F.sum("s") / (F.sum("c") * 100), 4).alias("mean"))
 
 
 @query("fao56_et0", """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS line, 15 + l_quantity / 2 AS tmax, 5 + l_quantity / 4 AS tmin, 0.8 + l_discount * 5 AS ea, 10 + l_tax * 100 AS rs, 1 + l_discount * 10 AS u2,
