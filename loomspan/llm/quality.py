@@ -99,19 +99,19 @@ def norm(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, _row, document, line, n) per line with a word: row_key, hash of the document's longest line, line hash, words."""
+    """(host, _row, document, line, n) per line with a word: row_key, hash of the document's words in turn, line hash, words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(F.col(host).alias("host"), row_key(host).alias("_row"), lines(text).alias("lines"))
-    held = held.where(F.size("lines") > 0).withColumn("longest", F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))))
-    held = held.select("host", "_row", F.xxhash64("longest.line").alias("document"), F.explode("lines").alias("line"))
+    held = docs.select(F.col(host).alias("host"), row_key(host).alias("_row"), norm(text).alias("document"), lines(text).alias("lines"))
+    held = held.where(F.size("lines") > 0).select("host", "_row", "document", F.explode("lines").alias("line"))
     return scratch.materialize(held.select("host", "_row", "document", norm(F.col("line")).alias("line"), F.size(words(F.col("line"))).alias("n")), "lines")
 
 
 def frequent_lines(held: DataFrame, min_docs: int = 10, share: float = 0.02) -> DataFrame:
     """(f_host, f_line) of a line table: lines of more than max(min_docs, share of the host's documents) distinct documents.
 
-    Documents with the same longest line count once, so that copies of a document, exact or near, don't make its own
-    lines frequent. Null hosts form a host of their own.
+    Documents with the same words in turn count once, so that copies of a document don't make its own lines frequent.
+    Documents that differ in any word are distinct, so pages of one template count each, however short their own lines
+    are. Null hosts form a host of their own.
     """
     sizes = held.groupBy("host").agg(F.countDistinct("document").alias("host_docs"))
     found = held.groupBy("host", "line").agg(F.countDistinct("document").alias("line_docs")).where(F.col("line_docs") > min_docs)
@@ -176,7 +176,7 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: floa
     return show(out, names, *needed)
 
 
-#: The same result in DuckDB SQL, for the default limits.
+#: The result in DuckDB SQL, for the default limits, but that documents with the same longest line count once.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r,

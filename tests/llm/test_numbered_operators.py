@@ -128,6 +128,18 @@ def test_frequent_lines_reject_depleted_documents_but_not_copies(spark):
     assert cleaned == joined and cleaned[200] == with_one[0][1].split("\n")[3] and cleaned[300] == copies[0][1]
 
 
+def test_template_pages_are_depleted_without_pages_of_own_text(spark):
+    rnd = random.Random(4)
+    banner = [" ".join(f"b{k}x{j}" for j in range(30)) for k in range(3)]
+    clean = [(i, "\n".join(prose(rnd, 25).replace("\n", " ") + f" u{i}" for _ in range(4)), "h") for i in range(40)]
+    several = [(100 + i, "\n".join([*banner, f"short tail {i}"]), "h") for i in range(15)]
+    single = [(200 + i, "\n".join([" ".join(f"c{j}" for j in range(60)), f"own {i}"]), "h") for i in range(15)]
+    copies = [(300 + i, clean[0][1], "h") for i in range(30)]
+    df = spark.createDataFrame([*clean, *several, *single, *copies], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in quality.judge(df).where("kept").collect()} == {i for i, _, _ in [*clean, *copies]}
+    assert {r.doc_id for r in quality.clean(df).collect()} == {i for i, _, _ in [*clean, *copies]}
+
+
 def turns_of(rows):
     by = defaultdict(list)
     for c, turn, role, text in rows:
