@@ -7,8 +7,9 @@ how often either bit came in training. Each predictor is gated by how much the l
 odds are summed with weights that are refined after every decision by the gradient of its cost. The costs add up to the
 bits of a text. Refinement starts anew every SPAN decisions of a text, so that many spans are scored in step.
 
-All of the training documents are counted. Tables have a number of slots fixed by the number of training bytes, up to a
-bound, so that what is broadcast is bounded.
+All of the training documents are counted, each context by a hash of 48 bits, so the tables grow with the corpus and are
+neither broadcast nor collected: documents form spans, each span sends its distinct contexts and their counts to the
+pieces that sum them, and gets the sums' predictions back.
 """
 
 from __future__ import annotations
@@ -20,24 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.llm.hashing import mix
 
-#: Bytes that the hashed predictors look back; slots of their tables at most, as powers of two.
-ORDERS, MOST_BITS = (3, 5), (21, 23)
+#: Bytes that the hashed predictors look back.
+ORDERS = (3, 5)
 #: Decisions after which the weights start anew, their starting values (order 1 first), and the rate of refinement.
 SPAN, START, RATE = 1000, (1.0, 1.0, 1.0), 0.03
 #: Added to the counts of either bit before their log odds are taken.
 SMALL = 0.3
 #: Counts at which a predictor's confidence steps up, and by its confidence what the next shorter one still weighs.
 SEEN, GATES = (1, 4, 32), (1.0, 0.7, 0.5, 0.3)
-#: Words whose counts are broadcast; slots of a piece of a table; texts scored together and looked up together, in bytes.
-FREQUENT, PIECE, BATCH, RUN = 262_144, 1 << 16, 1 << 20, 1 << 14
+#: Words whose counts are broadcast; training bytes for each piece of the tables; bytes of a span, of texts scored together, and coded together.
+FREQUENT, PIECE, WHOLE, BATCH, RUN = 262_144, 1 << 23, 1 << 22, 1 << 20, 1 << 14
 PAD = b"\n" * max(ORDERS)
-#: A slot is broadcast as a byte: two bits of confidence and six of log odds, in steps of a quarter.
+#: What a context predicts is a byte: two bits of confidence and six of log odds, in steps of a quarter.
 _STEP = 0.25
 _ODDS = np.tile(np.arange(-32, 32) * _STEP, 4).astype(np.float32)
 _GATE = np.repeat(GATES, 64).astype(np.float32)
@@ -97,21 +99,36 @@ class Trees:
         return of, np.take(self.node, flat), np.take(self.bit, flat)
 
 
-def _slots(data: np.ndarray, start: int, of: np.ndarray, node: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Slots of all decisions for each order; data holds max(ORDERS) bytes before `start`."""
+def _hashes(data: np.ndarray, start: int) -> Iterator[np.ndarray]:
+    """Hashes of the bytes before each place for each order; data holds max(ORDERS) bytes before `start`."""
     n, packed, done = len(data) - start, np.zeros(len(data) - start, np.uint64), 0
-    spread = node * 0x9E3779B1
-    for k, order in enumerate(ORDERS):
+    for order in ORDERS:
         while done < order:
             done += 1
             packed = packed << np.uint64(8) | data[start - done : start - done + n].astype(np.uint64)
-        h = (mix(packed * np.uint64(2 * order + 1) + np.uint64(order)) >> np.uint64(24)).astype(np.int64)
-        slot = np.take(h, of)
+        yield mix(packed * np.uint64(2 * order + 1) + np.uint64(order))
+
+
+def _slots(data: np.ndarray, start: int, of: np.ndarray, node: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Slots of all decisions for each order, in tables of 2 ** bits slots."""
+    spread = node * 0x9E3779B1
+    for k, h in enumerate(_hashes(data, start)):
+        slot = np.take((h >> np.uint64(24)).astype(np.int64), of)
         slot += spread
         slot &= (1 << bits[k]) - 1
         yield slot
 
 
+def _contexts(data: np.ndarray, start: int, of: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+    """48 bits for the context of all decisions for each order."""
+    spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for h in _hashes(data, start):
+        context = np.take(h, of)
+        context += spread
+        context >>= np.uint64(16)
+        yield context
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Lower-cased tokens of a text; the end is not among them."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -187,40 +204,121 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return (level * 64 + (np.rint(odds).clip(-32, 31) + 32).astype(np.int64)).astype(np.uint8)
 
 
-def _train_tables(docs: DataFrame, trees: Trees, bits: tuple[int, ...]) -> DataFrame:
-    """(piece, counts): counts of both bits of PIECE slots of one order, over all training documents."""
-    starts = np.cumsum([0, *(1 << b for b in bits)])
+def _chunks(streams: list) -> Iterator[list]:
+    """Pairs of (id, stream) in chunks of about BATCH bytes."""
+    held, size = [], 0
+    for pair in streams:
+        held.append(pair)
+        size += len(pair[1])
+        if size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _counted(pairs: list[tuple[int | None, bytes]], trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of (id, stream) pairs, sorted, and how often either bit came (by turns) in training documents."""
+    found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for held in found:
+        for data, starts in _runs([x for i, x in pairs if held_out(i) == held]):
+            of, node, bit = _decisions(data, starts, trees)
+            found[held] += [context << np.uint64(1) | bit for context in _contexts(data, len(PAD), of, node)]
+    both = {held: np.sort(np.concatenate([np.zeros(0, np.uint64), *x])) for held, x in found.items()}
+    seen = both[False] >> np.uint64(1)
+    first = np.flatnonzero(np.diff(seen, prepend=~seen[:1]))
+    own, total = seen[first], np.diff(first, append=len(seen))
+    ones = np.add.reduceat((both[False] & np.uint64(1)).astype(np.int64), first) if len(first) else total
+    contexts = np.union1d(own, both[True] >> np.uint64(1))
+    counts = np.zeros(2 * len(contexts), np.int64)
+    at = 2 * np.searchsorted(contexts, own)
+    counts[at], counts[at + 1] = total - ones, ones
+    return contexts, counts
+
+
+def _summed(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of all contexts, the sums of their counts, and the place of each context among them."""
+    contexts, where = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True)
+    counts = np.zeros(2 * len(contexts), np.int64)
+    for k in (0, 1):
+        np.add.at(counts, 2 * where + k, np.concatenate([n[k::2] for _, n in each]))
+    return contexts, counts, where
+
+
+def _piece(contexts: np.ndarray, pieces: int) -> np.ndarray:
+    """The piece of each context; it grows with the context."""
+    return (contexts >> np.uint64(16)).astype(np.int64) * pieces >> 32
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers as their bytes of equal worth one after the other, deflated."""
+    return zlib.compress(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _plain(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """(span, at, doc_id, text): documents in spans of about WHOLE bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, one = np.zeros(2 * starts[-1], np.int32), np.int32(1)
-        tables = [table[2 * starts[k] : 2 * starts[k + 1]] for k in range(len(bits))]
+        span, size, at = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            streams = [b" ".join(tokens(t.as_py())) + b"\n" for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if not held_out(d)]
-            for data, starts_of in _runs(streams):
-                of, node, bit = _decisions(data, starts_of, trees)
-                for k, slot in enumerate(_slots(data, len(PAD), of, node, bits)):
-                    slot += slot
-                    slot += bit
-                    np.add.at(tables[k], slot, one)
-        for p in range(len(table) // (2 * PIECE)):
-            part = table[2 * PIECE * p : 2 * PIECE * (p + 1)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+            spans, ats = [], []
+            for text in batch.column(1):
+                if size >= WHOLE:
+                    span, size, at = span + 1, 0, 0
+                spans.append(span)
+                ats.append(at)
+                size += len((text.as_py() or "").encode("utf-8", "surrogatepass")) + 1
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int64()), pa.array(ats, pa.int64()), batch.column(0), batch.column(1)], ["span", "at", "doc_id", "text"])
+
+    return docs.mapInArrow(run, "span bigint, at bigint, doc_id bigint, text string")
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of batches that are sorted by key, those of one key at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _predictions(spans: DataFrame, trees, pieces: int) -> DataFrame:
+    """(span, piece, seen): what all training documents predict in the span's distinct contexts, a byte each, sorted by context."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _span_rows(batches, "span"):
+            pairs = [(r["doc_id"], b" ".join(tokens(r["text"])) + b"\n") for r in rows]
+            contexts, counts, _ = _summed([_counted(chunk, trees.value) for chunk in _chunks(pairs)])
+            piece = _piece(contexts, pieces)
+            cuts = [*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), len(piece)]
+            parts = [(_small(np.diff(contexts[i:j], prepend=np.uint64(0))), _small(counts[2 * i : 2 * j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(piece[cuts[:-1]], pa.int64()), pa.array([rows[0]["span"]] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*parts, strict=True))], ["piece", "span", "contexts", "counts"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.int32).astype(np.int64)
-                held[p] = held[p] + part if p in held else part
-        for p, part in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([zlib.compress(packed(part).tobytes(), 1)], pa.binary())], ["piece", "counts"])
+        for rows in _span_rows(batches, "piece"):
+            each = [(np.cumsum(_plain(r["contexts"]), dtype=np.uint64), _plain(r["counts"]).astype(np.int64)) for r in rows]
+            _, counts, where = _summed(each)
+            seen, end = packed(counts)[where], np.cumsum([len(x) for x, _ in each])
+            for r, (x, _), j in zip(rows, each, end.tolist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([r["span"]]), pa.array([r["piece"]]), pa.array([zlib.compress(seen[j - len(x) : j].tobytes(), 1)], pa.binary())], ["span", "piece", "seen"])
 
-    return docs.mapInArrow(run, "piece bigint, counts binary").repartition("piece").mapInArrow(add, "piece bigint, counts binary")
+    counted = spans.repartition("span").sortWithinPartitions("span", "at").mapInArrow(count, "piece bigint, span bigint, contexts binary, counts binary")
+    return counted.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "span bigint, piece bigint, seen binary")
 
 
 class Model:
-    """The trained tables; scores streams."""
+    """Tables in memory; scores streams. A corpus is scored by score(), without tables of a fixed size."""
 
     def __init__(self, trees: Trees, tables: np.ndarray, bits: tuple[int, ...]):
         starts = np.cumsum([0, *(1 << b for b in bits)])
@@ -229,16 +327,50 @@ class Model:
 
     def bits_of(self, streams: list[bytes]) -> np.ndarray:
         """Bits of each stream."""
+
+        def looked() -> Iterator[tuple]:
+            for data, starts in _runs(streams):
+                of, node, bit = _decisions(data, starts, self.trees)
+                yield starts, of, node, bit, [np.take(self.tables[k], slot).astype(np.intp) for k, slot in enumerate(_slots(data, len(PAD), of, node, self.bits))]
+
+        return self.cost(self.trees, looked())
+
+    @classmethod
+    def of_span(cls, trees: Trees, streams: list[bytes], seen: np.ndarray) -> np.ndarray:
+        """Bits of each stream of a span, from what its distinct contexts predict, sorted by context."""
+        chunks = [[x for _, x in chunk] for chunk in _chunks([(None, x) for x in streams])]
+
+        def found(chunk: list[bytes]) -> Iterator[tuple]:
+            for data, starts in _runs(chunk):
+                of, node, bit = _decisions(data, starts, trees)
+                yield starts, of, node, bit, list(_contexts(data, len(PAD), of, node))
+
+        contexts = np.unique(np.concatenate([np.unique(np.concatenate([x for *_, each in found(chunk) for x in each])) for chunk in chunks]))
+        if len(contexts) != len(seen):
+            raise ValueError(f"{len(seen)} predictions for {len(contexts)} contexts")
+        mask = np.uint64((1 << (2 * len(contexts)).bit_length()) - 1)
+        index = np.zeros(int(mask) + 1, np.int32)
+        index[contexts & mask] = np.arange(len(contexts))
+
+        def look(x: np.ndarray) -> np.ndarray:
+            at = np.take(index, x & mask)
+            other = np.flatnonzero(np.take(contexts, at) != x)
+            at[other] = np.searchsorted(contexts, x[other])
+            return np.take(seen, at).astype(np.intp)
+
+        return np.concatenate([cls.cost(trees, ((*run, [look(x) for x in each]) for *run, each in found(chunk))) for chunk in chunks])
+
+    @classmethod
+    def cost(cls, trees: Trees, looked: Iterator[tuple]) -> np.ndarray:
+        """Bits of each stream, from runs of (starts, of, node, bit, what each order predicts)."""
         xs, counts = [], []
-        for data, starts in _runs(streams):
-            of, node, bit = _decisions(data, starts, self.trees)
-            seen = [np.take(self.tables[k], slot).astype(np.intp) for k, slot in enumerate(_slots(data, len(PAD), of, node, self.bits))]
+        for starts, of, node, bit, seen in looked:
             x = np.empty((1 + len(ORDERS), len(of)), np.float32)
             against = np.take(_AGAINST, bit)
             for k in range(len(ORDERS), 0, -1):
                 np.multiply(np.take(_ODDS, seen[k - 1]), against, out=x[k])
                 against *= np.take(_GATE, seen[k - 1])
-            np.multiply(np.take(self.trees.odds, node), against, out=x[0])
+            np.multiply(np.take(trees.odds, node), against, out=x[0])
             ends = np.searchsorted(of, starts)
             counts += np.diff(ends).tolist()
             xs += [x[:, i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -249,7 +381,7 @@ class Model:
         for at, n, one in zip(first.tolist(), counts, xs, strict=True):
             x[:, at : at + n] = one
             x[:, at + n : at + n + -n % SPAN] = 0
-        cost = np.add.reduceat(self._mix(x.reshape(len(x), -1, SPAN)).astype(np.float64), first // SPAN)
+        cost = np.add.reduceat(cls._mix(x.reshape(len(x), -1, SPAN)).astype(np.float64), first // SPAN)
         return cost / np.log(2) - (lanes * SPAN - counts)
 
     @staticmethod
@@ -276,19 +408,6 @@ class Model:
         return cost
 
 
-def train(docs: DataFrame, pairs_seen: np.ndarray) -> Model:
-    """The model of all training documents among (doc_id, text)."""
-    grown = max(16, int(pairs_seen.sum()).bit_length() - 4)
-    bits = tuple(min(b, grown) for b in MOST_BITS)
-    trees = Trees(pairs_seen)
-    tables = np.zeros((sum(1 << b for b in bits) // PIECE, PIECE), np.uint8)
-    for row in _train_tables(docs, trees, bits).toLocalIterator():  # a byte a slot, at most 10 MB in all
-        tables[row.piece] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
-    # slots that no training text reached say nothing
-    tables[tables == 0] = 32
-    return Model(trees, tables.reshape(-1), bits)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) per row of docs.
 
@@ -305,44 +424,44 @@ def score(docs: DataFrame) -> DataFrame:
     for r in counts.where("kind = 'b'").collect():  # 65,536 rows at most
         seen[int(r.word)] = r.n
     sc = spark.sparkContext
-    model = sc.broadcast(train(docs, seen))
+    trees = sc.broadcast(Trees(seen))
+    spans = scratch.materialize(_spans(docs), "spans")
+    predicted = _predictions(spans, trees, 1 + int(seen.sum()) // PIECE)
     frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
     top = sc.broadcast({r.word.encode(): r.n for r in frequent.collect()})  # FREQUENT rows at most
     rest = np.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: (c, np.log10(c + 1) - rest) for w, c in top.value.items()}
-        for batch in batches:
-            at, ids, texts = 0, batch.column(0).to_pylist(), batch.column(1)
-            while at < len(ids):
-                rows, streams, size, start = [], [], 0, at
-                while at < len(ids) and size < BATCH:
-                    found = tokens(texts[at].as_py())
-                    stream = b" ".join(found) + b"\n"
-                    each = Counter(found)
-                    each[b""] += 1
-                    sure, base, rare = 0, 0.0, {}
-                    for w, k in each.items():
-                        hit = known.get(w)
-                        if hit is None:
-                            rare[w.decode("utf-8", "replace")] = k
-                        else:
-                            sure += k
-                            base += k * hit[1]
-                    rows.append((held_out(ids[at]), len(found) + 1, sure, base, len(stream), list(rare), list(rare.values())))
-                    streams.append(stream)
-                    size += len(stream)
-                    at += 1
-                bits = model.value.bits_of(streams)
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, at - start), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(bits)],
-                    ["doc_id", "held_out", "n_tokens", "sure", "base", "n_bytes", "rare", "times", "bits"],
-                )
+        for span in _span_rows(batches, "span"):
+            docs_of = [r for r in span if r["seen"] is None]
+            rows, streams = [], []
+            for r in docs_of:
+                found = tokens(r["text"])
+                streams.append(b" ".join(found) + b"\n")
+                each = Counter(found)
+                each[b""] += 1
+                sure, base, rare = 0, 0.0, {}
+                for w, k in each.items():
+                    hit = known.get(w)
+                    if hit is None:
+                        rare[w.decode("utf-8", "replace")] = k
+                    else:
+                        sure += k
+                        base += k * hit[1]
+                rows.append((r["doc_id"], held_out(r["doc_id"]), len(found) + 1, sure, base, len(streams[-1]), list(rare), list(rare.values())))
+            bits = Model.of_span(trees.value, streams, np.frombuffer(b"".join(zlib.decompress(r["seen"]) for r in span if r["seen"] is not None), np.uint8))
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(bits)],
+                ["doc_id", "held_out", "n_tokens", "sure", "base", "n_bytes", "rare", "times", "bits"],
+            )
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, sure bigint, base double, n_bytes bigint, rare array<string>, times array<bigint>, bits double"
-    scored = scratch.materialize(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    both = spans.withColumn("seen", F.lit(None).cast("binary")).unionByName(predicted.withColumnRenamed("piece", "at"), allowMissingColumns=True)
+    held = both.repartition("span").sortWithinPartitions("span", F.col("seen").isNotNull(), "at")
+    scored = scratch.materialize(held.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("rare"), F.col("r.times").alias("k"))
     found = rare.join(words, F.col("rare") == F.col("word"), "left")
     found = found.groupBy("row").agg(

@@ -344,6 +344,38 @@ def test_scores_of_a_language_model(spark, docs, corpus, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_scores_rest_on_exact_context_counts(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(400))) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    streams = {i: t.encode() + b"\n" for i, t in rows}
+    trained = [s for i, s in streams.items() if not lm.held_out(i)]
+    before = np.frombuffer(b"\n" + b"".join(trained), np.uint8)
+    trees = lm.Trees(np.bincount(before[:-1].astype(int) << 8 | before[1:], minlength=65536))
+
+    def decisions(stream):
+        data = lm.PAD + stream
+        of, node, bit = trees.decisions(np.frombuffer(stream, np.uint8), np.frombuffer(data, np.uint8)[len(lm.PAD) - 1 : -1])
+        return [(n, b, [(k, data[p + len(lm.PAD) - k : p + len(lm.PAD)], n) for k in lm.ORDERS]) for p, n, b in zip(of.tolist(), node.tolist(), bit.tolist())]
+
+    counts = Counter((c, b) for s in trained for _, b, each in decisions(s) for c in each)
+    assert len({c for c, _ in counts}) > 1 << 16  # more than the slots that a corpus of this size had
+    for i in (next(i for i in streams if lm.held_out(i)), next(i for i in streams if not lm.held_out(i))):
+        cost = 0.0
+        for t, (node, bit, each) in enumerate(decisions(streams[i])):
+            w = [1.0, 1.0, 1.0] if t % lm.SPAN == 0 else w
+            codes = [int(lm.packed(np.array([counts[c, 0], counts[c, 1]]))[0]) for c in each]
+            sign, gate, x = (-1 if bit else 1), 1.0, [0.0, 0.0, 0.0]
+            for k in (2, 1):
+                x[k] = float(lm._ODDS[codes[k - 1]]) * sign * gate
+                gate *= float(lm._GATE[codes[k - 1]])
+            x[0] = float(trees.odds[node]) * sign * gate
+            e = math.exp(sum(a * b for a, b in zip(w, x)))
+            cost += math.log(1 + e)
+            w = [a + (lm.RATE / (1 + e) - lm.RATE) * b for a, b in zip(w, x)]
+        assert got[i] == pytest.approx(-cost / math.log(10), rel=1e-4)
+
+
 def test_model_probabilities_add_up_and_beat_no_model():
     rnd = random.Random(2)
     streams = [" ".join(rnd.choice(["the", "of", "and", "thing", "other"]) for _ in range(200)).encode() + b"\n" for _ in range(60)]
