@@ -23,6 +23,25 @@ def cluster_bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int
     return picked.join(held, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
+def cluster_bootstrap_summary(rows: DataFrame, cluster: str, value: str, draws: int = 2000, alpha: float = 0.05, least: int = 5, seed: int = 42) -> DataFrame:
+    """One row: estimate, n_clusters, n_observations, percentile bounds lo and hi, se, p_value (two-sided, of a mean of 0), n_draws, supported.
+
+    With fewer than `least` clusters only the estimate and the counts are given.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    whole = rows.groupBy(F.col(cluster).alias("c")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    whole = whole.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("estimate"), F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_observations"))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    b = F.col("mean")
+    over = cluster_bootstrap_mean(rows, cluster, value, draws, seed).agg(
+        F.percentile(b, F.lit(alpha / 2)).alias("lo"), F.percentile(b, F.lit(1 - alpha / 2)).alias("hi"), F.stddev_samp(b).alias("se"),
+        F.least(F.lit(1.0), F.greatest(2 * F.least(share(b <= 0), share(b >= 0)), F.lit(1 / draws))).alias("p_value"), F.count(b).alias("n_draws"),
+    )
+    enough = F.col("n_clusters") >= least
+    out = whole.crossJoin(F.broadcast(over))
+    return out.withColumns({c: F.when(enough, F.col(c)) for c in ("lo", "hi", "se", "p_value")} | {"n_draws": F.when(enough, F.col("n_draws")).otherwise(0), "supported": enough})
+
+
 def adjust_p(tests: DataFrame, p: str = "p", *keys: str) -> DataFrame:
     """tests with Holm's and Benjamini-Hochberg's adjusted p-values within keys."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))

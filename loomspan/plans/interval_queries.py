@@ -187,6 +187,19 @@ def cluster_bootstrap_mean(spark, sf_dir):
     return inf.cluster_bootstrap_mean(rows, "entity", "miss", 200).select("draw", r(F.col("mean")).alias("mean"))
 
 
+@query("cluster_bootstrap_summary", f"""WITH {PRED}, s AS (SELECT entity AS c, count(*) AS n, CAST(sum(CASE WHEN y < lo THEN 1 ELSE 0 END) AS BIGINT) AS s FROM pred WHERE test_year >= 2000 GROUP BY 1),
+  h AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i FROM s), k AS (SELECT count(*) AS k, sum(s) / sum(n) AS e, CAST(sum(n) AS BIGINT) AS n FROM s),
+  p AS (SELECT draw, ((((((42 + draw * 7919 + slot * 104729) % 2147483647) * 48271 + 11) % 2147483647) * 69621 + 7) % 2147483647) % k AS i FROM k CROSS JOIN (SELECT unnest(range(0, 2000)) AS draw) CROSS JOIN (SELECT i AS slot FROM h)),
+  b AS (SELECT sum(s) / sum(n) AS m FROM p JOIN h USING (i) GROUP BY draw),
+  o AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_samp(m) AS se, least(1.0, greatest(2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)), 1 / 2000)) AS pv, count(*) AS d FROM b)
+  SELECT round(e, 6) AS estimate, k AS n_clusters, n AS n_observations, CASE WHEN k >= 5 THEN round(lo, 6) END AS lo, CASE WHEN k >= 5 THEN round(hi, 6) END AS hi, CASE WHEN k >= 5 THEN round(se, 6) END AS se,
+    CASE WHEN k >= 5 THEN round(pv, 6) END AS p_value, CASE WHEN k >= 5 THEN d ELSE 0 END AS n_draws, k >= 5 AS supported FROM k CROSS JOIN o""")
+def cluster_bootstrap_summary(spark, sf_dir):
+    rows = predictions(spark, sf_dir).where("test_year >= 2000").select("entity", F.when(F.col("y") < F.col("lo"), 1).otherwise(0).alias("miss"))
+    out = inf.cluster_bootstrap_summary(rows, "entity", "miss")
+    return out.withColumns({c: r(F.col(c)) for c in ("estimate", "lo", "hi", "se", "p_value")})
+
+
 @query("cluster_robust_ols", f"""WITH {PRED}, l AS (SELECT regr_slope(y, size) AS b, regr_intercept(y, size) AS a, avg(size) AS mx, count(*) AS n, regr_sxx(y, size) AS sxx FROM pred),
   u AS (SELECT entity, sum((size - mx) * (y - a - b * size)) AS u FROM pred CROSS JOIN l GROUP BY 1), m AS (SELECT sum(u * u) AS meat, count(*) AS g FROM u)
   SELECT round(a, 4) AS intercept, round(b, 5) AS slope, round(sqrt(g / (g - 1) * (n - 1) / (n - 2) * meat) / sxx, 5) AS slope_se, g AS clusters FROM l CROSS JOIN m""")

@@ -129,6 +129,26 @@ def test_adjusted_p_values(spark):
     assert np.allclose(got.holm, [0.03, 0.06, 0.06, 0.02]) and np.allclose(got.bh, [0.02, 0.04, 0.04, 0.02])
 
 
+def test_cluster_bootstrap_summary_by_hand(spark):
+    rnd = random.Random(8)
+    rows = [(c, rnd.gauss(1.0 + c % 3, 0.5)) for c in range(12) for _ in range(rnd.randint(1, 9))]
+    df = spark.createDataFrame(rows, "c int, v double")
+    got = inf.cluster_bootstrap_summary(df, "c", "v").first()
+    by = [[v for k, v in rows if k == c] for c in range(12)]
+
+    def pick(d, slot):
+        a = (42 + d * 7919 + slot * 104729) % 2147483647
+        return by[(((a * 48271 + 11) % 2147483647) * 69621 + 7) % 2147483647 % 12]
+
+    means = [np.mean([v for slot in range(12) for v in pick(d, slot)]) for d in range(2000)]
+    assert np.allclose((got.estimate, got.lo, got.hi, got.se), (np.mean([v for _, v in rows]), *np.percentile(means, [2.5, 97.5]), np.std(means, ddof=1)))
+    assert got.p_value == 1 / 2000 and got.n_draws == 2000 and got.n_clusters == 12 and got.n_observations == len(rows) and got.supported
+    none = inf.cluster_bootstrap_summary(df.withColumn("v", F.lit(0.0)), "c", "v").first()
+    assert none.p_value == 1.0 and none.lo == none.hi == 0
+    few = inf.cluster_bootstrap_summary(df.where("c < 4"), "c", "v").first()
+    assert few.estimate == pytest.approx(np.mean([v for c, v in rows if c < 4])) and few.lo is None and few.hi is None and few.se is None and few.p_value is None and not few.supported
+
+
 def test_nearest_or_within(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "point int, x double, y double")
     sites = spark.createDataFrame([(10, 1.0, 0.0), (11, 2.0, 0.0), (12, 90.0, 50.0)], "site int, x double, y double")
