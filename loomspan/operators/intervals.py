@@ -106,6 +106,31 @@ def weighted_quantile(scores: DataFrame, score: str, weight: str, alpha: float =
     return run.crossJoin(F.broadcast(total)).where(F.col("_c") >= (1 - alpha) * F.col("_t") - 1e-9).agg(F.min("s").alias("q"))
 
 
+def conformal_shifted(cal: DataFrame, test: DataFrame, features: list[str], alpha: float = 0.1, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """test with lo and hi widened by the calibration scores' quantile under the test rows' distribution of features.
+
+    A logistic regression tells test rows from calibration rows; its odds, of probabilities held within [low, high],
+    weight the scores. As in scikit-learn, half the squared coefficients are added to the summed loss. Rows with a
+    null score are left out, as are rows with a null feature from the regression and the weights. Bounds that cross
+    meet in their middle.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))
+    own = cal.where(score.isNotNull()).select(*features, score.alias("_s"), F.lit(0.0).alias("_test"))
+    both = own.unionByName(test.select(*features, F.lit(None).cast("double").alias("_s"), F.lit(1.0).alias("_test"))).na.drop(subset=features)
+    held = VectorAssembler(inputCols=features, outputCol="_x").transform(both)
+    fit = LogisticRegression(featuresCol="_x", labelCol="_test", probabilityCol="_p", maxIter=500, tol=1e-9, regParam=1 / max(held.count(), 1), standardization=False).fit(held)
+    p = F.least(F.greatest(vector_to_array("_p")[1], F.lit(low)), F.lit(high))
+    weighted = fit.transform(held.where("_test = 0")).select("_s", (p / (1 - p)).alias("_w"))
+    q = weighted_quantile(weighted, "_s", "_w", alpha).select(F.col("q").alias("_q"))
+    out = test.crossJoin(F.broadcast(q)).withColumn("lo", F.col("lo") - F.col("_q")).withColumn("hi", F.col("hi") + F.col("_q")).drop("_q")
+    middle = (F.col("lo") + F.col("hi")) / 2
+    return out.withColumns({c: F.when(F.col("lo") > F.col("hi"), middle).otherwise(F.col(c)) for c in ("lo", "hi")})
+
+
 def adaptive_conformal(rows: DataFrame, series: str, step: str, alpha: float = 0.1, rate: float = 0.05, low: float = 0.01, high: float = 0.4) -> DataFrame:
     """Adaptive conformal inference, step by step for each series: (series, step, alpha_t, q, n, coverage).
 

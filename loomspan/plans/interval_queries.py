@@ -107,6 +107,12 @@ def conformal_weighted(spark, sf_dir):
     return iv.weighted_quantile(cal, "s", "w").select(r(F.col("q"), 4).alias("q"))
 
 
+@query("conformal_shifted")
+def conformal_shifted(spark, sf_dir):
+    cal, test = (p.withColumn("unit", F.col("pred") / F.col("size") / 1000) for p in _cal_test(spark, sf_dir))
+    return metric_columns(iv.conformal_shifted(cal, test, ["size", "unit"]).groupBy("method", "stratum").agg(*_metrics()), "method", "stratum")
+
+
 @query("aci_yearly")
 def aci_yearly(spark, sf_dir):
     p = predictions(spark, sf_dir).where("test_year >= 1998").select("method", "test_year", "y", "lo", "hi")

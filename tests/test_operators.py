@@ -75,6 +75,29 @@ def test_conformal_threshold_equals_numpy_and_covers(spark):
     assert by["b"] == pytest.approx(1 + 2 * pooled)
 
 
+def test_shifted_conformal_weighs_scores_by_the_odds_of_test_rows(spark):
+    rng = np.random.default_rng(9)
+    x, z = rng.normal(0, 1, (400, 2)), rng.normal((1.5, 0), 1, (300, 2))
+    y = rng.normal(0, 1, 400) * np.exp(x[:, 0])
+    schema = "a double, b double, y double, lo double, hi double"
+    cal = spark.createDataFrame([(*map(float, v), float(t), -0.5, 0.5) for v, t in zip(x, y)], schema)
+    test = spark.createDataFrame([(*map(float, v), 0.0, -0.5, 0.5) for v in z], schema)
+    both, label, w = np.c_[np.ones(700), np.r_[x, z]], np.r_[np.zeros(400), np.ones(300)], np.zeros(3)
+    for _ in range(30):  # Newton's method
+        p = 1 / (1 + np.exp(-both @ w))
+        w -= np.linalg.solve((both * (p * (1 - p))[:, None]).T @ both + np.diag([0, 1, 1]), both.T @ (p - label) + np.r_[0, w[1:]])
+    p = np.clip(1 / (1 + np.exp(-both[:400] @ w)), 0.01, 0.99)
+    s, odds = np.maximum(-0.5 - y, y - 0.5), p / (1 - p)
+    order = np.argsort(s)
+    q = s[order][np.searchsorted(np.cumsum(odds[order]) / odds.sum(), 0.9)]
+    got = iv.conformal_shifted(cal, test, ["a", "b"]).collect()
+    assert len(got) == 300 and all(r.lo == pytest.approx(-0.5 - q) and r.hi == pytest.approx(0.5 + q) for r in got)
+    plain = iv.conformal_static(cal, test).first()
+    assert got[0].hi > 1.2 * plain.hi
+    crossed = iv.conformal_shifted(cal.withColumn("y", F.lit(0.0)), test.withColumn("lo", F.lit(-0.1)).withColumn("hi", F.lit(0.3)), ["a", "b"]).first()
+    assert crossed.lo == crossed.hi == pytest.approx(0.1)
+
+
 def test_adaptive_conformal_moves_alpha(spark):
     rng = np.random.default_rng(2)
     rows = [("s", t, float(rng.normal(0, 1 + t)), -1.0, 1.0) for t in range(5) for _ in range(200)]
