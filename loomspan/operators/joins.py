@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan import scratch
+
 
 def audited_left_join(left: DataFrame, right: DataFrame, keys: list[str], step: str) -> tuple[DataFrame, DataFrame]:
     """A left join of tables that are unique in keys, and its audit row.
@@ -57,27 +59,29 @@ def within_or_nearest(points: DataFrame, sites: DataFrame, reach: float, step: f
     """Sites within `reach` of each point, or the nearest site if there is none: (point, site, distance, rank).
 
     points and sites hold (point, x, y) and (site, x, y). Both are put in cells of `step` >= reach and meet over the
-    point's nine cells, not all with all. Points with no site there meet the sites in rings of cells that grow
-    until each has one.
+    point's nine cells, not all with all. Points with no site there meet those in nine cells of twice
+    the size, and so on until each has one. Points without finite coordinates, and all points if there are no sites,
+    keep a null site.
     """
-    cell = lambda c: F.floor(F.col(c) / step)
-    held = sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    open_, found, ring = points, None, 1
+    good = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")) & (F.greatest(F.abs("x"), F.abs("y")) < float("inf"))
+    held = sites.where(good).select("site", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    open_, found, none = points, None, held.isEmpty()
     far = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
     while True:
-        offsets = F.sequence(F.lit(-ring), F.lit(ring))
+        cell = lambda c: F.floor(F.col(c) / step)  # noqa: E731, B023
+        offsets = F.sequence(F.lit(-1), F.lit(1))
         spread = open_.withColumn("_dx", F.explode(offsets)).withColumn("_dy", F.explode(offsets))
         spread = spread.withColumn("cx", cell("x") + F.col("_dx")).withColumn("cy", cell("y") + F.col("_dy"))
-        met = spread.join(held, ["cx", "cy"]).select("point", "site", far.alias("distance"))
+        met = spread.join(held.withColumn("cx", cell("sx")).withColumn("cy", cell("sy")), ["cx", "cy"]).select("point", "site", far.alias("distance"))
         best = Window.partitionBy("point").orderBy("distance", "site")
         met = met.withColumn("rank", F.row_number().over(best))
         # a site is surely the nearest if no unseen cell can be nearer
-        met = met.where((F.col("distance") <= reach) | (F.col("rank") == 1) & (F.col("distance") <= ring * step))
+        met = scratch.materialize(met.where((F.col("distance") <= reach) | (F.col("rank") == 1) & (F.col("distance") <= step)), "nearest")
         found = met if found is None else found.union(met)
-        open_ = open_.join(met.select("point").distinct(), "point", "left_anti")
-        if ring > 64 or open_.isEmpty():
-            return found
-        ring *= 4
+        open_ = scratch.materialize(open_.join(met.select("point").distinct(), "point", "left_anti"), "open-points")
+        if none or open_.where(good).isEmpty():
+            return found.unionByName(open_.select("point"), allowMissingColumns=True)
+        step *= 2
 
 
 def crosswalk(df: DataFrame, walk: DataFrame, keys: list[str], target: str) -> DataFrame:

@@ -177,3 +177,11 @@ def test_nearest_or_within(spark):
     sites = spark.createDataFrame([(10, 1.0, 0.0), (11, 2.0, 0.0), (12, 90.0, 50.0)], "site int, x double, y double")
     got = {(r.point, r.site) for r in joins.within_or_nearest(pts, sites, 5.0, 5.0).collect()}
     assert got == {(1, 10), (1, 11), (2, 12)}
+
+
+def test_nearest_reaches_every_site_and_keeps_points_without_one(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 700.0, 1.0), (3, None, 1.0), (4, -1300.0, 0.0)], "point int, x double, y double")
+    sites = spark.createDataFrame([(10, 1.0, 0.0), (11, -300.0, 0.0)], "site int, x double, y double")
+    got = {(r.point, r.site, r.distance) for r in joins.within_or_nearest(pts, sites, 1.0, 1.0).collect()}
+    assert got == {(1, 10, 1.0), (2, 10, math.hypot(699, 1)), (3, None, None), (4, 11, 1000.0)}
+    assert {(r.point, r.site) for r in joins.within_or_nearest(pts, sites.limit(0), 1.0, 1.0).collect()} == {(i, None) for i in (1, 2, 3, 4)}
