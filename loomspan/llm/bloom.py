@@ -62,7 +62,7 @@ def merged(parts: DataFrame, bits: int = BITS):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["chunk", "bits"])
 
     bitmap = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    for row in parts.repartition("chunk").mapInArrow(fold, PIECES).toLocalIterator():  # BITS / 8 bytes in all
+    for row in parts.repartition("chunk").mapInArrow(fold, PIECES).collect():  # bits / 8 bytes in all, whatever the data
         bitmap[row.chunk] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return parts.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 

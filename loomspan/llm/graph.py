@@ -1,25 +1,83 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: forests within partitions, then alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomspan import scratch
 
+#: Edges that one task joins by itself (16 bytes each); of more, every such run becomes a forest before the stars.
+RUN = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges (a, b), but for the smallest of its component, and that smallest node."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    hung = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[hung], nodes[root[hung]]
+
+
+def _forests(edges: DataFrame, run: int) -> DataFrame:
+    """Edges (u, v) with the same components: those of every run of rows of a partition become its forest."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+        def out() -> pa.RecordBatch:
+            u, v = forest(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in (0, 1)])
+            n += batch.num_rows
+            if n >= run:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return edges.mapInArrow(work, "u bigint, v bigint")
+
+
+def components(edges: DataFrame, run: int = RUN) -> DataFrame:
     """(node, component) for edges (a, b) of bigints: component is the smallest node that can be reached.
 
-    Every round hangs neighbours on the smallest one they know of; the number of rounds grows with the logarithm of the
-    longest path. Each round is written to the shared folder. Nodes without an edge to another node don't appear. With
-    `rounds` it stops there: nodes of one component are still connected, but a component may be in several parts.
+    Every partition first turns its edges into a forest, which has at most one edge a node. If the forests hold `run`
+    edges at most, one task joins them. Otherwise rounds of stars hang neighbours on the smallest node they know of;
+    the number of rounds grows with the logarithm of the longest path. Each round is written to the shared folder. Both
+    ways give the same rows. Nodes without an edge to another node don't appear.
     """
-    spark = edges.sparkSession
-    now, mark = _write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    done = 0
-    while mark[0] and (rounds is None or done < rounds):
-        done += 1
+    now, mark = _write(_forests(edges.where("a <> b").select("a", "b"), run))
+    now = _forests(now.coalesce(1), run + 1) if mark[0] <= run else _stars(now)
+    now = scratch.materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
+    return now.union(now.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    """Edges (u, v) from each node to the smallest one of its component."""
+    spark = now.sparkSession
+    first = now
+    now, mark = _write(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    scratch.remove(spark, first)
+    while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join below can split a node of very many neighbours
         least = scratch.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-roots")
@@ -32,12 +90,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if new == mark:
             break
         mark = new
-    leaves = now.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component"))
-    return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(leaves.select("node"), "node", "left_anti"))
+    return now.groupBy("u").agg(F.min("v").alias("v"))
 
 
 def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a written table, and a mark that changes with them, taken on the way."""
     seen = Observation()
-    table = scratch.materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("s")), "stars")
+    table = scratch.materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("s")), "edges")
     return table, (seen.get["n"], seen.get["s"])

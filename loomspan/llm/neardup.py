@@ -6,8 +6,9 @@ beside them, and the population count of the XOR of two sketches says how simila
 Pairs that may reach the threshold are confirmed on the full sets.
 
 A bucket of m nodes never becomes m * m pairs. First each member is paired with the bucket's first document. Members that
-are then connected need no further pairs. In buckets that still hold several components, sketches are compared across
-components, in tiles of bounded size, and nodes that may be similar are put in one cluster. The full sets of a cluster
+are then connected need no further pairs. In buckets that still hold several components, the members outside the first
+document's component meet all others in tiles of bounded size, where sketches are compared across components, and nodes
+that may be similar are put in one cluster. The full sets of a cluster
 are then compared across components, again in tiles, and only true links leave the tasks.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,8 +161,10 @@ def _grouped(rows: DataFrame, keys: list[str], work, schema: str, names: list[st
             cut = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             at = 0
             for end in [*cut.tolist(), t.num_rows] if last else cut.tolist():
-                if end - at > 1:
-                    found = work(t.slice(at, end - at))
+                group = t.slice(at, end - at)
+                alone = group["i"][0] != group["j"][0] and pc.count_distinct(group["tile"]).as_py() == 1
+                if end - at > 1 and not alone:
+                    found = work(group)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
                 at = end
             rest = t.slice(at).to_batches()
@@ -175,17 +179,29 @@ def _grouped(rows: DataFrame, keys: list[str], work, schema: str, names: list[st
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
 
 
-def _tiled(members: DataFrame, key: str, load: Column, most: int) -> DataFrame:
-    """Members of each key in tiles of about `most` load, once for every two tiles (i, j) of the key that theirs is one of."""
-    tiles = members.groupBy(key).agg(F.ceil(F.sum(load) / most).cast("int").alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high"))
-    tiles = scratch.materialize(tiles.where("low < high").select(F.col(key).alias("_key"), "tiles"), "tiles")
-    held = members.join(tiles, F.col(key) == F.col("_key")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("_key", "tiles", "other")
+def _tiled(members: DataFrame, key: str, load: Column, most: int, details: DataFrame) -> DataFrame:
+    """Members (key, node, doc_id, component) of keys that hold several components, in tiles (i, j) of about twice `most` load.
 
-
-def _may_fit(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes of a bucket (key, node, component, n, sketch) with likely pairs across components.
+    Members that share the component of the key's first document need not meet each other, and they are most of a large
+    group of copies. So the other members' tiles come first, and every tile meets those alone: a member is there once for
+    each tile that it meets. The details of a node join the members that are left.
+    """
+    first = members.groupBy(key).agg(F.min(F.struct("doc_id", "component")).getField("component").alias("major"), F.min("component").alias("low"), F.max("component").alias("high"))
+    first = scratch.materialize(first.where("low < high").select(F.col(key).alias("_key"), "major"), "tile-keys")
+    held = members.join(first, F.col(key) == F.col("_key")).withColumn("minor", F.col("component") != F.col("major"))
+    held = scratch.materialize(held.drop("_key", "major", "doc_id"), "tile-members")
+    count = lambda minor: F.ceil(F.sum(F.when(F.col("minor") == minor, load).otherwise(0)) / most).cast("int")
+    tiles = scratch.materialize(held.groupBy(key).agg(count(True).alias("minors"), count(False).alias("majors")).withColumnRenamed(key, "_key"), "tiles")
+    met = held.join(details, "node").join(tiles, F.col(key) == F.col("_key"))
+    spread = F.xxhash64("node")
+    met = met.withColumn("tile", F.when(F.col("minor"), F.pmod(spread, "minors")).otherwise(F.col("minors") + F.pmod(spread, "majors")).cast("int"))
+    last = F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("_key", "minor", "minors", "majors", "other")
+
+
+def _may_fit(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of a bucket (key, node, doc_id, component) with likely pairs across components.
 
     They form trees, at most one edge a node and task, and say which nodes have to be compared with each other.
     """
@@ -212,12 +228,12 @@ def _may_fit(members: DataFrame, percent: int) -> DataFrame:
         hung = np.flatnonzero(root != np.arange(len(node)))
         return node[hung], node[root[hung]]
 
-    met = _tiled(members, "key", F.lit(1), TILE).select("key", "i", "j", "tile", "node", "component", "n", "sketch")
+    met = _tiled(members, "key", F.lit(1), TILE, light.select("node", "n", "sketch")).select("key", "i", "j", "tile", "node", "component", "n", "sketch")
     return _grouped(met, ["key", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
 
 
-def _exact_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components among nodes (cluster, node, component, n, shingles) of one cluster, by their full sets.
+def _exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components among nodes (cluster, node, doc_id, component, n) of one cluster, by their full sets.
 
     A task counts the common shingles of all pairs of two tiles by products of 0/1 matrices. One link is given for two
     components that have several in a task.
@@ -248,7 +264,7 @@ def _exact_links(members: DataFrame, percent: int) -> DataFrame:
         _, one = np.unique(two, axis=1, return_index=True)
         return node[a[one]], node[b[one]]
 
-    met = _tiled(members, "cluster", F.col("n"), 200_000).select("cluster", "i", "j", "tile", "node", "component", "n", "shingles")
+    met = _tiled(members, "cluster", F.col("n"), 200_000, sets).select("cluster", "i", "j", "tile", "node", "component", "n", "shingles")
     return _grouped(met, ["cluster", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
 
 
@@ -284,43 +300,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("tk", F.xxhash64("text"))
     found = scratch.materialize(signatures(docs, k, lower), "signatures")
     own = found.where(F.col("doc_id").isNotNull() & F.col("set1").isNotNull())
-    first = own.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "tk")).alias("f"))
-    first = scratch.materialize(first.select(F.col("set1").alias("_1"), F.col("set2").alias("_2"), F.xxhash64("set1", "set2").alias("node"), F.col("f.doc_id").alias("_d"), F.col("f.tk").alias("_t")), "sets")
-    nodes = own.join(first, (F.col("doc_id") == F.col("_d")) & (F.col("tk") == F.col("_t")) & (F.col("set1") == F.col("_1")) & (F.col("set2") == F.col("_2"))).select("node", "doc_id", "tk", "n", "bands", "sketch").dropDuplicates(["node"])
-    nodes = scratch.materialize(nodes, "nodes")
+    # equal sets are one node, held by their first document
+    first = own.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "tk", "n", "bands", "sketch")).alias("f"))
+    nodes = scratch.materialize(first.select(F.xxhash64("set1", "set2").alias("node"), "f.*"), "nodes")
 
     # buckets of several nodes, with the node of their first document: of copies it is most likely what they were made from
     keys = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min(F.struct("doc_id", "node")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = scratch.materialize(shared.select(F.col("key").alias("_key"), F.col("lead.node").alias("lead")), "buckets")
-    members = scratch.materialize(keys.join(shared, F.col("key") == F.col("_key")).select("key", "node", "lead"), "members")
+    members = scratch.materialize(keys.join(shared, F.col("key") == F.col("_key")).select("key", "node", "doc_id", "lead"), "members")
 
     light = nodes.select("node", "n", "sketch")
     stars = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     tried = scratch.materialize(_likely_pairs(stars, light, percent), "likely-stars")
     links = scratch.materialize(_confirm(tried, nodes, docs, k, lower, percent), "star-links")
-    # parts of components will do here: they only spare comparisons
-    joined = scratch.materialize(components(links, rounds=2), "star-components")
+    joined = components(links)
 
     # pairs across components in buckets that hold several
-    placed = members.select("key", "node").join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = scratch.materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("_key"))
-    mixed = scratch.materialize(mixed, "mixed-buckets")
-    open_ones = placed.join(mixed, F.col("key") == F.col("_key")).join(light, "node").select("key", "node", "component", "n", "sketch")
-    near = scratch.materialize(_may_fit(open_ones, percent), "may-fit")
+    component = lambda rows: rows.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node")).drop("_n")
+    near = scratch.materialize(_may_fit(component(members.drop("lead")), light, percent), "may-fit")
     clusters = components(near).select("node", F.col("component").alias("cluster"))
-    wanted = clusters.join(nodes.select("node", "doc_id", "tk", "n"), "node").join(placed.select("node", "component").distinct(), "node")
-    wanted = scratch.materialize(wanted, "clusters")
-    with_sets = wanted.join(_with_sets(wanted.select("node", "doc_id", "tk"), docs, k, lower), "node")
-    across = scratch.materialize(_exact_links(with_sets.select("cluster", "node", "component", "n", "shingles"), percent), "across-links")
-
-    # documents hang on their set's first document, linked sets on each other's
-    of_node = nodes.select("node", "doc_id")
-    ends = lambda x: of_node.select(F.col("node").alias(x), F.col("doc_id").alias(f"d_{x}"))
+    wanted = scratch.materialize(component(clusters.join(nodes.select("node", "doc_id", "tk", "n"), "node")), "clusters")
+    sets = _with_sets(wanted.select("node", "doc_id", "tk"), docs, k, lower)
+    across = scratch.materialize(_exact_links(wanted.drop("tk"), sets, percent), "across-links")
+
+    # documents hang on their set's node, linked sets on each other
+    ends = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"d_{x}"))
     set_links = links.union(across).join(ends("a"), "a").join(ends("b"), "b").select(F.col("d_a").alias("a"), F.col("d_b").alias("b"))
-    hung = own.join(first, (F.col("set1") == F.col("_1")) & (F.col("set2") == F.col("_2"))).where("doc_id <> _d").select(F.col("doc_id").alias("a"), F.col("_d").alias("b"))
-    whole = scratch.materialize(components(set_links.union(hung)), "components")
+    hung = own.select("doc_id", F.xxhash64("set1", "set2").alias("a")).join(ends("a"), "a").where("doc_id <> d_a").select(F.col("doc_id").alias("a"), F.col("d_a").alias("b"))
+    whole = components(set_links.union(hung))
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("node", "_n"), F.col("doc_id") == F.col("_n"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
