@@ -32,44 +32,58 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
-def _repeated(hashes: Column) -> Column:
-    """Words covered by three-word windows found at least twice, from the array of word hashes.
+def _triples(hashes: Column) -> Column:
+    """Hash of each run of three words, from the array of word hashes."""
+    n = F.size(hashes)
+    pairs = F.zip_with(F.slice(hashes, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(hashes, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(F.slice(pairs, F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice(hashes, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
-    Windows are sorted by hash next to their place; those equal to a neighbour are repeats, and each adds the words
-    that the repeat before it has not covered.
+
+def _bound(x: Column, then) -> Column:
+    """then(x), with x worked out once although a lambda inside may use it for every element."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _pairs_of(s: Column, step) -> Column:
+    n = F.greatest(F.size(s) - 1, F.lit(0))
+    return F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), step)
+
+
+def _repeated(triples: Column) -> Column:
+    """Words covered by three-word windows found at least twice, from the array of window hashes.
+
+    Sorted hashes tell which are found twice. If those are few, the windows are looked up among them; otherwise windows
+    are sorted next to their place. Either way each repeated window adds the words that the one before has not covered.
     """
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - 2),
-        lambda i: F.struct(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1), F.element_at(hashes, i + 2)).alias("h"), i.alias("i")),
-    )
-    return F.transform(F.array(F.array_sort(windows)), _covered_by)[0]
+    twice = F.array_distinct(F.filter(_pairs_of(F.sort_array(triples), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
 
+    def by_look(found: Column) -> Column:
+        return _covered(F.filter(F.transform(triples, lambda h, i: F.when(F.array_contains(found, h), i + 1)), lambda x: x.isNotNull()))
 
-def _covered_by(s: Column) -> Column:
-    n = F.size(s)
+    placed = F.transform(triples, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))
+    by_sort = _bound(F.array_sort(placed), _covered_by)
+    return _bound(twice, lambda found: F.when(F.size(found) <= 32, by_look(found)).otherwise(by_sort))
 
-    def twin(x: Column, i: Column) -> Column:
-        before = (i > 0) & (F.element_at(s, F.greatest(i, F.lit(1))).h == x.h)
-        return before | ((i < n - 1) & (F.element_at(s, F.least(i + 2, n)).h == x.h))
 
-    places = F.sort_array(F.transform(F.filter(s, twin), lambda x: x.i))
+def _covered(places: Column) -> Column:
+    """Words that windows of three words at these places, in order, cover."""
     start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(x.alias("last"), (a.n + F.least(F.lit(3), x - a["last"])).alias("n"))
     return F.aggregate(places, start, step, lambda a: a.n)
 
 
-def _doubles(hashes: Column) -> Column:
-    """Whether any three-word window is found twice: a cheap test on plain sorted longs before the full count."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - 2),
-        lambda i: F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1), F.element_at(hashes, i + 2)),
-    )
-    return F.size(F.array_distinct(windows)) < F.size(windows)
+def _covered_by(s: Column) -> Column:
+    n = F.size(s)
+
+    def twin(x: Column, i: Column) -> Column:
+        before = (i > 0) & (F.element_at(s, F.greatest(i, F.lit(1))).h == x.h)
+        return before | ((i < n - 1) & (F.element_at(s, F.least(i + 2, n)).h == x.h))
+
+    return _covered(F.sort_array(F.transform(F.filter(s, twin), lambda x: x.i)))
 
 
-def lines(text: Column) -> Column:
-    """Lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.replace(spaced(x), F.lit(" "), F.lit(""))) > 0)
+def _with_words(lines: Column) -> Column:
+    return F.filter(lines, lambda x: F.length(F.replace(spaced(x), F.lit(" "), F.lit(""))) > 0)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -78,17 +92,22 @@ def counts(docs: DataFrame) -> DataFrame:
     A null text has no words: all counts are 0 and base_failed is true.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    flat = docs.withColumn("_words", words(text)).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    held = flat.withColumn("_lines", lines(text))
+    spread = docs.withColumn("_spaced", spaced(text))
+    flat = spread.withColumn("_words", F.array_remove(F.split("_spaced", " "), "")).withColumn("_triples", _triples(F.transform("_words", lambda w: F.xxhash64(w))))
+    # most texts have no line twice, blank ones apart; only the others' lines are looked at one by one
+    several = flat.withColumn("_lines", F.array_remove(F.split(text, "\n"), ""))
+    held = several.withColumn("_lines", F.when(F.size("_lines") > F.size(F.array_distinct("_lines")), _with_words(F.col("_lines"))).otherwise(F.array().cast("array<string>")))
+    symbols = F.length(F.regexp_replace("_spaced", f"[^{SYMBOLS}]+", ""))
+    doubled = F.size(F.array_distinct("_triples")) < F.size("_triples")
     # an indeterminate column keeps filters above this projection, so that no count is worked out in a filter again
     counted = held.select(
         *docs.columns,
         F.monotonically_increasing_id().alias("_at"),
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
+        symbols.cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size("_hashes") < 4, 0).otherwise(F.when(_doubles(F.col("_hashes")), _repeated(F.col("_hashes"))).otherwise(0)).cast("bigint").alias("n_repeat_words"),
+        F.when(F.size("_words") < 4, 0).otherwise(F.when(doubled, _repeated(F.col("_triples"))).otherwise(0)).cast("bigint").alias("n_repeat_words"),
     )
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -99,19 +118,23 @@ def norm(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, _row, document, line, n) per line with a word: row_key, hash of the document's words in turn, line hash, words."""
+    """(host, _row, at, document, line, n) per line with a word: row_key, place, hash of the document, line hash, words.
+
+    Documents with the same characters but for case and blanks are one document.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(F.col(host).alias("host"), row_key(host).alias("_row"), norm(text).alias("document"), lines(text).alias("lines"))
-    held = held.where(F.size("lines") > 0).select("host", "_row", "document", F.explode("lines").alias("line"))
-    return scratch.materialize(held.select("host", "_row", "document", norm(F.col("line")).alias("line"), F.size(words(F.col("line"))).alias("n")), "lines")
+    document = F.xxhash64(F.lower(F.replace(spaced(text), F.lit(" "), F.lit(""))))
+    held = docs.select(F.col(host).alias("host"), row_key(host).alias("_row"), document.alias("document"), F.split(text, "\n").alias("lines"))
+    held = held.select("host", "_row", "document", F.posexplode("lines").alias("at", "line")).where(F.length("line") > 0).select("host", "_row", "at", "document", norm(F.col("line")).alias("line"), F.size(words(F.col("line"))).alias("n"))
+    return scratch.materialize(held, "lines").where("n > 0")
 
 
 def frequent_lines(held: DataFrame, min_docs: int = 10, share: float = 0.02) -> DataFrame:
     """(f_host, f_line) of a line table: lines of more than max(min_docs, share of the host's documents) distinct documents.
 
-    Documents with the same words in turn count once, so that copies of a document don't make its own lines frequent.
-    Documents that differ in any word are distinct, so pages of one template count each, however short their own lines
-    are. Null hosts form a host of their own.
+    Documents with the same characters but for case and blanks count once, so that copies of a document don't make its
+    own lines frequent. Documents that differ otherwise are distinct, so pages of one template count each, however short
+    their own lines are. Null hosts form a host of their own.
     """
     sizes = held.groupBy("host").agg(F.countDistinct("document").alias("host_docs"))
     found = held.groupBy("host", "line").agg(F.countDistinct("document").alias("line_docs")).where(F.col("line_docs") > min_docs)
@@ -119,11 +142,11 @@ def frequent_lines(held: DataFrame, min_docs: int = 10, share: float = 0.02) ->
     return scratch.materialize(found.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), "frequent-lines")
 
 
-def depleted(held: DataFrame, frequent: DataFrame, keep_words: float = 0.2) -> DataFrame:
-    """Keys (_row) of documents with fewer than keep_words of their words outside frequent lines."""
-    marked = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left")
-    lost = marked.groupBy("_row").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("f_line").isNotNull(), F.col("n")).otherwise(0)).alias("lost"))
-    return lost.where(F.col("n") - F.col("lost") < keep_words * F.col("n")).select("_row")
+def _losses(held: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(_key, _lost, _hot) per document that holds frequent lines: the words in them, and their hashes. _key is row_key."""
+    hot = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
+    hot = hot.dropDuplicates(["_row", "at"])  # rows alike share a key and have the same lines
+    return hot.groupBy(F.col("_row").alias("_key")).agg(F.sum("n").alias("_lost"), F.collect_set("line").alias("_hot"))
 
 
 def row_key(host: str = "source") -> Column:
@@ -131,52 +154,40 @@ def row_key(host: str = "source") -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce(F.col(host), F.lit("")))
 
 
+def _judge(docs: DataFrame, host: str, min_docs: int, share: float, keep_words: float) -> DataFrame:
+    """docs with their counts, base_failed, kept and _hot: the hashes of their frequent lines, null if they have none."""
+    held = line_table(docs.select("doc_id", "text", host), host)
+    losses = _losses(held, frequent_lines(held, min_docs, share))
+    judged = counts(docs.withColumn("_row", row_key(host))).join(losses, F.col("_row") == F.col("_key"), "left")
+    depleted = F.coalesce(F.col("n_words") - F.col("_lost") < keep_words * F.col("n_words"), F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_row", "_key", "_lost")
+
+
 def judge(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2) -> DataFrame:
     """Each row of docs with its counts, base_failed and kept.
 
-    kept is false if base_failed, and otherwise if the document is depleted. Repeated rows get equal verdicts; an empty
-    table gives no rows; columns besides doc_id, text and the host pass through unless they bear the name of an output or a working column.
+    kept is false if base_failed, and otherwise if the document is depleted: fewer than keep_words of its words lie
+    outside frequent lines. Repeated rows get equal verdicts; an empty table gives no rows; columns besides doc_id, text
+    and the host pass through unless they bear the name of an output or a working column.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row", "_gone", "_at", "_words", "_hashes", "_lines"}
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_row", "_key", "_lost", "_hot", "_at", "_words", "_spaced", "_triples", "_lines"}
     docs = docs.select(*[c for c in docs.columns if c not in made])
-    held = line_table(docs.select("doc_id", "text", host), host)
-    return _judge(docs, host, held, frequent_lines(held, min_docs, share), keep_words).drop("_at")
-
-
-def _judge(docs: DataFrame, host: str, held: DataFrame, frequent: DataFrame, keep_words: float) -> DataFrame:
-    gone = depleted(held, frequent, keep_words).withColumn("_gone", F.lit(True))
-    judged = counts(docs.withColumn("_row", row_key(host)))
-    judged = judged.join(gone, "_row", "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_row", "_gone")
+    return _judge(docs, host, min_docs, share, keep_words).drop("_at", "_hot")
 
 
-def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2, small: int = 10_000) -> DataFrame:
-    """The rows of docs that judge() keeps, without their frequent lines; texts without such lines stay as they are.
-
-    Up to `small` frequent lines are sent to the tasks, grouped by host; more are joined to the documents that hold them.
-    """
+def clean(docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.02, keep_words: float = 0.2) -> DataFrame:
+    """The rows of docs that judge() keeps, without their frequent lines; texts without such lines stay as they are."""
     needed = ("doc_id", "text", host, "n_chars")
     docs, names = hide(docs, *needed)
-    columns = docs.columns
-    held = line_table(docs.select("doc_id", "text", host), host)
-    frequent = frequent_lines(held, min_docs, share)
-    kept = _judge(docs, host, held, frequent, keep_words).where(F.col("kept") & (F.col("_at") >= 0)).select(*columns)
-    if frequent.limit(small + 1).count() <= small:
-        hot = F.broadcast(frequent.groupBy(F.col("f_host").alias("_host")).agg(F.collect_list("f_line").alias("_hot")))
-        marked = kept.join(hot, F.col(host).eqNullSafe(F.col("_host")), "left")
-    else:
-        of_row = held.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-        of_row = of_row.groupBy(F.col("_row").alias("_host")).agg(F.collect_set("line").alias("_hot"))
-        marked = kept.join(of_row, row_key(host) == F.col("_host"), "left")
+    kept = _judge(docs, host, min_docs, share, keep_words).where(F.col("kept") & (F.col("_at") >= 0))
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_hot", norm(x)))
-    text = F.when(F.col("_hot").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    out = marked.withColumn("text", text)
-    if "n_chars" in columns:
+    out = kept.withColumn("text", F.when(F.col("_hot").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return show(out, names, *needed)
 
 
-#: The result in DuckDB SQL, for the default limits, but that documents with the same longest line count once.
+#: The result in DuckDB SQL, for the default limits.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r,
@@ -191,7 +202,7 @@ ln AS (
   SELECT r, source, line FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
-fp AS (SELECT r, max(row(length(line), line)) AS document FROM ln GROUP BY r),
+fp AS (SELECT r, lower(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS document FROM d),
 nl AS (
   SELECT ln.r, ln.source, fp.document,
          lower(array_to_string(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''), ' ')) AS line,
