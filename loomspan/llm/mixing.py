@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan import scratch
+from loomspan.llm import bloom
 from loomspan.llm.columns import hide, show
 from loomspan.llm.quality import words
 
@@ -166,10 +167,13 @@ def apply(docs: DataFrame, **options) -> DataFrame:
         on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
         return docs.withColumn("_n", size).join(some, on)
 
-    single = taken(plan.where((F.size("_plan") == 1) & (F.col("_plan")[0] > 0))).withColumn("_copies", F.col("_plan")[0])
-    order = Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))
-    several = taken(plan.where(F.size("_plan") > 1)).withColumn("_k", F.row_number().over(order))
-    several = several.withColumn("_copies", F.element_at("_plan", F.col("_k"))).where("_copies > 0").drop("_k")
-    both = single.unionByName(several)
+    both = taken(plan.where((F.size("_plan") == 1) & (F.col("_plan")[0] > 0))).withColumn("_copies", F.col("_plan")[0])
+    repeated = plan.where(F.size("_plan") > 1)
+    if not repeated.isEmpty():  # only their rows meet in a window
+        key = bloom.of_column(repeated.select(F.xxhash64("_id", "_source", "_size")))
+        docs = bloom.keep(docs.withColumn("_h", F.xxhash64("doc_id", "source", size)), "_h", key).drop("_h")
+        order = Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))
+        several = taken(repeated).withColumn("_k", F.row_number().over(order))
+        both = both.unionByName(several.withColumn("_copies", F.element_at("_plan", F.col("_k"))).where("_copies > 0").drop("_k"))
     both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return show(both, names, "doc_id", "text", "source")
