@@ -107,3 +107,10 @@ def de_accumulate(value: str, key: str, order: str) -> Column:
     """Steps of a cumulative series, never below 0; the first step is the first value."""
     w = Window.partitionBy(key).orderBy(order)
     return F.greatest(F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0.0)), F.lit(0.0))
+
+
+def hourly_to_daily(hourly: DataFrame, cell: str, hour: str, value: str, least: int = 24) -> DataFrame:
+    """(cell, day, mean, low, high, total) of days with at least `least` hours; NaN counts as missing, days without a value are null."""
+    v = F.when(~F.isnan(value), F.col(value))
+    out = hourly.groupBy(cell, F.to_date(hour).alias("day")).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("total"))
+    return out.where(F.col("_n") >= least).drop("_n")

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from loomspan.plans import interval_queries, model_queries, panel_queries, table_queries  # noqa: F401
+from loomspan.plans import audit_queries, interval_queries, model_queries, panel_queries, split_queries, table_queries  # noqa: F401
