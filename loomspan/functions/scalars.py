@@ -109,3 +109,125 @@ def probit(p: Column) -> Column:
     middle = horner(a, q * q) * q / horner(b, q * q, 1.0)
     low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
     return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(middle)
+
+
+def one_hot(column: str, values: list[str]) -> list[Column]:
+    """A 0/1 column for each value, named <column>_<value>; null is 0 in all of them."""
+    return [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values]
+
+
+def padded_code(column: Column, width: int) -> Column:
+    """A numeric code as digits with leading zeros; null for null."""
+    return F.lpad(column.cast("string"), width, "0")
+
+
+def event_hours(begin: Column, end: Column, pattern: str = "dd-MMM-yyyy HH:mm") -> Column:
+    """Hours between two texts of the pattern, 0 at least; null where either cannot be read."""
+    seconds = lambda c: F.unix_timestamp(F.try_to_timestamp(c, F.lit(pattern)))
+    return F.greatest((seconds(end) - seconds(begin)) / 3600.0, F.lit(0.0))
+
+
+def miles_an_hour(value: Column, unit: Column) -> Column:
+    """Wind speed in mph: values whose unit speaks of knots are converted."""
+    return F.when(F.upper(unit).contains("KT"), value * 1.15078).otherwise(value)
+
+
+def tonnes_per_hectare(bushels: Column) -> Column:
+    """Maize yield in t/ha from bushels an acre."""
+    return bushels * 0.0627
+
+
+def interactions(pairs: list[tuple[str, str]], places: int = 4) -> list[Column]:
+    """Products of column pairs, rounded half to even."""
+    return [F.bround(F.col(a) * F.col(b), places).alias(f"{a}_x_{b}") for a, b in pairs]
+
+
+def weighted_stages(values: dict[str, float]) -> Column:
+    """Sum of stage columns times their weights; null stages add nothing."""
+    out = F.lit(0.0)
+    for column, weight in values.items():
+        out = out + F.coalesce(F.col(column), F.lit(0.0)) * weight
+    return out
+
+
+def killing_degree_days(t: Column, base: float = 30.0) -> Column:
+    """Degrees above the base, 0 below it."""
+    return F.greatest(t - base, F.lit(0.0))
+
+
+def drought_severity(index: Column) -> Column:
+    """How far an index lies below -1, else 0; null for null."""
+    return F.when(index < -1, -index).when(index.isNotNull(), 0.0)
+
+
+def wind_at_two_metres(u: Column, v: Column) -> Column:
+    """Wind speed at 2 m from the two components at 10 m."""
+    return 0.748 * F.hypot(u, v)
+
+
+def vapour_pressure(q: Column, pressure: Column) -> Column:
+    """Vapour pressure (kPa) from specific humidity and pressure (Pa)."""
+    return q * pressure / (0.622 + 0.378 * q) / 1000
+
+
+def radiation_mj(watts: Column) -> Column:
+    """MJ a square metre and day from mean W a square metre."""
+    return watts * 0.0864
+
+
+def implausible(bounds: dict[str, tuple[float, float]]) -> Column:
+    """Array of the names of columns outside their bounds; nulls are not outside."""
+    marks = [F.when((F.col(c) < low) | (F.col(c) > high), F.lit(c)) for c, (low, high) in bounds.items()]
+    return F.filter(F.array(*marks), lambda x: x.isNotNull())
+
+
+def day_of_year_date(year: Column, doy: Column) -> Column:
+    """The date of a day of the year."""
+    return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), (doy - 1).cast("int"))
+
+
+def quality_flag_ok(flags: Column, good: tuple[str, ...]) -> Column:
+    """Whether the second of comma-parted flags is among the good ones; null flags are not."""
+    parts = F.split(flags, ",")
+    return F.coalesce((F.size(parts) > 1) & F.try_element_at(parts, F.lit(2)).isin(*good), F.lit(False))
+
+
+def compound(index: Column, t: Column, dry: float = -1.0, hot: float = 35.0) -> list[Column]:
+    """Whether it is dry and hot, and |index| * (t - hot) where it is (else 0); null where either input is."""
+    both = (index < dry) & (t > hot)
+    return [both.alias("compound"), F.when(both, F.abs(index) * (t - hot)).when(both.isNotNull(), 0.0).alias("severity")]
+
+
+def highest_of(columns: list[str]) -> Column:
+    """The name of the column with the greatest value; ties go to the one named first; null if all are."""
+    best = F.array_max(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.lit(-i).alias("i"), F.lit(c).alias("c"))) for i, c in enumerate(columns)]))
+    return best.getField("c")
+
+
+def row_sum(columns: list[str]) -> Column:
+    """Sum of the columns that have a value; null if none has."""
+    any_of = F.coalesce(*[F.col(c).cast("double") for c in columns])
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return F.when(any_of.isNotNull(), total)
+
+
+def pinball(y: Column, pred: Column, tau: float) -> Column:
+    """Quantile loss at level tau."""
+    e = y - pred
+    return F.greatest(tau * e, (tau - 1) * e)
+
+
+def huber(y: Column, pred: Column, delta: float = 1.0) -> Column:
+    """Quadratic within delta, linear beyond."""
+    e = F.abs(y - pred)
+    return F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
+
+
+def variable_metadata(name: Column) -> Column:
+    """(kind, unit, window) of a variable by rules on its name."""
+    kind = F.when(name.rlike("^(tmax|tmin|tmean|gdd|kdd)"), "temperature").when(name.rlike("^(ppt|rain|spi|spei)"), "moisture").when(name.rlike("price|cost"), "money").when(name.rlike("key$"), "key").otherwise("other")
+    unit = F.when(name.rlike("^t(max|min|mean)"), "degC").when(name.rlike("^(ppt|rain)"), "mm").when(name.rlike("price|cost"), "usd").otherwise("")
+    window = F.regexp_extract(name, "_(ann|gs|veg|silk|grain)$", 1)
+    return F.struct(kind.alias("kind"), unit.alias("unit"), window.alias("window"))

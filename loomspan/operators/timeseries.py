@@ -114,3 +114,18 @@ def hourly_to_daily(hourly: DataFrame, cell: str, hour: str, value: str, least:
     v = F.when(~F.isnan(value), F.col(value))
     out = hourly.groupBy(cell, F.to_date(hour).alias("day")).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("total"))
     return out.where(F.col("_n") >= least).drop("_n")
+
+
+def fill_gaps(dense: DataFrame, neighbours: DataFrame, slot: Column) -> DataFrame:
+    """(entity, day, filled, how): null values become the mean of neighbours on that day weighted by 1 / distance squared.
+
+    Where no neighbour has a value the entity's own mean of the slot serves. neighbours holds (entity, neighbour, distance).
+    """
+    holes = dense.where(F.col("value").isNull()).select("entity", "day").join(neighbours, "entity")
+    there = dense.where(F.col("value").isNotNull()).select(F.col("entity").alias("neighbour"), "day", F.col("value").alias("_v"))
+    weight = 1 / F.pow(F.col("distance"), F.lit(2))
+    near = holes.join(there, ["neighbour", "day"]).groupBy("entity", "day").agg((F.sum(F.col("_v") * weight) / F.sum(weight)).alias("_idw"))
+    means = dense.groupBy("entity", slot.alias("_slot")).agg(F.avg("value").alias("_mean"))
+    held = dense.withColumn("_slot", slot).join(near, ["entity", "day"], "left").join(means, ["entity", "_slot"], "left")
+    how = F.when(F.col("value").isNotNull(), "own").when(F.col("_idw").isNotNull(), "neighbours").when(F.col("_mean").isNotNull(), "climatology").otherwise("none")
+    return held.select("entity", "day", F.coalesce("value", "_idw", "_mean").alias("filled"), how.alias("how"))
