@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan import scratch
+from loomspan.functions import special
+from loomspan.operators.ordering import running_sums
+
 
 def draw(seed: Column, draw: Column, slot: Column, n: Column) -> Column:
     """A pseudo-random number from 0 to n - 1 by integer arithmetic that any SQL engine repeats."""
@@ -13,14 +17,97 @@ def draw(seed: Column, draw: Column, slot: Column, n: Column) -> Column:
     return ((b * 69621 + 7) % 2147483647) % n
 
 
+def resample_clusters(rows: DataFrame, cluster: str, sums: dict[str, Column], draws: int, seed: int = 42) -> DataFrame:
+    """(draw, the sums) of resampled clusters. Clusters are reduced to their sums first, so a draw costs one row a cluster.
+
+    Clusters are numbered over range partitions, and draws are dealt to tasks.
+    """
+    spark = rows.sparkSession
+    per = rows.groupBy(F.col(cluster).alias("c")).agg(*[v.alias(k) for k, v in sums.items()], F.lit(1).alias("_one"))
+    held = running_sums(per, "c", "_one").withColumn("i", F.col("up_to__one") - 1).drop("c", "_one", "up_to__one")
+    k = held.agg(F.count(F.lit(1)).alias("k"))
+    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(k)).where("k > 0").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    picked = slots.withColumn("i", draw(F.lit(seed), F.col("draw"), F.col("slot"), F.col("k")))
+    return picked.join(held, "i").groupBy(F.col("draw").cast("int").alias("draw")).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def cluster_bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int, seed: int = 42) -> DataFrame:
-    """(draw, mean): means of resampled clusters. Clusters are reduced to count and sum first, so a draw costs one row a cluster."""
-    sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    k = sums.agg(F.count(F.lit(1)).alias("k"))
-    held = sums.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("c")) - 1)
-    slots = k.select("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    picked = slots.withColumn("i", draw(F.lit(seed), F.col("draw").cast("bigint"), F.col("slot"), F.col("k")).cast("int"))
-    return picked.join(held, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    """(draw, mean): means of resampled clusters."""
+    sums = resample_clusters(rows, cluster, {"n": F.count(value), "s": F.sum(value)}, draws, seed)
+    return sums.select("draw", (F.col("s") / F.col("n")).alias("mean"))
+
+
+def bootstrap_table(rows: DataFrame, cluster: str, sums: dict[str, Column], stats: dict[str, Column], draws: int = 2000, alpha: float = 0.05, least: int = 5, valid: float = 0.8, seed: int = 42) -> DataFrame:
+    """(stat, estimate, lo, hi, se, p_value, n_draws, supported) of any statistics of cluster sums.
+
+    stats are columns over the sums. p_value is two-sided for a statistic of 0. Bounds, error and p-value are null with
+    fewer than `least` clusters, or where fewer than `valid` of the draws give a number.
+    """
+    per = rows.groupBy(F.col(cluster).alias("_c")).agg(*[v.alias(k) for k, v in sums.items()])
+    whole = per.agg(F.count(F.lit(1)).alias("_k"), *[F.sum(k).alias(k) for k in sums])
+    whole = whole.select("_k", *[v.cast("double").alias(k) for k, v in stats.items()]).unpivot(["_k"], list(stats), "stat", "estimate")
+    each = resample_clusters(rows, cluster, sums, draws, seed).select(*[v.cast("double").alias(k) for k, v in stats.items()]).unpivot([], list(stats), "stat", "b")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    b = F.col("b")
+    over = each.where(b.isNotNull()).groupBy("stat").agg(
+        F.percentile(b, F.lit(alpha / 2)).alias("lo"), F.percentile(b, F.lit(1 - alpha / 2)).alias("hi"), F.stddev_samp(b).alias("se"),
+        F.least(F.lit(1.0), F.greatest(2 * F.least(share(b <= 0), share(b >= 0)), F.lit(1 / draws))).alias("p_value"), F.count(b).alias("n_draws"),
+    )
+    good = (F.col("_k") >= least) & (F.col("n_draws") >= valid * draws)
+    out = whole.join(F.broadcast(over), "stat", "left").withColumn("supported", F.coalesce(good, F.lit(False)))
+    return out.withColumns({c: F.when(F.col("supported"), F.col(c)) for c in ("lo", "hi", "se", "p_value")}).drop("_k")
+
+
+def paired_test(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
+    """One row from block means of a - b: n, mean_difference, t, p_value, cohen_dz, wins, losses, sign_p."""
+    per = pairs.groupBy(block).agg(F.avg(F.col(a) - F.col(b)).alias("d"))
+    one = per.agg(F.count("d").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("_s"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"))
+    one = one.withColumn("t", F.col("mean_difference") / F.nullif(F.col("_s"), F.lit(0.0)) * F.sqrt("n"))
+    out = one.withColumn("p_value", special.student_two_sided(F.col("t"), F.col("n") - 1.0)).withColumn("cohen_dz", F.col("mean_difference") / F.nullif(F.col("_s"), F.lit(0.0)))
+    return out.withColumn("sign_p", special.binomial_two_sided(F.col("wins"), F.col("wins") + F.col("losses"))).drop("_s")
+
+
+def signed_rank(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
+    """One row: Wilcoxon's signed-rank statistic of block means of a - b (zeros left out, ties averaged), with its normal p-value."""
+    per = pairs.groupBy(block).agg(F.avg(F.col(a) - F.col(b)).alias("d")).where("d <> 0")
+    # equal sizes share a mean rank: sizes are counted first and ranked by running counts
+    sizes = running_sums(per.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up")), "size", "c")
+    rank = F.col("up_to_c") - (F.col("c") - 1) / 2
+    one = sizes.agg(F.sum("c").alias("n"), F.sum(rank * F.col("up")).alias("plus"), F.sum(rank * (F.col("c") - F.col("up"))).alias("minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("_ties"))
+    n = F.col("n")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
+    w = F.least("plus", "minus")
+    return one.select("n", w.alias("w"), special.normal_two_sided((w - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("p_value"))
+
+
+def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: Kruskal and Wallis' H of the groups (corrected for ties), degrees and p-value."""
+    cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"), F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    values = running_sums(cells.groupBy("v").agg(F.sum("c").alias("c")), "v", "c")
+    rank = F.col("up_to_c") - (F.col("c") - 1) / 2
+    ranks = values.select(F.col("v").alias("_v"), rank.alias("rank"))
+    per = cells.join(ranks, F.col("v") == F.col("_v")).groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("s"))
+    total = per.agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.count(F.lit(1)).alias("k"))
+    ties = values.agg(F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
+    n = F.col("n").cast("double")
+    h = (12 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    one = total.crossJoin(F.broadcast(ties)).select(h.alias("h"), (F.col("k") - 1).alias("df"))
+    return one.withColumn("p_value", special.chi2_sf(F.col("h"), F.col("df")))
+
+
+#: Critical values of the studentised range over sqrt(2) at 0.05 for 2 to 10 methods (fixed values).
+NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
+
+
+def nemenyi(ranked: DataFrame, method: str) -> DataFrame:
+    """(left, right, difference, cd, significant) for pairs of methods of friedman(); methods are few."""
+    k = ranked.agg(F.count(F.lit(1)).alias("_k"))
+    held = ranked.crossJoin(F.broadcast(k))
+    q = F.element_at(F.array(*map(F.lit, NEMENYI)), (F.col("_k") - 1).cast("int"))
+    a = held.select(F.col(method).alias("left"), F.col("mean_rank").alias("_a"), (q * F.sqrt(F.col("_k") * (F.col("_k") + 1) / (6 * F.col("blocks")))).alias("cd"))
+    b = ranked.select(F.col(method).alias("right"), F.col("mean_rank").alias("_b"))
+    pairs = a.join(b, F.col("left") < F.col("right")).withColumn("difference", F.abs(F.col("_a") - F.col("_b")))
+    return pairs.select("left", "right", "difference", "cd", (F.col("difference") > F.col("cd")).alias("significant"))
 
 
 def cluster_bootstrap_summary(rows: DataFrame, cluster: str, value: str, draws: int = 2000, alpha: float = 0.05, least: int = 5, seed: int = 42) -> DataFrame:
@@ -92,14 +179,22 @@ def stability_index(before: DataFrame, after: DataFrame, column: str, bins: int
 
 
 def distribution_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """One row: Kolmogorov-Smirnov and Wasserstein-1 distances of two samples, from one pass over their distinct values."""
+    """One row: Kolmogorov-Smirnov distance with its asymptotic p_value, and Wasserstein-1 distance, of two samples.
+
+    Distinct values are counted, put in ranges, and summed up range by range; gaps between ranges are added at the end.
+    """
     both = a.select(F.col(column).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(column, F.lit(0), F.lit(1))).where(F.col("v").isNotNull())
     values = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.partitionBy(F.lit(1)).orderBy("v")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    held = values.crossJoin(F.broadcast(total)).withColumn("d", F.abs(F.sum("a").over(run) / F.col("na") - F.sum("b").over(run) / F.col("nb"))).withColumn("gap", F.lead("v").over(w) - F.col("v"))
-    return held.agg(F.max("d").alias("ks"), F.sum(F.col("d") * F.coalesce("gap", F.lit(0.0))).alias("wasserstein"))
+    held = running_sums(values, "v", "a", "b").crossJoin(F.broadcast(total)).withColumn("d", F.abs(F.col("up_to_a") / F.col("na") - F.col("up_to_b") / F.col("nb")))
+    spread = held.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    spread = scratch.materialize(spread, "ecdf-ranges")
+    w = Window.partitionBy("_p").orderBy("v")
+    inner = spread.withColumn("gap", F.lead("v").over(w) - F.col("v")).agg(F.max("d").alias("ks"), F.sum(F.col("d") * F.coalesce("gap", F.lit(0.0))).alias("_w"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    ends = spread.groupBy("_p").agg(F.min("v").alias("_low"), F.max("v").alias("_high"), F.max_by("d", "v").alias("_d"))
+    across = ends.withColumn("_gap", F.lead("_low").over(Window.orderBy("_p")) - F.col("_high")).agg(F.sum(F.col("_d") * F.coalesce("_gap", F.lit(0.0))).alias("_x"))
+    one = inner.crossJoin(across).select("ks", (F.col("_w") + F.col("_x")).alias("wasserstein"), "na", "nb")
+    return one.select("ks", "wasserstein", special.kolmogorov_sf(F.col("ks"), F.col("na"), F.col("nb")).alias("p_value"))
 
 
 def friedman(scores: DataFrame, block: str, method: str, score: str, average_rank) -> DataFrame:

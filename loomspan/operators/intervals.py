@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.ordering import quantiles, running_sums
+
 
 def interval_metrics(alpha: float = 0.1) -> list[Column]:
     """Coverage, width, Winkler score and the cost of misses below (unsafe) and above; `ace` is signed, `abs_ace` is not."""
@@ -54,8 +56,13 @@ def level(alpha: float, n: Column) -> Column:
 
 
 def quantile_at(scores: DataFrame, keys: list[str], score: str, q) -> DataFrame:
-    """(keys, n, q): the linearly interpolated quantile of each group's scores at level q(n), which may differ by group."""
-    w = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(1))
+    """(keys, n, q): the linearly interpolated quantile of each group's scores at level q(n), which may differ by group.
+
+    Without keys the scores are ranked over range partitions, so that no task sorts all of them.
+    """
+    if not keys:
+        return quantiles(scores, score, {"q": q(F.col("n"))})
+    w = Window.partitionBy(*[F.col(k) for k in keys])
     held = scores.where(F.col(score).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(score)) - 1)
     h = (F.col("_n") - 1) * q(F.col("_n"))
     low = F.floor(h)
@@ -98,12 +105,12 @@ def conformal_asymmetric(cal: DataFrame, test: DataFrame, alpha: float = 0.1) ->
 def weighted_quantile(scores: DataFrame, score: str, weight: str, alpha: float = 0.1, *ties: str) -> DataFrame:
     """(q): the first score at which the running share of weight reaches 1 - alpha.
 
-    Scores are summed by value first; the running share is over distinct values.
+    Scores are summed by value first; the running share is over distinct values, added up over range partitions.
     """
     by_value = scores.groupBy(F.col(score).alias("s")).agg(F.sum(weight).alias("w"))
     total = by_value.agg(F.sum("w").alias("_t"))
-    run = by_value.withColumn("_c", F.sum("w").over(Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.crossJoin(F.broadcast(total)).where(F.col("_c") >= (1 - alpha) * F.col("_t") - 1e-9).agg(F.min("s").alias("q"))
+    run = running_sums(by_value, "s", "w")
+    return run.crossJoin(F.broadcast(total)).where(F.col("up_to_w") >= (1 - alpha) * F.col("_t") - 1e-9).agg(F.min("s").alias("q"))
 
 
 def conformal_shifted(cal: DataFrame, test: DataFrame, features: list[str], alpha: float = 0.1, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -198,3 +205,48 @@ def fit_only_imputation(panel: DataFrame, group: str, columns: list[str], fit: C
     overall = panel.where(fit).agg(*[F.median(c).alias(f"_o_{c}") for c in columns])
     held = panel.join(medians, F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(overall))
     return held.withColumns({c: F.coalesce(c, f"_m_{c}", f"_o_{c}") for c in columns}).drop("_g", *[f"_m_{c}" for c in columns], *[f"_o_{c}" for c in columns])
+
+
+def conformal_stratified(cal: DataFrame, test: DataFrame, group: str, alpha: float = 0.1) -> DataFrame:
+    """As conformal_by_group(), but groups that calibration has not seen keep their bounds."""
+    score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")).alias("s")
+    own = quantile_at(cal.select(F.col(group).alias("_g"), score), ["_g"], "s", lambda n: level(alpha, n)).select("_g", F.col("q").alias("_q"))
+    held = test.join(own, F.col(group) == F.col("_g"), "left").withColumn("_q", F.coalesce("_q", F.lit(0.0)))
+    return held.withColumn("lo", F.col("lo") - F.col("_q")).withColumn("hi", F.col("hi") + F.col("_q")).drop("_g", "_q")
+
+
+def repair_bounds(rows: DataFrame) -> DataFrame:
+    """rows with lo and hi that cross set to their middle."""
+    middle, crossed = (F.col("lo") + F.col("hi")) / 2, F.col("lo") > F.col("hi")
+    return rows.withColumns({c: F.when(crossed, middle).otherwise(F.col(c)) for c in ("lo", "hi")})
+
+
+def calibration_checks(rows: DataFrame, method: str, keys: list[str]) -> DataFrame:
+    """(method, rows, negative_widths, nulls, differs, ok): widths that are not negative, and intervals unlike the first method's."""
+    first = rows.agg(F.min(method).alias("_m"))
+    base = rows.join(F.broadcast(first), F.col(method) == F.col("_m")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    held = rows.join(base, on, "left")
+    out = held.groupBy(method).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("hi") < F.col("lo")).alias("negative_widths"), F.count_if(F.col("lo").isNull() | F.col("hi").isNull()).alias("nulls"),
+        F.count_if((F.col("lo") != F.col("_lo")) | (F.col("hi") != F.col("_hi"))).alias("differs"),
+    )
+    return out.withColumn("ok", (F.col("negative_widths") == 0) & (F.col("nulls") == 0))
+
+
+def coverage_interval(covered: Column, n: Column, z: float = 1.959963984540054) -> list[Column]:
+    """Wald interval of a coverage share, held within [0, 1]."""
+    half = z * F.sqrt(covered * (1 - covered) / n)
+    return [F.greatest(covered - half, F.lit(0.0)).alias("wald_lo"), F.least(covered + half, F.lit(1.0)).alias("wald_hi")]
+
+
+def conditional_coverage(rows: DataFrame, axes: list[str], method: str, least: int = 20) -> DataFrame:
+    """(method, axis, stratum, n, coverage, rank, worst) on every axis; strata under `least` rows are left out of ranks.
+
+    All axes are unpivoted and grouped in one pass. rank 1 is the method with the lowest coverage in the stratum.
+    """
+    covered = ((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int")
+    long = rows.select(method, covered.alias("_c"), *[F.col(a).cast("string").alias(a) for a in axes]).unpivot([method, "_c"], axes, "axis", "stratum")
+    cells = long.groupBy(method, "axis", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("_c").alias("coverage")).where(F.col("n") >= least)
+    within, own = Window.partitionBy("axis", "stratum").orderBy("coverage"), Window.partitionBy(method, "axis").orderBy("coverage", "stratum")
+    return cells.withColumn("rank", F.rank().over(within)).withColumn("worst", F.row_number().over(own) == 1)
