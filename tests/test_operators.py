@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions import scalars
+from loomspan.functions import scalars, special
 from loomspan.operators import aggregates, indices, joins
 from loomspan.operators import inference as inf
 from loomspan.operators import intervals as iv
@@ -125,8 +125,12 @@ def test_audit_counts_repeats_and_refuses_clashes(spark):
 
 def test_incomplete_gamma_and_normal_scores(spark):
     x = np.array([0.1, 0.5, 1.0, 2.0, 5.0, 20.0])
-    assert np.allclose(indices.lower_gamma(np.ones(6), x), 1 - np.exp(-x), atol=1e-9)
-    assert np.allclose(indices.lower_gamma(np.full(6, 2.0), x), 1 - np.exp(-x) * (1 + x), atol=1e-9)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(1)
+    got = df.select("x", special.lower_gamma(F.lit(1.0), F.col("x")).alias("a"), special.lower_gamma(F.lit(2.0), F.col("x")).alias("b"), special.log_gamma(F.col("x")).alias("g")).toPandas()
+    assert np.allclose(got.a, 1 - np.exp(-got.x), atol=1e-9) and np.allclose(got.b, 1 - np.exp(-got.x) * (1 + got.x), atol=1e-9)
+    assert np.allclose(got.g, [math.lgamma(v) for v in got.x], atol=1e-9)
+    tails = df.select(special.student_two_sided(F.lit(2.228138852), F.lit(10.0)).alias("t"), special.normal_two_sided(F.lit(1.959963985)).alias("z"), special.binomial_two_sided(F.lit(2), F.lit(10)).alias("b"), special.chi2_sf(F.lit(5.991464547), F.lit(2.0)).alias("c")).first()
+    assert np.allclose(tails, [0.05, 0.05, 0.109375, 0.05], atol=1e-8)
     got = spark.createDataFrame([(0.5,), (0.975,), (0.001,)], "p double").select(scalars.probit(F.col("p")).alias("z")).toPandas().z
     assert np.allclose(got, [0.0, 1.959963985, -3.090232306], atol=1e-7)
 
