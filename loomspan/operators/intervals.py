@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.ordering import quantiles, running_sums
+from loomspan import scratch
+from loomspan.operators.ordering import quantiles, quantiles_by, running_sums
 
 
 def interval_metrics(alpha: float = 0.1) -> list[Column]:
@@ -58,16 +59,11 @@ def level(alpha: float, n: Column) -> Column:
 def quantile_at(scores: DataFrame, keys: list[str], score: str, q) -> DataFrame:
     """(keys, n, q): the linearly interpolated quantile of each group's scores at level q(n), which may differ by group.
 
-    Without keys the scores are ranked over range partitions, so that no task sorts all of them.
+    The scores are ranked over range partitions, so that no task sorts all of them.
     """
     if not keys:
         return quantiles(scores, score, {"q": q(F.col("n"))})
-    w = Window.partitionBy(*[F.col(k) for k in keys])
-    held = scores.where(F.col(score).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(score)) - 1)
-    h = (F.col("_n") - 1) * q(F.col("_n"))
-    low = F.floor(h)
-    part = F.when(F.col("_r") == low, F.col(score) * (1 - (h - low))).when(F.col("_r") == low + 1, F.col(score) * (h - low))
-    return held.groupBy(*keys).agg(F.first("_n").alias("n"), F.sum(part).alias("q"))
+    return quantiles_by(scores, keys, score, q)
 
 
 def conformal_static(cal: DataFrame, test: DataFrame, alpha: float = 0.1, score: Column | None = None) -> DataFrame:
@@ -142,28 +138,50 @@ def adaptive_conformal(rows: DataFrame, series: str, step: str, alpha: float = 0
     """Adaptive conformal inference, step by step for each series: (series, step, alpha_t, q, n, coverage).
 
     A step's intervals are widened by the quantile of all earlier scores at the current alpha; then alpha moves by
-    rate * (alpha - miss rate) and stays within [low, high]. The first step has no earlier scores: q is 0.
+    rate * (alpha - miss rate) and stays within [low, high]. The first step has no earlier scores: q is 0. Steps are few
+    (years): they are a loop, each taking quantiles by ranges; only a row a series comes back. Series are few as well.
     """
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        now, pool, out = alpha, [], []
-        for at, part in group.sort_values([step]).groupby(step, sort=True):
-            score = pd.concat([part["lo"] - part["y"], part["y"] - part["hi"]], axis=1).max(axis=1)
-            q = 0.0
-            if pool:
-                every = pd.concat(pool)
-                n = len(every)
-                q = float(every.quantile(min(math.ceil((1 - now) * (n + 1)) / n, 1.0)))
-            miss = float((score > q).mean())
-            out.append((part[series].iloc[0], at, now, q, len(part), 1 - miss))
-            now = min(max(now + rate * (alpha - miss), low), high)
-            pool.append(score)
-        return pd.DataFrame(out, columns=[series, step, "alpha_t", "q", "n", "coverage"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"`{series}` {kinds[series]}, `{step}` {kinds[step]}, alpha_t double, q double, n bigint, coverage double"
-    return rows.groupBy(series).applyInPandas(run, schema)
+    scores = rows.select(series, step, F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")).alias("s"))
+    return _adaptive(scores.withColumn("w", F.lit(1.0)).withColumn("severity", F.lit(0.0)), series, step, alpha, lambda t: rate, low, high, lambda severity: None)
+
+
+def severity_adaptive_conformal(rows: DataFrame, series: str, step: str, severity: str, alpha: float = 0.1, rate: float = 0.05, widen: float = 0.05, low: float = 0.01, high: float = 0.4) -> DataFrame:
+    """Severity-aware adaptive conformal inference: (series, step, alpha_t, q, n, coverage, window).
+
+    Scores are taken relative to 1 + widen * ln(1 + severity), and a row's interval widens by as much. A step looks back
+    2 steps if its mean severity is 5 or more, 3 from 1 on, else 5. The rate falls with the root of the step's number.
+    """
+    weight = 1 + F.lit(widen) * F.ln(1 + F.greatest(F.col(severity), F.lit(0.0)))
+    scores = rows.select(series, step, (F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")) / weight).alias("s"), F.col(severity).cast("double").alias("severity"))
+    return _adaptive(scores, series, step, alpha, lambda t: rate / math.sqrt(t), low, high, lambda x: 2 if x >= 5 else 3 if x >= 1 else 5)
+
+
+def _adaptive(scores: DataFrame, series: str, step: str, alpha: float, rate, low: float, high: float, window) -> DataFrame:
+    spark = scores.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
+    scores = scratch.materialize(scores, "adaptive-scores")
+    steps = scores.groupBy(series, step).agg(F.avg("severity").alias("x")).collect()  # a row a series and step
+    order: dict = {}
+    for r in sorted(steps, key=lambda r: r[step]):
+        order.setdefault(r[series], []).append((r[step], r["x"]))
+    alphas, out = {k: alpha for k in order}, []
+    for t in range(max(map(len, order.values()), default=0)):
+        now = {k: v[t] for k, v in order.items() if t < len(v)}
+        rows = []
+        for k, (at, x) in now.items():
+            back = window(x)
+            first = order[k][max(0, t - back)][0] if back else order[k][0][0]
+            rows.append((k, at, first, alphas[k]))
+        state = spark.createDataFrame(rows, f"`{series}` {kinds[series]}, _now {kinds[step]}, _first {kinds[step]}, _alpha double")
+        pool = scores.join(F.broadcast(state.select(series, "_now", "_first")), series).where((F.col(step) < F.col("_now")) & (F.col(step) >= F.col("_first"))).select(series, "s")
+        q = quantiles_by(pool, [series], "s", lambda n: F.least(F.ceil((1 - F.col("_alpha")) * (n + 1)) / n, F.lit(1.0)), state.select(series, "_alpha")).select(series, "q")
+        q = state.join(q, series, "left").select(F.col(series).alias("_k"), "_now", F.coalesce("q", F.lit(0.0)).alias("q"))
+        met = scores.join(F.broadcast(q), (F.col(series) == F.col("_k")) & (F.col(step) == F.col("_now")))
+        for r in met.groupBy(series).agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg((F.col("s") <= F.col("q")).cast("int")).alias("c")).collect():  # a row a series
+            k = r[series]
+            out.append((k, now[k][0], alphas[k], r.q, r.n, r.c, window(now[k][1])))
+            alphas[k] = min(max(alphas[k] + rate(t + 1) * (alpha - (1 - r.c)), low), high)
+    return spark.createDataFrame(out, f"`{series}` {kinds[series]}, `{step}` {kinds[step]}, alpha_t double, q double, n bigint, coverage double, window int")
 
 
 def temporal_split(year: Column, fit_to: int, dev_to: int, cal_to: int) -> Column:

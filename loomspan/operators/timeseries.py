@@ -21,8 +21,11 @@ def densify(series: DataFrame, entities: DataFrame, first: str, last: str) -> Da
 def strict_rolling_sum(dense: DataFrame, width: int, value: str = "value", out: str = "rolled") -> DataFrame:
     """Sum of the last `width` rows of a dense series, null unless all are there and none is null.
 
-    It is the difference of two running sums, so its cost does not grow with the width.
+    It is the difference of two running sums, so its cost does not grow with the width. NaN and infinite values count as
+    missing.
     """
+    x = F.col(value).cast("double")
+    value = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.col(value))
     w = Window.partitionBy("entity").orderBy("day")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     held = dense.withColumn("_s", F.coalesce(F.sum(value).over(running), F.lit(0.0))).withColumn("_n", F.count(value).over(running))

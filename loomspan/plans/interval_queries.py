@@ -113,10 +113,46 @@ def conformal_shifted(spark, sf_dir):
     return metric_columns(iv.conformal_shifted(cal, test, ["size", "unit"]).groupBy("method", "stratum").agg(*_metrics()), "method", "stratum")
 
 
-@query("aci_yearly")
+def _aci_sql(score: str, rates: list[float], windows: bool) -> str:
+    """Adaptive intervals with a block of CTEs for each of five steps, by method; without a step the block is empty."""
+    out = [f"sc AS (SELECT method, test_year, {score} AS s, x FROM (SELECT *, CASE WHEN line = 7 THEN size * 2.0 ELSE size / 20.0 END AS x FROM pred WHERE test_year BETWEEN 1997 AND 2001))"]
+    out.append("st AS (SELECT method, test_year, avg(x) AS x, row_number() OVER (PARTITION BY method ORDER BY test_year) AS t FROM sc GROUP BY 1, 2), a1 AS (SELECT DISTINCT method, CAST(0.1 AS DOUBLE) AS a FROM sc)")
+    back = "CASE WHEN st.x >= 5 THEN 2 WHEN st.x >= 1 THEN 3 ELSE 5 END" if windows else "99"
+    for t in range(1, 6):
+        out.append(f"""p{t} AS (SELECT st.method, st.test_year, sc.s, a, row_number() OVER (PARTITION BY st.method ORDER BY sc.s) - 1 AS rk, count(sc.s) OVER (PARTITION BY st.method) AS n FROM st JOIN a{t} USING (method)
+          LEFT JOIN st old ON old.method = st.method AND old.t < st.t AND old.t >= st.t - {back} LEFT JOIN sc ON sc.method = old.method AND sc.test_year = old.test_year WHERE st.t = {t}),
+        h{t} AS (SELECT *, (n - 1) * least(ceil((1 - a) * (n + 1)) / nullif(n, 0), 1.0) AS h FROM p{t}),
+        q{t} AS (SELECT method, test_year, max(a) AS alpha_t, coalesce(sum(CASE WHEN rk = floor(h) THEN s * (1 - (h - floor(h))) WHEN rk = floor(h) + 1 THEN s * (h - floor(h)) END), 0.0) AS q FROM h{t} GROUP BY 1, 2),
+        o{t} AS (SELECT q{t}.method, q{t}.test_year, alpha_t, q, count(*) AS n, avg(CASE WHEN s <= q THEN 1.0 ELSE 0.0 END) AS coverage FROM q{t} JOIN sc ON sc.method = q{t}.method AND sc.test_year = q{t}.test_year GROUP BY 1, 2, 3, 4),
+        a{t + 1} AS (SELECT method, CASE WHEN coverage IS NULL THEN a ELSE least(greatest(a + {rates[t - 1]!r} * (0.1 - (1 - coverage)), 0.01), 0.4) END AS a FROM a{t} LEFT JOIN o{t} USING (method))""")
+    return ", ".join(out)
+
+
+_ACI_ROWS = " UNION ALL ".join(f"SELECT method, test_year, round(alpha_t, 6) AS alpha_t, round(q, 4) AS q, n, round(coverage, 6) AS coverage FROM o{t}" for t in range(1, 6))
+
+
+@query("aci_yearly", f"WITH {PRED}, {_aci_sql('greatest(lo - y, y - hi)', [0.05] * 5, False)} {_ACI_ROWS}")
 def aci_yearly(spark, sf_dir):
-    p = predictions(spark, sf_dir).where("test_year >= 1998").select("method", "test_year", "y", "lo", "hi")
-    return iv.adaptive_conformal(p, "method", "test_year").withColumns({c: r(F.col(c), 4) for c in ("q", "coverage")})
+    p = predictions(spark, sf_dir).where("test_year BETWEEN 1997 AND 2001").select("method", "test_year", "y", "lo", "hi")
+    return iv.adaptive_conformal(p, "method", "test_year").drop("window").withColumns({"alpha_t": r(F.col("alpha_t")), "q": r(F.col("q"), 4), "coverage": r(F.col("coverage"))})
+
+
+@query("severity_aci_yearly", f"WITH {PRED}, {_aci_sql('greatest(lo - y, y - hi) / (1 + 0.05 * ln(1 + greatest(x, 0.0)))', [0.05 / t**0.5 for t in range(1, 6)], True)} {_ACI_ROWS}")
+def severity_aci_yearly(spark, sf_dir):
+    x = F.when(F.col("line") == 7, F.col("size") * 2.0).otherwise(F.col("size") / 20.0)
+    p = predictions(spark, sf_dir).where("test_year BETWEEN 1997 AND 2001").withColumn("x", x)
+    out = iv.severity_adaptive_conformal(p, "method", "test_year", "x").drop("window")
+    return out.withColumns({"alpha_t": r(F.col("alpha_t")), "q": r(F.col("q"), 4), "coverage": r(F.col("coverage"))})
+
+
+@query("aci_trajectory", f"""WITH {PRED}, {_aci_sql('greatest(lo - y, y - hi)', [0.05] * 5, False)}, o AS ({" UNION ALL ".join(f"SELECT * FROM o{t}" for t in range(1, 6))})
+  SELECT p.method, p.test_year, count(*) AS n, round(avg(hi - lo + 2 * q), 3) AS mean_width, round(stddev_samp(hi - lo + 2 * q), 3) AS sd_width, round(avg(CASE WHEN y >= lo - q AND y <= hi + q THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM pred p JOIN o ON o.method = p.method AND o.test_year = p.test_year GROUP BY 1, 2""")
+def aci_trajectory(spark, sf_dir):
+    p = predictions(spark, sf_dir).where("test_year BETWEEN 1997 AND 2001").select("method", "test_year", "y", "lo", "hi")
+    q = iv.adaptive_conformal(p, "method", "test_year").select("method", "test_year", "q")
+    held = p.join(F.broadcast(q), ["method", "test_year"])
+    y, lo, hi = F.col("y"), F.col("lo") - F.col("q"), F.col("hi") + F.col("q")
+    return held.groupBy("method", "test_year").agg(F.count(F.lit(1)).alias("n"), r(F.avg(hi - lo), 3).alias("mean_width"), r(F.stddev(hi - lo), 3).alias("sd_width"), r(F.avg(((y >= lo) & (y <= hi)).cast("int"))).alias("coverage"))
 
 
 @query("temporal_split_counts", f"WITH {PANEL} SELECT CASE WHEN year <= 1997 THEN 'FIT' WHEN year <= 1998 THEN 'DEV' WHEN year <= 1999 THEN 'CAL' ELSE 'TEST' END AS split, count(*) AS n, min(year) AS first_year, max(year) AS last_year, count(DISTINCT entity) AS entities FROM panel GROUP BY 1")
@@ -253,8 +289,9 @@ def psi_drift(spark, sf_dir):
 
 @query("ks_wasserstein", """WITH u AS (SELECT l_quantity AS v, count(CASE WHEN year(l_shipdate) <= 1997 THEN 1 END) AS a, count(CASE WHEN year(l_shipdate) >= 2000 THEN 1 END) AS b FROM lineitem WHERE year(l_shipdate) <= 1997 OR year(l_shipdate) >= 2000 GROUP BY 1),
   d AS (SELECT v, abs(sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM u) - sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM u)) AS d, lead(v) OVER (ORDER BY v) - v AS gap FROM u)
-  SELECT round(max(d), 6) AS ks, round(sum(d * coalesce(gap, 0)), 6) AS wasserstein FROM d""")
+  , k AS (SELECT max(d) AS ks, sum(d * coalesce(gap, 0)) AS wasserstein, max(d) * sqrt((SELECT sum(a) FROM u) * (SELECT sum(b) FROM u) / (SELECT sum(a) + sum(b) FROM u)) AS x FROM d)
+  SELECT round(ks, 6) AS ks, round(wasserstein, 6) AS wasserstein, round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * x * x))), 0.0), 1.0) END, 6) AS p_value FROM k""")
 def ks_wasserstein(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     out = inf.distribution_distance(li.where(F.year("l_shipdate") <= 1997), li.where(F.year("l_shipdate") >= 2000), "l_quantity")
-    return out.select(r(F.col("ks")).alias("ks"), r(F.col("wasserstein")).alias("wasserstein"))
+    return out.select(r(F.col("ks")).alias("ks"), r(F.col("wasserstein")).alias("wasserstein"), r(F.col("p_value")).alias("p_value"))

@@ -144,9 +144,9 @@ def gdd_and_heat(spark, sf_dir):
     return d.groupBy("entity").agg(r(F.sum(scalars.degree_days(F.col("value") / 10, F.col("value") / 20))).alias("gdd"), r(F.sum(scalars.excess(F.col("value") / 10, 35.0))).alias("heat"), F.count("value").alias("n"))
 
 
-@query("slot_climatology", """WITH s AS (SELECT CAST(CASE WHEN dayofyear(make_date(year(o_orderdate), 12, 31)) = 366 AND dayofyear(o_orderdate) >= 60 THEN dayofyear(o_orderdate) - 1 ELSE dayofyear(o_orderdate) END AS INTEGER) AS slot, o_totalprice AS v FROM orders),
+@query("slot_climatology", """WITH s AS (SELECT CAST(CASE WHEN dayofyear(make_date(year(o_orderdate), 12, 31)) = 366 AND dayofyear(o_orderdate) >= 60 THEN dayofyear(o_orderdate) - 1 ELSE dayofyear(o_orderdate) END AS INTEGER) AS slot, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders),
   e AS (SELECT CAST(((slot - 1 + o + 365) % 365) + 1 AS INTEGER) AS near, v FROM s CROSS JOIN (SELECT unnest(range(-7, 8)) AS o))
-  SELECT near AS slot, count(*) AS n, round(avg(v), 4) AS mean FROM e GROUP BY 1""")
+  SELECT near AS slot, count(*) AS n, round(CAST(sum(v) AS BIGINT) / (count(*) * 100), 4) AS mean FROM e GROUP BY 1""")
 def slot_climatology(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(ts.day_slot(F.col("o_orderdate")).alias("slot"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
     # a slot is summed first: its 15 copies then cost 15 rows, not 15 times the table; whole cents add up exactly
