@@ -141,8 +141,9 @@ def adaptive_conformal(rows: DataFrame, series: str, step: str, alpha: float = 0
     rate * (alpha - miss rate) and stays within [low, high]. The first step has no earlier scores: q is 0. Steps are few
     (years): they are a loop, each taking quantiles by ranges; only a row a series comes back. Series are few as well.
     """
-    scores = rows.select(series, step, F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")).alias("s"))
-    return _adaptive(scores.withColumn("w", F.lit(1.0)).withColumn("severity", F.lit(0.0)), series, step, alpha, lambda t: rate, low, high, lambda severity: None)
+    score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))
+    scores = rows.select(F.col(series).alias("_k"), F.col(step).alias("_t"), score.alias("_score"), F.lit(0.0).alias("_x"))
+    return _adaptive(scores, series, step, alpha, lambda t: rate, low, high, lambda severity: None).drop("window")
 
 
 def severity_adaptive_conformal(rows: DataFrame, series: str, step: str, severity: str, alpha: float = 0.1, rate: float = 0.05, widen: float = 0.05, low: float = 0.01, high: float = 0.4) -> DataFrame:
@@ -152,36 +153,36 @@ def severity_adaptive_conformal(rows: DataFrame, series: str, step: str, severit
     2 steps if its mean severity is 5 or more, 3 from 1 on, else 5. The rate falls with the root of the step's number.
     """
     weight = 1 + F.lit(widen) * F.ln(1 + F.greatest(F.col(severity), F.lit(0.0)))
-    scores = rows.select(series, step, (F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")) / weight).alias("s"), F.col(severity).cast("double").alias("severity"))
+    score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")) / weight
+    scores = rows.select(F.col(series).alias("_k"), F.col(step).alias("_t"), score.alias("_score"), F.col(severity).cast("double").alias("_x"))
     return _adaptive(scores, series, step, alpha, lambda t: rate / math.sqrt(t), low, high, lambda x: 2 if x >= 5 else 3 if x >= 1 else 5)
 
 
 def _adaptive(scores: DataFrame, series: str, step: str, alpha: float, rate, low: float, high: float, window) -> DataFrame:
+    """The loop over steps for scores (_k series, _t step, _score, _x severity)."""
     spark = scores.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
+    kind = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
     scores = scratch.materialize(scores, "adaptive-scores")
-    steps = scores.groupBy(series, step).agg(F.avg("severity").alias("x")).collect()  # a row a series and step
     order: dict = {}
-    for r in sorted(steps, key=lambda r: r[step]):
-        order.setdefault(r[series], []).append((r[step], r["x"]))
+    for r in sorted(scores.groupBy("_k", "_t").agg(F.avg("_x").alias("x")).collect(), key=lambda r: r["_t"]):  # a row a series and step
+        order.setdefault(r["_k"], []).append((r["_t"], r["x"]))
     alphas, out = {k: alpha for k in order}, []
     for t in range(max(map(len, order.values()), default=0)):
         now = {k: v[t] for k, v in order.items() if t < len(v)}
         rows = []
         for k, (at, x) in now.items():
             back = window(x)
-            first = order[k][max(0, t - back)][0] if back else order[k][0][0]
-            rows.append((k, at, first, alphas[k]))
-        state = spark.createDataFrame(rows, f"`{series}` {kinds[series]}, _now {kinds[step]}, _first {kinds[step]}, _alpha double")
-        pool = scores.join(F.broadcast(state.select(series, "_now", "_first")), series).where((F.col(step) < F.col("_now")) & (F.col(step) >= F.col("_first"))).select(series, "s")
-        q = quantiles_by(pool, [series], "s", lambda n: F.least(F.ceil((1 - F.col("_alpha")) * (n + 1)) / n, F.lit(1.0)), state.select(series, "_alpha")).select(series, "q")
-        q = state.join(q, series, "left").select(F.col(series).alias("_k"), "_now", F.coalesce("q", F.lit(0.0)).alias("q"))
-        met = scores.join(F.broadcast(q), (F.col(series) == F.col("_k")) & (F.col(step) == F.col("_now")))
-        for r in met.groupBy(series).agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg((F.col("s") <= F.col("q")).cast("int")).alias("c")).collect():  # a row a series
-            k = r[series]
+            rows.append((k, at, order[k][max(0, t - back)][0] if back else order[k][0][0], alphas[k]))
+        state = spark.createDataFrame(rows, f"_k {kind['_k']}, _now {kind['_t']}, _first {kind['_t']}, _alpha double")
+        pool = scores.join(F.broadcast(state), "_k").where((F.col("_t") < F.col("_now")) & (F.col("_t") >= F.col("_first"))).select("_k", "_score")
+        q = quantiles_by(pool, ["_k"], "_score", lambda n: F.least(F.ceil((1 - F.col("_alpha")) * (n + 1)) / n, F.lit(1.0)), state.select("_k", "_alpha"))
+        q = state.join(q, "_k", "left").select("_k", F.col("_now").alias("_t"), F.coalesce("q", F.lit(0.0)).alias("q"))
+        met = scores.join(F.broadcast(q), ["_k", "_t"])
+        for r in met.groupBy("_k").agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg((F.col("_score") <= F.col("q")).cast("int")).alias("c")).collect():  # a row a series
+            k = r["_k"]
             out.append((k, now[k][0], alphas[k], r.q, r.n, r.c, window(now[k][1])))
             alphas[k] = min(max(alphas[k] + rate(t + 1) * (alpha - (1 - r.c)), low), high)
-    return spark.createDataFrame(out, f"`{series}` {kinds[series]}, `{step}` {kinds[step]}, alpha_t double, q double, n bigint, coverage double, window int")
+    return spark.createDataFrame(out, f"`{series}` {kind['_k']}, `{step}` {kind['_t']}, alpha_t double, q double, n bigint, coverage double, window int")
 
 
 def temporal_split(year: Column, fit_to: int, dev_to: int, cal_to: int) -> Column:

@@ -11,6 +11,7 @@ from loomspan.operators import timeseries as ts
 from loomspan.plans.base import PANEL, order_panel, r
 from loomspan.plans.registry import query
 from loomspan.session import table
+from loomspan.sources import readers, writers
 
 
 def _all(frames):
@@ -207,3 +208,35 @@ def field_inspection(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     missing = ",".join(c for c in ("o_orderkey", "o_totalprice", "o_weight") if c not in o.columns)
     return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("rows"), F.lit(missing).alias("missing_fields"), F.min("o_orderstatus").alias("sample_status"), F.countDistinct("o_orderstatus").alias("statuses"))
+
+
+@query("source_precedence", """WITH a AS (SELECT l_suppkey AS k, l_partkey AS p, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), b AS (SELECT l_suppkey AS k, l_partkey AS p, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)
+  SELECT b.k, b.p, CASE WHEN a.k IS NOT NULL THEN 1 ELSE 2 END AS source_rank, coalesce(a.v, b.v) AS v FROM b LEFT JOIN a ON a.k = b.k AND a.p = b.p""")
+def source_precedence(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p"), "l_quantity", "l_extendedprice", "l_returnflag")
+    of = lambda df, c: df.groupBy("k", "p").agg(F.max(c).alias("v"))
+    return readers.by_precedence([of(li.where("l_returnflag = 'R'"), "l_quantity"), of(li, "l_extendedprice")], ["k", "p"])
+
+
+@query("typed_records", """SELECT DISTINCT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS v FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997""")
+def typed_records(spark, sf_dir):
+    text = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").cast("string").alias("year"), F.when(F.col("o_orderkey") % 3 == 0, "(D)").otherwise((F.col("o_orderkey") % 50).cast("string")).alias("v"))
+    return readers.typed_records(text, {"year": "int", "v": "bigint"}, "year", 1996, 1997)
+
+
+@query("crosswalk_codes", """SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS zone, lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS code, substring(lpad(CAST(s_nationkey AS VARCHAR), 3, '0'), 1, 2) AS state FROM supplier""")
+def crosswalk_codes(spark, sf_dir):
+    from loomspan.functions.scalars import padded_code
+
+    code = padded_code(F.col("s_nationkey"), 3)
+    return table(spark, sf_dir, "supplier").select(padded_code(F.col("s_suppkey"), 6).alias("zone"), code.alias("code"), F.substring(code, 1, 2).alias("state")).distinct()
+
+
+@query("run_comparison", """WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS v, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 10 <> 0 GROUP BY 1), j AS (SELECT a.k AS ak, b.k AS bk, a.v AS av, b.v AS bv, a.n AS an, b.n AS bn FROM a FULL JOIN b ON a.k = b.k)
+  SELECT 'v' AS value, count(CASE WHEN ak IS NOT NULL AND bk IS NOT NULL THEN 1 END) AS "both", count(CASE WHEN bk IS NULL THEN 1 END) AS only_a, count(CASE WHEN ak IS NULL THEN 1 END) AS only_b, count(CASE WHEN abs(av - bv) > 0.001 THEN 1 END) AS different, round(max(abs(av - bv)), 2) AS largest FROM j
+  UNION ALL SELECT 'n', count(CASE WHEN ak IS NOT NULL AND bk IS NOT NULL THEN 1 END), count(CASE WHEN bk IS NULL THEN 1 END), count(CASE WHEN ak IS NULL THEN 1 END), count(CASE WHEN abs(an - bn) > 0.001 THEN 1 END), round(CAST(max(abs(an - bn)) AS DOUBLE), 2) FROM j""")
+def run_comparison(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    of = lambda df: df.groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
+    out = writers.compare_runs(of(o.where("o_custkey % 5 <> 0")), of(o.where("o_custkey % 7 <> 0 AND o_orderkey % 10 <> 0")), ["k"], ["v", "n"], 0.001)
+    return out.withColumn("largest", r(F.col("largest"), 2))

@@ -45,7 +45,7 @@ panel AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS year
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction rows of line items: price by the supplier's mean unit price to 1997, with an interval around it."""
     li = table(spark, sf_dir, "lineitem").withColumn("test_year", F.year("l_shipdate"))
-    unit = li.where("test_year <= 1997").groupBy("l_suppkey").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
+    unit = li.where("l_shipdate < DATE '1998-01-01'").groupBy("l_suppkey").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
     pred = F.col("l_quantity") * F.coalesce("u", F.lit(1000.0))
     held = li.join(unit, "l_suppkey", "left")
     return held.select(

@@ -134,7 +134,7 @@ _ACI_ROWS = " UNION ALL ".join(f"SELECT method, test_year, round(alpha_t, 6) AS
 @query("aci_yearly", f"WITH {PRED}, {_aci_sql('greatest(lo - y, y - hi)', [0.05] * 5, False)} {_ACI_ROWS}")
 def aci_yearly(spark, sf_dir):
     p = predictions(spark, sf_dir).where("test_year BETWEEN 1997 AND 2001").select("method", "test_year", "y", "lo", "hi")
-    return iv.adaptive_conformal(p, "method", "test_year").drop("window").withColumns({"alpha_t": r(F.col("alpha_t")), "q": r(F.col("q"), 4), "coverage": r(F.col("coverage"))})
+    return iv.adaptive_conformal(p, "method", "test_year").withColumns({"alpha_t": r(F.col("alpha_t")), "q": r(F.col("q"), 4), "coverage": r(F.col("coverage"))})
 
 
 @query("severity_aci_yearly", f"WITH {PRED}, {_aci_sql('greatest(lo - y, y - hi) / (1 + 0.05 * ln(1 + greatest(x, 0.0)))', [0.05 / t**0.5 for t in range(1, 6)], True)} {_ACI_ROWS}")
@@ -283,7 +283,7 @@ def friedman_ranks(spark, sf_dir):
   SELECT round(sum((coalesce(q, 1e-4) - coalesce(p, 1e-4)) * ln(coalesce(q, 1e-4) / coalesce(p, 1e-4))), 6) AS psi, 'stable' AS drift FROM s""")
 def psi_drift(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    out = inf.stability_index(li.where(F.year("l_shipdate") <= 1997), li.where(F.year("l_shipdate") >= 2000), "l_extendedprice")
+    out = inf.stability_index(li.where("l_shipdate < DATE '1998-01-01'"), li.where("l_shipdate >= DATE '2000-01-01'"), "l_extendedprice")
     return out.select(r(F.col("psi")).alias("psi"), "drift")
 
 
@@ -293,5 +293,5 @@ def psi_drift(spark, sf_dir):
   SELECT round(ks, 6) AS ks, round(wasserstein, 6) AS wasserstein, round(CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * x * x))), 0.0), 1.0) END, 6) AS p_value FROM k""")
 def ks_wasserstein(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    out = inf.distribution_distance(li.where(F.year("l_shipdate") <= 1997), li.where(F.year("l_shipdate") >= 2000), "l_quantity")
+    out = inf.distribution_distance(li.where("l_shipdate < DATE '1998-01-01'"), li.where("l_shipdate >= DATE '2000-01-01'"), "l_quantity")
     return out.select(r(F.col("ks")).alias("ks"), r(F.col("wasserstein")).alias("wasserstein"), r(F.col("p_value")).alias("p_value"))

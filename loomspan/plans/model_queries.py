@@ -21,6 +21,75 @@ def fixed_effects_panel(spark, sf_dir):
     return out.select("entity", "year", r(F.col("pred") / 1e4, 3).alias("pred"))
 
 
+@query("quadratic_effects", f"""WITH {PANEL}, s AS (SELECT entity, year * 1.0 - 1995 AS a, orders * 1.0 AS b, orders * orders * 1.0 AS c, value / 1e6 AS y FROM panel WHERE year <= 1998),
+  d AS (SELECT CAST(a - avg(a) OVER w AS DOUBLE) AS a, CAST(b - avg(b) OVER w AS DOUBLE) AS b, CAST(c - avg(c) OVER w AS DOUBLE) AS c, y - avg(y) OVER w AS y FROM s WINDOW w AS (PARTITION BY entity)),
+  t AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS by_, sum(c * y) AS cy FROM d),
+  e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM t)
+  SELECT n, round((ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det, 5) AS slope, round((aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det, 5) AS linear,
+    round((aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det, 5) AS quadratic FROM e""")
+def quadratic_effects(spark, sf_dir):
+    p = order_panel(spark, sf_dir).withColumns({"step": F.col("year") - 1995.0, "target": F.col("value") / 1e6})
+    out = models.quadratic_effects(p, "entity", "step", "orders", "target", F.col("year") <= 1998)
+    return out.select("n", *[r(F.col(c), 5).alias(c) for c in ("slope", "linear", "quadratic")])
+
+
+_SIMILAR = {"q": "l_quantity", "q2": "l_quantity * 2 + l_linenumber * 0.001", "p": "l_extendedprice", "d": "l_discount"}
+_NEAR = ", ".join(f"abs(corr({a}, {b})) >= 0.98 AS {n}" for n, a, b in (("x1", "l_quantity", _SIMILAR["q2"]), ("x2", "l_quantity", "l_extendedprice"), ("x3", _SIMILAR["q2"], "l_extendedprice")))
+
+
+def _similar(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q"), (F.col("l_quantity") * 2 + F.col("l_linenumber") * 0.001).alias("q2"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_shipdate").alias("day"))
+
+
+@query("near_duplicate_columns", f"""WITH c AS (SELECT {_NEAR} FROM lineitem WHERE l_shipdate < DATE '1998-01-01'), k AS (SELECT *, CASE WHEN x2 THEN 'q' WHEN NOT x1 AND x3 THEN 'q2' END AS p_twin FROM c)
+  SELECT 'q' AS "column", true AS kept, NULL AS twin UNION ALL SELECT 'q2', NOT x1, CASE WHEN x1 THEN 'q' END FROM k UNION ALL SELECT 'p', p_twin IS NULL, p_twin FROM k UNION ALL SELECT 'd', true, NULL""")
+def near_duplicate_columns(spark, sf_dir):
+    return models.near_duplicate_columns(_similar(spark, sf_dir), ["q", "q2", "p", "d"], F.expr("day < DATE '1998-01-01'"))
+
+
+@query("pruned_columns")
+def pruned_columns(spark, sf_dir):
+    return models.prune_columns(_similar(spark, sf_dir), ["q", "q2", "d"], "p", F.expr("day < DATE '1998-01-01'"))
+
+
+_FEATURES = ["orders", "step", "bucket"]
+
+
+def _modelled(spark, sf_dir):
+    return order_panel(spark, sf_dir).select("entity", "year", "orders", (F.col("year") - 1995.0).alias("step"), (F.col("entity") % 7).cast("double").alias("bucket"), (F.col("value") / 1e6).alias("y"))
+
+
+_FIT, _DEV, _TEST = "year <= 1997", "year = 1998", "year >= 1999"
+
+
+@query("forest_baseline")
+def forest_baseline(spark, sf_dir):
+    out = models.tree_predictions(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT), kind="forest")
+    return out.where(_TEST).groupBy("year").agg(r(F.sqrt(F.avg(F.pow(F.col("y") - F.col("pred"), F.lit(2)))), 4).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+@query("boosted_intervals")
+def boosted_intervals(spark, sf_dir):
+    out = models.tree_intervals(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT), F.expr(_DEV))
+    inside = ((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int")
+    return out.where(_TEST).groupBy("year").agg(F.count(F.lit(1)).alias("n"), r(F.avg(inside)).alias("picp"), r(F.avg(F.col("hi") - F.col("lo")), 4).alias("mpiw"))
+
+
+@query("boosted_grid")
+def boosted_grid(spark, sf_dir):
+    return models.grid_search(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT), F.expr(_DEV), [{"depth": d, "trees": t} for d in (2, 4) for t in (5, 10)]).withColumn("rmse", r(F.col("rmse"), 4))
+
+
+@query("group_ablation")
+def group_ablation(spark, sf_dir):
+    return models.ablation(_modelled(spark, sf_dir), {"orders": ["orders"], "time": ["step"], "place": ["bucket"]}, "y", F.expr(_FIT), F.expr(_TEST)).withColumns({c: r(F.col(c), 4) for c in ("rmse", "change")})
+
+
+@query("consensus_selection")
+def consensus_selection(spark, sf_dir):
+    return models.consensus_selection(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT))
+
+
 @query("ridge_panel")
 def ridge_panel(spark, sf_dir):
     out = models.ridge(order_panel(spark, sf_dir).withColumn("step", F.col("year") - 1995.0), ["orders", "step"], "value", 0.1, F.col("year") <= 1998)

@@ -24,6 +24,22 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).dropDuplicates()
 
 
+def typed_records(records: DataFrame, kinds: dict[str, str], year: str, first: int, last: int) -> DataFrame:
+    """Text records with some columns cast (null where a text does not fit), of the years asked for, repeats left out."""
+    typed = records.withColumns({c: F.col(c).try_cast(kind) for c, kind in kinds.items()})
+    return typed.where(F.col(year).between(first, last)).dropDuplicates()
+
+
+def by_precedence(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row a key from the first source that has it, and the number of that source from 1; sources come best first."""
+    out = sources[0].withColumn("source_rank", F.lit(1))
+    for k, df in enumerate(sources[1:], 2):
+        out = out.unionByName(df.withColumn("source_rank", F.lit(k)), allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in (*keys, "source_rank")]
+    best = out.groupBy(*keys).agg(F.min(F.struct("source_rank", *rest)).alias("_b"))
+    return best.select(*keys, "_b.*")
+
+
 def read_matching(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The columns of a Parquet table that another table has."""
     df = spark.read.parquet(path)

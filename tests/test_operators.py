@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars, special
-from loomspan.operators import aggregates, indices, joins
+from loomspan.operators import aggregates, audits, indices, joins, models, ordering, preprocess
 from loomspan.operators import inference as inf
 from loomspan.operators import intervals as iv
 from loomspan.operators import timeseries as ts
@@ -189,3 +189,45 @@ def test_nearest_reaches_every_site_and_keeps_points_without_one(spark):
     got = {(r.point, r.site, r.distance) for r in joins.within_or_nearest(pts, sites, 1.0, 1.0).collect()}
     assert got == {(1, 10, 1.0), (2, 10, math.hypot(699, 1)), (3, None, None), (4, 11, 1000.0)}
     assert {(r.point, r.site) for r in joins.within_or_nearest(pts, sites.limit(0), 1.0, 1.0).collect()} == {(i, None) for i in (1, 2, 3, 4)}
+
+
+def test_trees_and_selection_find_the_feature_that_matters(spark):
+    rnd = random.Random(5)
+    rows = [(i, float(i % 10), rnd.random(), 5.0 * (i % 10) + rnd.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, signal double, noise double, y double")
+    fit, dev, test = F.col("i") < 300, F.col("i").between(300, 449), F.col("i") >= 450
+    out = models.tree_intervals(df, ["signal", "noise"], "y", fit, dev).where(test)
+    found = out.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("pred"), F.lit(2)))).alias("rmse"), F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("int")).alias("picp")).first()
+    assert found.rmse < 2 and found.picp > 0.75
+    votes = {r.feature: r for r in models.consensus_selection(df, ["signal", "noise"], "y", fit, share=0.5).collect()}
+    assert votes["signal"].selected and votes["signal"].votes == 4 and votes["noise"].votes == 0
+    left = {r.left_out: r.change for r in models.ablation(df, {"a": ["signal"], "b": ["noise"]}, "y", fit, test).collect()}
+    assert left["a"] > 5 > abs(left["b"])
+    wide = df.select("signal", "noise", "y", (F.col("signal") * 2 + F.col("noise") * 1e-3).alias("twin"))
+    assert {r.column: r.kept for r in models.prune_columns(wide, ["signal", "noise", "twin"], "y", F.lit(True)).collect()}["noise"]
+    assert sum(r.kept for r in models.prune_columns(wide, ["signal", "noise", "twin"], "y", F.lit(True)).collect()) == 2
+    assert [r.twin for r in models.near_duplicate_columns(wide, ["signal", "noise", "twin"], F.lit(True), least=100).collect()] == [None, None, "signal"]
+
+
+def test_running_sums_and_quantiles_over_ranges(spark):
+    rnd = np.random.default_rng(3)
+    values = np.round(rnd.normal(size=500), 2)
+    df = spark.createDataFrame([(("a", "b")[i % 5 == 0], float(v)) for i, v in enumerate(values)], "k string, v double").repartition(5)
+    got = ordering.quantiles(df, "v", {"q": F.lit(0.37)}).first()
+    assert got.n == 500 and abs(got.q - np.quantile(values, 0.37)) < 1e-12
+    by = {r.k: r.q for r in ordering.quantiles_by(df, ["k"], "v", lambda n: F.lit(0.9)).collect()}
+    assert abs(by["b"] - np.quantile(values[::5], 0.9)) < 1e-12
+    assert ordering.quantiles(df.limit(0), "v", {"q": F.lit(0.5)}).first().q is None
+
+
+def test_preprocessing_fails_fast_and_strict_sums_skip_nan(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "k int, v double")
+    with pytest.raises(ValueError, match="v: 2 null or NaN, first at 2"):
+        preprocess.require_complete(df, ["k"], ["v"])
+    days = spark.createDataFrame([(1, datetime.date(2024, 1, d), float("nan") if d == 3 else 1.0) for d in range(1, 8)], "entity int, day date, value double")
+    got = [r.rolled for r in ts.strict_rolling_sum(days, 2).orderBy("day").collect()]
+    assert got == [None, 2.0, None, None, 2.0, 2.0, 2.0]
+    with pytest.raises(ValueError, match="missing columns: target.y"):
+        audits.require_columns(df, {"key": ["k"], "target": ["y"]})
+    flat = spark.createDataFrame([("e", i, 2.0) for i in range(12)], "e string, o int, v double")
+    assert indices.gamma_fit(flat, ["e"], "v").first().shape is None

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from loomspan.sources import readers
+from loomspan.sources import readers, writers
 from loomspan.streaming import windows
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -46,3 +48,25 @@ def test_streamed_days_equal_batch_days(spark, tmp_path):
     want = {(r.entity, r.day, r.n) for r in windows.daily_windows(events, "user_id", "ts", "value").collect()}
     assert got == want and len(want) > 100
     assert windows.sessions(events, "user_id", "ts", "6 hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_text_sinks_and_registry(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    csv, report, runs = (str(tmp_path / n) for n in ("csv", "report", "runs"))
+    writers.write_csv(df, csv)
+    writers.write_csv(df.limit(1), csv, append=True)
+    assert readers.read_csv(spark, csv, "k int, v string").count() == 3
+    writers.write_json_report(df, report)
+    assert sorted(json.loads(x.value)["k"] for x in spark.read.text(report).collect()) == [1, 2]
+    lines = spark.createDataFrame([(1, "b"), (0, "# a")], "at int, line string")
+    writers.write_csv_report(lines, str(tmp_path / "lines"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "lines")).collect()] == ["# a", "b"]
+    assert writers.file_digests(spark, report).where("length(sha256) = 64 AND length(head_md5) = 32").count() > 0
+    writers.register_run(spark, runs, "one", "primary", {"b": 1, "a": 2})
+    with pytest.raises(ValueError, match="primary run"):
+        writers.register_run(spark, runs, "two", "primary", {"a": 2, "b": 1})
+    with pytest.raises(ValueError, match="unknown role"):
+        writers.register_run(spark, runs, "two", "final", {})
+    writers.register_run(spark, runs, "two", "exploratory", {"a": 2, "b": 1})
+    assert spark.read.parquet(runs).count() == 2
+    assert writers.config_drift({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}) == [("b", "2", "3"), ("c", "", "4")]
