@@ -11,6 +11,7 @@ document (u8, one more than documents) | document ids (i8) | null marks (u1) | n
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import uuid
@@ -30,12 +31,22 @@ MAGIC = b"LSIDS001"
 BLOCK = 1 << 16
 #: Between chunks that are encoded in one call: a special token, never part of what a chunk encodes to.
 SEPARATOR = "<|startoftext|>"
-#: Finds letters outside the Latin blocks or special tokens; stops and commas that may belong to a longer run of symbols.
 #: The letter that byte-level tokenizers put for each byte: printable ones stay, the others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
+#: Finds letters outside the Latin blocks or special tokens; stops and commas that may belong to a longer run of symbols.
 _UNEVEN = re.compile(r"[^\x00-\u024f]|<\|").search
 _CLUSTERED = re.compile(r"[\W_][.,][ \n]").search
+#: A letter whose lower case ends in a mark, which joins the symbols behind it.
+DOTTED = "\u0130"
+#: Longer chunks are not remembered, so the cache is bounded in bytes.
+LONGEST = 64
+#: The normalizer and the pre-tokenizer that chunks and letters may be taken apart for: white space parts words, words are
+#: lower-cased runs of letters, and their bytes go to the merges.
+KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -146,7 +157,8 @@ class Encoder:
     """Texts to ids with the tokenizers library, through a bounded cache of their chunks between blanks and newlines.
 
     White space only parts words for these tokenizers (it is dropped before the merges), so a text's ids are those of
-    its chunks in turn. Unseen chunks go to the library together, parted by a special token.
+    its chunks in turn. Unseen chunks go to the library together, parted by a special token. A tokenizer of another kind,
+    and a text with a letter whose lower case ends in a mark, go to the library whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -155,6 +167,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cut = self.tokenizer.token_to_id(SEPARATOR)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.apart = (spec.get("normalizer"), steps[0]) == KNOWN and len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -189,6 +204,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian u4."""
+        if not self.apart or DOTTED in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > self.most:  # chunks that come again are fetched from the generation before
             self.before, self.known = self.known, {}
         if not _CLUSTERED(text):  # a lone comma or stop behind a word is a word of its own to these tokenizers
@@ -199,8 +216,13 @@ class Encoder:
         try:
             return b"".join([self.known[c] for c in chunks])
         except KeyError:
-            self._learn(list({c for c in chunks if c not in self.known}))
-            return b"".join([self.known[c] for c in chunks])
+            new = {c for c in chunks if c not in self.known}
+            self._learn(list(new))
+            found = b"".join([self.known[c] for c in chunks])
+            for c in new:
+                if len(c) > LONGEST:
+                    del self.known[c]
+            return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
