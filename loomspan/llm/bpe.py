@@ -13,11 +13,14 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+#: Ids decoded at a stroke, and characters of the longest chunk that is remembered: the cache is bounded in bytes by it.
+RUN, LONGEST = 4096, 64
 #: Bytes up to which a piece is merged directly. Short leaves recur in many words, so their merges are remembered.
 LEAF = 8
 #: Remembered leaves, windows and pairs, of each kind.
@@ -126,8 +129,11 @@ class TreeEncoder:
         return [t for piece in self.pieces(text) for t in self.encode_piece(piece.encode("utf-8", "surrogatepass"))]
 
     def decode(self, ids) -> bytes:
-        """Bytes of ids, concatenated up the tree."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """Bytes of ids, concatenated up the tree: halves are decoded and joined, short runs at a stroke."""
+        if len(ids) <= RUN:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        mid = len(ids) // 2
+        return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
 class ChunkCache:
@@ -148,7 +154,7 @@ class ChunkCache:
         self.newline = self._entry("\n")
 
     def _entry(self, text: str) -> tuple:
-        """Decimal ids joined by blanks, number of ids, bytes decoded from the ids."""
+        """Decimal ids joined by blanks, and the ids."""
         pieces, encode, found = self.known, self.encoder.encode_piece, []
         for piece in self.encoder.pieces(text):
             ids = pieces.get(piece)
@@ -158,7 +164,7 @@ class ChunkCache:
                     pieces[piece] = ids
             found += ids
         names = self.names
-        return " ".join([names[i] for i in found]), len(found), self.encoder.decode(found)
+        return " ".join([names[i] for i in found]), tuple(found)
 
     @staticmethod
     def _apart(chunk: str) -> bool:
@@ -170,7 +176,7 @@ class ChunkCache:
             return [self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]
         except KeyError:
             first, later, get = self.first, self.later, self._entry
-            if not all(map(self._apart, chunks)):
+            if not all(map(self._apart, chunks)) or max(map(len, chunks)) > LONGEST:
                 raise _Together from None
             if chunks[0] not in first:
                 first[chunks[0]] = get(chunks[0])
@@ -180,7 +186,7 @@ class ChunkCache:
             return [first[chunks[0]], *map(later.__getitem__, chunks[1:])]
 
     def encode(self, text: str) -> tuple[str, int, bytes]:
-        """Decimal ids joined by blanks, their number, and the bytes decoded from them."""
+        """Decimal ids joined by blanks, their number, and the bytes that all ids of the text decode to."""
         if not text:
             return "", 0, b""
         if len(self.later) > self.most:  # chunks that come again are fetched from the generation before
@@ -196,11 +202,12 @@ class ChunkCache:
                 parts += self._line(line)
         except _Together:
             parts = [self._entry(text)]
-        return " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+        ids = list(chain.from_iterable([p[1] for p in parts]))
+        return " ".join([p[0] for p in parts]), len(ids), self.encoder.decode(ids)
 
 
 class _Together(Exception):
-    """White space in this text may belong to a longer match."""
+    """White space in this text may belong to a longer match, or a chunk is too long to be remembered."""
 
 
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
