@@ -7,12 +7,14 @@ A lookup binary-searches the directory, reads the few blocks that can hold the k
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -53,31 +55,38 @@ def judge(pages: DataFrame) -> DataFrame:
 
 
 def _record(page_id: int | None, url: str, digest: str, n: int, refers_to: int | None, payload: bytes) -> bytes:
-    """One WARC record. Ids are in URNs; lengths and digests are of the full payload, also in revisits."""
+    """One WARC record: an HTTP response, or its head alone in a revisit. Digest and HTTP length are of the full payload.
+
+    Record ids are unique. Page ids stand in fields of our own, which other readers pass over.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {n}\r\n\r\n".encode()
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "WARC-Target-URI": quote(url, safe="!#$%&'()*+,/:;=?@[]~"),
-        "WARC-Payload-Digest": f"sha1:{digest}",
-        "WARC-Payload-Length": n,
+        "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        "X-Page-ID": "" if page_id is None else page_id,
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
-    fields["Content-Length"] = len(payload)
-    return _HEAD + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields.items()) + b"\r\n" + payload + _END
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers_to}
+    fields |= {"Content-Type": "application/http;msgtype=response", "Content-Length": len(http) + len(payload)}
+    return _HEAD + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields.items()) + b"\r\n" + http + payload + _END
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and block of one record."""
+def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Fields of one record, those of the HTTP head in its block, and the payload behind it."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != _HEAD.decode().strip():
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
+    named = lambda some: dict(line.split(": ", 1) for line in some)
+    fields = named(lines[1:])
     n = int(fields["Content-Length"])
     if rest[n:] != _END:
         raise ValueError("the record's length is wrong")
-    return fields, rest[:n]
+    http, _, payload = rest[:n].partition(b"\r\n\r\n")
+    return fields, named(http.decode().split("\r\n")[1:]), payload
 
 
 def _gzip(data: bytes) -> bytes:
@@ -245,12 +254,12 @@ def read_pages(keys: DataFrame, parts: DataFrame) -> DataFrame:
                     fs, local = FileSystem.from_uri(path)
                     held, file = path, fs.open_input_file(local)
                 file.seek(offset)
-                fields, block = parse_record(zlib.decompress(file.read(length), 31))
-                number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
+                fields, http, payload = parse_record(zlib.decompress(file.read(length), 31))
+                number = lambda text: int(text) if text else None
                 stored = fields["WARC-Type"] == "response"
-                digest = hashlib.sha1(block).hexdigest() if stored else fields["WARC-Payload-Digest"].partition(":")[2]
-                n = len(block) if stored else int(fields["WARC-Payload-Length"])
-                rows.append((number(fields["WARC-Record-ID"]), unquote(fields["WARC-Target-URI"]), fields["WARC-Type"], n, digest, number(fields.get("WARC-Refers-To", ""))))
+                digest = hashlib.sha1(payload).hexdigest() if stored else base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
+                n = len(payload) if stored else int(http["Content-Length"])
+                rows.append((number(fields["X-Page-ID"]), unquote(fields["WARC-Target-URI"]), fields["WARC-Type"], n, digest, number(fields.get("X-Refers-To-Page-ID"))))
             yield _columns(rows, ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
     sorted_keys = routed.repartitionByRange("path", "key").sortWithinPartitions("path", "key")
