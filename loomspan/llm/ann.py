@@ -194,10 +194,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     nodes = scratch.materialize(nodes, "nodes")
     sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("most"))
     nodes = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("h1"), F.ceil(F.col("n") / shard)))
-    queries = held.where("q").select(F.col("vec_id").alias("query_id"), "v", "dim")
+    queries = held.where("q").select(F.col("vec_id").alias("query_id"), F.monotonically_increasing_id().alias("row"), "v", "dim")
+    queries = scratch.materialize(queries, "queries")  # rows that share an id are told apart, and keep their numbers
     # every query visits every shard of its length
     visits = queries.join(sizes.select("dim", F.ceil(F.col("n") / shard).alias("shards")), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query_id bigint, row bigint, vec_id bigint, score double"
 
     def one(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(left))
@@ -209,31 +210,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
         for batch in right:
             for at in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(at, QUERIES)
-                q, asked = _matrix(pa.chunked_array([part.column(part.schema.get_field_index("v"))])), part.column(part.schema.get_field_index("query_id")).to_pylist()
+                q, asked = _matrix(pa.chunked_array([part.column(part.schema.get_field_index("v"))])), list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("query_id", "row")), strict=True))
                 unit = q / np.linalg.norm(q, axis=1, keepdims=True)
                 found, _ = graph.search(np.column_stack([unit, np.zeros(len(q))]).astype(np.float32), width)
                 out = []
-                for i, query in enumerate(asked):
+                for i, (query, row) in enumerate(asked):
                     near = found[i][found[i] >= 0]
                     score = exact[near] @ q[i]
                     left_over = 2 * k
                     for j in np.argsort(-score, kind="stable"):
                         own = [m for m in members[near[j]] if m != query][:k]
-                        out += [(query, m, float(score[j])) for m in own]
+                        out += [(query, row, m, float(score[j])) for m in own]
                         left_over -= len(own)
                         if left_over <= 0:
                             break
-                columns = list(zip(*out, strict=True)) if out else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "row", "vec_id", "score"])
 
     def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.Table.from_batches(list(one(key, iter(left.to_batches()), iter(right.to_batches()))))
 
-    grouped = nodes.select("dim", "shard", "ids", "v", "most").groupBy("dim", "shard").cogroup(visits.select("dim", "shard", "query_id", "v").groupBy("dim", "shard"))
+    grouped = nodes.select("dim", "shard", "ids", "v", "most").groupBy("dim", "shard").cogroup(visits.select("dim", "shard", "query_id", "row", "v").groupBy("dim", "shard"))
     found = grouped.applyInArrow(both, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
