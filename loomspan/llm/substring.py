@@ -2,7 +2,7 @@
 
 Every document indexes its non-overlapping blocks of BLOCK words. Any window of WINDOW >= 2 * BLOCK - 1 words holds one
 whole block of its document, so two documents that share a window share an anchor: an indexed block of one that a
-rolling probe of the other hits. Hits are extended to all windows around them, windows are compared by hash, and runs
+rolling probe of the other hits. Hits are extended to all windows around them, windows are compared by 128 bits of hash, and runs
 of windows found in an earlier document are the maximal repeats that go.
 """
 
@@ -22,6 +22,8 @@ from loomspan.llm.columns import hide, show
 from loomspan.llm.hashing import windows, word_hashes
 
 WINDOW, BLOCK = 50, 25
+#: Turns the word hashes of the second window hash: windows of two documents are equal if all 128 bits are.
+SEED = 0x5DEECE66D
 
 
 def _blocks(h: np.ndarray, places: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def _probe(docs: DataFrame, index, block: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, shared, window: int, block: int) -> DataFrame:
-    """(h, doc_id) of the windows that hold a shared block."""
+    """(h, h2, doc_id) of the windows that hold a shared block; h and h2 are independent hashes of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +74,13 @@ def _candidates(docs: DataFrame, shared, window: int, block: int) -> DataFrame:
                 hit[1:][at[bloom.has(shared.value, w)]] = 1
                 hit = np.cumsum(hit)
                 big, start = windows(h, places, window)
+                again, _ = windows(h, places, window, seed=SEED)
                 held = hit[start + window - block + 1] > hit[start]
                 ids = batch.column("doc_id").slice(row, end - row)
                 of = np.searchsorted(places, start[held], "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(big[held].view(np.int64)), ids.take(pa.array(of))], ["h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(big[held].view(np.int64)), pa.array(again[held].view(np.int64)), ids.take(pa.array(of))], ["h", "h2", "doc_id"])
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint")
+    return docs.mapInArrow(run, "h bigint, h2 bigint, doc_id bigint")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -88,11 +91,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     index = _index(docs, block)
     hits = _probe(docs, index, block).groupBy("h").agg(F.sum("aligned").alias("aligned"), F.max("probed").alias("probed"))
     shared = bloom.of_column(hits.where((F.col("aligned") > 1) | (F.col("aligned") > 0) & (F.col("probed") > 0)).select("h"), bloom.BITS)
-    found = _candidates(docs, shared, window, block)
+    found = scratch.materialize(_candidates(docs, shared, window, block), "window-candidates")
     # the smallest document of each window, for windows of several; written, so that the join below can split hot windows
-    first = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = scratch.materialize(first.where("first < last").select(F.col("h").alias("_h"), "first"), "window-firsts")
-    gone = found.join(first, F.col("h") == F.col("_h")).where(F.col("doc_id") > F.col("first"))
+    first = found.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = scratch.materialize(first.where("first < last").select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), "first"), "window-firsts")
+    gone = found.join(first, (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2"))).where(F.col("doc_id") > F.col("first"))
     return gone.groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
 
 
