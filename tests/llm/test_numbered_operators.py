@@ -1,11 +1,13 @@
 """The numbered operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from loomspan.llm import ann, bpe, chat, lm, mixing, neardup, packing, quality, substring, warc
+from loomspan.llm import ann, bpe, chat, graph, lm, mixing, neardup, packing, quality, substring, warc
 from loomspan.llm.queries import BYTE_BPE, WORD_BPE, WORD_BPE_END, WORD_BPE_SIZE
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n string, gone int, tk string, _n string"
@@ -390,3 +392,60 @@ def test_model_probabilities_add_up_and_beat_no_model():
     cost = model.bits_of(streams[50:])
     assert np.allclose(cost, [model.bits_of([s])[0] for s in streams[50:]], rtol=1e-4)
     assert cost.sum() / sum(map(len, streams[50:])) < 1.0  # about 0.55 bits a byte are in the choice of words
+
+
+def test_packed_ids_of_marks_and_of_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(WORD_BPE), packing.Encoder(WORD_BPE)
+    rnd = random.Random(11)
+    letters = ["AL\u0130", "\u0130", "e\u0301", "a", "Zz", ".", ",", "'s", "9", "\u00df", "x" * 80, "\u4e2d"]
+    texts = ["AL\u0130. b", "", *(" ".join("".join(rnd.choices(letters, k=3)) for _ in range(12)) for _ in range(300))]
+    for t in texts:
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert all(len(c) <= packing.LONGEST for c in ours.known)
+    spec = json.loads(Path(WORD_BPE).read_text())
+    spec["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    plain = packing.Encoder(str(other))
+    assert np.frombuffer(plain.encode("Hello World"), "<u4").tolist() == Tokenizer.from_file(str(other)).encode("Hello World", add_special_tokens=False).ids
+
+
+def test_records_read_as_warc_and_ids_decode_up_the_tree():
+    digest = hashlib.sha1(b"<p>x</p>").hexdigest()
+    full, again = (warc._record(7, "http://a.b/c d", digest, 8, r, b"<p>x</p>" if r is None else b"") for r in (None, 9))
+    fields, http, payload = warc.parse_record(full)
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= set(fields) and payload == b"<p>x</p>" and http["Content-Length"] == "8"
+    assert fields["WARC-Record-ID"] != warc.parse_record(again)[0]["WARC-Record-ID"] and warc.parse_record(again)[2] == b""
+    tree = bpe.TreeEncoder(bpe.load_ranks(BYTE_BPE), public_tokenizers.PATTERN)
+    ids = tree.encode("one two three " * 3000)
+    assert len(ids) > bpe.RUN and tree.decode(ids) == b"one two three " * 3000
+    cache = bpe.ChunkCache(tree)
+    long = "Ab9" * 60
+    assert cache.encode(f"a {long} b")[2] == f"a {long} b".encode() and not any(len(c) > bpe.LONGEST for c in cache.later)
+
+
+def test_components_by_one_task_and_by_stars(spark):
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for e in edges for x in e if any(x in f and f[0] != f[1] for f in edges)}
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    for run in (10, 1 << 20):
+        assert {tuple(r) for r in graph.components(df, run=run).collect()} == want
+
+
+def test_repeated_query_ids_have_rankings_of_their_own(spark):
+    rows = [(i, [float(i % 7), float(i % 5) + 0.5, 1.0 + i / 100]) for i in range(1, 40)] + [(20, [1.0, 2.0, 3.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 20).collect()
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 21), *range(1, 21)])
