@@ -13,10 +13,10 @@ from loomspan.plans.registry import query
 from loomspan.session import table
 
 YEAR = 1998
-STORE = f"""{PRED}, base AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS weight, round(sum(l_extendedprice) / sum(l_quantity), 6) AS value, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS dry,
+STORE = f"""{PRED}, base AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) AS weight, sum(l_extendedprice) / sum(l_quantity) AS value, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS dry,
     count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS hot, count(CASE WHEN l_linenumber = 7 THEN 1 END) AS compound, count(CASE WHEN l_discount = 0 THEN 1 END) AS hail, round(sum(l_tax), 6) AS excess, round(sum(l_discount), 6) AS rain FROM lineitem GROUP BY 1, 2),
-  panel AS (SELECT b.*, s_name AS name, n_name AS state, round(CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END, 6) AS prior FROM base b JOIN supplier ON s_suppkey = entity JOIN nation ON n_nationkey = s_nationkey WINDOW w AS (PARTITION BY entity ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-  preds AS (SELECT method, entity, test_year AS year, round(avg(pred / size), 6) AS pred, round(avg(lo / size), 6) AS lo, round(avg(hi / size), 6) AS hi FROM pred GROUP BY 1, 2, 3),
+  panel AS (SELECT b.*, s_name AS name, n_name AS state, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS prior FROM base b JOIN supplier ON s_suppkey = entity JOIN nation ON n_nationkey = s_nationkey WINDOW w AS (PARTITION BY entity ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+  preds AS (SELECT method, entity, test_year AS year, avg(pred / size) AS pred, avg(lo / size) AS lo, avg(hi / size) AS hi FROM pred GROUP BY 1, 2, 3),
   m AS (SELECT panel.*, p.pred, p.lo, p.hi FROM panel LEFT JOIN preds p ON p.entity = panel.entity AND p.year = panel.year AND p.method = 'N'),
   t AS (SELECT *, pred AS estimate, value AS observed, 100 * (pred - prior) / prior AS estimate_vs_average_pct, 100 * (value - prior) / prior AS observed_vs_average_pct, hi - lo AS interval_width, pred * weight AS production, compound * excess AS severity, hail + compound AS storms FROM m WHERE year = {YEAR})"""
 
@@ -26,13 +26,13 @@ def store(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     of = lambda c: F.count_if(c)
     base = t("lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("year")).agg(
-        F.sum("l_quantity").alias("weight"), r(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("value"), of(F.col("l_returnflag") == "R").alias("dry"), of(F.col("l_returnflag") == "A").alias("hot"),
+        F.sum("l_quantity").alias("weight"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("value"), of(F.col("l_returnflag") == "R").alias("dry"), of(F.col("l_returnflag") == "A").alias("hot"),
         of(F.col("l_linenumber") == 7).alias("compound"), of(F.col("l_discount") == 0).alias("hail"), r(F.sum("l_tax")).alias("excess"), r(F.sum("l_discount")).alias("rain"),
     )
     names = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"), F.col("n_name").alias("state"), F.col("s_acctbal").alias("credit"), F.col("n_regionkey").alias("size"), (F.col("s_acctbal") / 100).alias("share"))
     w = Window.partitionBy("entity").orderBy("year").rowsBetween(-5, -1)
-    panel = base.withColumn("prior", r(F.when(F.count("value").over(w) >= 3, F.avg("value").over(w)))).join(names.select("entity", "name", "state"), "entity")
-    unit = lambda c: r(F.avg(F.col(c) / F.col("size"))).alias(c)
+    panel = base.withColumn("prior", F.when(F.count("value").over(w) >= 3, F.avg("value").over(w))).join(names.select("entity", "name", "state"), "entity")
+    unit = lambda c: F.avg(F.col(c) / F.col("size")).alias(c)
     preds = predictions(spark, sf_dir).groupBy("method", "entity", F.col("test_year").alias("year")).agg(unit("pred"), unit("lo"), unit("hi"))
     return panel, preds, names
 
@@ -49,24 +49,24 @@ def _year(spark, sf_dir):
 _TABLE = ["weight", "estimate", "observed", "prior", "estimate_vs_average_pct", "observed_vs_average_pct", "interval_width", "production"]
 
 
-@query("serving_entity_table", f"WITH {STORE} SELECT entity, name, state, {', '.join(f'round({c}, 4) AS {c}' for c in _TABLE)}, dry, hot, compound, hail FROM t")
+@query("serving_entity_table", f"WITH {STORE} SELECT entity, name, state, {', '.join(f'round({c}, 3) AS {c}' for c in _TABLE)}, dry, hot, compound, hail FROM t")
 def serving_entity_table(spark, sf_dir):
-    return _year(spark, sf_dir)[0].select("entity", "name", "state", *[r(F.col(c), 4).alias(c) for c in _TABLE], "dry", "hot", "compound", "hail")
+    return _year(spark, sf_dir)[0].select("entity", "name", "state", *[r(F.col(c), 3).alias(c) for c in _TABLE], "dry", "hot", "compound", "hail")
 
 
-@query("serving_rankings", f"WITH {STORE}, k AS ({' UNION ALL '.join(f'''SELECT '{m}' AS metric, row_number() OVER (ORDER BY {m} DESC, entity) AS rank, entity, name, state, CAST({m} AS DOUBLE) AS v FROM t WHERE {m} IS NOT NULL''' for m in serving.METRICS)}) SELECT metric, CAST(rank AS INTEGER) AS rank, entity, name, state, round(v, 4) AS metric_value FROM k WHERE rank <= 25")
+@query("serving_rankings", f"WITH {STORE}, k AS ({' UNION ALL '.join(f'''SELECT '{m}' AS metric, row_number() OVER (ORDER BY {m} DESC, entity) AS rank, entity, name, state, CAST({m} AS DOUBLE) AS v FROM t WHERE {m} IS NOT NULL''' for m in serving.METRICS)}) SELECT metric, CAST(rank AS INTEGER) AS rank, entity, name, state, round(v, 3) AS metric_value FROM k WHERE rank <= 25")
 def serving_rankings(spark, sf_dir):
     held, _ = _year(spark, sf_dir)
-    return _all([serving.rankings(held, m) for m in serving.METRICS]).withColumn("metric_value", r(F.col("metric_value"), 4))
+    return _all([serving.rankings(held, m) for m in serving.METRICS]).withColumn("metric_value", r(F.col("metric_value"), 3))
 
 
 _STATIC = {"credit": "s_acctbal", "size": "n_regionkey", "share": "s_acctbal / 100"}
 
 
-@query("serving_map_layers", f"WITH {STORE}, k AS (SELECT s_suppkey AS entity, {', '.join(f'{e} AS {c}' for c, e in _STATIC.items())} FROM supplier JOIN nation ON n_nationkey = s_nationkey) " + " UNION ALL ".join(f"SELECT '{layer}' AS layer, entity, round(CAST({c} AS DOUBLE), 4) AS layer_value FROM {'t' if seasonal else 'k'} WHERE {c} IS NOT NULL" for layer, (c, seasonal) in serving.LAYERS.items()))
+@query("serving_map_layers", f"WITH {STORE}, k AS (SELECT s_suppkey AS entity, {', '.join(f'{e} AS {c}' for c, e in _STATIC.items())} FROM supplier JOIN nation ON n_nationkey = s_nationkey) " + " UNION ALL ".join(f"SELECT '{layer}' AS layer, entity, round(CAST({c} AS DOUBLE), 3) AS layer_value FROM {'t' if seasonal else 'k'} WHERE {c} IS NOT NULL" for layer, (c, seasonal) in serving.LAYERS.items()))
 def serving_map_layers(spark, sf_dir):
     held, names = _year(spark, sf_dir)
-    return _all([serving.layer_values(held, names, layer) for layer in serving.LAYERS]).withColumn("layer_value", r(F.col("layer_value"), 4))
+    return _all([serving.layer_values(held, names, layer) for layer in serving.LAYERS]).withColumn("layer_value", r(F.col("layer_value"), 3))
 
 
 def _w(value: str, more: str = "true") -> str:
@@ -90,16 +90,16 @@ def serving_state_series(spark, sf_dir):
 
 for _name, _ids in (("serving_entity_series", [3]), ("serving_compare", [1, 2, 5, 7])):
 
-    @query(_name, f"WITH {STORE} SELECT entity, year, name, value, prior, pred, lo, hi, dry, hot, compound FROM m WHERE entity IN ({', '.join(map(str, _ids))})")
+    @query(_name, f"WITH {STORE} SELECT entity, year, name, round(value, 3) AS value, round(prior, 3) AS prior, round(pred, 3) AS pred, round(lo, 3) AS lo, round(hi, 3) AS hi, dry, hot, compound FROM m WHERE entity IN ({', '.join(map(str, _ids))})")
     def series_view(spark, sf_dir, ids=_ids):
         panel, preds, _ = store(spark, sf_dir)
-        return serving.entity_series(panel, preds, ids, "N").select("entity", "year", "name", "value", "prior", "pred", "lo", "hi", "dry", "hot", "compound")
+        return serving.entity_series(panel, preds, ids, "N").select("entity", "year", "name", *[r(F.col(c), 3).alias(c) for c in ("value", "prior", "pred", "lo", "hi")], "dry", "hot", "compound")
 
 
-@query("serving_point_lookup", f"WITH {STORE} SELECT entity, year, value, pred, lo, hi FROM m WHERE entity = 4 AND year = {YEAR}")
+@query("serving_point_lookup", f"WITH {STORE} SELECT entity, year, round(value, 3) AS value, round(pred, 3) AS pred, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m WHERE entity = 4 AND year = {YEAR}")
 def serving_point_lookup(spark, sf_dir):
     panel, preds, _ = store(spark, sf_dir)
-    return serving.lookup("point", panel, preds, entity=4, year=YEAR).select("entity", "year", "value", "pred", "lo", "hi")
+    return serving.lookup("point", panel, preds, entity=4, year=YEAR).select("entity", "year", *[r(F.col(c), 3).alias(c) for c in ("value", "pred", "lo", "hi")])
 
 
 @query("serving_manifest", f"WITH {STORE} SELECT (SELECT count(*) FROM panel) AS rows, (SELECT count(DISTINCT entity) FROM panel) AS entities, (SELECT min(year) FROM panel) AS first_year, (SELECT max(year) FROM panel) AS last_year, count(DISTINCT method) AS methods, min(year) AS first_estimate, max(year) AS last_estimate FROM preds")
@@ -128,9 +128,9 @@ def prediction_exposure_join(spark, sf_dir):
     return held.groupBy("method", exposure.alias("exposure")).agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("hi") - F.col("lo")), 4).alias("width"))
 
 
-@query("benchmark_merge", f"WITH {STORE} SELECT a.entity, a.year, a.pred AS first_model, b.pred AS second_model, p.prior AS benchmark, round(abs(p.value - a.pred), 6) AS first_error, round(abs(p.value - p.prior), 6) AS benchmark_error FROM preds a JOIN preds b ON b.method = 'R' AND b.entity = a.entity AND b.year = a.year JOIN panel p ON p.entity = a.entity AND p.year = a.year WHERE a.method = 'N' AND p.prior IS NOT NULL")
+@query("benchmark_merge", f"WITH {STORE} SELECT a.entity, a.year, round(a.pred, 3) AS first_model, round(b.pred, 3) AS second_model, round(p.prior, 3) AS benchmark, round(abs(p.value - a.pred), 3) AS first_error, round(abs(p.value - p.prior), 3) AS benchmark_error FROM preds a JOIN preds b ON b.method = 'R' AND b.entity = a.entity AND b.year = a.year JOIN panel p ON p.entity = a.entity AND p.year = a.year WHERE a.method = 'N' AND p.prior IS NOT NULL")
 def benchmark_merge(spark, sf_dir):
     panel, preds, _ = store(spark, sf_dir)
     of = lambda m, name: preds.where(F.col("method") == m).select("entity", "year", F.col("pred").alias(name))
     held = of("N", "first_model").join(of("R", "second_model"), ["entity", "year"]).join(panel.where("prior IS NOT NULL").select("entity", "year", F.col("prior").alias("benchmark"), "value"), ["entity", "year"])
-    return held.select("entity", "year", "first_model", "second_model", "benchmark", r(F.abs(F.col("value") - F.col("first_model"))).alias("first_error"), r(F.abs(F.col("value") - F.col("benchmark"))).alias("benchmark_error"))
+    return held.select("entity", "year", *[r(F.col(c), 3).alias(c) for c in ("first_model", "second_model", "benchmark")], r(F.abs(F.col("value") - F.col("first_model")), 3).alias("first_error"), r(F.abs(F.col("value") - F.col("benchmark")), 3).alias("benchmark_error"))
