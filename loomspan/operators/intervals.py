@@ -200,7 +200,7 @@ def rolling_origins(panel: DataFrame, year: str, origins: list[int], cal_years:
 
 def leave_one_out_folds(panel: DataFrame, group: str, year: Column, groups: DataFrame, dev_from: int, cal_from: int) -> DataFrame:
     """Each row once for every held-out group: TEST if it belongs to it, else FIT, DEV or CAL by year."""
-    folds = panel.crossJoin(F.broadcast(groups.select(F.col(group).alias("held_out")).distinct()))
+    folds = panel.crossJoin(groups.select(F.col(group).alias("held_out")).distinct())
     role = F.when(F.col(group) == F.col("held_out"), "TEST").when(year >= cal_from, "CAL").when(year >= dev_from, "DEV").otherwise("FIT")
     return folds.withColumn("role", role)
 

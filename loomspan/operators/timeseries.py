@@ -11,11 +11,17 @@ def daily(df: DataFrame, entity: str, ts: str, value: str, agg=F.sum) -> DataFra
     return df.groupBy(F.col(entity).alias("entity"), F.to_date(ts).alias("day")).agg(agg(value).alias("value"))
 
 
-def densify(series: DataFrame, entities: DataFrame, first: str, last: str) -> DataFrame:
-    """Every entity on every day from first to last; value is null on days without a row."""
-    days = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
-    grid = entities.select("entity").distinct().select("entity", days)
-    return grid.join(series, ["entity", "day"], "left")
+def densify(series: DataFrame, entities: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Every entity on every day from first to last; value is null on days without a row.
+
+    A bound that is not given is the series' own first or last day.
+    """
+    ends = series.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    bound = lambda given, own: F.col(own) if given is None else F.lit(given).cast("date")
+    days = F.explode(F.sequence(bound(first, "_first"), bound(last, "_last"))).alias("day")
+    held = entities.select("entity").distinct()
+    held = held if first is not None and last is not None else held.crossJoin(F.broadcast(ends)).where("_first IS NOT NULL")
+    return held.select("entity", days).join(series, ["entity", "day"], "left")
 
 
 def strict_rolling_sum(dense: DataFrame, width: int, value: str = "value", out: str = "rolled") -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from loomspan.operators import timeseries as ts
 from loomspan.session import table
 
-FIRST, LAST = "2024-01-01", "2024-01-30"
-
 
 def r(column, places: int = 6):
     """Rounded, so that the order of a sum does not show."""
@@ -17,18 +15,18 @@ def r(column, places: int = 6):
 
 
 def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, day, value): daily sums of events for every user and day."""
+    """(entity, day, value): daily sums of events for every user, on every day between the first and the last event."""
     events = table(spark, sf_dir, "events")
     daily = ts.daily(events, "user_id", "ts", "value")
-    return ts.densify(daily, daily, FIRST, LAST)
+    return ts.densify(daily, daily)
 
 
-DENSE = f"""
+DENSE = """
 daily AS (SELECT user_id AS entity, CAST(ts AS DATE) AS day, sum(value) AS value FROM events GROUP BY 1, 2),
 dense AS (
   SELECT e.entity, d.day, daily.value
   FROM (SELECT DISTINCT entity FROM daily) e
-  CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day) d
+  CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(day) FROM daily), (SELECT max(day) FROM daily), INTERVAL 1 DAY)) AS DATE) AS day) d
   LEFT JOIN daily ON daily.entity = e.entity AND daily.day = d.day)"""
 
 

@@ -148,7 +148,7 @@ def entity_profile(spark, sf_dir):
     p = order_panel(spark, sf_dir)
     p = p.withColumn("pct", ts.percent_rank("orders", "entity")).withColumn("prior", ts.prior_average(5, 3, "entity", "year", "value"))
     last = p.groupBy("entity").agg(F.max_by(F.struct("year", "value", "orders", "pct", "prior"), "year").alias("l")).select("entity", "l.*")
-    named = last.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("entity")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    named = last.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("entity")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return named.select("entity", F.col("c_name").alias("name"), F.col("n_name").alias("state"), F.col("year").alias("last_year"), "value", r(100.0 * (F.col("value") - F.col("prior")) / F.col("prior"), 5).alias("vs_prior"), models.relative_class(F.col("orders"), F.col("pct")).alias("risk"))
 
 

@@ -41,7 +41,7 @@ def outer_join_indicator(spark, sf_dir):
 def crosswalk_fanout(spark, sf_dir):
     walk = table(spark, sf_dir, "supplier").where("s_nationkey % 4 <> 0").select(F.col("s_nationkey").alias("zone_key"), "s_suppkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("zone_key"))
-    out = joins.crosswalk(c, walk, ["zone_key"], "s_suppkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("zone_key") == F.col("n_nationkey"))
+    out = joins.crosswalk(c, walk, ["zone_key"], "s_suppkey").join(table(spark, sf_dir, "nation"), F.col("zone_key") == F.col("n_nationkey"))
     return out.groupBy(F.col("n_name").alias("zone"), "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("customers"))
 
 
@@ -116,7 +116,7 @@ def topk_ranking(spark, sf_dir):
 @query("state_weighted_summary", """SELECT n_name AS state, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, count(DISTINCT s_suppkey) AS entities, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted,
   round(avg(l_extendedprice), 4) AS mean, round(min(l_discount), 6) AS low, round(max(l_discount), 6) AS high FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2""")
 def state_weighted_summary(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     return li.groupBy(F.col("n_name").alias("state"), F.year("l_shipdate").alias("year")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("s_suppkey").alias("entities"), r(agg.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("weighted"),
         r(F.avg("l_extendedprice"), 4).alias("mean"), r(F.min("l_discount")).alias("low"), r(F.max("l_discount")).alias("high"),
