@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.ordering import quantiles_by
+
 
 def gated(agg: Column, valid: Column, wanted: Column, share: float) -> Column:
     """An aggregate, if at least `share` of the wanted rows are valid."""
@@ -55,7 +57,7 @@ def kurtosis(x: str) -> Column:
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, std, min, max, skewness, kurtosis and percent outside 1.5 interquartile ranges."""
     long = unpivot(df, columns)
-    edges = long.groupBy("column").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    edges = quantiles_by(long, ["column"], "value", {"q1": lambda n: F.lit(0.25), "q3": lambda n: F.lit(0.75)}).drop("n")
     held = long.join(F.broadcast(edges), "column")  # one row a column
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)

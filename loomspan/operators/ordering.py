@@ -39,19 +39,23 @@ def quantiles(df: DataFrame, value: str, levels: dict[str, Column]) -> DataFrame
 
 
 def quantiles_by(df: DataFrame, keys: list[str], value: str, level, state: DataFrame | None = None) -> DataFrame:
-    """(keys, n, q): interpolated quantiles of the non-null values of each key at level(n).
+    """(keys, n, q): interpolated quantiles of the non-null values of each key at level(n); of a dict of levels, a column each.
 
     Values are counted, put in ranges of (keys, value) and ranked by running counts, so a hot key spans many tasks. state
     (keys, more columns), if given, joins the keys' totals, and level may use its columns.
     """
+    levels = level if isinstance(level, dict) else {"q": level}
     at = F.struct(*keys, "s")
     by_value = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c")).withColumn("_at", at)
     held = running_sums(by_value, "_at", "c")
     totals = held.groupBy(*keys).agg(F.sum("c").alias("n"), F.min(F.col("up_to_c") - F.col("c")).alias("_base"))
     totals = totals if state is None else totals.join(F.broadcast(state), keys)
-    totals = totals.withColumn("_h", (F.col("n") - 1) * level(F.col("n"))).select(*keys, "n", "_base", "_h")
+    totals = totals.withColumns({f"_h_{k}": (F.col("n") - 1) * f(F.col("n")) for k, f in levels.items()}).select(*keys, "n", "_base", *[f"_h_{k}" for k in levels])
     seen = held.drop("_at").join(totals, keys)
-    rank, low = F.col("up_to_c") - F.col("_base"), F.floor("_h")
-    one = seen.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_h").alias("_h"), F.min(F.when(rank > low, F.col("s"))).alias("_a"), F.min(F.when(rank > low + 1, F.col("s"))).alias("_b"))
-    part = F.col("_h") - F.floor("_h")
-    return one.select(*keys, "n", (F.col("_a") * (1 - part) + F.coalesce("_b", "_a") * part).alias("q"))
+    rank, ends = F.col("up_to_c") - F.col("_base"), []
+    for k in levels:
+        low = F.floor(f"_h_{k}")
+        ends += [F.max(f"_h_{k}").alias(f"_h_{k}"), F.min(F.when(rank > low, F.col("s"))).alias(f"_a_{k}"), F.min(F.when(rank > low + 1, F.col("s"))).alias(f"_b_{k}")]
+    one = seen.groupBy(*keys).agg(F.max("n").alias("n"), *ends)
+    part = lambda k: F.col(f"_h_{k}") - F.floor(f"_h_{k}")
+    return one.select(*keys, "n", *[(F.col(f"_a_{k}") * (1 - part(k)) + F.coalesce(f"_b_{k}", f"_a_{k}") * part(k)).alias(k) for k in levels])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import special
 from loomspan.operators import models
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import PANEL, order_panel, r
+from loomspan.plans.inference_queries import binomial_sql
 from loomspan.plans.registry import query
 from loomspan.session import table
 
@@ -158,7 +160,9 @@ def name_search(spark, sf_dir):
     return c.orderBy("c_name", "c_custkey").limit(20).select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
 
 
-@query("sign_test", f"""WITH {PANEL}, d AS (SELECT entity, value - lag(value) OVER (PARTITION BY entity ORDER BY year) AS d FROM panel) SELECT count(CASE WHEN d > 0 THEN 1 END) AS ups, count(CASE WHEN d < 0 THEN 1 END) AS downs, count(CASE WHEN d = 0 THEN 1 END) AS ties FROM d""")
+@query("sign_test", f"""WITH {PANEL}, d AS (SELECT entity, value - lag(value) OVER (PARTITION BY entity ORDER BY year) AS d FROM panel), k AS (SELECT count(CASE WHEN d > 0 THEN 1 END) AS ups, count(CASE WHEN d < 0 THEN 1 END) AS downs, count(CASE WHEN d = 0 THEN 1 END) AS ties FROM d)
+  SELECT ups, downs, ties, round({binomial_sql('ups', '(ups + downs)')}, 6) AS p_value FROM k""")
 def sign_test(spark, sf_dir):
     d = order_panel(spark, sf_dir).select((F.col("value") - F.lag("value").over(Window.partitionBy("entity").orderBy("year"))).alias("d"))
-    return d.agg(F.count_if(F.col("d") > 0).alias("ups"), F.count_if(F.col("d") < 0).alias("downs"), F.count_if(F.col("d") == 0).alias("ties"))
+    k = d.agg(F.count_if(F.col("d") > 0).alias("ups"), F.count_if(F.col("d") < 0).alias("downs"), F.count_if(F.col("d") == 0).alias("ties"))
+    return k.withColumn("p_value", r(special.binomial_two_sided(F.col("ups"), F.col("ups") + F.col("downs"))))
