@@ -170,6 +170,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The rows of (word, n) whose n is at or above a threshold that at most `most` words reach.
+
+    The threshold comes from the numbers of words in steps of n of an eighth of an octave, so no words are sorted and a
+    task hands on no more rows than belong to the result.
+    """
+    step = F.floor(F.log2("n") * 8)
+    least, held = None, 0
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 512 rows at most
+        held += r["count"]
+        if held > most:
+            break
+        least = r.step
+    return words.where(F.lit(False) if least is None else step >= least)
+
+
 def _runs(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Streams in runs of about RUN bytes, each behind padding of its own, and where each stream begins and the run ends.
 
@@ -427,8 +443,7 @@ def score(docs: DataFrame) -> DataFrame:
     trees = sc.broadcast(Trees(seen))
     spans = scratch.materialize(_spans(docs), "spans")
     predicted = _predictions(spans, trees, 1 + int(seen.sum()) // PIECE)
-    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
-    top = sc.broadcast({r.word.encode(): r.n for r in frequent.collect()})  # FREQUENT rows at most
+    top = sc.broadcast({r.word.encode(): r.n for r in frequent_words(words, FREQUENT).collect()})  # FREQUENT rows at most
     rest = np.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
