@@ -35,14 +35,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[hung], nodes[root[hung]]
 
 
-def _forests(edges: DataFrame, run: int) -> DataFrame:
-    """Edges (u, v) with the same components: those of every run of rows of a partition become its forest."""
+def _forests(edges: DataFrame, run: int, roots: bool = False) -> DataFrame:
+    """Edges (u, v) with the same components: those of every run of rows of a partition become its forest.
+
+    With `roots`, the smallest node of each tree hangs on itself.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
             u, v = forest(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+            if roots:
+                root = np.unique(v)
+                u, v = np.concatenate([u, root]), np.concatenate([v, root])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -66,9 +72,13 @@ def components(edges: DataFrame, run: int = RUN) -> DataFrame:
     ways give the same rows. Nodes without an edge to another node don't appear.
     """
     now, mark = _write(_forests(edges.where("a <> b").select("a", "b"), run))
-    now = _forests(now.coalesce(1), run + 1) if mark[0] <= run else _stars(now)
-    now = scratch.materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
-    return now.union(now.select(F.col("component").alias("node"), "component").distinct())
+    now = _forests(now.coalesce(1), run + 1, roots=True) if mark[0] <= run else _with_roots(_stars(now))
+    return scratch.materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
+
+
+def _with_roots(hung: DataFrame) -> DataFrame:
+    """The edges (u, v), and one from each v to itself."""
+    return hung.union(hung.select(F.col("v").alias("u"), "v").distinct())
 
 
 def _stars(now: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lower:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
 def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -186,18 +186,17 @@ def _tiled(members: DataFrame, key: str, load: Column, most: int, details: DataF
     group of copies. So the other members' tiles come first, and every tile meets those alone: a member is there once for
     each tile that it meets. The details of a node join the members that are left.
     """
-    first = members.groupBy(key).agg(F.min(F.struct("doc_id", "component")).getField("component").alias("major"), F.min("component").alias("low"), F.max("component").alias("high"))
-    first = scratch.materialize(first.where("low < high").select(F.col(key).alias("_key"), "major"), "tile-keys")
-    held = members.join(first, F.col(key) == F.col("_key")).withColumn("minor", F.col("component") != F.col("major"))
-    held = scratch.materialize(held.drop("_key", "major", "doc_id"), "tile-members")
-    count = lambda minor: F.ceil(F.sum(F.when(F.col("minor") == minor, load).otherwise(0)) / most).cast("int")
-    tiles = scratch.materialize(held.groupBy(key).agg(count(True).alias("minors"), count(False).alias("majors")).withColumnRenamed(key, "_key"), "tiles")
-    met = held.join(details, "node").join(tiles, F.col(key) == F.col("_key"))
+    parts = members.groupBy(key, "component").agg(F.min("doc_id").alias("doc_id"), F.sum(load).alias("load"))
+    tiles = parts.groupBy(key).agg(F.min(F.struct("doc_id", "component", "load")).alias("first"), F.sum("load").alias("load"), F.count(F.lit(1)).alias("parts"))
+    count = lambda load: F.ceil(load / most).cast("int")
+    tiles = tiles.where("parts > 1").select(F.col(key).alias("_key"), F.col("first.component").alias("major"), count(F.col("load") - F.col("first.load")).alias("minors"), count(F.col("first.load")).alias("majors"))
+    held = members.join(scratch.materialize(tiles, "tiles"), F.col(key) == F.col("_key")).withColumn("minor", F.col("component") != F.col("major"))
+    met = held.drop("_key", "major", "doc_id").join(details, "node")
     spread = F.xxhash64("node")
     met = met.withColumn("tile", F.when(F.col("minor"), F.pmod(spread, "minors")).otherwise(F.col("minors") + F.pmod(spread, "majors")).cast("int"))
     last = F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("_key", "minor", "minors", "majors", "other")
+    return met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("minor", "minors", "majors", "other")
 
 
 def _may_fit(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +228,7 @@ def _may_fit(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
         return node[hung], node[root[hung]]
 
     met = _tiled(members, "key", F.lit(1), TILE, light.select("node", "n", "sketch")).select("key", "i", "j", "tile", "node", "component", "n", "sketch")
-    return _grouped(met, ["key", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
+    return _grouped(met, ["key", "i", "j"], work, "a bigint, b bigint", ["a", "b"])
 
 
 def _exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +264,7 @@ def _exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         return node[a[one]], node[b[one]]
 
     met = _tiled(members, "cluster", F.col("n"), 200_000, sets).select("cluster", "i", "j", "tile", "node", "component", "n", "shingles")
-    return _grouped(met, ["cluster", "i", "j"], work, "a bigint, b bigint", ["a", "b"]).distinct()
+    return _grouped(met, ["cluster", "i", "j"], work, "a bigint, b bigint", ["a", "b"])
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
