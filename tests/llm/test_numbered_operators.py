@@ -449,3 +449,14 @@ def test_repeated_query_ids_have_rankings_of_their_own(spark):
     rows = [(i, [float(i % 7), float(i % 5) + 0.5, 1.0 + i / 100]) for i in range(1, 40)] + [(20, [1.0, 2.0, 3.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 20).collect()
     assert sorted(r["rank"] for r in got) == sorted([*range(1, 21), *range(1, 21)])
+
+
+def test_frequent_words_are_bounded_and_the_most_frequent(spark):
+    counts = [1] * 50 + [2] * 20 + [3, 3, 9, 40, 40, 1000]
+    words = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate(counts)], "word string, n bigint")
+    for most in (0, 1, 2, 3, 5, 6, 25, 26, 75, 76, 1000):
+        got = sorted(r.n for r in lm.frequent_words(words, most).collect())
+        # words of one count stay together, so that no more than `most` are taken
+        least = next((n for n in sorted(set(counts)) if sum(c >= n for c in counts) <= most), None)
+        assert got == sorted(c for c in counts if least is not None and c >= least)
+    assert lm.frequent_words(words.where("n < 0"), 10).count() == 0
