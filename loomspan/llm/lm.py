@@ -1,50 +1,58 @@
 """Language-model scores by online logistic context mixing, with a unigram base.
 
-A text is scored as the bytes of its lower-cased tokens, blanks between them and one end. Each byte is a path of binary
+A text is scored as the bytes of its lower-cased tokens, a blank behind each and one end. Each byte is a path of binary
 decisions in the Huffman tree of the training bytes that follow the byte before it. Three predictors give the log odds
-of each decision: the tree itself, and two tables keyed by a hash of the last 3 or 5 bytes and the tree node, which hold
-how often either bit came in training. Each predictor is gated by how much the longer ones have seen, and the gated log
-odds are summed with weights that are refined after every decision by the gradient of its cost. The costs add up to the
-bits of a text. Refinement starts anew every SPAN decisions of a text, so that many spans are scored in step.
-
-All of the training documents are counted, each context by a hash of 48 bits, so the tables grow with the corpus and are
-neither broadcast nor collected: documents form spans, each span sends its distinct contexts and their counts to the
-pieces that sum them, and gets the sums' predictions back.
+of each decision: the tree itself, and two that hold how often either bit came in training, keyed by a hash of the tree
+node and of the last three bytes, or of all bytes of the token so far. Each predictor is gated by how much the longer
+ones have seen, and the gated log odds are summed with weights that are refined after every decision by the gradient of
+its cost. The costs add up to the bits of a text. Refinement starts anew every SPAN decisions of a text, so that many
+stretches are scored in step.
+
+Contexts of three bytes are few in any corpus and share 2 ** SLOTS slots. Contexts within tokens grow with the corpus:
+they are counted from the distinct tokens of all training documents, by 48 bits of hash, in pieces that are neither
+broadcast nor collected. What a token's contexts predict depends on the token alone, so it is a column of the table of
+tokens; spans of documents hold that of the FREQUENT most frequent tokens in memory and get the rest by a join. Beyond
+DEPTH bytes of a token its contexts say nothing.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.llm.hashing import mix
 
-#: Bytes that the hashed predictors look back.
-ORDERS = (3, 5)
-#: Decisions after which the weights start anew, their starting values (order 1 first), and the rate of refinement.
-SPAN, START, RATE = 1000, (1.0, 1.0, 1.0), 0.03
+#: Bytes that the short contexts look back, bits of their slots, and bytes of a token that have contexts of their own.
+ORDER, SLOTS, DEPTH = 3, 22, 24
+#: Decisions after which the weights start anew, their starting values (the tree, short contexts, tokens), and the rate of refinement.
+SPAN, START, RATE = 2000, (1.0, 1.0, 1.0), 0.03
 #: Added to the counts of either bit before their log odds are taken.
 SMALL = 0.3
 #: Counts at which a predictor's confidence steps up, and by its confidence what the next shorter one still weighs.
 SEEN, GATES = (1, 4, 32), (1.0, 0.7, 0.5, 0.3)
-#: Words whose counts are broadcast; training bytes for each piece of the tables; bytes of a span, of texts scored together, and coded together.
-FREQUENT, PIECE, WHOLE, BATCH, RUN = 262_144, 1 << 23, 1 << 22, 1 << 20, 1 << 14
-PAD = b"\n" * max(ORDERS)
+#: Tokens whose predictions are broadcast and the longest of them in bytes; distinct tokens of a span of tokens and for each piece of contexts.
+FREQUENT, LONGEST, WORDS, PIECE = 262_144, 64, 1 << 15, 1 << 17
+#: Bytes of a span of documents, of texts mixed together, and coded together.
+WHOLE, BATCH, RUN = 1 << 22, 1 << 21, 1 << 14
+PAD = b" " * ORDER
 #: What a context predicts is a byte: two bits of confidence and six of log odds, in steps of a quarter.
 _STEP = 0.25
 _ODDS = np.tile(np.arange(-32, 32) * _STEP, 4).astype(np.float32)
 _GATE = np.repeat(GATES, 64).astype(np.float32)
 #: Log odds against a bit are those of a one, for a zero.
 _AGAINST = np.array([1, -1], np.float32)
+#: A context that never came predicts nothing.
+NOTHING = 32
 
 
 _COUNT = np.arange(1 << 17)
@@ -99,34 +107,46 @@ class Trees:
         return of, np.take(self.node, flat), np.take(self.bit, flat)
 
 
-def _hashes(data: np.ndarray, start: int) -> Iterator[np.ndarray]:
-    """Hashes of the bytes before each place for each order; data holds max(ORDERS) bytes before `start`."""
-    n, packed, done = len(data) - start, np.zeros(len(data) - start, np.uint64), 0
-    for order in ORDERS:
-        while done < order:
-            done += 1
-            packed = packed << np.uint64(8) | data[start - done : start - done + n].astype(np.uint64)
-        yield mix(packed * np.uint64(2 * order + 1) + np.uint64(order))
-
-
-def _slots(data: np.ndarray, start: int, of: np.ndarray, node: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Slots of all decisions for each order, in tables of 2 ** bits slots."""
-    spread = node * 0x9E3779B1
-    for k, h in enumerate(_hashes(data, start)):
-        slot = np.take((h >> np.uint64(24)).astype(np.int64), of)
-        slot += spread
-        slot &= (1 << bits[k]) - 1
-        yield slot
-
-
-def _contexts(data: np.ndarray, start: int, of: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
-    """48 bits for the context of all decisions for each order."""
-    spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for h in _hashes(data, start):
-        context = np.take(h, of)
-        context += spread
-        context >>= np.uint64(16)
-        yield context
+def _short(grams: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of decisions: `grams` holds the ORDER bytes before each place."""
+    slot = np.take((mix(grams.astype(np.uint64) + np.uint64(1)) >> np.uint64(24)).astype(np.int64), of)
+    slot += node * 0x9E3779B1
+    slot &= (1 << SLOTS) - 1
+    return slot
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """For each place behind the first padding, the ORDER bytes before it and its own byte, in 32 bits."""
+    gram = np.zeros(len(data) - ORDER, np.uint32)
+    for k in range(ORDER + 1):
+        gram = gram << np.uint32(8) | data[k : k + len(gram)]
+    return gram
+
+
+def piece_of(word: bytes) -> bytes:
+    """The bytes of a token that have contexts of their own: its first, with the blank behind it; the end is one newline."""
+    return (word + b" ")[:DEPTH] if word else b"\n"
+
+
+def _prefixes(words: list[bytes], trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the decisions of tokens: the token each belongs to, 48 bits for its context, its bit; and places where tokens begin among them."""
+    pieces = [piece_of(w) for w in words]
+    length = np.array([len(x) for x in pieces], np.int64)
+    start = np.cumsum(length) - length
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    before = np.empty_like(data)
+    before[1:] = data[:-1]
+    before[start] = 32
+    h, state, at = np.empty(len(data), np.uint64), np.ones(len(words), np.uint64), start
+    for depth in range(DEPTH):
+        left = length > depth
+        at, state, length = at[left], state[left], length[left]
+        h[at + depth] = state
+        state = mix(state * np.uint64(0x100000001B3) + data[at + depth].astype(np.uint64) + np.uint64(1))
+    of, node, bit = trees.decisions(data, before)
+    context = np.take(h, of)
+    context += node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.searchsorted(start, of, "right") - 1, mix(context) >> np.uint64(16), bit, np.searchsorted(of, start)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -134,35 +154,44 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def stream_of(found: list[bytes]) -> bytes:
+    """The bytes that are scored for a text's tokens."""
+    return b" ".join([*found, b"\n"])
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(kind, word, n) over the training documents: kind w for tokens ('' is the end), b for bytes of their streams."""
+    """(kind, word, n): kind w for tokens of all documents ('' is the end), b for pairs of bytes; n counts training documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Counter(), np.zeros(65_536, np.int64)
+        words, seen, others = Counter(), np.zeros(65_536, np.int64), set()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(["w"] * len(words), pa.string()), pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], ["kind", "word", "n"])
+            rows = {**dict.fromkeys(others, 0), **words}
+            return pa.RecordBatch.from_arrays([pa.array(["w"] * len(rows), pa.string()), pa.array([w.decode("utf-8", "replace") for w in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], ["kind", "word", "n"])
 
         def pairs(streams: list[bytes]) -> np.ndarray:
-            data = np.frombuffer(b"\n" + b"".join(streams), np.uint8)
+            data = np.frombuffer(b" " + b" ".join(streams), np.uint8)
             return np.bincount(data[:-1].astype(np.int64) << 8 | data[1:], minlength=65_536)
 
         for batch in batches:
             streams, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(doc_id):
-                    found = tokens(text.as_py())
-                    words.update(found)
-                    words[b""] += 1
-                    streams.append(b" ".join(found) + b"\n")
-                    size += len(streams[-1])
-                    if size > BATCH:
-                        seen += pairs(streams)
-                        streams, size = [], 0
+                found = tokens(text.as_py())
+                if held_out(doc_id):
+                    others.update(found)
+                    others.add(b"")
+                    continue
+                words.update(found)
+                words[b""] += 1
+                streams.append(stream_of(found))
+                size += len(streams[-1])
+                if size > BATCH:
+                    seen += pairs(streams)
+                    streams, size = [], 0
             seen += pairs(streams)
-            if len(words) > 300_000:
+            if len(words) + len(others) > 300_000:
                 yield out()
-                words = Counter()
+                words, others = Counter(), set()
         yield out()
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(["b"] * len(used), pa.string()), pa.array(list(map(str, used.tolist())), pa.string()), pa.array(seen[used])], ["kind", "word", "n"])
@@ -202,14 +231,11 @@ def _runs(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = end
 
 
-def _decisions(data: np.ndarray, starts: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Decisions of a run without those of its padding: the place of their byte, node and bit."""
-    body = data[len(PAD) :]
-    real = np.ones(len(body), bool)
+def _real(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of a run without its padding."""
+    real = np.ones(len(data) - len(PAD), bool)
     real[(starts[1:-1, None] - np.arange(1, len(PAD) + 1)).ravel()] = False
-    real = np.flatnonzero(real)
-    of, node, bit = trees.decisions(body[real], data[len(PAD) - 1 : -1][real])
-    return real[of], node, bit
+    return np.flatnonzero(real)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
@@ -220,45 +246,51 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return (level * 64 + (np.rint(odds).clip(-32, 31) + 32).astype(np.int64)).astype(np.uint8)
 
 
-def _chunks(streams: list) -> Iterator[list]:
-    """Pairs of (id, stream) in chunks of about BATCH bytes."""
-    held, size = [], 0
-    for pair in streams:
-        held.append(pair)
-        size += len(pair[1])
-        if size >= BATCH:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def count_short(streams: list[bytes], trees: Trees, table: np.ndarray) -> None:
+    """Add the bits of streams to the counts of both bits of all slots. Equal bytes in equal contexts are added at once."""
+    each = [_grams(data)[_real(data, starts)] for data, starts in _runs(streams)]
+    if not each:
+        return
+    grams = np.sort(np.concatenate(each))
+    first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+    times, grams = np.diff(first, append=len(grams)).astype(table.dtype), grams[first]
+    of, node, bit = trees.decisions((grams & np.uint32(255)).astype(np.uint8), grams >> np.uint32(8) & np.uint32(255))
+    np.add.at(table, 2 * _short(grams >> np.uint32(8), of, node) + bit, np.take(times, of))
+
+
+def _short_table(docs: DataFrame, trees: Broadcast) -> np.ndarray:
+    """What each slot of the short contexts predicts, from all training documents: a byte each, 2 ** SLOTS in all."""
+    part = 1 << 17
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, streams, size = np.zeros(2 << SLOTS, np.int64), [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not held_out(doc_id):
+                    streams.append(stream_of(tokens(text.as_py())))
+                    size += len(streams[-1])
+                    if size > BATCH:
+                        count_short(streams, trees.value, table)
+                        streams, size = [], 0
+        count_short(streams, trees.value, table)
+        for p, counts in enumerate(table.reshape(-1, part)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([_small(counts)], pa.binary())], ["part", "counts"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = _plain(data).astype(np.int64)
+                held[p] = held[p] + counts if p in held else counts
+        for p, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([packed(counts).tobytes()], pa.binary())], ["part", "seen"])
 
-def _counted(pairs: list[tuple[int | None, bytes]], trees: Trees) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct contexts of (id, stream) pairs, sorted, and how often either bit came (by turns) in training documents."""
-    found: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for held in found:
-        for data, starts in _runs([x for i, x in pairs if held_out(i) == held]):
-            of, node, bit = _decisions(data, starts, trees)
-            found[held] += [context << np.uint64(1) | bit for context in _contexts(data, len(PAD), of, node)]
-    both = {held: np.sort(np.concatenate([np.zeros(0, np.uint64), *x])) for held, x in found.items()}
-    seen = both[False] >> np.uint64(1)
-    first = np.flatnonzero(np.diff(seen, prepend=~seen[:1]))
-    own, total = seen[first], np.diff(first, append=len(seen))
-    ones = np.add.reduceat((both[False] & np.uint64(1)).astype(np.int64), first) if len(first) else total
-    contexts = np.union1d(own, both[True] >> np.uint64(1))
-    counts = np.zeros(2 * len(contexts), np.int64)
-    at = 2 * np.searchsorted(contexts, own)
-    counts[at], counts[at + 1] = total - ones, ones
-    return contexts, counts
-
-
-def _summed(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct ones of all contexts, the sums of their counts, and the place of each context among them."""
-    contexts, where = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True)
-    counts = np.zeros(2 * len(contexts), np.int64)
-    for k in (0, 1):
-        np.add.at(counts, 2 * where + k, np.concatenate([n[k::2] for _, n in each]))
-    return contexts, counts, where
+    table = np.full((2 << SLOTS) // part * (part // 2), NOTHING, np.uint8).reshape(-1, part // 2)
+    summed = docs.mapInArrow(run, "part bigint, counts binary").repartition("part").mapInArrow(add, "part bigint, seen binary")
+    for row in summed.toLocalIterator():  # a byte a slot, 4 MB at any size of the corpus
+        table[row.part] = np.frombuffer(row.seen, np.uint8)
+    return table.ravel()
 
 
 def _piece(contexts: np.ndarray, pieces: int) -> np.ndarray:
@@ -275,115 +307,158 @@ def _plain(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """(span, at, doc_id, text): documents in spans of about WHOLE bytes."""
+def _word_spans(words: DataFrame, distinct: int) -> DataFrame:
+    """(span, words, times): the distinct tokens in order, in spans of up to WORDS tokens, joined by blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span, size, at = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            spans, ats = [], []
-            for text in batch.column(1):
-                if size >= WHOLE:
-                    span, size, at = span + 1, 0, 0
-                spans.append(span)
-                ats.append(at)
-                size += len((text.as_py() or "").encode("utf-8", "surrogatepass")) + 1
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int64()), pa.array(ats, pa.int64()), batch.column(0), batch.column(1)], ["span", "at", "doc_id", "text"])
+        span, held, times, size = TaskContext.get().partitionId() << 32, [], [], 0
 
-    return docs.mapInArrow(run, "span bigint, at bigint, doc_id bigint, text string")
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([span]), pa.array([b" ".join(held)], pa.binary()), pa.array([_small(np.array(times, np.int64))], pa.binary())], ["span", "words", "times"])
 
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(word.encode())
+                times.append(n)
+                size += len(held[-1])
+                if len(held) == WORDS or size > WHOLE:
+                    yield out()
+                    span, held, times, size = span + 1, [], [], 0
+        if held:
+            yield out()
 
-def _span_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of batches that are sorted by key, those of one key at a time."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0][key] != row[key]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+    ordered = words.repartitionByRange(1 + distinct // WORDS, "word").sortWithinPartitions("word")
+    return ordered.mapInArrow(run, "span bigint, words binary, times binary")
 
 
-def _predictions(spans: DataFrame, trees, pieces: int) -> DataFrame:
-    """(span, piece, seen): what all training documents predict in the span's distinct contexts, a byte each, sorted by context."""
+def _word_predictions(spans: DataFrame, trees: Broadcast, pieces: int) -> DataFrame:
+    """(word, n, seen): what the contexts of all training tokens predict at each decision of a token, a byte each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _span_rows(batches, "span"):
-            pairs = [(r["doc_id"], b" ".join(tokens(r["text"])) + b"\n") for r in rows]
-            contexts, counts, _ = _summed([_counted(chunk, trees.value) for chunk in _chunks(pairs)])
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            of, context, bit, _ = _prefixes(row["words"].split(b" "), trees.value)
+            contexts, where = np.unique(context, return_inverse=True)
+            counts = np.zeros(2 * len(contexts), np.int64)
+            np.add.at(counts, 2 * where + bit, np.take(_plain(row["times"]).astype(np.int64), of))
             piece = _piece(contexts, pieces)
             cuts = [*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), len(piece)]
             parts = [(_small(np.diff(contexts[i:j], prepend=np.uint64(0))), _small(counts[2 * i : 2 * j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece[cuts[:-1]], pa.int64()), pa.array([rows[0]["span"]] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*parts, strict=True))], ["piece", "span", "contexts", "counts"]
+                [pa.array(piece[cuts[:-1]], pa.int64()), pa.array([row["span"]] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*parts, strict=True))], ["piece", "span", "contexts", "counts"]
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _span_rows(batches, "piece"):
-            each = [(np.cumsum(_plain(r["contexts"]), dtype=np.uint64), _plain(r["counts"]).astype(np.int64)) for r in rows]
-            _, counts, where = _summed(each)
-            seen, end = packed(counts)[where], np.cumsum([len(x) for x, _ in each])
-            for r, (x, _), j in zip(rows, each, end.tolist(), strict=True):
+        for rows in _rows_of(batches, "piece"):
+            each = [np.cumsum(_plain(r["contexts"]), dtype=np.uint64) for r in rows]
+            contexts, where = np.unique(np.concatenate(each), return_inverse=True)
+            counts, added = np.zeros(2 * len(contexts), np.int64), [_plain(r["counts"]).astype(np.int64) for r in rows]
+            for k in (0, 1):
+                np.add.at(counts, 2 * where + k, np.concatenate([x[k::2] for x in added]))
+            seen, end = packed(counts)[where], np.cumsum([len(x) for x in each])
+            for r, x, j in zip(rows, each, end.tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([r["span"]]), pa.array([r["piece"]]), pa.array([zlib.compress(seen[j - len(x) : j].tobytes(), 1)], pa.binary())], ["span", "piece", "seen"])
 
-    counted = spans.repartition("span").sortWithinPartitions("span", "at").mapInArrow(count, "piece bigint, span bigint, contexts binary, counts binary")
-    return counted.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "span bigint, piece bigint, seen binary")
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            words = row["words"].split(b" ")
+            _, context, _, begin = _prefixes(words, trees.value)
+            seen = np.frombuffer(b"".join(zlib.decompress(r["seen"]) for r in row["parts"]), np.uint8)
+            flat, end = seen[np.unique(context, return_inverse=True)[1]].tobytes(), [*begin[1:].tolist(), len(context)]
+            own = [flat[i:j] + _silent(w, trees.value) for w, i, j in zip(words, begin.tolist(), end, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(_plain(row["times"]).astype(np.int64)), pa.array(own, pa.binary())], ["word", "n", "seen"])
 
+    counted = spans.mapInArrow(count, "piece bigint, span bigint, contexts binary, counts binary")
+    summed = counted.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "span bigint, piece bigint, seen binary")
+    parts = summed.groupBy("span").agg(F.sort_array(F.collect_list(F.struct("piece", "seen"))).alias("parts"))  # one span's, 8 MB at most
+    return spans.join(parts, "span").select("words", "times", "parts").mapInArrow(back, "word string, n bigint, seen binary")
 
-class Model:
-    """Tables in memory; scores streams. A corpus is scored by score(), without tables of a fixed size."""
 
-    def __init__(self, trees: Trees, tables: np.ndarray, bits: tuple[int, ...]):
-        starts = np.cumsum([0, *(1 << b for b in bits)])
-        self.trees, self.bits = trees, bits
-        self.tables = [tables[starts[k] : starts[k + 1]] for k in range(len(bits))]
+def _silent(word: bytes, trees: Trees) -> bytes:
+    """The predictions at a token's decisions behind its first DEPTH bytes: none."""
+    if len(word) < DEPTH:
+        return b""
+    data = np.frombuffer(word + b" ", np.uint8)[DEPTH - 1 :].astype(np.int64)
+    return bytes([NOTHING]) * int(trees.length[data[:-1] << 8 | data[1:]].sum())
 
-    def bits_of(self, streams: list[bytes]) -> np.ndarray:
-        """Bits of each stream."""
 
-        def looked() -> Iterator[tuple]:
-            for data, starts in _runs(streams):
-                of, node, bit = _decisions(data, starts, self.trees)
-                yield starts, of, node, bit, [np.take(self.tables[k], slot).astype(np.intp) for k, slot in enumerate(_slots(data, len(PAD), of, node, self.bits))]
+def _rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of batches that are sorted by key, those of one key at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-        return self.cost(self.trees, looked())
 
-    @classmethod
-    def of_span(cls, trees: Trees, streams: list[bytes], seen: np.ndarray) -> np.ndarray:
-        """Bits of each stream of a span, from what its distinct contexts predict, sorted by context."""
-        chunks = [[x for _, x in chunk] for chunk in _chunks([(None, x) for x in streams])]
-
-        def found(chunk: list[bytes]) -> Iterator[tuple]:
-            for data, starts in _runs(chunk):
-                of, node, bit = _decisions(data, starts, trees)
-                yield starts, of, node, bit, list(_contexts(data, len(PAD), of, node))
-
-        contexts = np.unique(np.concatenate([np.unique(np.concatenate([x for *_, each in found(chunk) for x in each])) for chunk in chunks]))
-        if len(contexts) != len(seen):
-            raise ValueError(f"{len(seen)} predictions for {len(contexts)} contexts")
-        mask = np.uint64((1 << (2 * len(contexts)).bit_length()) - 1)
-        index = np.zeros(int(mask) + 1, np.int32)
-        index[contexts & mask] = np.arange(len(contexts))
-
-        def look(x: np.ndarray) -> np.ndarray:
-            at = np.take(index, x & mask)
-            other = np.flatnonzero(np.take(contexts, at) != x)
-            at[other] = np.searchsorted(contexts, x[other])
-            return np.take(seen, at).astype(np.intp)
-
-        return np.concatenate([cls.cost(trees, ((*run, [look(x) for x in each]) for *run, each in found(chunk))) for chunk in chunks])
+def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
+    """(span, at, doc_id, text, word): documents in spans of about WHOLE bytes, and for each span its distinct tokens that aren't in `top`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, size, at, rare = TaskContext.get().partitionId() << 32, 0, 0, set()
+
+        def out() -> pa.RecordBatch:
+            words = [w.decode("utf-8", "replace") for w in rare]
+            n = len(words)
+            return pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.string())), pa.array(words, pa.string())], ["span", "at", "doc_id", "text", "word"])
+
+        for batch in batches:
+            spans, ats = [], []
+            for text in batch.column(1):
+                if size >= WHOLE:
+                    yield out()
+                    span, size, at, rare = span + 1, 0, 0, set()
+                text = text.as_py() or ""
+                rare.update(w for w in (*set(tokens(text)), b"") if w not in top.value)
+                spans.append(span)
+                ats.append(at)
+                size += len(text.encode("utf-8", "surrogatepass")) + 1
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int64()), pa.array(ats, pa.int64()), batch.column(0), batch.column(1), pa.nulls(len(spans), pa.string())], ["span", "at", "doc_id", "text", "word"])
+        yield out()
+
+    return docs.mapInArrow(run, "span bigint, at bigint, doc_id bigint, text string, word string")
+
+
+class Model:
+    """The trees and the table of short contexts; scores streams, given what their tokens' contexts predict."""
+
+    def __init__(self, trees: Trees, table: np.ndarray):
+        self.trees, self.table = trees, table
+
+    def bits_of(self, streams: list[bytes], seen: list[bytes]) -> np.ndarray:
+        """Bits of each stream; `seen` holds what the tokens' contexts predict at each of its decisions."""
+        at, size, bits = 0, 0, []
+        for end in range(1, len(streams) + 1):
+            size += len(streams[end - 1])
+            if size >= BATCH or end == len(streams):
+                bits.append(self.cost(self.trees, self._looked(streams[at:end], np.frombuffer(b"".join(seen[at:end]), np.uint8))))
+                at, size = end, 0
+        return np.concatenate([np.zeros(0), *bits])
+
+    def _looked(self, streams: list[bytes], seen: np.ndarray) -> Iterator[tuple]:
+        at = 0
+        for data, starts in _runs(streams):
+            real, gram = _real(data, starts), _grams(data)
+            of, node, bit = self.trees.decisions(data[len(PAD) :][real], data[len(PAD) - 1 : -1][real])
+            of = real[of]
+            short = np.take(self.table, _short(gram >> np.uint32(8), of, node))
+            yield starts, of, node, bit, [short.astype(np.intp), seen[at : at + len(of)].astype(np.intp)]
+            at += len(of)
+        if at != len(seen):
+            raise ValueError(f"{len(seen)} predictions for {at} decisions")
 
     @classmethod
     def cost(cls, trees: Trees, looked: Iterator[tuple]) -> np.ndarray:
-        """Bits of each stream, from runs of (starts, of, node, bit, what each order predicts)."""
+        """Bits of each stream, from runs of (starts, of, node, bit, what the short contexts and the tokens predict)."""
         xs, counts = [], []
         for starts, of, node, bit, seen in looked:
-            x = np.empty((1 + len(ORDERS), len(of)), np.float32)
+            x = np.empty((len(START), len(of)), np.float32)
             against = np.take(_AGAINST, bit)
-            for k in range(len(ORDERS), 0, -1):
+            for k in range(len(START) - 1, 0, -1):
                 np.multiply(np.take(_ODDS, seen[k - 1]), against, out=x[k])
                 against *= np.take(_GATE, seen[k - 1])
             np.multiply(np.take(trees.odds, node), against, out=x[0])
@@ -393,11 +468,11 @@ class Model:
         # each stream's decisions fill whole lanes of SPAN; what is left of its last lane adds log 2 a decision
         lanes = -(-np.array(counts) // SPAN)
         first = (np.cumsum(lanes) - lanes) * SPAN
-        x = np.empty((1 + len(ORDERS), int(lanes.sum()) * SPAN), np.float32)
+        x = np.empty((len(START), int(lanes.sum()) * SPAN), np.float32)
         for at, n, one in zip(first.tolist(), counts, xs, strict=True):
             x[:, at : at + n] = one
             x[:, at + n : at + n + -n % SPAN] = 0
-        cost = np.add.reduceat(cls._mix(x.reshape(len(x), -1, SPAN)).astype(np.float64), first // SPAN)
+        cost = np.add.reduceat(cls._mix(x.reshape(len(x), -1, SPAN)), first // SPAN)
         return cost / np.log(2) - (lanes * SPAN - counts)
 
     @staticmethod
@@ -408,8 +483,8 @@ class Model:
         """
         n = x.shape[1]
         w = np.repeat(np.array(START, np.float32)[:, None], n, axis=1)
-        cost, e, more, held = (np.zeros(s, np.float32) for s in (n, n, n, w.shape))
-        rate = np.float32(RATE)
+        e, more, held = (np.zeros(s, np.float32) for s in (n, n, w.shape))
+        rate, cost = np.float32(RATE), np.zeros(n)
         for t in range(0, SPAN, 40):
             for v in x[:, :, t : t + 40].transpose(2, 0, 1).copy():
                 np.multiply(w, v, out=held)
@@ -435,57 +510,43 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = scratch.materialize(count_tokens(docs), "token-counts")
     words = counts.where("kind = 'w'").select("word", "n")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    seen = np.zeros(65_536, np.int64)
+    n, v, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count(F.lit(1))).first()
+    pairs = np.zeros(65_536, np.int64)
     for r in counts.where("kind = 'b'").collect():  # 65,536 rows at most
-        seen[int(r.word)] = r.n
-    sc = spark.sparkContext
-    trees = sc.broadcast(Trees(seen))
-    spans = scratch.materialize(_spans(docs), "spans")
-    predicted = _predictions(spans, trees, 1 + int(seen.sum()) // PIECE)
-    top = sc.broadcast({r.word.encode(): r.n for r in frequent_words(words, FREQUENT).collect()})  # FREQUENT rows at most
-    rest = np.log10(n + v + 1)
+        pairs[int(r.word)] = r.n
+    sc, rest = spark.sparkContext, float(np.log10(n + v + 1))
+    trees = sc.broadcast(Trees(pairs))
+    model = sc.broadcast(Model(trees.value, _short_table(docs, trees)))
+    word_spans = scratch.materialize(_word_spans(words, distinct), "word-spans")
+    words = scratch.materialize(_word_predictions(word_spans, trees, 1 + distinct // PIECE), "word-predictions")
+
+    def known(n: int, seen: bytes) -> tuple[int, float, bytes]:
+        return int(n > 0), math.log10(n + 1) - rest, bytes(seen)
+
+    short = words.where((F.col("n") > 0) & (F.octet_length("word") <= LONGEST))
+    top = sc.broadcast({r.word.encode(): known(r.n, r.seen) for r in frequent_words(short, FREQUENT).collect()})  # FREQUENT rows at most
+    spans = scratch.materialize(_spans(docs, top), "spans")
+    rare = spans.where("word IS NOT NULL").select("span", "word").join(words, "word")
+    both = spans.where("word IS NULL").unionByName(rare, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (c, np.log10(c + 1) - rest) for w, c in top.value.items()}
-        for span in _span_rows(batches, "span"):
-            docs_of = [r for r in span if r["seen"] is None]
-            rows, streams = [], []
-            for r in docs_of:
-                found = tokens(r["text"])
-                streams.append(b" ".join(found) + b"\n")
-                each = Counter(found)
-                each[b""] += 1
-                sure, base, rare = 0, 0.0, {}
-                for w, k in each.items():
-                    hit = known.get(w)
-                    if hit is None:
-                        rare[w.decode("utf-8", "replace")] = k
-                    else:
-                        sure += k
-                        base += k * hit[1]
-                rows.append((r["doc_id"], held_out(r["doc_id"]), len(found) + 1, sure, base, len(streams[-1]), list(rare), list(rare.values())))
-            bits = Model.of_span(trees.value, streams, np.frombuffer(b"".join(zlib.decompress(r["seen"]) for r in span if r["seen"] is not None), np.uint8))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(bits)],
-                ["doc_id", "held_out", "n_tokens", "sure", "base", "n_bytes", "rare", "times", "bits"],
-            )
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, sure bigint, base double, n_bytes bigint, rare array<string>, times array<bigint>, bits double"
-    both = spans.withColumn("seen", F.lit(None).cast("binary")).unionByName(predicted.withColumnRenamed("piece", "at"), allowMissingColumns=True)
-    held = both.repartition("span").sortWithinPartitions("span", F.col("seen").isNotNull(), "at")
-    scored = scratch.materialize(held.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("rare"), F.col("r.times").alias("k"))
-    found = rare.join(words, F.col("rare") == F.col("word"), "left")
-    found = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
-        F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - float(rest))).alias("base_more"),
-    )
-    out = scored.drop("rare", "times").join(found, "row", "left")
-    log10_2 = float(np.log10(2))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (-F.col("bits") * log10_2).alias("score"), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        for span in _rows_of(batches, "span"):
+            more = {r["word"].encode(): known(r["n"], r["seen"]) for r in span if r["word"] is not None}
+            rows, streams, seen = [], [], []
+            for r in span:
+                if r["word"] is None:
+                    found = tokens(r["text"])
+                    sure, base, own = zip(*[top.value.get(w) or more[w] for w in (*found, b"")], strict=True)
+                    streams.append(stream_of(found))
+                    seen.append(b"".join(own))
+                    rows.append((r["doc_id"], held_out(r["doc_id"]), len(found) + 1, sum(sure), math.fsum(base), len(streams[-1])))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            bits = model.value.bits_of(streams, seen)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "bits"])
+
+    held = both.select("span", "at", "doc_id", "text", "word", "n", "seen").repartition("span").sortWithinPartitions("span", F.col("word").isNull(), "at")
+    scored = held.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, bits double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score",
+        (-F.col("bits") * float(np.log10(2))).alias("score"), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )

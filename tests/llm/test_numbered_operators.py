@@ -345,27 +345,40 @@ def test_scores_of_a_language_model(spark, docs, corpus, nothing):
     assert lm.score(nothing).count() == 0
 
 
-def test_scores_rest_on_exact_context_counts(spark):
+def test_scores_rest_on_the_counts_of_all_training_tokens(spark, monkeypatch):
     rnd = random.Random(6)
     rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(400))) for i in range(60)]
+    rows += [(60, "x" * 70 + " the " + "x" * 71), (61, None), (62, "x" * 70 + " unseen \u4e2d\u6587"), (65, ""), (66, "the")]
+    monkeypatch.setattr(lm, "FREQUENT", 50)  # most tokens come by the join
+    monkeypatch.setattr(lm, "WORDS", 1000)  # many spans of tokens
+    monkeypatch.setattr(lm, "PIECE", 1000)
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
-    streams = {i: t.encode() + b"\n" for i, t in rows}
-    trained = [s for i, s in streams.items() if not lm.held_out(i)]
-    before = np.frombuffer(b"\n" + b"".join(trained), np.uint8)
+    found = {i: lm.tokens(t) for i, t in rows}
+    streams = {i: b"".join(w + b" " for w in ws) + b"\n" for i, ws in found.items()}
+    before = np.frombuffer(b"".join(b" " + s for i, s in streams.items() if not lm.held_out(i)), np.uint8)
     trees = lm.Trees(np.bincount(before[:-1].astype(int) << 8 | before[1:], minlength=65536))
 
-    def decisions(stream):
-        data = lm.PAD + stream
-        of, node, bit = trees.decisions(np.frombuffer(stream, np.uint8), np.frombuffer(data, np.uint8)[len(lm.PAD) - 1 : -1])
-        return [(n, b, [(k, data[p + len(lm.PAD) - k : p + len(lm.PAD)], n) for k in lm.ORDERS]) for p, n, b in zip(of.tolist(), node.tolist(), bit.tolist())]
-
-    counts = Counter((c, b) for s in trained for _, b, each in decisions(s) for c in each)
-    assert len({c for c, _ in counts}) > 1 << 16  # more than the slots that a corpus of this size had
-    for i in (next(i for i in streams if lm.held_out(i)), next(i for i in streams if not lm.held_out(i))):
+    def decisions(i):
+        """(node, bit, slot of the short context, bytes of the token so far) of a text."""
+        out, past = [], b"   "
+        for w in [*found[i], b""]:
+            for k, byte in enumerate(w + b" " if w else b"\n"):
+                _, node, bit = trees.decisions(np.array([byte], np.uint8), np.array([past[-1]], np.uint8))
+                gram = np.array([int.from_bytes(past[-3:], "big")], np.uint32)
+                slots = lm._short(gram, np.zeros(len(node), int), node)
+                out += [(n, b, s, (w[:k], n) if k < lm.DEPTH else None) for n, b, s in zip(node.tolist(), bit.tolist(), slots.tolist(), strict=True)]
+                past += bytes([byte])
+        return out
+
+    counts = Counter((c, b) for i in streams if not lm.held_out(i) for _, b, *each in decisions(i) for c in each)
+    assert len({c for c, _ in counts if isinstance(c, tuple)}) > 1 << 14
+    picked = {next(i for i in streams if lm.held_out(i)), next(i for i in streams if not lm.held_out(i)), *range(60, 63), 65, 66}
+    assert {lm.held_out(i) for i in picked} == {True, False}
+    for i in picked:
         cost = 0.0
-        for t, (node, bit, each) in enumerate(decisions(streams[i])):
+        for t, (node, bit, *each) in enumerate(decisions(i)):
             w = [1.0, 1.0, 1.0] if t % lm.SPAN == 0 else w
-            codes = [int(lm.packed(np.array([counts[c, 0], counts[c, 1]]))[0]) for c in each]
+            codes = [lm.NOTHING if c is None else int(lm.packed(np.array([counts[c, 0], counts[c, 1]]))[0]) for c in each]
             sign, gate, x = (-1 if bit else 1), 1.0, [0.0, 0.0, 0.0]
             for k in (2, 1):
                 x[k] = float(lm._ODDS[codes[k - 1]]) * sign * gate
@@ -379,18 +392,19 @@ def test_scores_rest_on_exact_context_counts(spark):
 
 def test_model_probabilities_add_up_and_beat_no_model():
     rnd = random.Random(2)
-    streams = [" ".join(rnd.choice(["the", "of", "and", "thing", "other"]) for _ in range(200)).encode() + b"\n" for _ in range(60)]
-    pairs = np.bincount(np.frombuffer(b"\n" + b"".join(streams), np.uint8)[:-1].astype(int) << 8 | np.frombuffer(b"".join(streams), np.uint8), minlength=65536)
-    trees, bits = lm.Trees(pairs), (16, 16)
+    texts = [[rnd.choice([b"the", b"of", b"and", b"thing", b"other"]) for _ in range(200)] for _ in range(60)]
+    streams = [lm.stream_of(t) for t in texts]
+    data = np.frombuffer(b" " + b" ".join(streams), np.uint8)
+    trees = lm.Trees(np.bincount(data[:-1].astype(int) << 8 | data[1:], minlength=65536))
     assert all(abs((2.0 ** -trees.length[256 * k : 256 * (k + 1)]).sum() - 1) < 1e-9 for k in (32, 97, 0))
-    table = np.zeros(4 << 16, np.int64)
-    for data, starts in lm._runs(streams[:50]):
-        of, node, bit = lm._decisions(data, starts, trees)
-        for k, slot in enumerate(lm._slots(data, len(lm.PAD), of, node, bits)):
-            np.add.at(table, ((k << 16) + slot) * 2 + bit, 1)
-    model = lm.Model(trees, lm.packed(table), bits)
-    cost = model.bits_of(streams[50:])
-    assert np.allclose(cost, [model.bits_of([s])[0] for s in streams[50:]], rtol=1e-4)
+    table = np.zeros(2 << lm.SLOTS, np.int64)
+    lm.count_short(streams[:50], trees, table)
+    model = lm.Model(trees, lm.packed(table))
+    *_, bit, begin = lm._prefixes([b"the", b"of", b"and", b"thing", b"other", b""], trees)
+    size = dict(zip([b"the", b"of", b"and", b"thing", b"other", b""], np.diff(begin, append=len(bit)).tolist(), strict=True))
+    seen = [b"".join(bytes([lm.NOTHING]) * size[w] for w in (*t, b"")) for t in texts]
+    cost = model.bits_of(streams[50:], seen[50:])
+    assert np.allclose(cost, [model.bits_of([s], [x])[0] for s, x in zip(streams[50:], seen[50:], strict=True)], rtol=1e-4)
     assert cost.sum() / sum(map(len, streams[50:])) < 1.0  # about 0.55 bits a byte are in the choice of words
 
 
