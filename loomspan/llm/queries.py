@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import ann, bpe, chat, lm, mixing, neardup, packing, quality, substring, warc
+from loomspan.llm import align, ann, bpe, chat, gridjoin, lm, mixing, neardup, packing, quality, repair, substring, warc
 from loomspan.llm.batches import keep_small
 from loomspan.session import table as plain_table
 
@@ -14,6 +14,8 @@ from loomspan.session import table as plain_table
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_BPE_SIZE, WORD_BPE_END = 49_408, 2
+BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,18 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(docs, WORD_BPE, WORD_BPE_SIZE, WORD_BPE_END)
 
 
+def op11_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE_JSON, PIECE_BPE)
+
+
+def op12_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
+def op13_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_capture_index": op2_capture_index,
@@ -84,6 +98,9 @@ QUERIES = {
     "op8_odd_sketch_dedup": op8_odd_sketch_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_packed_ids": op10_packed_ids,
+    "op11_group_alignment": op11_group_alignment,
+    "op12_grid_order_join": op12_grid_order_join,
+    "op13_edit_lattice": op13_edit_lattice,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +114,6 @@ ORACLES: dict[str, str] = {
         FROM k""",
     "op4_quality_rules": quality.SQL,
     "op9_chat_format": chat.SQL,
+    "op12_grid_order_join": gridjoin.SQL,
+    "op13_edit_lattice": repair.SQL,
 }
