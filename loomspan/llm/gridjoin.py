@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -36,12 +36,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(v: Column) -> Column:
-    """v by its length; by its largest component first, so that no square overflows or vanishes."""
-    most = F.array_max(F.transform(v, F.abs))
-    v = F.transform(v, lambda x: x / most)
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / length)
+def _measured(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by a power of two each (which changes no cosine) so that no product overflows or vanishes, and their lengths."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+    return v, np.sqrt((v * v).sum(axis=1))
 
 
 def principal(nodes: DataFrame, dimensions: int) -> tuple[int, np.ndarray]:
@@ -49,9 +47,10 @@ def principal(nodes: DataFrame, dimensions: int) -> tuple[int, np.ndarray]:
     size = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if size is None:
         return 0, np.zeros((1, 0))
-    unit = nodes.where(F.col("dim") == size["dim"]).select("label", "u")
-    means = scratch.materialize(unit.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("m")), "label-means")
-    centred = unit.join(means, "label").select(array_to_vector(F.zip_with("u", "m", lambda x, m: x - m)).alias("x"))
+    unit = nodes.where(F.col("dim") == size["dim"]).select("label", array_to_vector("v").alias("v"))
+    unit = Normalizer(inputCol="v", outputCol="u").transform(unit).select("label", "u")
+    means = scratch.materialize(unit.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("u"))).alias("m")), "label-means")
+    centred = unit.join(means, "label").select(array_to_vector(F.zip_with(vector_to_array("u"), "m", lambda x, m: x - m)).alias("x"))
     if size["count"] < 2:
         return size["dim"], np.eye(size["dim"])[:dimensions]
     fitted = PCA(k=min(dimensions, size["dim"]), inputCol="x", outputCol="p").fit(centred)
@@ -65,12 +64,14 @@ def _projected(nodes: DataFrame, dim: int, basis: np.ndarray, eps: float) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, size = batch.column(batch.schema.get_field_index("u")), batch.column(batch.schema.get_field_index("dim")).to_numpy()
+            v, size = batch.column(batch.schema.get_field_index("v")), batch.column(batch.schema.get_field_index("dim")).to_numpy()
             p, like = np.zeros((batch.num_rows, width)), size == dim
-            p[like] = u.filter(pa.array(like)).flatten().to_numpy().reshape(-1, dim) @ basis.T
+            if like.any():
+                x, length = _measured(v.filter(pa.array(like)).flatten().to_numpy().reshape(-1, dim))
+                p[like] = (x @ basis.T) / length[:, None]
             for i in np.flatnonzero(~like):  # other lengths: their first components, a projection like any other
-                x = u[int(i)].as_py()[:width]
-                p[i, : len(x)] = x
+                x, length = _measured(np.array([v[int(i)].as_py()]))
+                p[i, : x.shape[1]] = x[0, :width] / length
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], [*batch.schema.names, "p"])
 
@@ -176,13 +177,6 @@ def _leaves(a: tuple[int, int], b: tuple[int, int], pa_: np.ndarray, pb: np.ndar
             todo += [(i, j, k, h), (i, j, h, m)]
 
 
-def _measured(data: bytes, kind: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as doubles, by a power of two each (which changes no cosine) so that no product overflows, and their lengths."""
-    v = np.frombuffer(data, kind).reshape(-1, dim).astype(float)
-    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
-    return v, np.sqrt((v * v).sum(axis=1))
-
-
 def joined(blocks: DataFrame, pairs: DataFrame, cosine: float, eps: float, block: int, leaf: int, kind: str) -> DataFrame:
     """For pairs of blocks: rows (a, null, w) for vectors with w others linked, and rows (a, b, null) that join what is linked.
 
@@ -194,7 +188,7 @@ def joined(blocks: DataFrame, pairs: DataFrame, cosine: float, eps: float, block
         for batch in batches:
             for x, y, dim, xw, yw, xv, yv, xp, yp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 xw, yw = np.array(xw), np.array(yw)
-                (xv, xn), (yv, yn) = _measured(xv, kind, dim), _measured(yv, kind, dim)
+                (xv, xn), (yv, yn) = (_measured(np.frombuffer(v, kind).reshape(-1, dim).astype(float)) for v in (xv, yv))
                 xp, yp = np.frombuffer(xp).reshape(len(xw), -1), np.frombuffer(yp).reshape(len(yw), -1)
                 sums_x, sums_y, edges = np.zeros(len(xw), np.int64), np.zeros(len(yw), np.int64), []
                 for i, j, k, m in _leaves((0, len(xw)), (0, len(yw)), xp, yp, eps, leaf):
@@ -245,7 +239,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, dimensions: int = DIM
     held = scratch.materialize(held, "vectors")
 
     nodes = held.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
-    nodes = scratch.materialize(nodes.withColumn("dim", F.size("v")).withColumn("u", _unit(F.col("v"))), "vector-nodes")
+    nodes = scratch.materialize(nodes.withColumn("dim", F.size("v")), "vector-nodes")
     dim, basis = principal(nodes, dimensions)
     blocks = _blocks(_projected(nodes, dim, basis, eps), block, kind)
     found = joined(blocks, block_pairs(blocks, eps, len(basis)), cosine, eps, block, leaf, kind)

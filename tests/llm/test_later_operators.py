@@ -178,7 +178,7 @@ def test_block_pairs_skip_only_what_is_far(spark):
     rnd = np.random.default_rng(4)
     rows = [(i, (rnd.integers(2, size=8) * 2.0 - 1 + rnd.normal(size=8) * 0.01).tolist(), 0) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id bigint, v array<double>, label int").select(F.col("vec_id").alias("first"), "v", F.col("label").cast("string").cast("binary").alias("label"))
-    nodes = df.select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.lit(1).cast("bigint").alias("weight"), F.size("v").alias("dim"), gridjoin._unit(F.col("v")).alias("u"))
+    nodes = df.select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.lit(1).cast("bigint").alias("weight"), F.size("v").alias("dim"))
     dim, basis = gridjoin.principal(nodes, 8)
     assert dim == 8 and np.allclose(basis @ basis.T, np.eye(8))
     blocks = gridjoin._blocks(gridjoin._projected(nodes, dim, basis, 0.2), 4, "<f8")
