@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,16 +97,15 @@ def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     return one.withColumn("p_value", special.chi2_sf(F.col("h"), F.col("df")))
 
 
-#: Critical values of the studentised range over sqrt(2) at 0.05 for 2 to 10 methods (fixed values).
-NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
-
+def nemenyi(ranked: DataFrame, method: str, alpha: float = 0.05) -> DataFrame:
+    """(left, right, difference, cd, significant) for pairs of methods of friedman(), of any number.
 
-def nemenyi(ranked: DataFrame, method: str) -> DataFrame:
-    """(left, right, difference, cd, significant) for pairs of methods of friedman(); methods are few."""
-    k = ranked.agg(F.count(F.lit(1)).alias("_k"))
-    held = ranked.crossJoin(F.broadcast(k))
-    q = F.element_at(F.array(*map(F.lit, NEMENYI)), (F.col("_k") - 1).cast("int"))
-    a = held.select(F.col(method).alias("left"), F.col("mean_rank").alias("_a"), (q * F.sqrt(F.col("_k") * (F.col("_k") + 1) / (6 * F.col("blocks")))).alias("cd"))
+    The critical difference comes from the range of as many normal variables as there are methods; their number is the one
+    figure that is read from the data before the plan is made.
+    """
+    k = ranked.count()
+    q = special.range_quantile(k, alpha) / math.sqrt(2) if k > 1 else math.nan
+    a = ranked.select(F.col(method).alias("left"), F.col("mean_rank").alias("_a"), (F.lit(q * math.sqrt(k * (k + 1) / 6)) / F.sqrt(F.col("blocks").cast("double"))).alias("cd"))
     b = ranked.select(F.col(method).alias("right"), F.col("mean_rank").alias("_b"))
     pairs = a.join(b, F.col("left") < F.col("right")).withColumn("difference", F.abs(F.col("_a") - F.col("_b")))
     return pairs.select("left", "right", "difference", "cd", (F.col("difference") > F.col("cd")).alias("significant"))
