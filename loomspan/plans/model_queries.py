@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import special
-from loomspan.operators import models
+from loomspan.operators import boosting, models
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import PANEL, order_panel, r
 from loomspan.plans.inference_queries import binomial_sql
@@ -77,6 +77,15 @@ def boosted_intervals(spark, sf_dir):
     return out.where(_TEST).groupBy("year").agg(F.count(F.lit(1)).alias("n"), r(F.avg(inside)).alias("picp"), r(F.avg(F.col("hi") - F.col("lo")), 4).alias("mpiw"))
 
 
+@query("quantile_boosting")
+def quantile_boosting(spark, sf_dir):
+    out = boosting.quantile_intervals(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT), rounds=10, rate=0.3)
+    y = F.col("y")
+    inside = ((y >= F.col("lo")) & (y <= F.col("hi"))).cast("int")
+    losses = [r(F.avg(boosting.pinball(y, F.col(c), q)), 4).alias(f"loss_{c}") for c, q in (("lo", 0.05), ("pred", 0.5), ("hi", 0.95))]
+    return out.where(_TEST).groupBy("year").agg(F.count(F.lit(1)).alias("n"), r(F.avg(inside)).alias("picp"), r(F.avg(F.col("hi") - F.col("lo")), 4).alias("mpiw"), *losses)
+
+
 @query("boosted_grid")
 def boosted_grid(spark, sf_dir):
     return models.grid_search(_modelled(spark, sf_dir), _FEATURES, "y", F.expr(_FIT), F.expr(_DEV), [{"depth": d, "trees": t} for d in (2, 4) for t in (5, 10)]).withColumn("rmse", r(F.col("rmse"), 4))
