@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from loomspan import scratch
 
 #: Chunks and groups that a task remembers, and characters of the longest chunk remembered.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 400_000, 64
 #: Groups whose sums are broadcast (at most; a row holds a group's ids and four numbers). The rest are joined.
 FREQUENT = 65_536
 #: Texts whose chunks are encoded together.
@@ -63,17 +63,33 @@ class Pair:
         self.a_bytes = byte_level_tokens(self.a.get_vocab())
         self.b_bytes = piece_tokens([self.b.id_to_piece(i) for i in range(self.b.get_piece_size())])
         self.a_len, self.b_len = ([len(x) for x in held] for held in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = np.array(self.a_len), np.array(self.b_len)
         self.blank = self.b.piece_to_id("▁")
 
     def whole(self, text: str) -> list[tuple] | None:
         """Groups of a text, or None where the joined bytes of either side are not those of blank + text."""
         return self._groups(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1))
 
-    def chunks(self, chunks: list[str]) -> list[list[tuple] | None]:
-        """Groups of each chunk, as they are inside a text."""
-        a = self.a.encode_batch(chunks, add_special_tokens=False)
+    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of A and of B, ends of their groups, and the number of groups up to each chunk's end, of all chunks in a row.
+
+        None where the bytes of a chunk are not those of its tokens.
+        """
+        a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [self._groups(c, x.ids, y if c[0] == " " else y[1:] if y[:1] == [self.blank] else []) for c, x, y in zip(chunks, a, b, strict=True)]
+        a = list(chain.from_iterable([x.ids for x in a]))
+        b = list(chain.from_iterable([y if c[0] == " " else y[1:] if y[:1] == [self.blank] else [] for c, y in zip(chunks, b, strict=True)]))
+        data = "".join(chunks).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        of_chunk = np.searchsorted(both, ends) + 1
+        if not np.array_equal(both[of_chunk - 1], ends):
+            return None
+        return a, b, np.searchsorted(a_end, both) + 1, np.searchsorted(b_end, both) + 1, of_chunk
 
     def _groups(self, text: str, a: list[int], b: list[int]) -> list[tuple] | None:
         data = text.encode()
@@ -137,17 +153,39 @@ class Interner:
             out.append(n)
         return tuple(out)
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Put down the groups' numbers of new chunks; those that stand for other bytes than their own are odd."""
+        found = self.pair.chunks(chunks)
+        if found is None:  # some chunk is odd: halve down to it
+            if len(chunks) == 1:
+                self.odd.add(chunks[0])
+            else:
+                self._learn(chunks[: len(chunks) // 2])
+                self._learn(chunks[len(chunks) // 2 :])
+            return
+        a, b, a_cut, b_cut, ends = found
+        a_start, b_start = (np.concatenate([[0], cut[:-1]]) for cut in (a_cut, b_cut))
+        numbers = np.zeros(len(a_cut), np.int64)
+        plain = (a_cut - a_start == 1) & (b_cut - b_start == 1)  # most groups: one token on either side
+        key, places = np.unique(a[a_start[plain]] << 32 | b[b_start[plain]], return_inverse=True)
+        numbers[plain] = np.array(self._numbers([((k >> 32,), (k & 0xFFFFFFFF,)) for k in key.tolist()]), np.int64)[places]
+        rest = np.flatnonzero(~plain)
+        a, b = a.tolist(), b.tolist()
+        cuts = zip(*(x[rest].tolist() for x in (a_start, a_cut, b_start, b_cut)), strict=True)
+        numbers[rest] = self._numbers([(tuple(a[i:j]), tuple(b[k:m])) for i, j, k, m in cuts])
+        numbers, start = numbers.tolist(), 0
+        for c, end in zip(chunks, ends.tolist(), strict=True):
+            self.known[c] = tuple(numbers[start:end])
+            start = end
+
     def texts(self, texts: list[str]) -> list[list[int] | None]:
         """The groups' numbers of each text in order; None for a text without tokens. They hold until the next call."""
         if len(self.known) + len(self.odd) > self.most or len(self.names) > self.most:
             self._clear()
         cut = [[c for c in CHUNKS(" " + t) if c] if t and not t[0].isspace() else [] for t in texts]
         new = list(dict.fromkeys(c for cs in cut for c in cs if c not in self.known and c not in self.odd))
-        for c, groups in zip(new, self.pair.chunks(new) if new else [], strict=True):
-            if groups is None:
-                self.odd.add(c)
-            else:
-                self.known[c] = self._numbers(groups)
+        if new:
+            self._learn(new)
         out: list[list[int] | None] = []
         for text, chunks in zip(texts, cut, strict=True):
             if chunks and (not self.odd or self.odd.isdisjoint(chunks)):
