@@ -208,3 +208,19 @@ def range_quantile(k: int, alpha: float = 0.05) -> float:
         middle = (low + high) / 2
         low, high = (middle, high) if range_sf(middle, k) > alpha else (low, middle)
     return (low + high) / 2
+
+
+def student_point(df: int, alpha: float = 0.05) -> float:
+    """The t that Student's variable of df degrees is farther from 0 than with probability alpha."""
+    x, w = np.polynomial.legendre.leggauss(256)
+    constant = 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
+    def tail(t: float) -> float:
+        psi = math.atan2(math.sqrt(df), t)
+        return constant * float((np.sin(psi * (x + 1) / 2) ** (df - 1) * w).sum() * psi / 2)
+
+    low, high = 0.0, 1e8
+    while high - low > 1e-13 * high:
+        middle = math.sqrt(low * high) if low > 1 else (low + high) / 2
+        low, high = (middle, high) if tail(middle) > alpha else (low, middle)
+    return (low + high) / 2

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from loomspan import scratch
+
 
 def constant_columns(df: DataFrame, columns: list[str], tiny: float = 1e-4) -> DataFrame:
     """(column, kinds, sd, verdict): constant with one distinct value at most, near_constant with a deviation below `tiny`."""
@@ -96,14 +98,54 @@ def positional_join(left: DataFrame, right: DataFrame, order: list[str], check:
     return held.withColumn("matches", F.coalesce(F.col(check) == F.col(f"right_{check}"), F.lit(False))).drop("_k", "_r", "_at")
 
 
-def join_chain(skeleton: DataFrame, steps: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """The skeleton with every (name, table, keys) joined on the left; clashing columns get the step's name behind them.
+def join_chain(skeleton: DataFrame, steps: list[tuple[str, DataFrame, list[str]]]) -> tuple[DataFrame, DataFrame]:
+    """The skeleton with every (name, table, keys) joined on the left, and an audit with a row for each step.
 
-    A step whose keys repeat would add rows: they are reduced to one row a key first, so the skeleton's rows stay.
+    A table whose keys repeat is refused: ValueError, before anything that follows is made. So the skeleton's rows stay.
+    Clashing columns get the step's name behind them. A step is written once, and its figures are taken on the way: rows
+    before and after, columns before, after and added, rows of the table, its repeated keys, skeleton rows without a match,
+    and nulls in the added columns. The table's rows are gathered by key for the join, which tells repeated keys without
+    another shuffle. A null key is a key for that purpose, and matches nothing.
     """
-    out = skeleton
+    out, audit, rows = skeleton, [], None
     for name, table, keys in steps:
         clash = [c for c in table.columns if c in out.columns and c not in keys]
-        table = table.withColumnsRenamed({c: f"{c}_{name}" for c in clash}).dropDuplicates(keys)
-        out = out.join(table, keys, "left")
-    return out
+        table = table.withColumnsRenamed({c: f"{c}_{name}" for c in clash})
+        added = [c for c in table.columns if c not in keys]
+        own, met = Observation(f"{name} table"), Observation(f"{name} rows")
+        by_key = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in added])
+        by_key = by_key.observe(own, F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("repeated"))
+        joined = out.join(by_key, keys, "left")
+        joined = joined.observe(met, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_n").isNull()).alias("unmatched"), *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(added)])
+        written = scratch.materialize(joined, f"join-{name}")
+        found, after = own.get, met.get
+        if found["repeated"]:
+            scratch.remove(skeleton.sparkSession, written)
+            raise ValueError(f"{name}: {found['repeated']} keys of {', '.join(keys)} repeat")
+        rows = after["rows"] if rows is None else rows
+        audit.append((name, rows, after["rows"], len(out.columns), len(out.columns) + len(added), len(added), found["rows"] or 0, found["repeated"] or 0, after["unmatched"], sum(after[f"null_{i}"] for i in range(len(added)))))
+        rows, out = after["rows"], written.drop("_n")
+    names = "step string, rows_before bigint, rows_after bigint, columns_before int, columns_after int, columns_added int, right_rows bigint, duplicate_keys bigint, rows_unmatched bigint, new_missing bigint"
+    return out, skeleton.sparkSession.createDataFrame(audit, names)
+
+
+#: Parts of a split that must share no row, as (left, right, label); es is the part that stops training early.
+DISJOINT = [
+    ("train", "test", "train_test_overlap"), ("dev", "test", "validation_test_overlap"), ("cal", "test", "calibration_test_overlap"),
+    ("train", "dev", "train_validation_overlap"), ("train", "cal", "train_calibration_overlap"), ("dev", "cal", "validation_calibration_overlap"),
+    ("es", "dev", "earlystop_validation_overlap"), ("es", "cal", "earlystop_calibration_overlap"), ("es", "test", "earlystop_test_overlap"),
+]
+
+
+def disjoint_parts(rows: DataFrame, key: str, part: str, pairs: list[tuple[str, str, str]] = DISJOINT) -> DataFrame:
+    """(label, left_part, right_part, left_rows, right_rows, shared, verdict) for pairs of parts of rows (key, part).
+
+    Each key gets a mask with a bit for every part that it is in, and keys are counted by mask: one shuffle by key, and then
+    one row for each mask that occurs. A row may name several parts in turn; unknown parts are ignored.
+    """
+    names = list(dict.fromkeys(n for pair in pairs for n in pair[:2]))
+    bit = F.coalesce(*[F.when(F.col(part) == n, F.lit(1 << i)) for i, n in enumerate(names)], F.lit(0))
+    masks = rows.groupBy(key).agg(F.bit_or(bit).alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_c"))
+    held = lambda *parts: F.coalesce(F.sum(F.when(F.col("_m").bitwiseAND(w := sum(1 << names.index(n) for n in parts)) == w, F.col("_c"))), F.lit(0))
+    one = masks.agg(F.array(*[F.struct(F.lit(label).alias("label"), F.lit(a).alias("left_part"), F.lit(b).alias("right_part"), held(a).alias("left_rows"), held(b).alias("right_rows"), held(a, b).alias("shared")) for a, b, label in pairs]).alias("_p"))
+    return one.select(F.explode("_p").alias("_p")).select("_p.*").withColumn("verdict", F.when(F.col("shared") == 0, "PASS").otherwise("FAIL"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +166,106 @@ def cluster_robust_slope(rows: DataFrame, cluster: str, x: str, y: str) -> DataF
     return line.crossJoin(meat).select(F.col("a").alias("intercept"), F.col("b").alias("slope"), (F.sqrt(factor * F.col("meat")) / F.col("sxx")).alias("slope_se"), F.col("g").alias("clusters"))
 
 
+def cluster_robust_ols(rows: DataFrame, cluster: str, xs: list[str], y: str, alpha: float = 0.05, least: int = 5) -> DataFrame:
+    """(term, coefficient, std_error, t, p_value, lo, hi, r_squared, n, clusters, supported) of ordinary least squares.
+
+    Errors are robust to clusters, with the CR1 factor; bounds and p-values use one degree less than there are clusters. With
+    fewer than `least` clusters they are null. Rows with a null in y or a regressor are left out; collinear regressors share
+    their effect (the shortest solution). Two passes over the rows: moments, then score sums by cluster. Only moments of the
+    regressors come to the driver, as many as pairs of regressors.
+    """
+    held = rows.select(F.col(cluster).alias("c"), F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)]).na.drop(subset=["y", *[f"x{i}" for i in range(len(xs))]])
+    k = len(xs)
+    names = [f"x{i}" for i in range(k)]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    one = held.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (*names, "y")], F.var_pop("y").alias("yy"), *[F.covar_pop(a, "y").alias(f"{a}_y") for a in names], *[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
+    schema = "term string, coefficient double, std_error double, t double, p_value double, lo double, hi double, r_squared double, n bigint, clusters bigint, supported boolean"
+    n = one["n"]
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    xx = np.array([[one[f"{min(a, b)}_{max(a, b)}"] if f"{min(a, b)}_{max(a, b)}" in one.asDict() else one[f"{max(a, b)}_{min(a, b)}"] for b in names] for a in names]).reshape(k, k)
+    xy, mean = np.array([one[f"{a}_y"] for a in names]), np.array([one[f"m_{a}"] for a in names])
+    inverse = np.linalg.pinv(xx)
+    b = inverse @ xy
+    intercept = one["m_y"] - b @ mean
+    # regressors around their means: the matrix is block-diagonal and no digits are lost
+    centred = [F.lit(1.0), *[F.col(a) - float(m) for a, m in zip(names, mean, strict=True)]]
+    u = F.col("y") - float(intercept)
+    for a, v in zip(names, b, strict=True):
+        u = u - F.col(a) * float(v)
+    scores = held.withColumn("u", u).groupBy("c").agg(*[F.sum(x * F.col("u")).alias(f"s{i}") for i, x in enumerate(centred)], F.sum(F.col("u") * F.col("u")).alias("uu"))
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    two = scores.agg(F.count(F.lit(1)).alias("g"), F.sum("uu").alias("uu"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in cells]).first()
+    meat, g = np.zeros((k + 1, k + 1)), two["g"]
+    for i, j in cells:
+        meat[i, j] = meat[j, i] = two[f"m{i}_{j}"]
+    bread = np.zeros((k + 1, k + 1))
+    bread[0, 0], bread[1:, 1:] = 1 / n, inverse / n
+    shift = np.eye(k + 1)
+    shift[0, 1:] = -mean  # back to the intercept at regressors of 0
+    factor = g / max(g - 1, 1) * (n - 1) / max(n - k - 1, 1)
+    errors = np.sqrt(np.maximum(np.diag(shift @ bread @ meat @ bread @ shift.T), 0) * factor)
+    good = g >= least
+    point = special.student_point(g - 1, alpha) if good else None
+    r2 = 1 - two["uu"] / max(n * one["yy"], 1e-12)
+    out = [(t, float(v), float(e) if good else None, float(v / e) if good and e > 0 else None, float(v - point * e) if good else None, float(v + point * e) if good else None) for t, v, e in zip(["intercept", *xs], [intercept, *b], errors, strict=True)]
+    table = rows.sparkSession.createDataFrame(out, "term string, coefficient double, std_error double, t double, lo double, hi double")
+    table = table.withColumns({"p_value": special.student_two_sided(F.col("t"), F.lit(float(g - 1))), "r_squared": F.lit(float(r2)), "n": F.lit(n).cast("bigint"), "clusters": F.lit(g).cast("bigint"), "supported": F.lit(good)})
+    return table.select(*[c.split()[0] for c in schema.split(", ")])
+
+
+#: Chances of at most 0, 1, 2, ... events under Poisson's law of mean 1, up to where all 31 bits are used up.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+PRIME = 2147483647
+
+
+def poisson_limits() -> list[int]:
+    """Whole numbers below PRIME: as many as are not above a uniform one give its Poisson count."""
+    return [round(p * PRIME) for p in POISSON]
+
+
+def _uniform(seed: int, slot: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 to PRIME - 1 for rows (slot) and draws, by squares modulo a prime, which any SQL engine repeats."""
+    slot, draw = (slot % PRIME)[:, None], draw[None, :]
+    h = (seed + draw * 7919 + slot * 104729) % PRIME
+    g = (h * h + slot) % PRIME
+    g = (g * g + draw * 48271 + 11) % PRIME
+    return (g * 69621 + h) % PRIME
+
+
+def row_paired_bootstrap(rows: DataFrame, slot: str, y: str, a: str, b: str, draws: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(stat, a, b, delta, lo, hi) for rmse, mae and r2 of two predictions a and b of y: delta is b's less a's, with percentile bounds.
+
+    Each row takes part in each draw as often as Poisson's law of mean 1 says, by a hash of its slot (a whole number, its
+    own) and the draw. A task adds up all draws in one pass; a draw's six sums are all that leaves it, so no row is shuffled
+    or copied. Rows with a null are left out. Without rows all figures are null.
+    """
+    limits = poisson_limits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, every = np.zeros((draws + 1, 7)), np.arange(draws)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                slots, v, p, q = (c.to_numpy() for c in batch.slice(at, 256).columns)
+                held = np.stack([np.ones(len(v)), np.abs(v - p), np.abs(v - q), (v - p) ** 2, (v - q) ** 2, v, v * v], axis=1)
+                weights = np.searchsorted(limits, _uniform(seed, slots, every), "right")
+                total[:draws] += weights.T @ held
+                total[draws] += held.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, draws)), *[pa.array(np.roll(total, 1, axis=0)[:, i]) for i in range(7)]], ["draw", *sums])
+
+    sums = ["n", "ma", "mb", "sa", "sb", "sy", "syy"]
+    plain = rows.select(F.col(slot).cast("bigint"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate((y, a, b))]).na.drop()
+    each = plain.mapInArrow(run, "draw bigint, " + ", ".join(f"{c} double" for c in sums)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in sums]).where("n > 0")
+    n, spread = F.col("n"), F.nullif(F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"), F.lit(0.0))
+    stats = {"rmse": (F.sqrt(F.col("sa") / n), F.sqrt(F.col("sb") / n)), "mae": (F.col("ma") / n, F.col("mb") / n), "r2": (1 - F.col("sa") / spread, 1 - F.col("sb") / spread)}
+    long = each.select("draw", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.alias("a"), w.alias("b")) for k, (v, w) in stats.items()])).alias("s")).select("draw", "s.*")
+    whole, drawn, delta = F.col("draw") == -1, F.col("draw") >= 0, F.col("b") - F.col("a")
+    return long.groupBy("stat").agg(
+        F.max(F.when(whole, F.col("a"))).alias("a"), F.max(F.when(whole, F.col("b"))).alias("b"), F.max(F.when(whole, delta)).alias("delta"),
+        F.percentile(F.when(drawn, delta), F.lit(alpha / 2)).alias("lo"), F.percentile(F.when(drawn, delta), F.lit(1 - alpha / 2)).alias("hi"),
+    )
+
+
 def stability_index(before: DataFrame, after: DataFrame, column: str, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """One row: population stability index of `after` against the deciles of `before`, and its class."""
     edges = before.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("edges"))

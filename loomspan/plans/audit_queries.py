@@ -102,14 +102,27 @@ def positional_join(spark, sf_dir):
 @query("join_chain", f"""WITH {PANEL}, e AS (SELECT user_id AS entity, count(*) AS events FROM events GROUP BY 1), s AS (SELECT c_custkey AS entity, c_nationkey, c_acctbal AS orders_credit FROM customer)
   SELECT p.entity, p.year, p.orders, c_nationkey AS nation, n_name AS nation_name, round(orders_credit, 2) AS orders_credit, events FROM panel p LEFT JOIN s ON s.entity = p.entity LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN e ON e.entity = p.entity""")
 def join_chain(spark, sf_dir):
+    out, _ = _chain(spark, sf_dir)
+    return out.select("entity", "year", "orders", "nation", "nation_name", r(F.col("orders_credit"), 2).alias("orders_credit"), "events")
+
+
+@query("join_chain_audit", f"""WITH {PANEL}, e AS (SELECT user_id AS entity, count(*) AS events FROM events GROUP BY 1), j AS (SELECT p.entity, c_custkey, c_nationkey, c_acctbal, n_nationkey, n_name, events FROM panel p LEFT JOIN customer ON c_custkey = p.entity LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN e ON e.entity = p.entity),
+  s AS (SELECT 'credit' AS step, 4 AS before, 2 AS added, (SELECT count(*) FROM customer) AS theirs, count(*) AS n, count(*) FILTER (c_custkey IS NULL) AS un, count(*) FILTER (c_nationkey IS NULL) + count(*) FILTER (c_acctbal IS NULL) AS miss FROM j
+        UNION ALL SELECT 'nation', 6, 1, (SELECT count(*) FROM nation), count(*), count(*) FILTER (n_nationkey IS NULL), count(*) FILTER (n_name IS NULL) FROM j
+        UNION ALL SELECT 'events', 7, 1, (SELECT count(*) FROM e), count(*), count(*) FILTER (events IS NULL), count(*) FILTER (events IS NULL) FROM j)
+  SELECT step, n AS rows_before, n AS rows_after, CAST(before AS INTEGER) AS columns_before, CAST(before + added AS INTEGER) AS columns_after, CAST(added AS INTEGER) AS columns_added, theirs AS right_rows, CAST(0 AS BIGINT) AS duplicate_keys, un AS rows_unmatched, miss AS new_missing FROM s""")
+def join_chain_audit(spark, sf_dir):
+    return _chain(spark, sf_dir)[1]
+
+
+def _chain(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     steps = [
         ("credit", t("customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("orders")), ["entity"]),
         ("nation", t("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("nation_name")), ["nation"]),
         ("events", t("events").groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).alias("events")), ["entity"]),
     ]
-    out = audits.join_chain(order_panel(spark, sf_dir), steps)
-    return out.select("entity", "year", "orders", "nation", "nation_name", r(F.col("orders_credit"), 2).alias("orders_credit"), "events")
+    return audits.join_chain(order_panel(spark, sf_dir), steps)
 
 
 @query("value_counts", "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n, count(DISTINCT o_custkey) AS entities FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), count(DISTINCT o_custkey) FROM orders GROUP BY 2")
@@ -240,3 +253,17 @@ def run_comparison(spark, sf_dir):
     of = lambda df: df.groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
     out = writers.compare_runs(of(o.where("o_custkey % 5 <> 0")), of(o.where("o_custkey % 7 <> 0 AND o_orderkey % 10 <> 0")), ["k"], ["v", "n"], 0.001)
     return out.withColumn("largest", r(F.col("largest"), 2))
+
+
+_PARTS = """CASE WHEN year <= 1996 THEN 'train' WHEN year = 1997 THEN 'es' WHEN year = 1998 THEN 'dev' WHEN year = 1999 THEN 'cal' ELSE 'test' END"""
+
+
+@query("disjoint_parts", f"""WITH {PANEL}, s AS (SELECT entity || '_' || CASE WHEN year = 1998 AND entity % 50 = 1 THEN 1999 ELSE year END AS id, {_PARTS} AS part FROM panel), m AS (SELECT DISTINCT id, part FROM s),
+  k AS (SELECT unnest(['train', 'dev', 'cal', 'train', 'train', 'dev', 'es', 'es', 'es']) AS a, unnest(['test', 'test', 'test', 'dev', 'cal', 'cal', 'dev', 'cal', 'test']) AS b,
+        unnest(['train_test', 'validation_test', 'calibration_test', 'train_validation', 'train_calibration', 'validation_calibration', 'earlystop_validation', 'earlystop_calibration', 'earlystop_test']) || '_overlap' AS label),
+  c AS (SELECT label, a, b, (SELECT count(*) FROM m WHERE part = a) AS l, (SELECT count(*) FROM m WHERE part = b) AS r, (SELECT count(*) FROM m x JOIN m y ON x.id = y.id WHERE x.part = a AND y.part = b) AS shared FROM k)
+  SELECT label, a AS left_part, b AS right_part, l AS left_rows, r AS right_rows, shared, CASE WHEN shared = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""")
+def disjoint_parts(spark, sf_dir):
+    p = order_panel(spark, sf_dir)
+    moved = F.when((F.col("year") == 1998) & (F.col("entity") % 50 == 1), 1999).otherwise(F.col("year"))  # a planted leak: these share their key with the next year
+    return audits.disjoint_parts(p.select(F.concat_ws("_", "entity", moved).alias("id"), F.expr(_PARTS).alias("part")), "id", "part")

@@ -331,3 +331,43 @@ def block_delta(spark, sf_dir):
     rmse = lambda p: F.sqrt(F.avg((F.col("y") - p) * (F.col("y") - p)))
     a = _recent(spark, sf_dir).groupBy("test_year").agg(rmse(F.col("pred")).alias("w"), rmse(F.col("size") * 900.0).alias("o"))
     return a.select("test_year", r(F.col("w"), 4).alias("with_block"), r(F.col("o"), 4).alias("without_block"), r(F.col("w") - F.col("o"), 4).alias("delta"), F.when(F.col("w") < F.col("o"), "helps").otherwise("hurts").alias("verdict"))
+
+
+def _uniform_sql(seed: int, slot: str, draw: str, prime: int = inf.PRIME) -> tuple[str, str]:
+    """Columns h and g, and the whole number made from them, of the row bootstrap's hash."""
+    h = f"({seed} + {draw} * 7919 + ({slot} % {prime}) * 104729) % {prime}"
+    g = f"((h * h + ({slot} % {prime})) % {prime})"
+    return h, f"(((({g} * {g} + {draw} * 48271 + 11) % {prime}) * 69621 + h) % {prime})"
+
+
+_H, _U = _uniform_sql(42, "slot", "draw")
+_LIMITS = ", ".join(map(str, inf.poisson_limits()))
+
+
+@query("row_paired_bootstrap", f"""WITH {_RECENT}, x AS (SELECT okey * 8 + line AS slot, y, pred AS a, size * 900.0 AS b FROM recent),
+  d AS (SELECT *, {_H} AS h FROM x CROSS JOIN (SELECT unnest(range(0, 2000)) AS draw)), u AS (SELECT *, {_U} AS u FROM d),
+  w AS (SELECT draw, {' + '.join(f'(u >= {v})::INT' for v in inf.poisson_limits())} AS w, y, a, b FROM u UNION ALL SELECT -1, 1, y, a, b FROM x),
+  s AS (SELECT draw, sum(w) AS n, sum(w * abs(y - a)) AS ma, sum(w * abs(y - b)) AS mb, sum(w * pow(y - a, 2)) AS sa, sum(w * pow(y - b, 2)) AS sb, sum(w * y) AS sy, sum(w * y * y) AS syy FROM w GROUP BY 1 HAVING sum(w) > 0),
+  t AS (SELECT draw, 'rmse' AS stat, sqrt(sa / n) AS a, sqrt(sb / n) AS b FROM s UNION ALL SELECT draw, 'mae', ma / n, mb / n FROM s UNION ALL SELECT draw, 'r2', 1 - sa / (syy - sy * sy / n), 1 - sb / (syy - sy * sy / n) FROM s)
+  SELECT stat, round(max(a) FILTER (draw = -1), 4) AS a, round(max(b) FILTER (draw = -1), 4) AS b, round(max(b - a) FILTER (draw = -1), 4) AS delta,
+         round(quantile_cont(b - a, 0.025) FILTER (draw >= 0), 4) AS lo, round(quantile_cont(b - a, 0.975) FILTER (draw >= 0), 4) AS hi FROM t GROUP BY 1""")
+def row_paired_bootstrap(spark, sf_dir):
+    rows = _recent(spark, sf_dir).select((F.col("okey") * 8 + F.col("line")).alias("slot"), "y", "pred", (F.col("size") * 900.0).alias("flat"))
+    return inf.row_paired_bootstrap(rows, "slot", "y", "pred", "flat").withColumns({c: r(F.col(c), 4) for c in ("a", "b", "delta", "lo", "hi")})
+
+
+@query("cluster_robust_panel", f"""WITH {PRED}, x AS (SELECT entity AS c, y / 1000 AS y, size - avg(size) OVER () AS p, test_year - avg(test_year) OVER () AS q, avg(size) OVER () AS mp, avg(test_year) OVER () AS mq FROM pred),
+  m AS (SELECT count(*) AS n, avg(y) AS my, var_pop(y) AS vy, max(mp) AS mp, max(mq) AS mq, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy FROM x),
+  b AS (SELECT *, (qq * py - pq * qy) / (pp * qq - pq * pq) AS b1, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2, pp * qq - pq * pq AS det FROM m),
+  u AS (SELECT x.c, p, q, y - my - b1 * p - b2 * q AS u FROM x CROSS JOIN b), s AS (SELECT c, sum(u) AS s0, sum(p * u) AS s1, sum(q * u) AS s2, sum(u * u) AS uu FROM u GROUP BY 1),
+  t AS (SELECT count(*) AS g, sum(uu) AS uu, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s0 * s2) AS m02, sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM s),
+  v AS (SELECT *, qq / det AS i11, -pq / det AS i12, pp / det AS i22, g / (g - 1.0) * (n - 1.0) / (n - 3.0) AS f FROM b CROSS JOIN t),
+  e AS (SELECT *, f * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22) AS v11, f * (i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22) AS v22, f * (i11 * i12 * m11 + (i11 * i22 + i12 * i12) * m12 + i12 * i22 * m22) AS v12,
+        f * m00 / n / n AS v00, f * (i11 * m01 + i12 * m02) / n AS v01, f * (i12 * m01 + i22 * m02) / n AS v02 FROM v),
+  o AS (SELECT 'size' AS term, b1 AS coefficient, sqrt(v11) AS se, g, n, uu, vy FROM e UNION ALL SELECT 'test_year', b2, sqrt(v22), g, n, uu, vy FROM e
+        UNION ALL SELECT 'intercept', my - b1 * mp - b2 * mq, sqrt(v00 + mp * mp * v11 + mq * mq * v22 - 2 * mp * v01 - 2 * mq * v02 + 2 * mp * mq * v12), g, n, uu, vy FROM e)
+  SELECT term, round(coefficient, 5) AS coefficient, round(se, 5) AS std_error, round(coefficient / se, 3) AS t, round({t_two_sided_sql('(coefficient / se)', '(g - 1)')}, 6) AS p_value, round(1 - uu / (n * vy), 6) AS r_squared, n, g AS clusters, true AS supported FROM o""")
+def cluster_robust_panel(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("y", F.col("y") / 1000)
+    out = inf.cluster_robust_ols(rows, "entity", ["size", "test_year"], "y")
+    return out.select("term", r(F.col("coefficient"), 5).alias("coefficient"), r(F.col("std_error"), 5).alias("std_error"), r(F.col("t"), 3).alias("t"), r(F.col("p_value")).alias("p_value"), r(F.col("r_squared")).alias("r_squared"), "n", "clusters", "supported")
