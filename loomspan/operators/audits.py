@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,14 @@ def positional_join(left: DataFrame, right: DataFrame, order: list[str], check:
     return held.withColumn("matches", F.coalesce(F.col(check) == F.col(f"right_{check}"), F.lit(False))).drop("_k", "_r", "_at")
 
 
+def _figures(seen: Observation) -> dict:
+    """What was observed; nothing, where one side of a join was empty and Spark has taken the other out of the plan."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def join_chain(skeleton: DataFrame, steps: list[tuple[str, DataFrame, list[str]]]) -> tuple[DataFrame, DataFrame]:
     """The skeleton with every (name, table, keys) joined on the left, and an audit with a row for each step.
 
@@ -105,7 +114,8 @@ def join_chain(skeleton: DataFrame, steps: list[tuple[str, DataFrame, list[str]]
     Clashing columns get the step's name behind them. A step is written once, and its figures are taken on the way: rows
     before and after, columns before, after and added, rows of the table, its repeated keys, skeleton rows without a match,
     and nulls in the added columns. The table's rows are gathered by key for the join, which tells repeated keys without
-    another shuffle. A null key is a key for that purpose, and matches nothing.
+    another shuffle. A null key is a key for that purpose, and matches nothing. Tables are not read, and so not checked, for
+    an empty skeleton.
     """
     out, audit, rows = skeleton, [], None
     for name, table, keys in steps:
@@ -118,12 +128,13 @@ def join_chain(skeleton: DataFrame, steps: list[tuple[str, DataFrame, list[str]]
         joined = out.join(by_key, keys, "left")
         joined = joined.observe(met, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_n").isNull()).alias("unmatched"), *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(added)])
         written = scratch.materialize(joined, f"join-{name}")
-        found, after = own.get, met.get
-        if found["repeated"]:
+        after = met.get
+        found = _figures(own)
+        if found.get("repeated"):
             scratch.remove(skeleton.sparkSession, written)
             raise ValueError(f"{name}: {found['repeated']} keys of {', '.join(keys)} repeat")
         rows = after["rows"] if rows is None else rows
-        audit.append((name, rows, after["rows"], len(out.columns), len(out.columns) + len(added), len(added), found["rows"] or 0, found["repeated"] or 0, after["unmatched"], sum(after[f"null_{i}"] for i in range(len(added)))))
+        audit.append((name, rows, after["rows"], len(out.columns), len(out.columns) + len(added), len(added), found.get("rows", 0 if after["rows"] else None), found.get("repeated", 0), after["unmatched"], sum(after[f"null_{i}"] for i in range(len(added)))))
         rows, out = after["rows"], written.drop("_n")
     names = "step string, rows_before bigint, rows_after bigint, columns_before int, columns_after int, columns_added int, right_rows bigint, duplicate_keys bigint, rows_unmatched bigint, new_missing bigint"
     return out, skeleton.sparkSession.createDataFrame(audit, names)
