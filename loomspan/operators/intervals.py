@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan import scratch
-from loomspan.operators.ordering import quantiles, quantiles_by, running_sums
+from loomspan.operators.ordering import quantiles, quantiles_by, quantiles_with_pool, running_sums
 
 
 def interval_metrics(alpha: float = 0.1) -> list[Column]:
@@ -76,8 +76,9 @@ def conformal_static(cal: DataFrame, test: DataFrame, alpha: float = 0.1, score:
 def conformal_by_group(cal: DataFrame, test: DataFrame, group: str, alpha: float = 0.1, least: int = 20) -> DataFrame:
     """As conformal_static() with a quantile for each group; groups with fewer than `least` scores use the pooled one."""
     score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")).alias("s")
-    own = quantile_at(cal.select(F.col(group).alias("_g"), score), ["_g"], "s", lambda n: level(alpha, n)).where(F.col("n") >= least).select("_g", F.col("q").alias("_own"))
-    pooled = quantile_at(cal.select(score), [], "s", lambda n: level(alpha, n)).select(F.col("q").alias("_pooled"))
+    own, pooled = quantiles_with_pool(cal.select(F.col(group).alias("_g"), score), "_g", "s", lambda n: level(alpha, n))
+    own = own.where(F.col("n") >= least).select("_g", F.col("q").alias("_own"))
+    pooled = pooled.select(F.col("q").alias("_pooled"))
     held = test.join(own, F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(pooled)).withColumn("_q", F.coalesce("_own", "_pooled"))
     return held.withColumn("lo", F.col("lo") - F.col("_q")).withColumn("hi", F.col("hi") + F.col("_q")).drop("_g", "_own", "_pooled", "_q")
 
@@ -159,29 +160,64 @@ def severity_adaptive_conformal(rows: DataFrame, series: str, step: str, severit
 
 
 def _adaptive(scores: DataFrame, series: str, step: str, alpha: float, rate, low: float, high: float, window) -> DataFrame:
-    """The loop over steps for scores (_k series, _t step, _score, _x severity)."""
+    """The loop over steps for scores (_k series, _t step, _score, _x severity).
+
+    Scores are counted by series, step and value once, put in ranges of series and value, and written. The counts of each
+    series, step and range tell in which range a step's quantile lies; a step then reads that range, and its own rows.
+    """
     spark = scores.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
-    scores = scratch.materialize(scores, "adaptive-scores")
-    order: dict = {}
-    for r in sorted(scores.groupBy("_k", "_t").agg(F.avg("_x").alias("x")).collect(), key=lambda r: r["_t"]):  # a row a series and step
-        order.setdefault(r["_k"], []).append((r["_t"], r["x"]))
+    counts = scores.groupBy("_k", "_t", F.col("_score").alias("_s")).agg(F.count(F.lit(1)).alias("_c"), F.sum("_x").alias("_x"), F.count("_x").alias("_cx"))
+    held = scratch.materialize(counts.repartitionByRange("_k", "_s").withColumn("_p", F.spark_partition_id()), "adaptive-scores")
+    # a row a series, step and range
+    cells = held.groupBy("_k", "_t", "_p").agg(F.sum(F.when(F.col("_s").isNotNull(), F.col("_c")).otherwise(0)).alias("n"), F.sum("_x").alias("x"), F.sum("_cx").alias("cx")).collect()
+    order, in_range, severity = {}, {}, {}
+    for r in cells:
+        order.setdefault(r["_k"], set()).add(r["_t"])
+        in_range.setdefault(r["_k"], {}).setdefault(r["_p"], {})[r["_t"]] = r["n"]
+        x, n = severity.get((r["_k"], r["_t"]), (0.0, 0))
+        severity[r["_k"], r["_t"]] = (x + (r["x"] or 0.0), n + r["cx"])
+    order = {k: sorted(v) for k, v in order.items()}
+    mean = {k: x / n if n else None for k, (x, n) in severity.items()}
     alphas, out = {k: alpha for k in order}, []
+
+    def place(k, first, now, rank: int) -> tuple[int | None, int]:
+        """The range that holds the score of a rank (from 0) among a series' earlier ones, and the rank in it."""
+        for p in sorted(in_range[k]):
+            n = sum(c for t, c in in_range[k][p].items() if first <= t < now)
+            if rank < n:
+                return p, rank
+            rank -= n
+        return None, 0
+
+    names = f"_k {kind['_k']}, _now {kind['_t']}, _first {kind['_t']}, _lp int, _lr bigint, _hp int, _hr bigint, _part double"
     for t in range(max(map(len, order.values()), default=0)):
-        now = {k: v[t] for k, v in order.items() if t < len(v)}
-        rows = []
-        for k, (at, x) in now.items():
-            back = window(x)
-            rows.append((k, at, order[k][max(0, t - back)][0] if back else order[k][0][0], alphas[k]))
-        state = spark.createDataFrame(rows, f"_k {kind['_k']}, _now {kind['_t']}, _first {kind['_t']}, _alpha double")
-        pool = scores.join(F.broadcast(state), "_k").where((F.col("_t") < F.col("_now")) & (F.col("_t") >= F.col("_first"))).select("_k", "_score")
-        q = quantiles_by(pool, ["_k"], "_score", lambda n: F.least(F.ceil((1 - F.col("_alpha")) * (n + 1)) / n, F.lit(1.0)), state.select("_k", "_alpha"))
-        q = state.join(q, "_k", "left").select("_k", F.col("_now").alias("_t"), F.coalesce("q", F.lit(0.0)).alias("q"))
-        met = scores.join(F.broadcast(q), ["_k", "_t"])
-        for r in met.groupBy("_k").agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg((F.col("_score") <= F.col("q")).cast("int")).alias("c")).collect():  # a row a series
+        rows, now = [], {}
+        for k, steps in order.items():
+            if t < len(steps):
+                at = now[k] = steps[t]
+                back = window(mean[k, at])
+                first = steps[max(0, t - back)] if back else steps[0]
+                n = sum(c for p in in_range[k].values() for s, c in p.items() if first <= s < at)
+                h = (n - 1) * min(math.ceil((1 - alphas[k]) * (n + 1)) / n, 1.0) if n else 0.0
+                low_at, high_at = place(k, first, at, math.floor(h)), place(k, first, at, min(math.floor(h) + 1, max(n - 1, 0)))
+                rows.append((k, at, first, *low_at, *high_at, h - math.floor(h)))
+        state = spark.createDataFrame(rows, names)
+        ranges = [p for r in rows for p in (r[3], r[5]) if p is not None]
+        pool = held.where(F.col("_p").isin(ranges)).join(F.broadcast(state), "_k").where((F.col("_t") < F.col("_now")) & (F.col("_t") >= F.col("_first")) & F.col("_s").isNotNull())
+        values = pool.groupBy("_k", "_p", "_s").agg(F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in ("_lp", "_lr", "_hp", "_hr")])
+        up_to = F.sum("_c").over(Window.partitionBy("_k", "_p").orderBy("_s"))
+        end = lambda p, rank: F.min(F.when((F.col("_p") == F.col(p)) & (F.col("_u") > F.col(rank)), F.col("_s")))
+        ends = values.withColumn("_u", up_to).groupBy("_k").agg(end("_lp", "_lr").alias("_a"), end("_hp", "_hr").alias("_b"))
+        q = state.join(F.broadcast(ends), "_k", "left").select("_k", F.col("_now").alias("_t"), F.coalesce(F.col("_a") * (1 - F.col("_part")) + F.col("_b") * F.col("_part"), F.lit(0.0)).alias("q"))
+        met = held.where(F.col("_t").isin(list(now.values()))).join(F.broadcast(q), ["_k", "_t"])
+        inside = F.sum(F.when(F.col("_s") <= F.col("q"), F.col("_c")).otherwise(0)) / F.sum(F.when(F.col("_s").isNotNull(), F.col("_c")))
+        for r in met.groupBy("_k").agg(F.first("q").alias("q"), F.sum("_c").alias("n"), inside.alias("c")).collect():  # a row a series
             k = r["_k"]
-            out.append((k, now[k][0], alphas[k], r.q, r.n, r.c, window(now[k][1])))
-            alphas[k] = min(max(alphas[k] + rate(t + 1) * (alpha - (1 - r.c)), low), high)
+            out.append((k, now[k], alphas[k], r.q, r.n, r.c, window(mean[k, now[k]])))
+            if r.c is not None:
+                alphas[k] = min(max(alphas[k] + rate(t + 1) * (alpha - (1 - r.c)), low), high)
+    scratch.remove(spark, held)
     return spark.createDataFrame(out, f"`{series}` {kind['_k']}, `{step}` {kind['_t']}, alpha_t double, q double, n bigint, coverage double, window int")
 
 

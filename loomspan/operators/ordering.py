@@ -59,3 +59,31 @@ def quantiles_by(df: DataFrame, keys: list[str], value: str, level, state: DataF
     one = seen.groupBy(*keys).agg(F.max("n").alias("n"), *ends)
     part = lambda k: F.col(f"_h_{k}") - F.floor(f"_h_{k}")
     return one.select(*keys, "n", *[(F.col(f"_a_{k}") * (1 - part(k)) + F.coalesce(f"_b_{k}", f"_a_{k}") * part(k)).alias(k) for k in levels])
+
+
+def quantiles_with_pool(df: DataFrame, key: str, value: str, level) -> tuple[DataFrame, DataFrame]:
+    """((key, n, q), (n, q)): interpolated quantiles of the non-null values of each key and of all, at level(n).
+
+    Values are counted by key once and put in ranges of the value, so one written table serves the keys and the pool.
+    """
+    by_value = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    held = scratch.materialize(by_value.repartitionByRange("s").withColumn("_p", F.spark_partition_id()), "ranges")
+
+    def of(keys: list[str]) -> DataFrame:
+        cells = held.groupBy(*keys, "_p").agg(F.sum("c").alias("_in"))  # a row a key and range
+        earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0))).withColumn("n", F.sum("_in").over(Window.partitionBy(*keys)))
+        h = (F.col("n") - 1) * level(F.col("n"))
+        low, high = F.floor(h), F.least(F.floor(h) + 1, F.col("n") - 1)
+        holds = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in"))
+        needed = cells.withColumns({"_h": h, "_low": low, "_high": high}).where(holds(F.col("_low")) | holds(F.col("_high"))).drop("_in")
+        # only the ranges that hold a rank are read on, two for each key at most
+        values = held.groupBy(*keys, "_p", "s").agg(F.sum("c").alias("c")).join(needed, [*keys, "_p"])
+        rank = F.col("_before") + F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy("s"))
+        values = values.withColumn("_r", rank)
+        end = lambda at: F.min(F.when(F.col("_r") > F.col(at), F.col("s")))
+        one = values.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_h").alias("_h"), end("_low").alias("_a"), end("_high").alias("_b"))
+        part = F.col("_h") - F.floor("_h")
+        return one.select(*keys, "n", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q"))
+
+    return of(["_k"]).withColumnRenamed("_k", key), of([])
