@@ -64,6 +64,12 @@ def require_columns(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+def with_filled(described: DataFrame, df: DataFrame, name: str = "column") -> DataFrame:
+    """described with `filled`, the rows of df in which the named column has a value; null for a column that is not there."""
+    one = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, name, "filled")
+    return described.join(one, name, "left")
+
+
 def lineage(df: DataFrame, sources: dict[str, list[str]], default: str = "derived") -> DataFrame:
     """(column, type, source, timing): where each column comes from, and the window that its name's end speaks of."""
     of = {c: s for s, columns in sources.items() for c in columns}

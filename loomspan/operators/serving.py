@@ -6,20 +6,30 @@ entity, year, pred, lo, hi, stratum). Every view is a filter, a join on (entity,
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranking metrics: label and unit.
-METRICS = {
-    "estimate": ("Model estimate", "t/ha"), "observed": ("Observed", "t/ha"), "estimate_vs_average_pct": ("Estimate against the prior average", "%"), "observed_vs_average_pct": ("Observed against the prior average", "%"),
-    "interval_width": ("Width of the interval", "t/ha"), "compound": ("Compound days", "days"), "dry": ("Dry days", "days"), "hot": ("Hot days", "days"), "excess": ("Heat excess", "degree days"), "rain": ("Rain", "mm"),
-    "hail": ("Hail reports", "events"), "production": ("Estimated production", "units"),
-}
-#: Map layers: the metric behind each, and whether it changes by season.
-LAYERS = {
-    "estimate": ("estimate", True), "observed": ("observed", True), "anomaly": ("observed_vs_average_pct", True), "estimate_anomaly": ("estimate_vs_average_pct", True), "width": ("interval_width", True), "drought": ("dry", True),
-    "heat": ("hot", True), "compound": ("compound", True), "compound_severity": ("severity", True), "storms": ("storms", True), "rain": ("rain", True), "credit": ("credit", False), "size": ("size", False), "share": ("share", False),
-}
+class Measure(NamedTuple):
+    """A column of the entity table: its unit, whether entities are ranked by it and mapped by it, and whether it has a value a year."""
+
+    name: str
+    unit: str
+    ranked: bool = True
+    mapped: bool = True
+    yearly: bool = True
+
+
+MEASURES = [
+    Measure("compound", "days"), Measure("credit", "money", ranked=False, yearly=False), Measure("dry", "days"), Measure("estimate", "per unit"), Measure("estimate_to_prior", "%"),
+    Measure("excess", "degree days", mapped=False), Measure("hail", "reports", mapped=False), Measure("hot", "days"), Measure("observed", "per unit"), Measure("observed_to_prior", "%"),
+    Measure("production", "units", mapped=False), Measure("rain", "mm"), Measure("severity", "degree days", ranked=False), Measure("share", "%", ranked=False, yearly=False),
+    Measure("size", "class", ranked=False, yearly=False), Measure("spread", "per unit"), Measure("storms", "reports", ranked=False),
+]
+#: What entities are ranked by, and what a map shows: (column, whether it has a value a year).
+METRICS = {m.name: m.unit for m in MEASURES if m.ranked}
+LAYERS = {m.name: (m.name, m.yearly) for m in MEASURES if m.mapped}
 
 
 def joined(panel: DataFrame, preds: DataFrame, method: str) -> DataFrame:
@@ -32,7 +42,7 @@ def entity_table(panel: DataFrame, preds: DataFrame, year: int, method: str) ->
     m = joined(panel.where(F.col("year") == year), preds, method)
     against = lambda c: F.try_divide(100 * (F.col(c) - F.col("prior")), F.col("prior"))
     return m.withColumns({
-        "estimate": F.col("pred"), "observed": F.col("value"), "estimate_vs_average_pct": against("pred"), "observed_vs_average_pct": against("value"), "interval_width": F.col("hi") - F.col("lo"), "production": F.col("pred") * F.col("weight"),
+        "estimate": F.col("pred"), "observed": F.col("value"), "estimate_to_prior": against("pred"), "observed_to_prior": against("value"), "spread": F.col("hi") - F.col("lo"), "production": F.col("pred") * F.col("weight"),
         "severity": F.col("compound") * F.col("excess"), "storms": F.when(F.coalesce("hail", "compound").isNotNull(), F.coalesce("hail", F.lit(0)) + F.coalesce("compound", F.lit(0))),
     })
 

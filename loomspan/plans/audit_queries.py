@@ -61,15 +61,18 @@ def source_inventory(spark, sf_dir):
 _GROUPS = {"key": ["o_orderkey", "o_custkey"], "target": ["o_totalprice"], "planned": ["o_weight"]}
 
 
-@query("column_registry", """SELECT * FROM (VALUES ('key', 'o_orderkey', true), ('key', 'o_custkey', true), ('target', 'o_totalprice', true), ('planned', 'o_weight', false)) v("group", "column", present)""")
+@query("column_registry", """WITH n AS (SELECT count(o_orderkey) AS k, count(o_custkey) AS c, count(o_totalprice) AS p FROM orders)
+  SELECT 'key' AS "group", 'o_orderkey' AS "column", true AS present, k AS filled FROM n UNION ALL SELECT 'key', 'o_custkey', true, c FROM n UNION ALL SELECT 'target', 'o_totalprice', true, p FROM n UNION ALL SELECT 'planned', 'o_weight', false, NULL FROM n""")
 def column_registry(spark, sf_dir):
-    return audits.schema_registry(table(spark, sf_dir, "orders"), _GROUPS)
+    orders = table(spark, sf_dir, "orders")
+    return audits.with_filled(audits.schema_registry(orders, _GROUPS), orders)
 
 
-@query("column_lineage", """SELECT * FROM (VALUES ('entity', 'bigint', 'orders', 'none'), ('rain_gs', 'double', 'weather', 'within season'), ('rain_ann', 'double', 'weather', 'whole year'), ('value_lag1', 'double', 'derived', 'earlier years')) v("column", type, source, timing)""")
+@query("column_lineage", f"""WITH {PANEL}, n AS (SELECT count(entity) AS e, count(value) AS v, count(CASE WHEN year > 1995 THEN value END) AS l FROM panel)
+  SELECT 'entity' AS "column", 'bigint' AS type, 'orders' AS source, 'none' AS timing, e AS filled FROM n UNION ALL SELECT 'rain_gs', 'double', 'weather', 'within season', v FROM n UNION ALL SELECT 'rain_ann', 'double', 'weather', 'whole year', v FROM n UNION ALL SELECT 'value_lag1', 'double', 'derived', 'earlier years', l FROM n""")
 def column_lineage(spark, sf_dir):
-    p = order_panel(spark, sf_dir).select("entity", F.col("value").alias("rain_gs"), F.col("value").alias("rain_ann"), F.col("value").alias("value_lag1"))
-    return audits.lineage(p, {"orders": ["entity"], "weather": ["rain_gs", "rain_ann"]})
+    p = order_panel(spark, sf_dir).select("entity", F.col("value").alias("rain_gs"), F.col("value").alias("rain_ann"), F.when(F.col("year") > 1995, F.col("value")).alias("value_lag1"))
+    return audits.with_filled(audits.lineage(p, {"orders": ["entity"], "weather": ["rain_gs", "rain_ann"]}), p)
 
 
 @query("predictor_audit", " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(corr({c}, l_extendedprice), 6) AS r, abs(corr({c}, l_extendedprice)) > 0.5 AS suspicious FROM lineitem WHERE l_shipdate < DATE '1998-01-01'""" for c in ("l_quantity", "l_discount", "l_tax")))

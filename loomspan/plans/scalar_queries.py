@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as sc
+from loomspan.operators import audits
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import DENSE, PANEL, PRED, dense_events, order_panel, predictions, r
 from loomspan.plans.registry import query
@@ -115,11 +116,13 @@ def quantile_losses(spark, sf_dir):
     return predictions(spark, sf_dir).groupBy("method").agg(r(F.avg(sc.pinball(y, F.col("lo"), 0.05)), 4).alias("pinball_05"), r(F.avg(sc.pinball(y, F.col("hi"), 0.95)), 4).alias("pinball_95"), r(F.avg(sc.huber(y, F.col("pred"), 500.0)), 2).alias("huber"))
 
 
-@query("variable_catalog", """SELECT * FROM (VALUES ('l_orderkey', 'key', '', ''), ('l_extendedprice', 'money', 'usd', ''), ('l_quantity', 'other', '', ''), ('tmax_gs', 'temperature', 'degC', 'gs'), ('ppt_ann', 'moisture', 'mm', 'ann')) v(name, kind, unit, "window")""")
+@query("variable_catalog", """SELECT v.*, n.rows AS filled FROM (VALUES ('l_orderkey', 'key', '', ''), ('l_extendedprice', 'money', 'usd', ''), ('l_quantity', 'other', '', ''), ('tmax_gs', 'temperature', 'degC', 'gs'), ('ppt_ann', 'moisture', 'mm', 'ann')) v(name, kind, unit, "window")
+  JOIN (SELECT unnest(['l_orderkey', 'l_extendedprice', 'l_quantity', 'tmax_gs', 'ppt_ann']) AS name, unnest([count(l_orderkey), count(l_extendedprice), count(l_quantity), count(l_tax), count(l_tax)]) AS rows FROM lineitem) n USING (name)""")
 def variable_catalog(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", F.col("l_tax").alias("tmax_gs"), F.col("l_tax").alias("ppt_ann"))
     names = spark.createDataFrame([(c,) for c in li.columns], "name string")
-    return names.withColumn("_m", sc.variable_metadata(F.col("name"))).select("name", "_m.kind", "_m.unit", "_m.window")
+    described = names.withColumn("_m", sc.variable_metadata(F.col("name"))).select("name", "_m.kind", "_m.unit", "_m.window")
+    return audits.with_filled(described, li, "name")
 
 
 @query("claim_scan", r"""SELECT source, count(*) AS documents, count(CASE WHEN regexp_matches(text, '[0-9]+ ?%|[0-9]+\.[0-9]+') THEN 1 END) AS with_numbers, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[0-9]+\.[0-9]+'))) AS BIGINT) AS decimals FROM documents GROUP BY 1""")

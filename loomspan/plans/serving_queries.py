@@ -18,7 +18,7 @@ STORE = f"""{PRED}, base AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) A
   panel AS (SELECT b.*, s_name AS name, n_name AS state, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS prior FROM base b JOIN supplier ON s_suppkey = entity JOIN nation ON n_nationkey = s_nationkey WINDOW w AS (PARTITION BY entity ORDER BY year ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
   preds AS (SELECT method, entity, test_year AS year, avg(pred / size) AS pred, avg(lo / size) AS lo, avg(hi / size) AS hi FROM pred GROUP BY 1, 2, 3),
   m AS (SELECT panel.*, p.pred, p.lo, p.hi FROM panel LEFT JOIN preds p ON p.entity = panel.entity AND p.year = panel.year AND p.method = 'N'),
-  t AS (SELECT *, pred AS estimate, value AS observed, 100 * (pred - prior) / prior AS estimate_vs_average_pct, 100 * (value - prior) / prior AS observed_vs_average_pct, hi - lo AS interval_width, pred * weight AS production, compound * excess AS severity, hail + compound AS storms FROM m WHERE year = {YEAR})"""
+  t AS (SELECT *, pred AS estimate, value AS observed, 100 * (pred - prior) / prior AS estimate_to_prior, 100 * (value - prior) / prior AS observed_to_prior, hi - lo AS spread, pred * weight AS production, compound * excess AS severity, hail + compound AS storms FROM m WHERE year = {YEAR})"""
 
 
 def store(spark, sf_dir):
@@ -46,7 +46,7 @@ def _year(spark, sf_dir):
     return serving.entity_table(panel, preds, YEAR, "N"), names
 
 
-_TABLE = ["weight", "estimate", "observed", "prior", "estimate_vs_average_pct", "observed_vs_average_pct", "interval_width", "production"]
+_TABLE = ["weight", "estimate", "observed", "prior", "estimate_to_prior", "observed_to_prior", "spread", "production"]
 
 
 @query("serving_entity_table", f"WITH {STORE} SELECT entity, name, state, {', '.join(f'round({c}, 3) AS {c}' for c in _TABLE)}, dry, hot, compound, hail FROM t")
