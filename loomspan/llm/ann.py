@@ -177,7 +177,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     score is the inner product of the stored vectors in double precision; ties go to the smaller vec_id; where there are
     fewer than k candidates all are returned. Vectors that are null, zero, or hold a null or non-finite component take no
     part, and neither do rows without vec_id. Vectors of another length than most are only compared with their like: a
-    shard holds one length. A vec_id that repeats is a row for each of its vectors. Extra columns are ignored.
+    shard holds one length. A vec_id that repeats is a row for each of its vectors; a
+    query leaves out its own row, not others that bear its id. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     held = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
@@ -219,7 +220,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
                     score = exact[near] @ q[i]
                     left_over = 2 * k
                     for j in np.argsort(-score, kind="stable"):
-                        own = [m for m in members[near[j]] if m != query][:k]
+                        own = members[near[j]]
+                        if query in own and np.array_equal(exact[near[j]], q[i]):  # the query's own row, not others of its id
+                            own = own.copy()
+                            own.remove(query)
+                        own = own[:k]
                         out += [(query, row, m, float(score[j])) for m in own]
                         left_over -= len(own)
                         if left_over <= 0:

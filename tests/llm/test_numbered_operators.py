@@ -474,3 +474,11 @@ def test_frequent_words_are_bounded_and_the_most_frequent(spark):
         least = next((n for n in sorted(set(counts)) if sum(c >= n for c in counts) <= most), None)
         assert got == sorted(c for c in counts if least is not None and c >= least)
     assert lm.frequent_words(words.where("n < 0"), 10).count() == 0
+
+
+def test_a_query_leaves_out_its_own_row_and_no_other(spark):
+    """Rows that share an id are rows of their own: each is a neighbour of the other, copies of a vector included."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.5, 0.5]), (40, [2.0, 1.0]), (40, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = Counter((r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == {(20, 20): 2, (20, 3): 2, (20, 40): 4, (40, 40): 2, (40, 20): 4, (40, 3): 2}
