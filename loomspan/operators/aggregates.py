@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,38 @@ def window_block(value: str, inside: Column, prefix: str, mean_share: float = 0.
     ]
 
 
+class Feature(NamedTuple):
+    """A daily value, and what is made of it in each window: mean, min, max, total, valid (days with a value), count (days with `when`)."""
+
+    name: str
+    value: Column
+    stats: tuple[str, ...]
+    when: Column | None = None
+
+
+def feature_block(rows: DataFrame, keys: list[str], windows: dict[str, Column], features: list[Feature], mean_share: float = 0.95, total_share: float = 1.0) -> DataFrame:
+    """One row a key: days_<window>, and <feature>_<stat>_<window> of every feature in every window, all in one grouped pass.
+
+    mean, min and max are null where less than mean_share of the window's days have a value, total and count where less than
+    total_share have. A window without days has totals and counts of 0 and no mean. Windows may overlap; a null in a
+    window's condition leaves the day out of it. Counts that several features share are taken once by Spark.
+    """
+    out = []
+    for w, condition in windows.items():
+        inside = F.coalesce(condition, F.lit(False))
+        n = F.count_if(inside)
+        out.append(n.alias(f"days_{w}"))
+        for f in features:
+            x = F.when(inside, f.value)
+            valid = F.count(x)
+            made = {
+                "mean": lambda: gated(F.avg(x), valid, n, mean_share), "min": lambda: gated(F.min(x), valid, n, mean_share), "max": lambda: gated(F.max(x), valid, n, mean_share), "valid": lambda: valid,
+                "total": lambda: gated(F.coalesce(F.sum(x), F.lit(0.0)), valid, n, total_share), "count": lambda: gated(F.count_if(x.isNotNull() & f.when), valid, n, total_share),
+            }
+            out += [made[stat]().alias(f"{f.name}_{stat}_{w}") for stat in f.stats]
+    return rows.groupBy(*keys).agg(*out)
+
+
 def weighted_mean(x: str, w: str) -> Column:
     """Mean of x by w over rows where both are there and w is not 0."""
     ok = F.col(x).isNotNull() & F.col(w).isNotNull() & (F.col(w) != 0)

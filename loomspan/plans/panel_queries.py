@@ -52,6 +52,40 @@ def seasonal_coverage_aggs(spark, sf_dir):
     return out.withColumns({c: r(F.col(c)) for c in ("w_mean", "w_total")})
 
 
+#: Windows of the feature block, as conditions that Spark and DuckDB read alike; stages follow the running total of values.
+_WINDOWS = {"ann": "true", "gs": "day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'", "veg": "sofar < 800", "silk": "sofar >= 800 AND sofar < 1600", "grain": "sofar >= 1600"}
+_FEATURES = [
+    ("value", "value", ("mean", "min", "max", "total", "valid"), None), ("surplus", "greatest(value - 50, 0)", ("mean", "total"), None),
+    ("root", "sqrt(abs(value))", ("mean", "max"), None), ("high", "value", ("count",), "value > 50"), ("step", "value - before", ("mean", "valid"), None),
+]
+
+
+def _features_sql() -> str:
+    out = []
+    for w, inside in _WINDOWS.items():
+        n = f"count(*) FILTER ({inside})"
+        out.append(f"{n} AS days_{w}")
+        for name, value, stats, when in _FEATURES:
+            valid = f"count({value}) FILTER ({inside})"
+            some, whole = f"coalesce({valid} / nullif({n}, 0), 1.0) >= 0.8", f"coalesce({valid} / nullif({n}, 0), 1.0) >= 1.0"
+            made = {
+                "mean": f"CASE WHEN {some} THEN round(avg({value}) FILTER ({inside}), 6) END", "min": f"CASE WHEN {some} THEN round(min({value}) FILTER ({inside}), 6) END",
+                "max": f"CASE WHEN {some} THEN round(max({value}) FILTER ({inside}), 6) END", "valid": valid, "total": f"CASE WHEN {whole} THEN round(coalesce(sum({value}) FILTER ({inside}), 0.0), 6) END",
+                "count": f"CASE WHEN {whole} THEN count(*) FILTER (({inside}) AND {when}) END",
+            }
+            out += [f"{made[stat]} AS {name}_{stat}_{w}" for stat in stats]
+    return ", ".join(out)
+
+
+@query("feature_block", f"WITH {DENSE}, x AS (SELECT *, coalesce(sum(value) OVER (PARTITION BY entity ORDER BY day), 0.0) AS sofar, lag(value) OVER (PARTITION BY entity ORDER BY day) AS before FROM dense) SELECT entity, {_features_sql()} FROM x GROUP BY entity")
+def feature_block(spark, sf_dir):
+    w = Window.partitionBy("entity").orderBy("day")
+    held = dense_events(spark, sf_dir).withColumn("before", F.lag("value").over(w)).withColumn("sofar", F.coalesce(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    features = [agg.Feature(name, F.expr(value), stats, when and F.expr(when)) for name, value, stats, when in _FEATURES]
+    out = agg.feature_block(held, ["entity"], {k: F.expr(c) for k, c in _WINDOWS.items()}, features, 0.8, 1.0)
+    return out.withColumns({c: r(F.col(c)) for c, kind in out.dtypes if kind == "double"})
+
+
 @query("phenology_windows", f"""WITH {DENSE}, gdd AS (SELECT *, sum(value) OVER (PARTITION BY entity ORDER BY day) AS total FROM dense),
   lab AS (SELECT *, CASE WHEN coalesce(total, 0) < 800 THEN 'veg' WHEN total < 1600 THEN 'silk' ELSE 'grain' END AS stage FROM gdd)
   SELECT entity, stage, count(*) AS days, CAST(min(dayofyear(day)) AS INTEGER) AS start_doy, CAST(max(dayofyear(day)) AS INTEGER) AS end_doy, round(coalesce(sum(value), 0.0), 6) AS total FROM lab GROUP BY 1, 2""")

@@ -231,3 +231,18 @@ def test_preprocessing_fails_fast_and_strict_sums_skip_nan(spark):
         audits.require_columns(df, {"key": ["k"], "target": ["y"]})
     flat = spark.createDataFrame([("e", i, 2.0) for i in range(12)], "e string, o int, v double")
     assert indices.gamma_fit(flat, ["e"], "v").first().shape is None
+
+
+def test_feature_block_is_one_grouped_pass(spark):
+    rows = spark.createDataFrame([("a", 1, 10.0), ("a", 2, None), ("a", 3, 30.0), ("b", 1, None), ("b", 4, 5.0)], "k string, day int, v double")
+    features = [aggregates.Feature("v", F.col("v"), ("mean", "min", "max", "total", "valid")), aggregates.Feature("hot", F.col("v"), ("count",), F.col("v") > 8)]
+    windows = {"all": F.lit(True), "early": F.col("day") <= 2, "none": F.col("day") > 9, "unknown": F.lit(None).cast("boolean")}
+    out = aggregates.feature_block(rows, ["k"], windows, features, mean_share=0.5, total_share=1.0)
+    got = {r.k: r.asDict() for r in out.collect()}
+    a, b = got["a"], got["b"]
+    assert (a["days_all"], a["v_mean_all"], a["v_min_all"], a["v_max_all"], a["v_total_all"], a["v_valid_all"], a["hot_count_all"]) == (3, 20.0, 10.0, 30.0, None, 2, None)
+    assert (a["v_mean_early"], a["v_total_early"]) == (10.0, None) and (b["v_mean_early"], b["v_valid_early"]) == (None, 0)
+    assert (a["days_none"], a["v_total_none"], a["v_mean_none"], a["hot_count_none"]) == (0, 0.0, None, 0) and a["days_unknown"] == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and len(out.columns) == 29
+    assert aggregates.feature_block(rows.limit(0), ["k"], windows, features).count() == 0
