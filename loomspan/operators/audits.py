@@ -64,6 +64,35 @@ def require_columns(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+def gate(df: DataFrame, figures: dict[str, Column], holds: Column, name: str) -> DataFrame:
+    """df itself, whose rows come only if `holds` is true of its figures, which are aggregates; else whatever reads them fails.
+
+    The check is part of the plan: a write that depends on the gate stops, naming the gate and its figures.
+    """
+    one = df.agg(*[v.alias(f"_gate_{k}") for k, v in figures.items()])
+    figure = lambda k: F.coalesce(F.col(f"_gate_{k}").cast("string"), F.lit("null"))
+    told = F.concat(F.lit(f"gate {name}: "), F.concat_ws(", ", *[F.concat(F.lit(f"{k} = "), figure(k)) for k in figures]))
+    state = one.select(F.assert_true(F.coalesce(holds, F.lit(False)), told).alias("_gate"))
+    return df.crossJoin(F.broadcast(state)).where(F.col("_gate").isNull()).drop("_gate")
+
+
+def agreement_gate(pairs: DataFrame, x: str, y: str, least: float = 0.95) -> DataFrame:
+    """pairs, if their correlation is `least` at least; an empty table has none and lets no write through but an empty one."""
+    return gate(pairs, {"n": F.count(F.lit(1)), "r": F.corr(x, y)}, (F.col("_gate_n") == 0) | (F.col("_gate_r") >= least), "agreement")
+
+
+def method_gate(df: DataFrame, split: str, parts: list[str], preferred: str, fallback: str, needed: list[str]) -> tuple[DataFrame, str]:
+    """(df, the index column to use): df must have the needed columns and one of two index columns, or ValueError; and each part of the split a row, or what reads it fails."""
+    require_columns(df, {"needed": [split, *needed]})
+    index = preferred if preferred in df.columns else fallback
+    require_columns(df, {"index": [index]})
+    figures = {p: F.count_if(F.col(split) == p) for p in parts}
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & (F.col(f"_gate_{p}") > 0)
+    return gate(df, figures, whole, "split"), index
+
+
 def with_filled(described: DataFrame, df: DataFrame, name: str = "column") -> DataFrame:
     """described with `filled`, the rows of df in which the named column has a value; null for a column that is not there."""
     one = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, name, "filled")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomspan import scratch
 from loomspan.functions import special
+from loomspan.operators import audits
 from loomspan.operators.ordering import running_sums
 
 
@@ -72,6 +73,22 @@ def paired_test(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
     return out.withColumn("sign_p", special.binomial_two_sided(F.col("wins"), F.col("wins") + F.col("losses"))).drop("_s")
 
 
+def two_arm_verdict(a: DataFrame, b: DataFrame, keys: list[str], loss: str, block: str, alpha: float = 0.05) -> DataFrame:
+    """One row for two arms of an experiment on the same rows: rows, blocks, loss_a, loss_b, mean_difference, t, p_value, cohen_dz, wins, losses, sign_p, verdict.
+
+    Losses are compared by block, a less b. The verdict names the arm with the smaller loss where the paired test is below
+    alpha, else `tie`. A row that only one arm has, or has twice, makes whatever reads the result fail: the arms are not matched then.
+    """
+    side = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{name}"), F.first(block).alias(f"_b{name}"), F.first(loss).cast("double").alias(f"_{name}"))
+    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    matched = F.count_if((F.coalesce("_na", F.lit(0)) != 1) | (F.coalesce("_nb", F.lit(0)) != 1))
+    held = audits.gate(both, {"unmatched": matched}, F.col("_gate_unmatched") == 0, "matched arms").select(F.coalesce("_ba", "_bb").alias("block"), "_a", "_b")
+    totals = held.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("block").alias("blocks"), F.avg("_a").alias("loss_a"), F.avg("_b").alias("loss_b"))
+    out = totals.crossJoin(F.broadcast(paired_test(held, "block", "_a", "_b").drop("n")))
+    better = F.when(F.col("mean_difference") < 0, "a").otherwise("b")
+    return out.withColumn("verdict", F.when(F.col("p_value") < alpha, better).otherwise("tie"))
+
+
 def signed_rank(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
     """One row: Wilcoxon's signed-rank statistic of block means of a - b (zeros left out, ties averaged), with its normal p-value."""
     per = pairs.groupBy(block).agg(F.avg(F.col(a) - F.col(b)).alias("d")).where("d <> 0")

@@ -270,3 +270,16 @@ def disjoint_parts(spark, sf_dir):
     p = order_panel(spark, sf_dir)
     moved = F.when((F.col("year") == 1998) & (F.col("entity") % 50 == 1), 1999).otherwise(F.col("year"))  # a planted leak: these share their key with the next year
     return audits.disjoint_parts(p.select(F.concat_ws("_", "entity", moved).alias("id"), F.expr(_PARTS).alias("part")), "id", "part")
+
+
+@query("agreement_gate", """SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS price FROM lineitem WHERE (SELECT corr(l_extendedprice, l_extendedprice * (1 - l_discount)) FROM lineitem) >= 0.95 GROUP BY 1""")
+def agreement_gate(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    return audits.agreement_gate(li, "l_extendedprice", "net").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 4).alias("price"))
+
+
+@query("method_gate", f"""WITH {PANEL}, s AS (SELECT *, {_PARTS} AS part FROM panel) SELECT part, count(*) AS n, 'orders' AS index_column FROM s GROUP BY 1""")
+def method_gate(spark, sf_dir):
+    p = order_panel(spark, sf_dir).withColumn("part", F.expr(_PARTS))
+    held, index = audits.method_gate(p, "part", ["train", "dev", "cal", "test"], "severity", "orders", ["value", "year"])
+    return held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.lit(index).alias("index_column"))

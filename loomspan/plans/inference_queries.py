@@ -371,3 +371,18 @@ def cluster_robust_panel(spark, sf_dir):
     rows = predictions(spark, sf_dir).withColumn("y", F.col("y") / 1000)
     out = inf.cluster_robust_ols(rows, "entity", ["size", "test_year"], "y")
     return out.select("term", r(F.col("coefficient"), 5).alias("coefficient"), r(F.col("std_error"), 5).alias("std_error"), r(F.col("t"), 3).alias("t"), r(F.col("p_value")).alias("p_value"), r(F.col("r_squared")).alias("r_squared"), "n", "clusters", "supported")
+
+
+_WINKLER = "hi - lo + 20 * CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END"
+
+
+@query("two_arm_verdict", f"""WITH {_RECENT}, x AS (SELECT min(entity) AS entity, avg({_WINKLER}) AS a, avg({_WINKLER.replace('hi', '(hi + 200)').replace('lo', '(lo - 200)')}) AS b FROM recent GROUP BY okey, line), d AS (SELECT entity, avg(a - b) AS d FROM x GROUP BY 1),
+  o AS (SELECT count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, count(CASE WHEN d > 0 THEN 1 END) AS wins, count(CASE WHEN d < 0 THEN 1 END) AS losses FROM d), t AS (SELECT *, m / s * sqrt(n) AS t FROM o),
+  p AS (SELECT *, {t_two_sided_sql('t', '(n - 1)')} AS p FROM t), w AS (SELECT count(*) AS rows, avg(a) AS la, avg(b) AS lb FROM x)
+  SELECT rows, n AS blocks, round(la, 4) AS loss_a, round(lb, 4) AS loss_b, round(m, 4) AS mean_difference, round(t, 5) AS t, round(p, 6) AS p_value, CASE WHEN p < 0.05 THEN CASE WHEN m < 0 THEN 'a' ELSE 'b' END ELSE 'tie' END AS verdict FROM p CROSS JOIN w""")
+def two_arm_verdict(spark, sf_dir):
+    rows = _recent(spark, sf_dir)
+    wide = rows.withColumns({"lo": F.col("lo") - 200, "hi": F.col("hi") + 200})
+    arms = [df.groupBy("okey", "line").agg(F.min("entity").alias("entity"), F.avg(F.expr(_WINKLER)).alias("loss")) for df in (rows, wide)]  # line numbers may repeat
+    out = inf.two_arm_verdict(*arms, ["okey", "line"], "loss", "entity")
+    return out.select("rows", "blocks", *[r(F.col(c), 4).alias(c) for c in ("loss_a", "loss_b", "mean_difference")], r(F.col("t"), 5).alias("t"), r(F.col("p_value")).alias("p_value"), "verdict")

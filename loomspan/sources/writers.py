@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +45,40 @@ def config_drift(frozen: dict, now: dict) -> list[tuple[str, str, str]]:
 ROLES = ("primary", "sensitivity", "exploratory")
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file of this text, unless it is there: of any number of writers one gets True. The store must create files atomically, as local disks and HDFS do."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            with open(target.toUri().getPath(), "x") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def register_run(spark: SparkSession, path: str, name: str, role: str, config: dict) -> None:
-    """Append a run to a registry table; the role must be known, and there is one primary run a protocol."""
+    """Append a run to a registry table; the role must be known, and there is one primary run a protocol.
+
+    A primary run first claims its protocol, by a file beside the table that only one writer can make.
+    """
     if role not in ROLES:
         raise ValueError(f"unknown role; choose one of {', '.join(ROLES)}")
     digest = protocol_hash(config)
-    try:
-        before = spark.read.parquet(path)
-        if role == "primary" and not before.where((F.col("role") == "primary") & (F.col("protocol") == digest)).isEmpty():
-            raise ValueError("this protocol has a primary run")
-    except AnalysisException:
-        pass  # the first run makes the table
+    if role == "primary" and not claim(spark, f"{path.rstrip('/')}.claims/{digest}", name):
+        raise ValueError("this protocol has a primary run")
     row = [(name, role, digest, json.dumps(config, sort_keys=True))]
     spark.createDataFrame(row, "name string, role string, protocol string, config string").coalesce(1).write.mode("append").parquet(path)
 

@@ -130,3 +130,43 @@ def test_least_squares_of_little(spark):
 def test_student_points():
     for df, t in ((1, 12.706204736), (5, 2.5705818356), (29, 2.0452296421), (1000, 1.9623390808)):
         assert special.student_point(df) == pytest.approx(t, rel=1e-8)
+
+
+def arm(spark, losses, shift=0.0):
+    return spark.createDataFrame([(i, i % 8, float(v) + shift) for i, v in enumerate(losses)], "id int, block int, loss double")
+
+
+def test_two_arms_get_a_verdict(spark):
+    rnd = np.random.default_rng(1)
+    losses = rnd.normal(size=160) + 5
+    a, same = arm(spark, losses), arm(spark, losses + rnd.normal(size=160) * 0.5)
+    worse = arm(spark, losses + rnd.normal(size=160) * 0.1, 1.0)
+    assert inf.two_arm_verdict(a, worse, ["id"], "loss", "block").first().verdict == "a"
+    assert inf.two_arm_verdict(worse, a, ["id"], "loss", "block").first().verdict == "b"
+    tie = inf.two_arm_verdict(a, a.withColumn("loss", F.col("loss") + F.when(F.col("block") % 2 == 0, 0.5).otherwise(-0.5)), ["id"], "loss", "block").first()
+    assert tie.verdict == "tie" and (tie.rows, tie.blocks) == (160, 8)
+    assert inf.two_arm_verdict(a, same, ["id"], "loss", "block").first().rows == 160
+
+
+@pytest.mark.parametrize("other", ["id > 0", "id < 500", "true"])
+def test_arms_that_do_not_match_fail(spark, other):
+    a = arm(spark, range(50))
+    b = a.where(other) if other == "id > 0" else a.union(a.where("id = 3")) if other == "true" else a.union(a.where("id = 3").withColumn("id", F.lit(99)))
+    with pytest.raises(Exception, match="gate matched arms: unmatched = 1"):
+        inf.two_arm_verdict(a, b, ["id"], "loss", "block").collect()
+
+
+def test_gates_stop_what_depends_on_them(spark, tmp_path):
+    good = spark.createDataFrame([(float(i), float(i) * 2 + (i % 3) / 10) for i in range(40)], "x double, y double")
+    assert audits.agreement_gate(good, "x", "y").count() == 40 and audits.agreement_gate(good.limit(0), "x", "y").count() == 0
+    bad = good.withColumn("y", F.col("x") % 7)
+    with pytest.raises(Exception, match="gate agreement: n = 40, r = "):
+        audits.agreement_gate(bad, "x", "y").write.parquet(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("*.parquet"))
+    panel = spark.createDataFrame([("train", 1.0), ("val", 2.0), ("test", 3.0)], "part string, fallback double")
+    held, index = audits.method_gate(panel, "part", ["train", "val", "test"], "preferred", "fallback", [])
+    assert index == "fallback" and held.count() == 3
+    with pytest.raises(Exception, match="gate split: train = 1, val = 0"):
+        audits.method_gate(panel.where("part <> 'val'"), "part", ["train", "val"], "preferred", "fallback", [])[0].collect()
+    with pytest.raises(ValueError, match="index.none"):
+        audits.method_gate(panel, "part", ["train"], "absent", "none", [])

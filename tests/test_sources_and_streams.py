@@ -70,3 +70,23 @@ def test_text_sinks_and_registry(spark, tmp_path):
     writers.register_run(spark, runs, "two", "exploratory", {"a": 2, "b": 1})
     assert spark.read.parquet(runs).count() == 2
     assert writers.config_drift({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}) == [("b", "2", "3"), ("c", "", "4")]
+
+
+def test_one_of_many_writers_claims_a_protocol(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/claims/protocol"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: writers.claim(spark, path, f"run {i}"), range(24)))
+    assert sum(won) == 1 and (tmp_path / "claims/protocol").read_text() == f"run {won.index(True)}"
+
+    def register(i):
+        try:
+            writers.register_run(spark, str(tmp_path / "runs"), f"run {i}", "primary", {"a": 1})
+            return True
+        except ValueError:
+            return False
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(register, range(2))) == [False, True]
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 1
