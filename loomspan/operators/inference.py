@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomspan import scratch
 from loomspan.functions import special
 from loomspan.operators import audits
-from loomspan.operators.ordering import running_sums
+from loomspan.operators.ordering import edges, running_sums
 
 
 def draw(seed: Column, draw: Column, slot: Column, n: Column) -> Column:
@@ -285,10 +285,10 @@ def row_paired_bootstrap(rows: DataFrame, slot: str, y: str, a: str, b: str, dra
 
 def stability_index(before: DataFrame, after: DataFrame, column: str, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """One row: population stability index of `after` against the deciles of `before`, and its class."""
-    edges = before.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("edges"))
+    cuts = edges(before, column, [i / bins for i in range(1, bins)]).select(F.array_distinct("e").alias("edges"))
 
     def share(df: DataFrame, name: str) -> DataFrame:
-        held = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges))
+        held = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts))
         binned = held.groupBy(F.size(F.filter("edges", lambda e: e < F.col(column))).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
         total = binned.agg(F.sum("c").alias("t"))
         return binned.crossJoin(F.broadcast(total)).select("bin", F.greatest(F.col("c") / F.col("t"), F.lit(eps)).alias(name))

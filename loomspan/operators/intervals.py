@@ -257,10 +257,12 @@ def entity_baseline(panel: DataFrame, entity: str, residual: str, fit: Column) -
 
 def fit_only_imputation(panel: DataFrame, group: str, columns: list[str], fit: Column) -> DataFrame:
     """Nulls become the group's median over the rows with `fit`, or the overall one."""
-    medians = panel.where(fit).groupBy(F.col(group).alias("_g")).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    overall = panel.where(fit).agg(*[F.median(c).alias(f"_o_{c}") for c in columns])
-    held = panel.join(medians, F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(overall))
-    return held.withColumns({c: F.coalesce(c, f"_m_{c}", f"_o_{c}") for c in columns}).drop("_g", *[f"_m_{c}" for c in columns], *[f"_o_{c}" for c in columns])
+    held = panel
+    for c in columns:
+        own, overall = quantiles_with_pool(panel.where(fit).select(F.col(group).alias("_g"), F.col(c).alias("_v")), "_g", "_v", lambda n: F.lit(0.5))
+        held = held.join(own.select(F.col("_g"), F.col("q").alias("_m")), F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(overall.agg(F.max("q").alias("_o"))))
+        held = held.withColumn(c, F.coalesce(c, "_m", "_o")).drop("_g", "_m", "_o")
+    return held
 
 
 def conformal_stratified(cal: DataFrame, test: DataFrame, group: str, alpha: float = 0.1) -> DataFrame:

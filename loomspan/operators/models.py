@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.ordering import edges, quantiles_by
+
 
 def fixed_effects(panel: DataFrame, entity: str, x: str, y: str, fit: Column) -> DataFrame:
     """panel with `pred` of y = own level + slope * x, fitted within entities; unseen entities get the mean level."""
@@ -108,10 +110,10 @@ def tree_intervals(df: DataFrame, features: list[str], y: str, fit: Column, dev:
     MLlib has no quantile loss; predictions are put in bins by dev quantiles and residuals are taken by bin.
     """
     held = tree_predictions(df, features, y, fit, **options)
-    edges = held.where(dev).agg(F.percentile("pred", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
-    binned = held.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("pred")))).drop("_e")
+    cuts = edges(held.where(dev), "pred", [i / bins for i in range(1, bins)], "_e")
+    binned = held.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("pred")))).drop("_e")
     e = F.col(y) - F.col("pred")
-    own = binned.where(dev).groupBy("_b").agg(F.percentile(e, F.lit(alpha / 2)).alias("_lo"), F.percentile(e, F.lit(1 - alpha / 2)).alias("_hi"))
+    own = quantiles_by(binned.where(dev).select("_b", e.alias("_r")), ["_b"], "_r", {"_lo": lambda n: F.lit(alpha / 2), "_hi": lambda n: F.lit(1 - alpha / 2)}).drop("n")
     out = binned.join(F.broadcast(own), "_b", "left")
     return out.withColumn("lo", F.col("pred") + F.coalesce("_lo", F.lit(0.0))).withColumn("hi", F.col("pred") + F.coalesce("_hi", F.lit(0.0))).drop("_b", "_lo", "_hi")
 
@@ -148,10 +150,11 @@ def consensus_selection(df: DataFrame, features: list[str], y: str, fit: Column,
     import math as m
 
     held = _assembled(df.where(fit).na.drop(subset=[*features, y]), features)
-    cut = {c: F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)])) for c in [*features, y]}
-    edges = held.agg(*[v.alias(f"_e_{c}") for c, v in cut.items()])
     below = lambda c: F.size(F.filter(f"_e_{c}", lambda e: e < F.col(c)))
-    binned = held.crossJoin(F.broadcast(edges)).select(*[below(c).alias(c) for c in cut])
+    binned = held
+    for c in [*features, y]:
+        binned = binned.crossJoin(F.broadcast(edges(held, c, [i / bins for i in range(1, bins)], f"_e_{c}")))
+    binned = binned.select(*[below(c).alias(c) for c in [*features, y]])
 
     def information(c: str) -> float:
         cells = binned.groupBy(c, y).agg(F.count(F.lit(1)).alias("n")).collect()  # bins * bins rows at most

@@ -23,6 +23,11 @@ def running_sums(df: DataFrame, order: str, *values: str) -> DataFrame:
     return held.drop("_p", *[f"_b_{v}" for v in values])
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """The value that far between two; equal ones are themselves to the last bit."""
+    return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+
 def quantiles(df: DataFrame, value: str, levels: dict[str, Column]) -> DataFrame:
     """One row: n and the linearly interpolated quantiles of the non-null values at levels, columns that may use n."""
     by_value = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
@@ -35,7 +40,13 @@ def quantiles(df: DataFrame, value: str, levels: dict[str, Column]) -> DataFrame
         ends += [F.min(F.when(F.col("up_to_c") > F.floor(h), F.col("s"))).alias(f"_lo_{k}"), F.min(F.when(F.col("up_to_c") > F.floor(h) + 1, F.col("s"))).alias(f"_hi_{k}")]
     one = seen.agg(F.max("n").alias("n"), *ends)
     part = {k: h - F.floor(h) for k, h in at.items()}
-    return one.select("n", *[(F.col(f"_lo_{k}") * (1 - part[k]) + F.coalesce(f"_hi_{k}", f"_lo_{k}") * part[k]).alias(k) for k in levels])
+    return one.select("n", *[_between(F.col(f"_lo_{k}"), F.coalesce(f"_hi_{k}", f"_lo_{k}"), part[k]).alias(k) for k in levels])
+
+
+def edges(df: DataFrame, value: str, levels: list[float], name: str = "e") -> DataFrame:
+    """One row: an array of the quantiles of the non-null values at levels; of nulls without values."""
+    found = quantiles(df, value, {f"q{i}": F.lit(q) for i, q in enumerate(levels)})
+    return found.select(F.array(*[f"q{i}" for i in range(len(levels))]).alias(name))
 
 
 def quantiles_by(df: DataFrame, keys: list[str], value: str, level, state: DataFrame | None = None) -> DataFrame:
@@ -58,7 +69,7 @@ def quantiles_by(df: DataFrame, keys: list[str], value: str, level, state: DataF
         ends += [F.max(f"_h_{k}").alias(f"_h_{k}"), F.min(F.when(rank > low, F.col("s"))).alias(f"_a_{k}"), F.min(F.when(rank > low + 1, F.col("s"))).alias(f"_b_{k}")]
     one = seen.groupBy(*keys).agg(F.max("n").alias("n"), *ends)
     part = lambda k: F.col(f"_h_{k}") - F.floor(f"_h_{k}")
-    return one.select(*keys, "n", *[(F.col(f"_a_{k}") * (1 - part(k)) + F.coalesce(f"_b_{k}", f"_a_{k}") * part(k)).alias(k) for k in levels])
+    return one.select(*keys, "n", *[_between(F.col(f"_a_{k}"), F.coalesce(f"_b_{k}", f"_a_{k}"), part(k)).alias(k) for k in levels])
 
 
 def quantiles_with_pool(df: DataFrame, key: str, value: str, level) -> tuple[DataFrame, DataFrame]:
@@ -84,6 +95,6 @@ def quantiles_with_pool(df: DataFrame, key: str, value: str, level) -> tuple[Dat
         end = lambda at: F.min(F.when(F.col("_r") > F.col(at), F.col("s")))
         one = values.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_h").alias("_h"), end("_low").alias("_a"), end("_high").alias("_b"))
         part = F.col("_h") - F.floor("_h")
-        return one.select(*keys, "n", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q"))
+        return one.select(*keys, "n", _between(F.col("_a"), F.col("_b"), part).alias("q"))
 
     return of(["_k"]).withColumnRenamed("_k", key), of([])

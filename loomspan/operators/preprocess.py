@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.scalars import probit
+from loomspan.operators.ordering import edges
 
 
 def normals_and_anomalies(panel: DataFrame, entity: str, columns: list[str], fit: Column) -> DataFrame:
@@ -20,11 +21,12 @@ def normals_and_anomalies(panel: DataFrame, entity: str, columns: list[str], fit
 
 def robust_scale(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
     """Columns less their median over interquartile range, both of the rows with `fit`; a range of 0 counts as 1."""
-    third = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    edges = df.where(fit).agg(*[third(c).alias(f"_q_{c}") for c in columns])
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(edges(df.where(fit), c, [0.25, 0.5, 0.75], f"_q_{c}")))
     q = lambda c, k: F.col(f"_q_{c}")[k]
     width = lambda c: F.when(q(c, 2) == q(c, 0), 1.0).otherwise(q(c, 2) - q(c, 0))
-    return df.crossJoin(F.broadcast(edges)).withColumns({c: (F.col(c) - q(c, 1)) / width(c) for c in columns}).drop(*[f"_q_{c}" for c in columns])
+    return out.withColumns({c: (F.col(c) - q(c, 1)) / width(c) for c in columns}).drop(*[f"_q_{c}" for c in columns])
 
 
 def standard_scale(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
@@ -39,8 +41,8 @@ def normal_scores(df: DataFrame, column: str, fit: Column, points: int = 100, bo
 
     Places between two quantiles are interpolated; values beyond the ends get the ends' scores.
     """
-    edges = df.where(fit).agg(F.percentile(column, F.array(*[F.lit(i / points) for i in range(points + 1)])).alias("_e"))
-    held = df.crossJoin(F.broadcast(edges)).withColumn("_k", F.size(F.filter("_e", lambda e: e <= F.col(column))))
+    places = edges(df.where(fit), column, [i / points for i in range(points + 1)], "_e")
+    held = df.crossJoin(F.broadcast(places)).withColumn("_k", F.size(F.filter("_e", lambda e: e <= F.col(column))))
     low, high = F.element_at("_e", F.greatest("_k", F.lit(1))), F.element_at("_e", F.least(F.col("_k") + 1, F.lit(points + 1)))
     share = F.when(F.col("_k") == 0, 0.0).when(F.col("_k") > points, 1.0).otherwise((F.col("_k") - 1 + (F.col(column) - low) / (high - low)) / points)
     p = F.least(F.greatest(share, F.lit(bound)), F.lit(1 - bound))

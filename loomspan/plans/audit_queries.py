@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import audits
+from loomspan.operators import audits, ordering
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import PANEL, order_panel, r
 from loomspan.plans.registry import query
@@ -205,8 +205,8 @@ def identity_ratio(spark, sf_dir):
 @query("reference_median_scaling", """WITH m AS (SELECT median(p_retailprice) AS m FROM part), b AS (SELECT p_brand, median(p_retailprice) AS bm FROM part GROUP BY 1) SELECT p_partkey, round(p_retailprice * m / bm, 4) AS corrected FROM part JOIN b USING (p_brand) CROSS JOIN m""")
 def reference_median_scaling(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    whole = p.agg(F.median("p_retailprice").alias("m"))
-    own = p.groupBy("p_brand").agg(F.median("p_retailprice").alias("bm"))
+    own, whole = ordering.quantiles_with_pool(p, "p_brand", "p_retailprice", lambda n: F.lit(0.5))
+    own, whole = own.select("p_brand", F.col("q").alias("bm")), whole.select(F.col("q").alias("m"))
     return p.join(own, "p_brand").crossJoin(F.broadcast(whole)).select("p_partkey", r(F.col("p_retailprice") * F.col("m") / F.col("bm"), 4).alias("corrected"))
 
 
@@ -214,8 +214,9 @@ def reference_median_scaling(spark, sf_dir):
   count(CASE WHEN o_orderpriority IS NULL THEN 1 END) AS null_priority FROM orders""")
 def target_profile(spark, sf_dir):
     v = "o_totalprice"
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = table(spark, sf_dir, "orders").agg(F.count(v).alias("n"), r(F.avg(v), 4).alias("mean"), r(F.stddev(v), 4).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), q.alias("q"), F.count_if(F.col("o_orderpriority").isNull()).alias("null_priority"))
+    o = table(spark, sf_dir, "orders")
+    one = o.agg(F.count(v).alias("n"), r(F.avg(v), 4).alias("mean"), r(F.stddev(v), 4).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(F.col("o_orderpriority").isNull()).alias("null_priority"))
+    one = one.crossJoin(F.broadcast(ordering.edges(o, v, [0.25, 0.5, 0.75], "q")))
     return one.select("n", "mean", "sd", "low", "high", *[r(F.col("q")[i], 4).alias(f"q{k}") for i, k in enumerate((25, 50, 75))], "null_priority")
 
 

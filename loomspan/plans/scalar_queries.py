@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as sc
-from loomspan.operators import audits
+from loomspan.operators import audits, ordering
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import DENSE, PANEL, PRED, dense_events, order_panel, predictions, r
 from loomspan.plans.registry import query
@@ -134,7 +134,7 @@ def claim_scan(spark, sf_dir):
   SELECT CAST(quintile AS INTEGER) AS quintile, count(*) AS n, min(value) AS low, max(value) AS high FROM b GROUP BY 1""")
 def global_quintile(spark, sf_dir):
     p = order_panel(spark, sf_dir)
-    edges = p.agg(F.percentile("value", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("e"))
+    edges = ordering.edges(p, "value", [0.2, 0.4, 0.6, 0.8])
     held = p.crossJoin(F.broadcast(edges)).withColumn("quintile", 1 + F.size(F.filter("e", lambda x: x < F.col("value"))))
     return held.groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 

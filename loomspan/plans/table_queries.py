@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars
+from loomspan.operators import ordering
 from loomspan.operators import aggregates as agg
 from loomspan.operators import joins
 from loomspan.plans.base import DENSE, dense_events, r
@@ -161,7 +162,7 @@ def distribution_profile(spark, sf_dir):
   SELECT count(CASE WHEN o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1) THEN 1 END) AS iqr_outliers, count(CASE WHEN abs(o_totalprice - m) > 1.5 * sd THEN 1 END) AS z_outliers, count(*) AS n FROM orders CROSS JOIN s""")
 def iqr_zscore_outliers(spark, sf_dir):
     o, v = table(spark, sf_dir, "orders").select("o_totalprice"), F.col("o_totalprice")
-    s = o.agg(F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"), F.avg(v).alias("m"), F.stddev(v).alias("sd"))
+    s = ordering.quantiles(o, "o_totalprice", {"q1": F.lit(0.25), "q3": F.lit(0.75)}).drop("n").crossJoin(o.agg(F.avg(v).alias("m"), F.stddev(v).alias("sd")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return o.crossJoin(F.broadcast(s)).agg(F.count_if((v < F.col("q1") - reach) | (v > F.col("q3") + reach)).alias("iqr_outliers"), F.count_if(F.abs(v - F.col("m")) > 1.5 * F.col("sd")).alias("z_outliers"), F.count(F.lit(1)).alias("n"))
 
