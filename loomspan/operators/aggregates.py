@@ -111,3 +111,9 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     long = counts.unpivot(["_n"], columns, "column", "missing")
     return long.select("column", F.col("_n").alias("n"), "missing", (100.0 * F.col("missing") / F.col("_n")).alias("missing_pct"))
+
+
+def static_columns(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """(keys, <c>_first, <c>_last): the first and last value of each column by itself in the order, nulls passed over."""
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    return rows.groupBy(*keys).agg(*[f(c, at(c)).alias(f"{c}_{name}") for c in columns for f, name in ((F.min_by, "first"), (F.max_by, "last"))])

@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars
-from loomspan.operators import ordering
 from loomspan.operators import aggregates as agg
-from loomspan.operators import joins
-from loomspan.plans.base import DENSE, dense_events, r
+from loomspan.operators import joins, ordering
+from loomspan.plans.base import DENSE, PANEL, dense_events, order_panel, r
 from loomspan.plans.registry import query
 from loomspan.session import table
 
@@ -223,3 +222,11 @@ def set_operations(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.year("o_orderdate") <= 1997).alias("a"), F.bool_or(F.year("o_orderdate") >= 2000).alias("b"))
     n = o.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("first_only"), F.count_if(F.col("b") & ~F.col("a")).alias("second_only"))
     return n.unpivot([], ["both", "first_only", "second_only"], "part", "n")
+
+
+@query("static_columns", f"""WITH {PANEL}, x AS (SELECT entity, year, CASE WHEN (entity + year) % 3 > 0 THEN value END AS value, CASE WHEN year % 2 = 0 THEN orders END AS orders FROM panel)
+  SELECT entity, arg_min(value, year) FILTER (value IS NOT NULL) AS value_first, arg_max(value, year) FILTER (value IS NOT NULL) AS value_last, arg_min(orders, year) FILTER (orders IS NOT NULL) AS orders_first, arg_max(orders, year) FILTER (orders IS NOT NULL) AS orders_last FROM x GROUP BY 1""")
+def static_columns(spark, sf_dir):
+    p = order_panel(spark, sf_dir)
+    held = p.select("entity", "year", F.when((F.col("entity") + F.col("year")) % 3 > 0, F.col("value")).alias("value"), F.when(F.col("year") % 2 == 0, F.col("orders")).alias("orders"))
+    return agg.static_columns(held, ["entity"], "year", ["value", "orders"])
