@@ -144,7 +144,7 @@ class ChunkCache:
     their chunks encoded independently of each other; other texts go through the pattern whole.
     """
 
-    def __init__(self, encoder: TreeEncoder, most: int = 400_000):
+    def __init__(self, encoder: TreeEncoder, most: int = 150_000):
         self.encoder, self.most = encoder, most
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
