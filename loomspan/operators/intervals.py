@@ -120,16 +120,19 @@ def conformal_shifted(cal: DataFrame, test: DataFrame, features: list[str], alph
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     score = F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))
     own = cal.where(score.isNotNull()).select(*features, score.alias("_s"), F.lit(0.0).alias("_test"))
     both = own.unionByName(test.select(*features, F.lit(None).cast("double").alias("_s"), F.lit(1.0).alias("_test"))).na.drop(subset=features)
     both = scratch.materialize(both, "shifted")  # the fit goes over it many times
     held = VectorAssembler(inputCols=features, outputCol="_x").transform(both)
-    fit = LogisticRegression(featuresCol="_x", labelCol="_test", probabilityCol="_p", maxIter=500, tol=1e-9, regParam=1 / max(both.count(), 1), standardization=False).fit(held)
-    p = F.least(F.greatest(vector_to_array("_p")[1], F.lit(low)), F.lit(high))
-    weighted = fit.transform(held.where("_test = 0")).select("_s", (p / (1 - p)).alias("_w"))
+    fit = LogisticRegression(featuresCol="_x", labelCol="_test", maxIter=500, tol=1e-9, regParam=1 / max(both.count(), 1), standardization=False).fit(held)
+    # the model is three numbers or so: rows are scored by columns, and no model travels with the tasks
+    margin = F.lit(float(fit.intercept))
+    for c, weight in zip(features, fit.coefficients.toArray(), strict=True):
+        margin = margin + F.col(c) * float(weight)
+    p = F.least(F.greatest(1 / (1 + F.exp(-margin)), F.lit(low)), F.lit(high))
+    weighted = both.where("_test = 0").select("_s", (p / (1 - p)).alias("_w"))
     q = weighted_quantile(weighted, "_s", "_w", alpha).select(F.col("q").alias("_q"))
     out = test.crossJoin(F.broadcast(q)).withColumn("lo", F.col("lo") - F.col("_q")).withColumn("hi", F.col("hi") + F.col("_q")).drop("_q")
     middle = (F.col("lo") + F.col("hi")) / 2
