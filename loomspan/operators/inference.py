@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomspan import scratch
 from loomspan.functions import special
@@ -23,18 +24,44 @@ def draw(seed: Column, draw: Column, slot: Column, n: Column) -> Column:
     return ((b * 69621 + 7) % 2147483647) % n
 
 
+#: Draws are dealt to this many tasks, and clusters to pieces of at most this many: a task holds one piece.
+DRAW_BLOCKS, CLUSTER_PIECE = 24, 1 << 19
+
+
 def resample_clusters(rows: DataFrame, cluster: str, sums: dict[str, Column], draws: int, seed: int = 42) -> DataFrame:
-    """(draw, the sums) of resampled clusters. Clusters are reduced to their sums first, so a draw costs one row a cluster.
+    """(draw, the sums) of resampled clusters. Clusters are reduced to their sums first, so a draw costs one pick a cluster.
 
-    Clusters are numbered over range partitions, and draws are dealt to tasks.
+    Clusters are numbered over range partitions. A task holds one piece of them for some of the draws, counts how often each
+    is picked and adds up by these counts, so no row a pick is made, joined or sent. With c pieces, picks are made c times.
     """
-    spark = rows.sparkSession
     per = rows.groupBy(F.col(cluster).alias("c")).agg(*[v.alias(k) for k, v in sums.items()], F.lit(1).alias("_one"))
+    whole = [isinstance(per.schema[n].dataType, IntegralType) for n in sums]
     held = running_sums(per, "c", "_one").withColumn("i", F.col("up_to__one") - 1).drop("c", "_one", "up_to__one")
     k = held.agg(F.count(F.lit(1)).alias("k"))
-    slots = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(k)).where("k > 0").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    picked = slots.withColumn("i", draw(F.lit(seed), F.col("draw"), F.col("slot"), F.col("k")))
-    return picked.join(held, "i").groupBy(F.col("draw").cast("int").alias("draw")).agg(*[F.sum(n).alias(n) for n in sums])
+    names, kind = list(sums), ["bigint" if w else "double" for w in whole]
+    plain = held.crossJoin(F.broadcast(k)).select("i", "k", F.floor(F.col("i") / CLUSTER_PIECE).alias("piece"), *[F.col(n).cast(t).alias(n) for n, t in zip(sums, kind, strict=True)])
+    dealt = plain.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(DRAW_BLOCKS - 1))))
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        block, base, n = key[0].as_py(), key[1].as_py() * CLUSTER_PIECE, part.num_rows
+        slots, own = part["k"][0].as_py(), np.arange(block, draws, DRAW_BLOCKS)
+        order = np.argsort(part["i"].to_numpy())
+        some = [part[c].is_valid().to_numpy()[order] for c in names]
+        values = [part[c].fill_null(0).to_numpy()[order] for c in names]
+        out = [[] for _ in names]
+        for d in own:
+            times = np.zeros(n, np.int64)
+            for at in range(0, slots, CLUSTER_PIECE):
+                i = (seed + int(d) * 7919 + np.arange(at, min(at + CLUSTER_PIECE, slots)) * 104729) % 2147483647  # draw() of many slots
+                i = ((i * 48271 + 11) % 2147483647 * 69621 + 7) % 2147483647 % slots - base
+                times += np.bincount(i if slots <= n else i[(i >= 0) & (i < n)], minlength=n)
+            for o, v, there in zip(out, values, some, strict=True):
+                picked = there & (times > 0)  # a cluster without a pick adds nothing, be it infinite
+                o.append((times[picked] * v[picked]).sum() if picked.any() else None)
+        return pa.table([pa.array(own.astype(np.int32)), *[pa.array(o, pa.int64() if w else pa.float64()) for o, w in zip(out, whole, strict=True)]], names=["draw", *names])
+
+    each = dealt.groupBy("block", "piece").applyInArrow(run, "draw int, " + ", ".join(f"`{n}` {t}" for n, t in zip(sums, kind, strict=True)))
+    return each.groupBy("draw").agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def cluster_bootstrap_mean(rows: DataFrame, cluster: str, value: str, draws: int, seed: int = 42) -> DataFrame:
