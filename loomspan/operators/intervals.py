@@ -284,6 +284,7 @@ def repair_bounds(rows: DataFrame) -> DataFrame:
 
 def calibration_checks(rows: DataFrame, method: str, keys: list[str]) -> DataFrame:
     """(method, rows, negative_widths, nulls, differs, ok): widths that are not negative, and intervals unlike the first method's."""
+    rows = scratch.materialize(rows, "checked-intervals")  # bounds that are made twice may differ in their last bit
     first = rows.agg(F.min(method).alias("_m"))
     base = rows.join(F.broadcast(first), F.col(method) == F.col("_m")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

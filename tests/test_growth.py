@@ -34,3 +34,13 @@ def test_resampled_clusters_equal_a_loop(spark, monkeypatch, piece):
         i = [(((((42 + d * 7919 + s * 104729) % inf.PRIME) * 48271 + 11) % inf.PRIME) * 69621 + 7) % inf.PRIME % 23 for s in range(23)]
         n, v = got[d]
         assert n == sum(sums[k][0] for k in i) and v == pytest.approx(sum(sum(sums[k][1]) for k in i))
+
+
+def unsteady():
+    """A column that differs each time it is made, as a sum of doubles may in its last bit."""
+    return F.udf(lambda: random.random(), "double").asNondeterministic()()
+
+
+def test_checked_intervals_are_made_once(spark):
+    rows = spark.range(50).select(F.lit("a").alias("m"), "id", unsteady().alias("lo")).withColumn("hi", F.col("lo") + 1)
+    assert [(r.rows, r.differs) for r in intervals.calibration_checks(rows, "m", ["id"]).collect()] == [(50, 0)]
