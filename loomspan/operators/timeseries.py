@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the widest window that is added up row by row.
+NARROW = 31
+
+
 def daily(df: DataFrame, entity: str, ts: str, value: str, agg=F.sum) -> DataFrame:
     """(entity, day, value): one row for each entity and day that has any row."""
     return df.groupBy(F.col(entity).alias("entity"), F.to_date(ts).alias("day")).agg(agg(value).alias("value"))
@@ -27,12 +31,16 @@ def densify(series: DataFrame, entities: DataFrame, first: str | None = None, la
 def strict_rolling_sum(dense: DataFrame, width: int, value: str = "value", out: str = "rolled") -> DataFrame:
     """Sum of the last `width` rows of a dense series, null unless all are there and none is null.
 
-    It is the difference of two running sums, so its cost does not grow with the width. NaN and infinite values count as
-    missing.
+    Windows of up to NARROW rows are added up as they are, so that a sum on a threshold is not off in its last bits. Wider
+    ones are the difference of two running sums, so their cost does not grow with the width. NaN and infinite values count
+    as missing.
     """
     x = F.col(value).cast("double")
     value = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.col(value))
     w = Window.partitionBy("entity").orderBy("day")
+    if width <= NARROW:
+        frame = w.rowsBetween(1 - width, 0)
+        return dense.withColumn(out, F.when(F.count(value).over(frame) == width, F.sum(value).over(frame)))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     held = dense.withColumn("_s", F.coalesce(F.sum(value).over(running), F.lit(0.0))).withColumn("_n", F.count(value).over(running))
     full = (F.row_number().over(w) >= width) & (F.col("_n") - F.coalesce(F.lag("_n", width).over(w), F.lit(0)) == width)

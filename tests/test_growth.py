@@ -44,3 +44,10 @@ def unsteady():
 def test_checked_intervals_are_made_once(spark):
     rows = spark.range(50).select(F.lit("a").alias("m"), "id", unsteady().alias("lo")).withColumn("hi", F.col("lo") + 1)
     assert [(r.rows, r.differs) for r in intervals.calibration_checks(rows, "m", ["id"]).collect()] == [(50, 0)]
+
+
+def test_narrow_sums_are_not_off_by_what_came_before(spark):
+    values = [0.1, 1e6 + 0.7, 333.33, 200.0, 200.0, 200.0]
+    rows = [("a", datetime.date(2024, 1, d), v) for d, v in enumerate(values, 1)]
+    got = ts.strict_rolling_sum(spark.createDataFrame(rows, "entity string, day date, value double"), 3).orderBy("day").collect()
+    assert got[-1].rolled == 600.0
