@@ -132,6 +132,7 @@ def signed_rank(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     """One row: Kruskal and Wallis' H of the groups (corrected for ties), degrees and p-value."""
     cells = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"), F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    cells = scratch.materialize(cells, "kruskal-cells")  # a value that is made twice may differ in its last bit, and would then find no rank
     values = running_sums(cells.groupBy("v").agg(F.sum("c").alias("c")), "v", "c")
     rank = F.col("up_to_c") - (F.col("c") - 1) / 2
     ranks = values.select(F.col("v").alias("_v"), rank.alias("rank"))

@@ -51,3 +51,8 @@ def test_narrow_sums_are_not_off_by_what_came_before(spark):
     rows = [("a", datetime.date(2024, 1, d), v) for d, v in enumerate(values, 1)]
     got = ts.strict_rolling_sum(spark.createDataFrame(rows, "entity string, day date, value double"), 3).orderBy("day").collect()
     assert got[-1].rolled == 600.0
+
+
+def test_kruskal_ranks_each_value_it_made(spark):
+    rows = spark.range(60).select((F.col("id") % 3).alias("g"), unsteady().alias("v"))
+    assert inf.kruskal(rows, "g", "v").first().h is not None
