@@ -31,9 +31,18 @@ def _may_see(part: str, source: str, scopes: dict[str, tuple[str, ...]]) -> Colu
 
 def scoped_lag(panel: DataFrame, k: int, entity: str, order: str, value: str, part: str, scopes: dict[str, tuple[str, ...]]) -> DataFrame:
     """panel with lag_k from the entity's row exactly k before, null where that row's part may not be seen."""
-    source = panel.select(F.col(entity).alias("_e"), (F.col(order) + k).alias("_o"), F.col(part).alias("_p"), F.col(value).alias("_v"))
+    return scoped_lags(panel, k, entity, order, value, {"_mode": (part, scopes)}).withColumnRenamed("lag__mode", f"lag_{k}")
+
+
+def scoped_lags(panel: DataFrame, k: int, entity: str, order: str, value: str, modes: dict[str, tuple[str, dict[str, tuple[str, ...]]]]) -> DataFrame:
+    """panel with lag_<mode> for each mode (a column of parts, and what they may see), as scoped_lag() gives it.
+
+    All modes read one join, so rows are made, sorted and joined once however many modes there are.
+    """
+    source = panel.select(F.col(entity).alias("_e"), (F.col(order) + k).alias("_o"), F.col(value).alias("_v"), *[F.col(part).alias(f"_p_{m}") for m, (part, _) in modes.items()])
     held = panel.join(source, (F.col(entity) == F.col("_e")) & (F.col(order) == F.col("_o")), "left")
-    return held.withColumn(f"lag_{k}", F.when(_may_see(part, "_p", scopes), F.col("_v"))).drop("_e", "_o", "_p", "_v")
+    lags = {f"lag_{m}": F.when(_may_see(part, f"_p_{m}", scopes), F.col("_v")) for m, (part, scopes) in modes.items()}
+    return held.withColumns(lags).drop("_e", "_o", "_v", *[f"_p_{m}" for m in modes])
 
 
 def scoped_rolling(panel: DataFrame, rows: int, entity: str, order: str, value: str, part: str, scopes: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -56,9 +56,9 @@ _LAGS = " UNION ALL ".join(f"""SELECT '{m}' AS mode, p.entity, p.year, p.{c} AS
 
 @query("split_aware_lags", f"WITH {PARTED} {_LAGS}")
 def split_aware_lags(spark, sf_dir):
-    p = parted(spark, sf_dir)
-    each = [splits.scoped_lag(p, 1, "entity", "year", "value", c, s).select(F.lit(m).alias("mode"), "entity", "year", F.col(c).alias("part"), "lag_1") for m, (c, s) in MODES.items()]
-    return reduce(lambda a, b: a.unionByName(b), each)
+    held = splits.scoped_lags(parted(spark, sf_dir), 1, "entity", "year", "value", MODES)
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(c).alias("part"), F.col(f"lag_{m}").alias("lag_1")) for m, (c, _) in MODES.items()])
+    return held.select("entity", "year", F.explode(each).alias("_m")).select("_m.mode", "entity", "year", "_m.part", "_m.lag_1")
 
 
 _ROLLS = " UNION ALL ".join(f"""SELECT '{m}' AS mode, entity, year, {c} AS part, round(roll / 1e4, 6) AS roll_3 FROM (SELECT p.*, s.own, avg(value) OVER (PARTITION BY s.own, entity ORDER BY year ROWS 2 PRECEDING) AS roll

@@ -66,3 +66,10 @@ def test_crosswalk_is_counted_without_pairs(spark):
     many = spark.range(30000).select(F.col("id"), F.lit("k").alias("k"))
     spread = joins.crosswalk_counts(many, many.withColumnRenamed("id", "t"), ["k"], "t")
     assert spread.count() == 30000 and spread.agg(F.sum("fan")).first()[0] == 30000**2
+
+
+def test_lags_of_all_modes_take_one_join(spark):
+    assert plan_of(registry.QUERIES["split_aware_lags"](spark, SF)).count("Join LeftOuter") == 1
+    panel = spark.createDataFrame([(1, 1, 5.0, "TRAIN", "VAL"), (1, 2, 6.0, "TEST", "VAL"), (1, 4, 7.0, "TEST", "VAL")], "e int, o int, v double, p string, q string")
+    got = splits.scoped_lags(panel, 1, "e", "o", "v", {"x": ("p", splits.OWN), "y": ("q", splits.OWN)}).orderBy("o").collect()
+    assert [(r.lag_x, r.lag_y) for r in got] == [(None, None), (None, 5.0), (None, None)]
