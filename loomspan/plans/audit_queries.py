@@ -136,11 +136,8 @@ def value_counts(spark, sf_dir):
 
 @query("repeated_key_flags", "SELECT l_suppkey, l_partkey, count(*) > 1 AS repeated, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def repeated_key_flags(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey", "l_partkey")
-    flagged = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").withColumn("repeated", F.count(F.lit(1)).over(w) > 1)
-    return flagged.groupBy("l_suppkey", "l_partkey", "repeated").agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("l_suppkey", "l_partkey", (F.col("n") > 1).alias("repeated"), "n")
 
 
 @query("source_overlap", f"""WITH {PANEL}, e AS (SELECT user_id AS entity, count(*) AS n FROM events GROUP BY 1), c AS (SELECT c_custkey AS entity, EXISTS (SELECT 1 FROM panel WHERE panel.entity = c_custkey AND year = 1996) AS in_1996, EXISTS (SELECT 1 FROM panel WHERE panel.entity = c_custkey AND year = 1999) AS in_1999, EXISTS (SELECT 1 FROM e WHERE e.entity = c_custkey) AS in_events FROM customer)

@@ -73,3 +73,7 @@ def test_lags_of_all_modes_take_one_join(spark):
     panel = spark.createDataFrame([(1, 1, 5.0, "TRAIN", "VAL"), (1, 2, 6.0, "TEST", "VAL"), (1, 4, 7.0, "TEST", "VAL")], "e int, o int, v double, p string, q string")
     got = splits.scoped_lags(panel, 1, "e", "o", "v", {"x": ("p", splits.OWN), "y": ("q", splits.OWN)}).orderBy("o").collect()
     assert [(r.lag_x, r.lag_y) for r in got] == [(None, None), (None, 5.0), (None, None)]
+
+
+def test_repeated_keys_are_counted_without_windows(spark):
+    assert "Window" not in plan_of(registry.QUERIES["repeated_key_flags"](spark, SF))
