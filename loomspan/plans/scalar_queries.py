@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as sc
-from loomspan.operators import audits, ordering
+from loomspan.operators import audits, joins, ordering
 from loomspan.operators import timeseries as ts
 from loomspan.plans.base import DENSE, PANEL, PRED, dense_events, order_panel, predictions, r
 from loomspan.plans.registry import query
@@ -153,11 +152,4 @@ def neighbour_fill(spark, sf_dir):
   SELECT site, neighbour, CAST(rank AS INTEGER) AS rank, round(d, 6) AS d FROM k WHERE rank <= 3""")
 def nearest_neighbours(spark, sf_dir):
     p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 6101 % 1000 / 10.0).alias("x"))
-    # sites meet over cells as wide as the reach
-    cell = F.floor(F.col("x") / 40)
-    a = p.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)))
-    b = p.select(F.col("site").alias("neighbour"), F.col("x").alias("bx"), cell.alias("cell"))
-    d = F.abs(F.col("x") - F.col("bx"))
-    met = a.join(b, "cell").where((F.col("site") != F.col("neighbour")) & (d <= 40)).withColumn("d", d)
-    w = Window.partitionBy("site").orderBy("d", "neighbour")
-    return met.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("site", "neighbour", "rank", r(F.col("d")).alias("d"))
+    return joins.nearest_on_line(p, 40, 3).withColumn("d", r(F.col("d")))

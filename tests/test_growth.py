@@ -47,7 +47,7 @@ def test_checked_intervals_are_made_once(spark):
 
 
 def test_narrow_sums_are_not_off_by_what_came_before(spark):
-    values = [0.1, 1e6 + 0.7, 333.33, 200.0, 200.0, 200.0]
+    values = [176.89, 490.49, 480.95, 80.59, 226.2, 260.17, 113.63]
     rows = [("a", datetime.date(2024, 1, d), v) for d, v in enumerate(values, 1)]
     got = ts.strict_rolling_sum(spark.createDataFrame(rows, "entity string, day date, value double"), 3).orderBy("day").collect()
     assert got[-1].rolled == 600.0
@@ -77,3 +77,16 @@ def test_lags_of_all_modes_take_one_join(spark):
 
 def test_repeated_keys_are_counted_without_windows(spark):
     assert "Window" not in plan_of(registry.QUERIES["repeated_key_flags"](spark, SF))
+
+
+def test_nearest_on_a_line_make_no_pairs_of_a_place(spark):
+    rnd = random.Random(3)
+    sites = [(i, rnd.choice([0.0, 0.1, 0.2, 0.3, 5.0, 5.4, 99.0]) if i % 4 else rnd.random() * 8) for i in range(90)]
+    want = set()
+    for i, x in sites:
+        near = sorted((abs(x - z), j) for j, z in sites if j != i and abs(x - z) <= 2)[:3]
+        want |= {(i, j, k, d) for k, (d, j) in enumerate(near, 1)}
+    held = spark.createDataFrame([*sites, (1000, None)], "site bigint, x double")
+    assert {tuple(r) for r in joins.nearest_on_line(held, 2, 3).select("site", "neighbour", "rank", "d").collect()} == want
+    close = spark.range(60000).select(F.col("id").alias("site"), F.lit(1.0).alias("x"))
+    assert joins.nearest_on_line(close, 2, 3).count() == 180000
