@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import scalars
 from loomspan.operators import indices
 from loomspan.operators import timeseries as ts
+from loomspan.operators.ordering import mean_ranks
 from loomspan.plans.base import DENSE, dense_events, r
 from loomspan.plans.registry import ORACLES, query
 from loomspan.plans.split_queries import probit_sql
@@ -107,6 +108,6 @@ def gdd_candidates(spark, sf_dir):
   SELECT grp, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(corr(a, b), 6) AS spearman, corr(l_quantity, l_extendedprice) >= 0.5 AS passes FROM k GROUP BY 1""")
 def rank_correlation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_quantity", "l_extendedprice")
-    k = li.withColumns({"a": ts.average_rank("l_quantity", "grp"), "b": ts.average_rank("l_extendedprice", "grp")})
+    k = mean_ranks(mean_ranks(li, ["grp"], "l_quantity", "a"), ["grp"], "l_extendedprice", "b")
     one = k.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.corr("l_quantity", "l_extendedprice").alias("pearson"), r(F.corr("a", "b")).alias("spearman"))
     return one.select("grp", "n", r(F.col("pearson")).alias("pearson"), "spearman", (F.col("pearson") >= 0.5).alias("passes"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import inference as inf
-from loomspan.operators import intervals, joins, splits
+from loomspan.operators import intervals, joins, ordering, splits
 from loomspan.operators import timeseries as ts
 from loomspan.plans import registry
 
@@ -90,3 +90,11 @@ def test_nearest_on_a_line_make_no_pairs_of_a_place(spark):
     assert {tuple(r) for r in joins.nearest_on_line(held, 2, 3).select("site", "neighbour", "rank", "d").collect()} == want
     close = spark.range(60000).select(F.col("id").alias("site"), F.lit(1.0).alias("x"))
     assert joins.nearest_on_line(close, 2, 3).count() == 180000
+
+
+def test_ranks_look_up_counted_values(spark):
+    rows = [("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 7.0), (None, 3.0), (None, 3.0)]
+    got = ordering.mean_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "rank").collect()
+    assert sorted(map(str, got)) == sorted(f"Row(k={k!r}, v={v}, rank={x})" for (k, v), x in zip(rows, [2.5, 1.0, 2.5, 4.0, 1.0, 1.5, 1.5], strict=True))
+    plan = plan_of(registry.QUERIES["rank_correlation"](spark, SF))
+    assert "rank(" not in plan
