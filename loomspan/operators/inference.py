@@ -270,12 +270,32 @@ def poisson_limits() -> list[int]:
 
 
 def _uniform(seed: int, slot: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Whole numbers from 0 to PRIME - 1 for rows (slot) and draws, by squares modulo a prime, which any SQL engine repeats."""
-    slot, draw = (slot % PRIME)[:, None], draw[None, :]
-    h = (seed + draw * 7919 + slot * 104729) % PRIME
-    g = (h * h + slot) % PRIME
-    g = (g * g + draw * 48271 + 11) % PRIME
-    return (g * 69621 + h) % PRIME
+    """Whole numbers from 0 to PRIME - 1 for rows (slot) and draws, by squares modulo a prime, which any SQL engine repeats.
+
+    The prime is 2^31 - 1, so a number's lower and upper bits add up to one with the same remainder, and no division is made.
+    """
+    slot, draw = (slot % PRIME).astype(np.uint64)[:, None], draw.astype(np.uint64)[None, :]
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+
+    def add_bits(x: np.ndarray) -> None:
+        np.right_shift(x, bits, out=high)
+        np.bitwise_and(x, prime, out=x)
+        np.add(x, high, out=x)
+
+    h = (np.uint64(seed) + draw * np.uint64(7919)) % prime + slot * np.uint64(104729) % prime
+    high = np.subtract(h, prime)  # wraps round to a large number below the prime
+    np.minimum(h, high, out=h)
+    g = np.multiply(h, h)
+    g += slot
+    add_bits(g)  # at most 2^32 - 1, whose square still leaves room for the next term
+    np.multiply(g, g, out=g)
+    g += (draw * np.uint64(48271) + np.uint64(11)) % prime
+    add_bits(g)
+    g *= np.uint64(69621)
+    g += h
+    add_bits(g)
+    np.subtract(g, prime, out=high)
+    return np.minimum(g, high, out=g).astype(np.int32)
 
 
 def row_paired_bootstrap(rows: DataFrame, slot: str, y: str, a: str, b: str, draws: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -285,7 +305,7 @@ def row_paired_bootstrap(rows: DataFrame, slot: str, y: str, a: str, b: str, dra
     own) and the draw. A task adds up all draws in one pass; a draw's six sums are all that leaves it, so no row is shuffled
     or copied. Rows with a null are left out. Without rows all figures are null.
     """
-    limits = poisson_limits()
+    limits = np.array(poisson_limits(), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, every = np.zeros((draws + 1, 7)), np.arange(draws)
@@ -293,7 +313,13 @@ def row_paired_bootstrap(rows: DataFrame, slot: str, y: str, a: str, b: str, dra
             for at in range(0, batch.num_rows, 256):
                 slots, v, p, q = (c.to_numpy() for c in batch.slice(at, 256).columns)
                 held = np.stack([np.ones(len(v)), np.abs(v - p), np.abs(v - q), (v - p) ** 2, (v - q) ** 2, v, v * v], axis=1)
-                weights = np.searchsorted(limits, _uniform(seed, slots, every), "right")
+                weights = np.zeros((len(v), draws))
+                for i in range(0, len(v), 32):  # few rows at a time, whose figures stay in the cache
+                    u, few = _uniform(seed, slots[i : i + 32], every), weights[i : i + 32]
+                    times = np.zeros(u.shape, np.int8)
+                    for limit in limits:
+                        times += u >= limit
+                    few[:] = times
                 total[:draws] += weights.T @ held
                 total[draws] += held.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, draws)), *[pa.array(np.roll(total, 1, axis=0)[:, i]) for i in range(7)]], ["draw", *sums])

@@ -98,3 +98,12 @@ def test_ranks_look_up_counted_values(spark):
     assert sorted(map(str, got)) == sorted(f"Row(k={k!r}, v={v}, rank={x})" for (k, v), x in zip(rows, [2.5, 1.0, 2.5, 4.0, 1.0, 1.5, 1.5], strict=True))
     plan = plan_of(registry.QUERIES["rank_correlation"](spark, SF))
     assert "rank(" not in plan
+
+
+def test_row_draws_without_division_equal_the_formula():
+    slot, draw = np.array([0, 1, -5, 2**40 + 3, 2**31 - 2, 2**31 - 1, *range(900, 990)]), np.arange(2000)
+    s, p = slot[:, None] % inf.PRIME, inf.PRIME
+    h = (42 + draw * 7919 + s * 104729) % p
+    g = ((h * h + s) % p * ((h * h + s) % p) + draw * 48271 + 11) % p
+    got = inf._uniform(42, slot, draw)
+    assert got.dtype == np.int32 and (got == (g * 69621 + h) % p).all()
