@@ -179,14 +179,27 @@ def cluster_bootstrap_summary(rows: DataFrame, cluster: str, value: str, draws:
 
 
 def adjust_p(tests: DataFrame, p: str = "p", *keys: str) -> DataFrame:
-    """tests with Holm's and Benjamini-Hochberg's adjusted p-values within keys."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    up = w.orderBy(F.col(p), F.col("test"))
-    n = F.count(F.lit(1)).over(w)
-    held = tests.withColumn("_r", F.row_number().over(up)).withColumn("_n", n)
-    holm = F.max(F.least(F.col(p) * (F.col("_n") - F.col("_r") + 1), F.lit(1.0))).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    bh = F.min(F.least(F.col(p) * F.col("_n") / F.col("_r"), F.lit(1.0))).over(up.rowsBetween(0, Window.unboundedFollowing))
-    return held.withColumn("holm", holm).withColumn("bh", bh).drop("_r", "_n")
+    """tests with Holm's and Benjamini-Hochberg's adjusted p-values within keys.
+
+    Tests are placed in ranges of (keys, p, test). Each range is numbered and runs its own largest and smallest figures; those
+    of the ranges before and after it, a row a key and range, are added on top.
+    """
+    placed = tests.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
+    placed = scratch.materialize(placed.withColumn("_at", F.struct("_k", p, "test")).repartitionByRange("_at").withColumn("_p", F.spark_partition_id()).drop("_at"), "p-ranges")
+    by, within = Window.partitionBy("_k"), Window.partitionBy("_k", "_p")
+    earlier, later = (by.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_p"), F.col("_p").desc()))
+    ranges = placed.groupBy("_k", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    ranges = ranges.select("_k", "_p", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_b"), F.sum("_c").over(by).alias("_n"))
+    held = placed.join(ranges, ["_k", "_p"]).withColumn("_r", F.col("_b") + F.row_number().over(within.orderBy(p, "test")))
+    held = held.withColumns({"_h": F.least(F.col(p) * (F.col("_n") - F.col("_r") + 1), F.lit(1.0)), "_f": F.least(F.col(p) * F.col("_n") / F.col("_r"), F.lit(1.0))})
+    ends = held.groupBy("_k", "_p").agg(F.max("_h").alias("_h"), F.min("_f").alias("_f"))
+    ends = ends.select("_k", "_p", F.max("_h").over(earlier).alias("_top"), F.min("_f").over(later).alias("_low"))
+    first = Window.unboundedPreceding
+    out = held.join(ends, ["_k", "_p"]).withColumns({
+        "holm": F.greatest(F.max("_h").over(within.orderBy("_r").rowsBetween(first, 0)), "_top"),
+        "bh": F.least(F.min("_f").over(within.orderBy(F.col("_r").desc()).rowsBetween(first, 0)), "_low"),
+    })
+    return out.select(*tests.columns, "holm", "bh")
 
 
 def intraclass(rows: DataFrame, cluster: str, value: str) -> DataFrame:

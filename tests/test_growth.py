@@ -92,6 +92,15 @@ def test_nearest_on_a_line_make_no_pairs_of_a_place(spark):
     assert joins.nearest_on_line(close, 2, 3).count() == 180000
 
 
+def test_row_draws_without_division_equal_the_formula():
+    slot, draw = np.array([0, 1, -5, 2**40 + 3, 2**31 - 2, 2**31 - 1, *range(900, 990)]), np.arange(2000)
+    s, p = slot[:, None] % inf.PRIME, inf.PRIME
+    h = (42 + draw * 7919 + s * 104729) % p
+    g = ((h * h + s) % p * ((h * h + s) % p) + draw * 48271 + 11) % p
+    got = inf._uniform(42, slot, draw)
+    assert got.dtype == np.int32 and (got == (g * 69621 + h) % p).all()
+
+
 def test_ranks_look_up_counted_values(spark):
     rows = [("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 7.0), (None, 3.0), (None, 3.0)]
     got = ordering.mean_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "rank").collect()
@@ -100,10 +109,15 @@ def test_ranks_look_up_counted_values(spark):
     assert "rank(" not in plan
 
 
-def test_row_draws_without_division_equal_the_formula():
-    slot, draw = np.array([0, 1, -5, 2**40 + 3, 2**31 - 2, 2**31 - 1, *range(900, 990)]), np.arange(2000)
-    s, p = slot[:, None] % inf.PRIME, inf.PRIME
-    h = (42 + draw * 7919 + s * 104729) % p
-    g = ((h * h + s) % p * ((h * h + s) % p) + draw * 48271 + 11) % p
-    got = inf._uniform(42, slot, draw)
-    assert got.dtype == np.int32 and (got == (g * 69621 + h) % p).all()
+def test_adjusted_p_values_run_over_ranges(spark):
+    rnd = random.Random(8)
+    rows = [(k, t, round(rnd.random() ** 4, 3)) for k in (None, "x", "y") for t in range(40)]
+    df = spark.createDataFrame(rows, "k string, test int, p double")
+    got = {(r.k, r.test): (r.holm, r.bh) for r in inf.adjust_p(df, "p", "k").collect()}
+    for k in (None, "x", "y"):
+        own = sorted((p, t) for q, t, p in rows if q == k)
+        holm = np.maximum.accumulate([min(p * (40 - i), 1.0) for i, (p, _) in enumerate(own)])
+        bh = np.minimum.accumulate([min(p * 40 / (i + 1), 1.0) for i, (p, _) in reversed(list(enumerate(own)))])[::-1]
+        for (_, t), h, b in zip(own, holm, bh, strict=True):
+            assert got[(k, t)] == pytest.approx((h, b))
+    assert "currentrow$(), unboundedfollowing$()" not in plan_of(inf.adjust_p(df)).lower()
