@@ -22,6 +22,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from loomspan.llm.hashing import mix
 ORDER, SLOTS, DEPTH = 3, 22, 24
 #: Decisions after which the weights start anew, their starting values (the tree, short contexts, tokens), and the rate of refinement.
 SPAN, START, RATE = 2000, (1.0, 1.0, 1.0), 0.03
+#: Decisions of all lanes that are looked at together.
+STEPS = 40
 #: Added to the counts of either bit before their log odds are taken.
 SMALL = 0.3
 #: Counts at which a predictor's confidence steps up, and by its confidence what the next shorter one still weighs.
@@ -151,7 +154,11 @@ def _prefixes(words: list[bytes], trees: Trees) -> tuple[np.ndarray, np.ndarray,
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-cased tokens of a text; the end is not among them."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return tokens_of(text.encode("utf-8", "surrogatepass")) if text else []
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
 def stream_of(found: list[bytes]) -> bytes:
@@ -394,33 +401,51 @@ def _rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]
         yield held
 
 
+def _deflated(ids: list, texts: list[bytes]) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zlib.compress(sink.getvalue(), 1)
+
+
+def _inflated(data: bytes) -> tuple[list, list[bytes]]:
+    batch = pa.ipc.open_stream(zlib.decompress(data)).read_next_batch()
+    return batch.column(0).to_pylist(), batch.column(1).to_pylist()
+
+
 def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
-    """(span, at, doc_id, text, word): documents in spans of about WHOLE bytes, and for each span its distinct tokens that aren't in `top`."""
+    """(span, docs, word): documents in spans of about WHOLE bytes, and for each span its distinct tokens that aren't in `top`.
+
+    A span's documents are one row: their ids and texts as a deflated Arrow stream; a null text is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span, size, at, rare = TaskContext.get().partitionId() << 32, 0, 0, set()
+        frequent = top.value.__contains__
+        span, size, ids, texts, rare = TaskContext.get().partitionId() << 32, 0, [], [], set()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             words = [w.decode("utf-8", "replace") for w in rare]
             n = len(words)
-            return pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.string())), pa.array(words, pa.string())], ["span", "at", "doc_id", "text", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([span]), pa.array([_deflated(ids, texts)], pa.binary()), pa.nulls(1, pa.string())], ["span", "docs", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(words, pa.string())], ["span", "docs", "word"])
 
         for batch in batches:
-            spans, ats = [], []
-            for text in batch.column(1):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if size >= WHOLE:
-                    yield out()
-                    span, size, at, rare = span + 1, 0, 0, set()
-                text = text.as_py() or ""
-                rare.update(w for w in (*set(tokens(text)), b"") if w not in top.value)
-                spans.append(span)
-                ats.append(at)
-                size += len(text.encode("utf-8", "surrogatepass")) + 1
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int64()), pa.array(ats, pa.int64()), batch.column(0), batch.column(1), pa.nulls(len(spans), pa.string())], ["span", "at", "doc_id", "text", "word"])
-        yield out()
+                    rare.update(filterfalse(frequent, [b""]))
+                    yield from out()
+                    span, size, ids, texts, rare = span + 1, 0, [], [], set()
+                text = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                rare.update(filterfalse(frequent, tokens_of(text)))
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text) + 1
+        if ids:
+            rare.update(filterfalse(frequent, [b""]))
+            yield from out()
 
-    return docs.mapInArrow(run, "span bigint, at bigint, doc_id bigint, text string, word string")
+    return docs.mapInArrow(run, "span bigint, docs binary, word string")
 
 
 class Model:
@@ -465,33 +490,45 @@ class Model:
             ends = np.searchsorted(of, starts)
             counts += np.diff(ends).tolist()
             xs += [x[:, i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        # each stream's decisions fill whole lanes of SPAN; what is left of its last lane adds log 2 a decision
-        lanes = -(-np.array(counts) // SPAN)
-        first = (np.cumsum(lanes) - lanes) * SPAN
-        x = np.empty((len(START), int(lanes.sum()) * SPAN), np.float32)
-        for at, n, one in zip(first.tolist(), counts, xs, strict=True):
-            x[:, at : at + n] = one
-            x[:, at + n : at + n + -n % SPAN] = 0
-        cost = np.add.reduceat(cls._mix(x.reshape(len(x), -1, SPAN)), first // SPAN)
-        return cost / np.log(2) - (lanes * SPAN - counts)
+        # each stream's decisions fill whole lanes of SPAN; lanes that are not full come last, the longest of them first
+        counts = np.array(counts)
+        full, left = counts // SPAN, counts % SPAN
+        order = np.argsort(-left, kind="stable")
+        first, partial = np.cumsum(full) - full, np.empty_like(counts)
+        partial[order] = full.sum() + np.arange(len(counts))
+        x = np.empty((len(START), int(full.sum()) + np.count_nonzero(left), SPAN), np.float32)
+        for at, n, rest, row, one in zip(first.tolist(), full.tolist(), left.tolist(), partial.tolist(), xs, strict=True):
+            x[:, at : at + n] = one[:, : n * SPAN].reshape(len(x), n, SPAN)
+            if rest:
+                x[:, row, :rest] = one[:, n * SPAN :]
+                x[:, row, rest : rest + -rest % STEPS] = 0
+        cost = cls._mix(x, np.concatenate([np.full(full.sum(), SPAN), left[order]]))
+        own = np.concatenate([[0], np.cumsum(cost)])
+        some = np.flatnonzero(left)
+        total = own[first + full] - own[first]
+        total[some] += cost[partial[some]]
+        return total / np.log(2) - -left % STEPS
 
     @staticmethod
-    def _mix(x: np.ndarray) -> np.ndarray:
+    def _mix(x: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Cost (nats) of every lane: log odds are weighted sums, and all lanes' weights follow their cost's gradient.
 
-        x holds the predictors' log odds against the bit that came, each (lanes, SPAN).
+        x holds the predictors' log odds against the bit that came, each (lanes, SPAN). Lanes come by falling length; what is
+        left of a lane's last STEPS must be 0 and adds log 2 a decision.
         """
         n = x.shape[1]
         w = np.repeat(np.array(START, np.float32)[:, None], n, axis=1)
         e, more, held = (np.zeros(s, np.float32) for s in (n, n, w.shape))
         rate, cost = np.float32(RATE), np.zeros(n)
-        for t in range(0, SPAN, 40):
-            for v in x[:, :, t : t + 40].transpose(2, 0, 1).copy():
+        for t in range(0, SPAN, STEPS):
+            n = int(np.count_nonzero(length > t))
+            w, e, more, held = w[:, :n], e[:n], more[:n], held[:, :n]
+            for v in x[:, :n, t : t + STEPS].transpose(2, 0, 1).copy():
                 np.multiply(w, v, out=held)
                 np.add.reduce(held, axis=0, out=e)
                 np.exp(e, out=e)
                 e += 1
-                cost += np.log(e, out=more)
+                cost[:n] += np.log(e, out=more)
                 np.divide(rate, e, out=e)
                 e -= rate
                 v *= e
@@ -528,23 +565,38 @@ def score(docs: DataFrame) -> DataFrame:
     spans = scratch.materialize(_spans(docs, top), "spans")
     rare = spans.where("word IS NOT NULL").select("span", "word").join(words, "word")
     both = spans.where("word IS NULL").unionByName(rare, allowMissingColumns=True)
+    columns = ["docs", "word", "n", "seen"]
+
+    def scored_span(ids: list, texts: list[bytes], more: dict) -> pa.RecordBatch:
+        frequent, end = top.value.get, top.value.get(b"") or more[b""]
+        rows, streams, seen = [], [], []
+        for doc_id, text in zip(ids, texts, strict=True):
+            found = tokens_of(text)
+            got = [*map(frequent, found), end]
+            if None in got:
+                got[:-1] = [x or more[w] for x, w in zip(got, found, strict=False)]
+            sure, base, own = zip(*got, strict=True)
+            streams.append(stream_of(found))
+            seen.append(b"".join(own))
+            rows.append((doc_id, held_out(doc_id), len(got), sum(sure), math.fsum(base), len(streams[-1])))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        bits = model.value.bits_of(streams, seen)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for span in _rows_of(batches, "span"):
-            more = {r["word"].encode(): known(r["n"], r["seen"]) for r in span if r["word"] is not None}
-            rows, streams, seen = [], [], []
-            for r in span:
-                if r["word"] is None:
-                    found = tokens(r["text"])
-                    sure, base, own = zip(*[top.value.get(w) or more[w] for w in (*found, b"")], strict=True)
-                    streams.append(stream_of(found))
-                    seen.append(b"".join(own))
-                    rows.append((r["doc_id"], held_out(r["doc_id"]), len(found) + 1, sum(sure), math.fsum(base), len(streams[-1])))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            bits = model.value.bits_of(streams, seen)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "bits"])
-
-    held = both.select("span", "at", "doc_id", "text", "word", "n", "seen").repartition("span").sortWithinPartitions("span", F.col("word").isNull(), "at")
+        more: dict[bytes, tuple[int, float, bytes]] = {}
+        for batch in batches:
+            at = 0
+            for end in [*np.flatnonzero(batch.column("word").is_null().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+                word, n, seen = (batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False).tolist() for c in columns[1:])
+                more.update(zip(map(str.encode, word), map(known, n, seen), strict=True))
+                if end < batch.num_rows:
+                    yield scored_span(*_inflated(batch.column("docs")[end].as_py()), more)
+                    more = {}
+                at = end + 1
+
+    # a span's tokens come first, its documents last
+    held = both.select("span", *columns).repartition("span").sortWithinPartitions("span", F.col("word").isNull())
     scored = held.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, bits double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score",
