@@ -13,6 +13,9 @@ from loomspan.llm import bpe, mixing, neardup, quality, substring
 from loomspan.llm.batches import keep_small
 from loomspan.llm.queries import BYTE_BPE, table
 
+#: Chunks that byte_bpe remembers: fewer than op3 does, because executors still hold what the stages before it took.
+CHUNKS = 50_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines that are frequent in their source."""
@@ -39,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document left."""
     keep_small(spark)
-    return bpe.encode_digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
+    return bpe.encode_digests(docs, BYTE_BPE, public_tokenizers.PATTERN, most=CHUNKS)
 
 
 STAGES = [

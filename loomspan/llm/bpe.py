@@ -25,6 +25,8 @@ RUN, LONGEST = 4096, 64
 LEAF = 8
 #: Remembered leaves, windows and pairs, of each kind.
 MEMORY = 200_000
+#: Remembered chunks of each generation.
+CHUNKS = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,8 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class TreeEncoder:
     """Encodes bytes by the ranks of a byte-level BPE vocabulary and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
+        self.ranks, self.memory = ranks, memory
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.stable_pairs: dict[tuple[int, int], bool] = {}
@@ -61,7 +63,7 @@ class TreeEncoder:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
             if i:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        if len(self.merged) > MEMORY:
+        if len(self.merged) > self.memory:
             self.merged.clear()
         found = self.merged[data] = [ranks[p] for p in parts]
         return found
@@ -94,7 +96,7 @@ class TreeEncoder:
         key = (a, b)
         known = self.stable_pairs.get(key)
         if known is None:
-            if len(self.stable_pairs) > MEMORY:
+            if len(self.stable_pairs) > self.memory:
                 self.stable_pairs.clear()
             known = self.stable_pairs[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -144,7 +146,7 @@ class ChunkCache:
     their chunks encoded independently of each other; other texts go through the pattern whole.
     """
 
-    def __init__(self, encoder: TreeEncoder, most: int = 150_000):
+    def __init__(self, encoder: TreeEncoder, most: int = CHUNKS):
         self.encoder, self.most = encoder, most
         self.first: dict[str, tuple] = {}
         self.later: dict[str, tuple] = {}
@@ -210,21 +212,21 @@ class _Together(Exception):
     """White space in this text may belong to a longer match, or a chunk is too long to be remembered."""
 
 
-_CACHES: dict[tuple[str, str], ChunkCache] = {}
+_RANKS: dict[str, dict[bytes, int]] = {}
 
 
-def _cache(ranks_path: str, pattern: str) -> ChunkCache:
-    key = (ranks_path, pattern)
-    if key not in _CACHES:
-        _CACHES[key] = ChunkCache(TreeEncoder(load_ranks(ranks_path), pattern))
-    return _CACHES[key]
+def _encoder(ranks_path: str, pattern: str, memory: int = MEMORY) -> TreeEncoder:
+    """An encoder that remembers nothing yet. Workers outlive their tasks and stages, so only the ranks stay with them."""
+    if ranks_path not in _RANKS:
+        _RANKS[ranks_path] = load_ranks(ranks_path)
+    return TreeEncoder(_RANKS[ranks_path], pattern, memory)
 
 
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every text; null and empty texts give an empty array. Extra columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _cache(ranks_path, pattern).encoder
+        encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
@@ -233,16 +235,16 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = CHUNKS) -> DataFrame:
     """One row per document: n_tokens, SHA-256 of its decimal ids joined by one blank, SHA-256 of the decoded bytes.
 
     A null text counts as empty: no ids, digests of the empty string. Repeated rows each give their row. A null id is
     kept. Columns other than the two named are ignored, and an empty table gives an empty result. One task holds one
-    batch of texts and a bounded cache.
+    batch of texts and a cache of at most `most` chunks of each kind, which ends with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(ranks_path, pattern)
+        cache = ChunkCache(_encoder(ranks_path, pattern, min(most, MEMORY)), most)
         sha = hashlib.sha256
         for batch in batches:
             counts, ids, texts = [], [], []

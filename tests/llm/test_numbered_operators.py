@@ -482,3 +482,20 @@ def test_a_query_leaves_out_its_own_row_and_no_other(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = Counter((r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
     assert got == {(20, 20): 2, (20, 3): 2, (20, 40): 4, (40, 40): 2, (40, 20): 4, (40, 3): 2}
+
+
+def test_chunks_end_with_the_task_and_lanes_with_their_texts():
+    """Workers outlive tasks and stages, so what they remember must not; short texts fill no whole lanes."""
+    first = bpe._encoder(BYTE_BPE, public_tokenizers.PATTERN, 3)
+    first.encode("several longish unmergeable wordings xqzv")
+    assert len(first.merged) <= 4 and not bpe._encoder(BYTE_BPE, public_tokenizers.PATTERN).merged
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(len(lm.START), 4, lm.SPAN)).astype(np.float32)
+    length = np.array([lm.SPAN, lm.SPAN, 50, 7])
+    for lane, n in enumerate(length):
+        x[:, lane, n : n + -n % lm.STEPS] = 0
+    x[:, 2, 80:], x[:, 3, 40:] = np.nan, np.nan
+    cost, whole = lm.Model._mix(x, length), lm.Model._mix(np.nan_to_num(x), np.full(4, lm.SPAN))
+    assert np.allclose(cost[:2], whole[:2]) and np.allclose(cost - -length % lm.STEPS * np.log(2), whole - (lm.SPAN - length) * np.log(2), atol=1e-3)
+    ids, texts = [5, None, 7], [b"one", b"", b"\xed\xa0\x80"]
+    assert lm._inflated(lm._deflated(ids, texts)) == (ids, texts)
