@@ -22,7 +22,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,9 @@ PAD = b" " * ORDER
 _STEP = 0.25
 _ODDS = np.tile(np.arange(-32, 32) * _STEP, 4).astype(np.float32)
 _GATE = np.repeat(GATES, 64).astype(np.float32)
-#: Log odds against a bit are those of a one, for a zero.
-_AGAINST = np.array([1, -1], np.float32)
+#: By the confidence of a token's and of a short context: a step of the latter's log odds and the tree's, as they weigh. Both in one
+#: word of 64 bits, as gathering is what scoring takes most time for.
+_WEIGHS = np.stack([np.repeat(_GATE[::64], 4) * np.float32(_STEP), np.repeat(_GATE[::64], 4) * np.tile(_GATE[::64], 4)], 1).view(np.int64).ravel()
 #: A context that never came predicts nothing.
 NOTHING = 32
 
@@ -77,6 +77,12 @@ class Trees:
         self.bit = np.array([bit for paths, _ in trees for p in paths for _, bit in p], np.uint8)
         ones = np.array([p for _, p in trees])
         self.odds = np.log(ones / (1 - ones)).astype(np.float32).ravel()
+        # what scoring needs of each decision, in one word: the node's salt, 1 or -1 by the bit, and the tree's log odds against the bit
+        against = 1 - 2 * self.bit.astype(np.int64)
+        self.record = np.empty((len(self.node), 2), np.uint32)
+        self.record[:, 0] = _salt(self.node) | (against & 255) << 24
+        self.record[:, 1] = (self.odds[self.node] * against.astype(np.float32)).view(np.uint32)
+        self.record = self.record.view("<i8").ravel()
 
     @staticmethod
     def _tree(counts: list[int]) -> tuple[list[list[tuple[int, int]]], list[float]]:
@@ -110,10 +116,20 @@ class Trees:
         return of, np.take(self.node, flat), np.take(self.bit, flat)
 
 
+def _salt(node: np.ndarray) -> np.ndarray:
+    """What a node adds to the slots of its decisions."""
+    return node * 0x9E3779B1 & (1 << SLOTS) - 1
+
+
+def _places(grams: np.ndarray) -> np.ndarray:
+    """What the ORDER bytes before a place give to the slots of its decisions."""
+    return (mix(grams.astype(np.uint64) + np.uint64(1)) >> np.uint64(24)).astype(np.int64) & (1 << SLOTS) - 1
+
+
 def _short(grams: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Slots of decisions: `grams` holds the ORDER bytes before each place."""
-    slot = np.take((mix(grams.astype(np.uint64) + np.uint64(1)) >> np.uint64(24)).astype(np.int64), of)
-    slot += node * 0x9E3779B1
+    slot = np.take(_places(grams), of)
+    slot += _salt(node)
     slot &= (1 << SLOTS) - 1
     return slot
 
@@ -305,13 +321,27 @@ def _piece(contexts: np.ndarray, pieces: int) -> np.ndarray:
     return (contexts >> np.uint64(16)).astype(np.int64) * pieces >> 32
 
 
+def _zipped(data: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _small(numbers: np.ndarray) -> bytes:
-    """Numbers as their bytes of equal worth one after the other, deflated."""
-    return zlib.compress(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Numbers as their bytes of equal worth one after the other, as many as the largest number has, compressed."""
+    numbers = numbers.astype(np.uint64)
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + _zipped(numbers.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes())
 
 
 def _plain(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    planes = np.frombuffer(_unzipped(data[1:]), np.uint8).reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : data[0]] = planes.T
+    return numbers.view(np.uint64).ravel()
 
 
 def _word_spans(words: DataFrame, distinct: int) -> DataFrame:
@@ -363,13 +393,13 @@ def _word_predictions(spans: DataFrame, trees: Broadcast, pieces: int) -> DataFr
                 np.add.at(counts, 2 * where + k, np.concatenate([x[k::2] for x in added]))
             seen, end = packed(counts)[where], np.cumsum([len(x) for x in each])
             for r, x, j in zip(rows, each, end.tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([r["span"]]), pa.array([r["piece"]]), pa.array([zlib.compress(seen[j - len(x) : j].tobytes(), 1)], pa.binary())], ["span", "piece", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["span"]]), pa.array([r["piece"]]), pa.array([_zipped(seen[j - len(x) : j].tobytes())], pa.binary())], ["span", "piece", "seen"])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             words = row["words"].split(b" ")
             _, context, _, begin = _prefixes(words, trees.value)
-            seen = np.frombuffer(b"".join(zlib.decompress(r["seen"]) for r in row["parts"]), np.uint8)
+            seen = np.frombuffer(b"".join(_unzipped(r["seen"]) for r in row["parts"]), np.uint8)
             flat, end = seen[np.unique(context, return_inverse=True)[1]].tobytes(), [*begin[1:].tolist(), len(context)]
             own = [flat[i:j] + _silent(w, trees.value) for w, i, j in zip(words, begin.tolist(), end, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(_plain(row["times"]).astype(np.int64)), pa.array(own, pa.binary())], ["word", "n", "seen"])
@@ -406,26 +436,25 @@ def _deflated(ids: list, texts: list[bytes]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zlib.compress(sink.getvalue(), 1)
+    return _zipped(sink.getvalue().to_pybytes())
 
 
 def _inflated(data: bytes) -> tuple[list, list[bytes]]:
-    batch = pa.ipc.open_stream(zlib.decompress(data)).read_next_batch()
+    batch = pa.ipc.open_stream(_unzipped(data)).read_next_batch()
     return batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
 def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
     """(span, docs, word): documents in spans of about WHOLE bytes, and for each span its distinct tokens that aren't in `top`.
 
-    A span's documents are one row: their ids and texts as a deflated Arrow stream; a null text is empty.
+    A span's documents are one row: their ids and texts as a compressed Arrow stream; a null text is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = top.value.__contains__
-        span, size, ids, texts, rare = TaskContext.get().partitionId() << 32, 0, [], [], set()
+        span, size, ids, texts, found = TaskContext.get().partitionId() << 32, 0, [], [], {b""}
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = [w.decode("utf-8", "replace") for w in rare]
+            words = [w.decode("utf-8", "replace") for w in found.difference(top.value)]
             n = len(words)
             yield pa.RecordBatch.from_arrays([pa.array([span]), pa.array([_deflated(ids, texts)], pa.binary()), pa.nulls(1, pa.string())], ["span", "docs", "word"])
             yield pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(words, pa.string())], ["span", "docs", "word"])
@@ -433,16 +462,14 @@ def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if size >= WHOLE:
-                    rare.update(filterfalse(frequent, [b""]))
                     yield from out()
-                    span, size, ids, texts, rare = span + 1, 0, [], [], set()
+                    span, size, ids, texts, found = span + 1, 0, [], [], {b""}
                 text = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                rare.update(filterfalse(frequent, tokens_of(text)))
+                found.update(tokens_of(text))
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text) + 1
         if ids:
-            rare.update(filterfalse(frequent, [b""]))
             yield from out()
 
     return docs.mapInArrow(run, "span bigint, docs binary, word string")
@@ -460,49 +487,65 @@ class Model:
         for end in range(1, len(streams) + 1):
             size += len(streams[end - 1])
             if size >= BATCH or end == len(streams):
-                bits.append(self.cost(self.trees, self._looked(streams[at:end], np.frombuffer(b"".join(seen[at:end]), np.uint8))))
+                bits.append(self._cost(streams[at:end], seen[at:end]))
                 at, size = end, 0
         return np.concatenate([np.zeros(0), *bits])
 
-    def _looked(self, streams: list[bytes], seen: np.ndarray) -> Iterator[tuple]:
-        at = 0
+    def _looked(self, streams: list[bytes], seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of streams: where their decisions end, and all predictors' log odds against the bits that came."""
+        trees, at = self.trees, 0
         for data, starts in _runs(streams):
-            real, gram = _real(data, starts), _grams(data)
-            of, node, bit = self.trees.decisions(data[len(PAD) :][real], data[len(PAD) - 1 : -1][real])
-            of = real[of]
-            short = np.take(self.table, _short(gram >> np.uint32(8), of, node))
-            yield starts, of, node, bit, [short.astype(np.intp), seen[at : at + len(of)].astype(np.intp)]
-            at += len(of)
-        if at != len(seen):
-            raise ValueError(f"{len(seen)} predictions for {at} decisions")
-
-    @classmethod
-    def cost(cls, trees: Trees, looked: Iterator[tuple]) -> np.ndarray:
-        """Bits of each stream, from runs of (starts, of, node, bit, what the short contexts and the tokens predict)."""
-        xs, counts = [], []
-        for starts, of, node, bit, seen in looked:
-            x = np.empty((len(START), len(of)), np.float32)
-            against = np.take(_AGAINST, bit)
-            for k in range(len(START) - 1, 0, -1):
-                np.multiply(np.take(_ODDS, seen[k - 1]), against, out=x[k])
-                against *= np.take(_GATE, seen[k - 1])
-            np.multiply(np.take(trees.odds, node), against, out=x[0])
-            ends = np.searchsorted(of, starts)
-            counts += np.diff(ends).tolist()
-            xs += [x[:, i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            real = _real(data, starts)
+            gram = _grams(data)[real]
+            pair = (gram & np.uint32(0xFFFF)).astype(np.intp)
+            length = np.take(trees.length, pair)
+            end = np.cumsum(length)
+            # a decision's place in the trees' records, and above it what its short context gives to its slot
+            key = _places(gram >> np.uint32(8)) << 32
+            key += np.take(trees.first, pair)
+            key -= end
+            key += length
+            key = np.repeat(key, length)
+            key += _COUNT[: len(key)] if len(key) <= len(_COUNT) else np.arange(len(key))
+            record = np.take(trees.record, key & 0xFFFFFFFF)
+            against = record.view(np.int8)[3::8]
+            key >>= 32
+            key += record
+            key &= (1 << SLOTS) - 1
+            short, token = np.take(self.table, key), seen[at : at + len(key)]
+            if len(token) < len(key):
+                raise ValueError(f"{len(seen)} predictions for more decisions")
+            weighs = np.take(_WEIGHS, token >> 6 << 2 | short >> 6).view(np.float32)
+            x = np.empty((len(START), len(key)), np.float32)
+            np.multiply(((token & 63).view(np.int8) - np.int8(32)) * against, np.float32(_STEP), out=x[2])
+            np.multiply(((short & 63).view(np.int8) - np.int8(32)) * against, weighs[0::2], out=x[1])
+            np.multiply(record.view(np.float32)[1::2], weighs[1::2], out=x[0])
+            at += len(key)
+            sizes = np.diff(starts) - len(PAD)
+            yield end[np.cumsum(sizes) - 1], x
+
+    def _cost(self, streams: list[bytes], seen: list[bytes]) -> np.ndarray:
+        """Bits of each stream of a batch."""
+        counts = np.array(list(map(len, seen)))
         # each stream's decisions fill whole lanes of SPAN; lanes that are not full come last, the longest of them first
-        counts = np.array(counts)
         full, left = counts // SPAN, counts % SPAN
         order = np.argsort(-left, kind="stable")
         first, partial = np.cumsum(full) - full, np.empty_like(counts)
         partial[order] = full.sum() + np.arange(len(counts))
         x = np.empty((len(START), int(full.sum()) + np.count_nonzero(left), SPAN), np.float32)
-        for at, n, rest, row, one in zip(first.tolist(), full.tolist(), left.tolist(), partial.tolist(), xs, strict=True):
-            x[:, at : at + n] = one[:, : n * SPAN].reshape(len(x), n, SPAN)
-            if rest:
-                x[:, row, :rest] = one[:, n * SPAN :]
-                x[:, row, rest : rest + -rest % STEPS] = 0
-        cost = cls._mix(x, np.concatenate([np.full(full.sum(), SPAN), left[order]]))
+        lanes = zip(counts.tolist(), first.tolist(), full.tolist(), left.tolist(), partial.tolist(), strict=True)
+        for ends, found in self._looked(streams, np.frombuffer(b"".join(seen), np.uint8)):
+            begin = 0
+            for end, (count, at, n, rest, row) in zip(ends.tolist(), lanes, strict=False):
+                if end - begin != count:
+                    raise ValueError(f"{count} predictions for {end - begin} decisions")
+                one, begin = found[:, begin:end], end
+                if n:
+                    x[:, at : at + n] = one[:, : n * SPAN].reshape(len(x), n, SPAN)
+                if rest:
+                    x[:, row, :rest] = one[:, n * SPAN :]
+                    x[:, row, rest : rest + -rest % STEPS] = 0
+        cost = self._mix(x, np.concatenate([np.full(full.sum(), SPAN), left[order]]))
         own = np.concatenate([[0], np.cumsum(cost)])
         some = np.flatnonzero(left)
         total = own[first + full] - own[first]
@@ -518,21 +561,23 @@ class Model:
         """
         n = x.shape[1]
         w = np.repeat(np.array(START, np.float32)[:, None], n, axis=1)
-        e, more, held = (np.zeros(s, np.float32) for s in (n, n, w.shape))
+        more, held = (np.zeros(s, np.float32) for s in (n, w.shape))
         rate, cost = np.float32(RATE), np.zeros(n)
         for t in range(0, SPAN, STEPS):
             n = int(np.count_nonzero(length > t))
-            w, e, more, held = w[:, :n], e[:n], more[:n], held[:, :n]
-            for v in x[:, :n, t : t + STEPS].transpose(2, 0, 1).copy():
+            w, more, held = w[:, :n], more[:n], held[:, :n]
+            odds = np.empty((STEPS, n), np.float32)
+            # copied in two steps: reading along lanes of SPAN and writing across them at once takes three times as long
+            for v, e in zip(np.ascontiguousarray(x[:, :n, t : t + STEPS]).transpose(2, 0, 1).copy(), odds, strict=True):
                 np.multiply(w, v, out=held)
                 np.add.reduce(held, axis=0, out=e)
                 np.exp(e, out=e)
                 e += 1
-                cost[:n] += np.log(e, out=more)
-                np.divide(rate, e, out=e)
-                e -= rate
-                v *= e
+                np.divide(rate, e, out=more)
+                more -= rate
+                v *= more
                 w += v
+            cost[:n] += np.add.reduce(np.log(odds, out=odds), axis=0, dtype=np.float64)
         return cost
 
 
@@ -557,8 +602,8 @@ def score(docs: DataFrame) -> DataFrame:
     word_spans = scratch.materialize(_word_spans(words, distinct), "word-spans")
     words = scratch.materialize(_word_predictions(word_spans, trees, 1 + distinct // PIECE), "word-predictions")
 
-    def known(n: int, seen: bytes) -> tuple[int, float, bytes]:
-        return int(n > 0), math.log10(n + 1) - rest, bytes(seen)
+    def known(n: int, seen: bytes) -> tuple[float, bytes]:
+        return math.log10(n + 1) - rest, bytes(seen)
 
     short = words.where((F.col("n") > 0) & (F.octet_length("word") <= LONGEST))
     top = sc.broadcast({r.word.encode(): known(r.n, r.seen) for r in frequent_words(short, FREQUENT).collect()})  # FREQUENT rows at most
@@ -567,32 +612,34 @@ def score(docs: DataFrame) -> DataFrame:
     both = spans.where("word IS NULL").unionByName(rare, allowMissingColumns=True)
     columns = ["docs", "word", "n", "seen"]
 
-    def scored_span(ids: list, texts: list[bytes], more: dict) -> pa.RecordBatch:
-        frequent, end = top.value.get, top.value.get(b"") or more[b""]
+    def scored_span(ids: list, texts: list[bytes], held: dict) -> pa.RecordBatch:
+        look, end = held.__getitem__, held[b""]
         rows, streams, seen = [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
             found = tokens_of(text)
-            got = [*map(frequent, found), end]
-            if None in got:
-                got[:-1] = [x or more[w] for x, w in zip(got, found, strict=False)]
-            sure, base, own = zip(*got, strict=True)
+            got = [*map(look, found), end]
+            base = [x[0] for x in got]
             streams.append(stream_of(found))
-            seen.append(b"".join(own))
-            rows.append((doc_id, held_out(doc_id), len(got), sum(sure), math.fsum(base), len(streams[-1])))
+            seen.append(b"".join([x[1] for x in got]))
+            rows.append((doc_id, held_out(doc_id), len(got), len(got) - base.count(-rest), math.fsum(base), len(streams[-1])))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         bits = model.value.bits_of(streams, seen)
         return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more: dict[bytes, tuple[int, float, bytes]] = {}
+        held, more = dict(top.value), []  # a span's other tokens are among the frequent ones as long as it is scored
         for batch in batches:
             at = 0
             for end in [*np.flatnonzero(batch.column("word").is_null().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
                 word, n, seen = (batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False).tolist() for c in columns[1:])
-                more.update(zip(map(str.encode, word), map(known, n, seen), strict=True))
+                word = [*map(str.encode, word)]
+                held.update(zip(word, map(known, n, seen), strict=True))
+                more += word
                 if end < batch.num_rows:
-                    yield scored_span(*_inflated(batch.column("docs")[end].as_py()), more)
-                    more = {}
+                    yield scored_span(*_inflated(batch.column("docs")[end].as_py()), held)
+                    for w in more:
+                        del held[w]
+                    more = []
                 at = end + 1
 
     # a span's tokens come first, its documents last
