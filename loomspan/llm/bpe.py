@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -26,7 +26,7 @@ LEAF = 8
 #: Remembered leaves, windows and pairs, of each kind.
 MEMORY = 200_000
 #: Remembered chunks of each generation.
-CHUNKS = 150_000
+CHUNKS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,20 +52,19 @@ class TreeEncoder:
             return known
         if len(data) > 4 * LEAF:
             return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        none = len(ranks) + 1
-        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        get, none = ranks.get, len(ranks) + 1
+        at = list(range(len(data) + 1))  # where the parts begin, and the end
+        pairs = [get(data[i : i + 2], none) for i in at[:-2]]
         while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
+            del pairs[i], at[i + 1]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+                pairs[i] = get(data[at[i] : at[i + 2]], none)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = get(data[at[i - 1] : at[i + 1]], none)
         if len(self.merged) > self.memory:
             self.merged.clear()
-        found = self.merged[data] = [ranks[p] for p in parts]
+        found = self.merged[data] = [ranks[data[i:j]] for i, j in pairwise(at)]
         return found
 
     def _merge_long(self, data: bytes) -> list[int]:
@@ -148,12 +147,10 @@ class ChunkCache:
 
     def __init__(self, encoder: TreeEncoder, most: int = CHUNKS):
         self.encoder, self.most = encoder, most
-        self.first: dict[str, tuple] = {}
-        self.later: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
         self.known: dict[str, list[int]] = {}
         self.names = {i: str(i) for i in encoder.tokens}
         self.newline = self._entry("\n")
+        self.first, self.later = _Chunks(self._entry, ""), _Chunks(self._entry, " ")
 
     def _entry(self, text: str) -> tuple:
         """Decimal ids joined by blanks, and the ids."""
@@ -168,31 +165,16 @@ class ChunkCache:
         names = self.names
         return " ".join([names[i] for i in found]), tuple(found)
 
-    @staticmethod
-    def _apart(chunk: str) -> bool:
-        return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
-
     def _line(self, line: str) -> list[tuple]:
         chunks = line.split(" ")
-        try:
-            return [self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]
-        except KeyError:
-            first, later, get = self.first, self.later, self._entry
-            if not all(map(self._apart, chunks)) or max(map(len, chunks)) > LONGEST:
-                raise _Together from None
-            if chunks[0] not in first:
-                first[chunks[0]] = get(chunks[0])
-            for chunk in chunks[1:]:
-                if chunk not in later:
-                    later[chunk] = self.before.get(chunk) or get(" " + chunk)
-            return [first[chunks[0]], *map(later.__getitem__, chunks[1:])]
+        return [self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]
 
     def encode(self, text: str) -> tuple[str, int, bytes]:
         """Decimal ids joined by blanks, their number, and the bytes that all ids of the text decode to."""
         if not text:
             return "", 0, b""
-        if len(self.later) > self.most:  # chunks that come again are fetched from the generation before
-            self.before, self.later = self.later, {}
+        if len(self.later) > self.most:
+            self.later = self.later.next()
         for held in (self.first, self.known):
             if len(held) > self.most:
                 held.clear()
@@ -208,6 +190,27 @@ class ChunkCache:
         return " ".join([p[0] for p in parts]), len(ids), self.encoder.decode(ids)
 
 
+class _Chunks(dict):
+    """Entries of chunks that stand behind `lead`. Only a chunk that isn't there is looked at; a line's others cost a look-up each."""
+
+    def __init__(self, entry: Callable[[str], tuple], lead: str, before: dict[str, tuple] | None = None):
+        self.entry, self.lead, self.before = entry, lead, before or {}
+
+    def __missing__(self, chunk: str) -> tuple:
+        found = self.before.get(chunk)
+        if found is None:
+            if not chunk or len(chunk) > LONGEST or chunk[0].isspace() or chunk[-1].isspace():
+                raise _Together
+            found = self.entry(self.lead + chunk)
+        self[chunk] = found
+        return found
+
+    def next(self) -> _Chunks:
+        """A new generation; chunks that come again are fetched from this one."""
+        self.before = {}
+        return _Chunks(self.entry, self.lead, self)
+
+
 class _Together(Exception):
     """White space in this text may belong to a longer match, or a chunk is too long to be remembered."""
 
