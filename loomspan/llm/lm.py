@@ -20,11 +20,11 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,8 @@ SMALL = 0.3
 SEEN, GATES = (1, 4, 32), (1.0, 0.7, 0.5, 0.3)
 #: Tokens whose predictions are broadcast and the longest of them in bytes; distinct tokens of a span of tokens and for each piece of contexts.
 FREQUENT, LONGEST, WORDS, PIECE = 262_144, 64, 1 << 15, 1 << 17
-#: Bytes of a span of documents, of texts mixed together, and coded together.
-WHOLE, BATCH, RUN = 1 << 22, 1 << 21, 1 << 14
+#: Bytes of a span of documents, of texts mixed together, coded together, and of texts whose tokens are counted together.
+WHOLE, BATCH, RUN, COUNTED = 1 << 22, 1 << 21, 1 << 14, 1 << 24
 PAD = b" " * ORDER
 #: What a context predicts is a byte: two bits of confidence and six of log odds, in steps of a quarter.
 _STEP = 0.25
@@ -165,7 +165,31 @@ def _prefixes(words: list[bytes], trees: Trees) -> tuple[np.ndarray, np.ndarray,
     of, node, bit = trees.decisions(data, before)
     context = np.take(h, of)
     context += node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.searchsorted(start, of, "right") - 1, mix(context) >> np.uint64(16), bit, np.searchsorted(of, start)
+    size = np.add.reduceat(np.take(trees.length, before.astype(np.intp) << 8 | data), start) if len(start) else start
+    return np.repeat(np.arange(len(words)), size), mix(context) >> np.uint64(16), bit, np.cumsum(size) - size
+
+
+def _distinct(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts in order, and for each context its place among them.
+
+    Contexts of 48 bits are sorted together with their places, in words of 64 bits, as far as they fit: sorting numbers takes an
+    eighth of the time of sorting places by them. Contexts that differ only in the bits cut off may come in any order; then the
+    places are sorted.
+    """
+    wide = len(contexts).bit_length()
+    word = contexts >> np.uint64(max(0, wide - 16)) << np.uint64(wide)
+    word |= np.arange(len(contexts), dtype=np.uint64)
+    word.sort()
+    word &= np.uint64((1 << wide) - 1)
+    perm = word.view(np.int64)
+    ordered = np.take(contexts, perm)
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(contexts, return_inverse=True)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    where = np.empty(len(ordered), np.int64)
+    where[perm] = np.cumsum(new) - 1
+    return ordered[new], where
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -177,49 +201,68 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def token_lists(texts: pa.Array) -> pa.Array:
+    """The tokens of each text as tokens() gives them, as Arrow lists; a text without any has an empty one instead."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))))
+
+
+def streams_of(lists: pa.Array) -> list[bytes]:
+    """The bytes that are scored for the tokens of each text."""
+    return [s + b" \n" if s else b"\n" for s in pc.binary_join(lists, " ").cast(pa.large_binary()).to_pylist()]
+
+
 def stream_of(found: list[bytes]) -> bytes:
     """The bytes that are scored for a text's tokens."""
     return b" ".join([*found, b"\n"])
 
 
+def pairs_of(words: pa.Array, times: np.ndarray) -> np.ndarray:
+    """How often each byte follows each other, in tokens that come so many times with a blank on either side."""
+    data = np.frombuffer(b" ".join([b"", *words.cast(pa.large_binary()).to_pylist(), b""]), np.uint8)
+    if not len(words):
+        return np.zeros(65_536, np.int64)
+    weights = np.repeat(times, pc.binary_length(words).to_numpy() + 1)
+    return np.bincount(data[:-1].astype(np.int64) << 8 | data[1:], weights, 65_536).astype(np.int64)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(kind, word, n): kind w for tokens of all documents ('' is the end), b for pairs of bytes; n counts training documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, others = Counter(), np.zeros(65_536, np.int64), set()
-
-        def out() -> pa.RecordBatch:
-            rows = {**dict.fromkeys(others, 0), **words}
-            return pa.RecordBatch.from_arrays([pa.array(["w"] * len(rows), pa.string()), pa.array([w.decode("utf-8", "replace") for w in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], ["kind", "word", "n"])
+        pairs, ends, learnt, others, size = np.zeros(65_536, np.int64), 0, [], [], 0
 
-        def pairs(streams: list[bytes]) -> np.ndarray:
-            data = np.frombuffer(b" " + b" ".join(streams), np.uint8)
-            return np.bincount(data[:-1].astype(np.int64) << 8 | data[1:], minlength=65_536)
-
-        for batch in batches:
-            streams, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = tokens(text.as_py())
-                if held_out(doc_id):
-                    others.update(found)
-                    others.add(b"")
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal pairs
+            for lists, trained in ((learnt, True), (others, False)):
+                if not lists:
                     continue
-                words.update(found)
-                words[b""] += 1
-                streams.append(stream_of(found))
-                size += len(streams[-1])
-                if size > BATCH:
-                    seen += pairs(streams)
-                    streams, size = [], 0
-            seen += pairs(streams)
-            if len(words) + len(others) > 300_000:
-                yield out()
-                words, others = Counter(), set()
-        yield out()
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(["b"] * len(used), pa.string()), pa.array(list(map(str, used.tolist())), pa.string()), pa.array(seen[used])], ["kind", "word", "n"])
+                found = pa.chunked_array([x.flatten() for x in lists]).value_counts()
+                word, n = found.field("values"), found.field("counts").to_numpy()
+                real = pc.not_equal(word, "")  # of texts without tokens
+                word, n = word.filter(real), n[real.to_numpy(zero_copy_only=False)]
+                if trained:
+                    pairs += pairs_of(word, n)
+                for at in range(0, len(word), 1 << 16):
+                    part = word.slice(at, 1 << 16).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(["w"] * len(part), pa.string()), part, pa.array(n[at : at + (1 << 16)] * trained)], ["kind", "word", "n"])
 
-    return docs.mapInArrow(run, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            lists = token_lists(batch.column(1))
+            held = np.array([held_out(i) for i in batch.column(0).to_pylist()], bool)
+            ends += int(np.count_nonzero(~held))
+            others.append(lists.filter(pa.array(held)))
+            learnt.append(lists.filter(pa.array(~held)))
+            size += batch.column(1).nbytes
+            if size > COUNTED:
+                yield from out()
+                learnt, others, size = [], [], 0
+        yield from out()
+        pairs[32 << 8 | 10] += ends  # the end comes behind a blank
+        used = np.flatnonzero(pairs)
+        kind, word = ["w"] + ["b"] * len(used), ["", *map(str, used.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array([ends, *pairs[used].tolist()], pa.int64())], ["kind", "word", "n"])
+
+    return docs.mapInArrow(_freed(run), "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(words: DataFrame, most: int) -> DataFrame:
@@ -288,13 +331,13 @@ def _short_table(docs: DataFrame, trees: Broadcast) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, streams, size = np.zeros(2 << SLOTS, np.int64), [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(doc_id):
-                    streams.append(stream_of(tokens(text.as_py())))
-                    size += len(streams[-1])
-                    if size > BATCH:
-                        count_short(streams, trees.value, table)
-                        streams, size = [], 0
+            learnt = pa.array([not held_out(i) for i in batch.column(0).to_pylist()], pa.bool_())
+            for stream in streams_of(token_lists(batch.column(1).filter(learnt))):
+                streams.append(stream)
+                size += len(stream)
+                if size > BATCH:
+                    count_short(streams, trees.value, table)
+                    streams, size = [], 0
         count_short(streams, trees.value, table)
         for p, counts in enumerate(table.reshape(-1, part)):
             if counts.any():
@@ -310,7 +353,7 @@ def _short_table(docs: DataFrame, trees: Broadcast) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([packed(counts).tobytes()], pa.binary())], ["part", "seen"])
 
     table = np.full((2 << SLOTS) // part * (part // 2), NOTHING, np.uint8).reshape(-1, part // 2)
-    summed = docs.mapInArrow(run, "part bigint, counts binary").repartition("part").mapInArrow(add, "part bigint, seen binary")
+    summed = docs.mapInArrow(_freed(run), "part bigint, counts binary").repartition("part").mapInArrow(add, "part bigint, seen binary")
     for row in summed.toLocalIterator():  # a byte a slot, 4 MB at any size of the corpus
         table[row.part] = np.frombuffer(row.seen, np.uint8)
     return table.ravel()
@@ -374,7 +417,7 @@ def _word_predictions(spans: DataFrame, trees: Broadcast, pieces: int) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             of, context, bit, _ = _prefixes(row["words"].split(b" "), trees.value)
-            contexts, where = np.unique(context, return_inverse=True)
+            contexts, where = _distinct(context)
             counts = np.zeros(2 * len(contexts), np.int64)
             np.add.at(counts, 2 * where + bit, np.take(_plain(row["times"]).astype(np.int64), of))
             piece = _piece(contexts, pieces)
@@ -387,7 +430,7 @@ def _word_predictions(spans: DataFrame, trees: Broadcast, pieces: int) -> DataFr
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows_of(batches, "piece"):
             each = [np.cumsum(_plain(r["contexts"]), dtype=np.uint64) for r in rows]
-            contexts, where = np.unique(np.concatenate(each), return_inverse=True)
+            contexts, where = _distinct(np.concatenate(each))
             counts, added = np.zeros(2 * len(contexts), np.int64), [_plain(r["counts"]).astype(np.int64) for r in rows]
             for k in (0, 1):
                 np.add.at(counts, 2 * where + k, np.concatenate([x[k::2] for x in added]))
@@ -400,7 +443,7 @@ def _word_predictions(spans: DataFrame, trees: Broadcast, pieces: int) -> DataFr
             words = row["words"].split(b" ")
             _, context, _, begin = _prefixes(words, trees.value)
             seen = np.frombuffer(b"".join(_unzipped(r["seen"]) for r in row["parts"]), np.uint8)
-            flat, end = seen[np.unique(context, return_inverse=True)[1]].tobytes(), [*begin[1:].tolist(), len(context)]
+            flat, end = seen[_distinct(context)[1]].tobytes(), [*begin[1:].tolist(), len(context)]
             own = [flat[i:j] + _silent(w, trees.value) for w, i, j in zip(words, begin.tolist(), end, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(_plain(row["times"]).astype(np.int64)), pa.array(own, pa.binary())], ["word", "n", "seen"])
 
@@ -444,6 +487,16 @@ def _inflated(data: bytes) -> tuple[list, list[bytes]]:
     return batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
+def _freed(run: Callable) -> Callable:
+    """A task's function that hands Arrow's unused memory back at the task's end: workers outlive tasks and stages."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return freed
+
+
 def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
     """(span, docs, word): documents in spans of about WHOLE bytes, and for each span its distinct tokens that aren't in `top`.
 
@@ -451,28 +504,28 @@ def _spans(docs: DataFrame, top: Broadcast) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span, size, ids, texts, found = TaskContext.get().partitionId() << 32, 0, [], [], {b""}
+        span, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = [w.decode("utf-8", "replace") for w in found.difference(top.value)]
+            words = pa.concat_arrays([token_lists(pa.array(texts, pa.large_binary())).flatten(), pa.array([""])]).unique()
+            words = words.filter(pc.invert(pc.is_in(words, top.value[0])))
             n = len(words)
             yield pa.RecordBatch.from_arrays([pa.array([span]), pa.array([_deflated(ids, texts)], pa.binary()), pa.nulls(1, pa.string())], ["span", "docs", "word"])
-            yield pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(words, pa.string())], ["span", "docs", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([span] * n, pa.int64()), pa.nulls(n, pa.binary()), words], ["span", "docs", "word"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 if size >= WHOLE:
                     yield from out()
-                    span, size, ids, texts, found = span + 1, 0, [], [], {b""}
-                text = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                found.update(tokens_of(text))
+                    span, size, ids, texts = span + 1, 0, [], []
+                text = text or b""
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text) + 1
         if ids:
             yield from out()
 
-    return docs.mapInArrow(run, "span bigint, docs binary, word string")
+    return docs.mapInArrow(_freed(run), "span bigint, docs binary, word string")
 
 
 class Model:
@@ -483,13 +536,17 @@ class Model:
 
     def bits_of(self, streams: list[bytes], seen: list[bytes]) -> np.ndarray:
         """Bits of each stream; `seen` holds what the tokens' contexts predict at each of its decisions."""
-        at, size, bits = 0, 0, []
+        cuts, size = [0], 0
         for end in range(1, len(streams) + 1):
             size += len(streams[end - 1])
             if size >= BATCH or end == len(streams):
-                bits.append(self._cost(streams[at:end], seen[at:end]))
-                at, size = end, 0
-        return np.concatenate([np.zeros(0), *bits])
+                cuts.append(end)
+                size = 0
+        parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        lanes = max((sum(-(-len(x) // SPAN) for x in seen[p]) for p in parts), default=0)
+        # all batches write into the same memory: lanes' next STEPS lie side by side, as they are read together
+        x = np.empty((SPAN // STEPS, len(START), lanes, STEPS), np.float32).transpose(1, 2, 0, 3)
+        return np.concatenate([np.zeros(0), *(self._cost(streams[p], seen[p], x) for p in parts)])
 
     def _looked(self, streams: list[bytes], seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of streams: where their decisions end, and all predictors' log odds against the bits that came."""
@@ -524,15 +581,14 @@ class Model:
             sizes = np.diff(starts) - len(PAD)
             yield end[np.cumsum(sizes) - 1], x
 
-    def _cost(self, streams: list[bytes], seen: list[bytes]) -> np.ndarray:
-        """Bits of each stream of a batch."""
+    def _cost(self, streams: list[bytes], seen: list[bytes], x: np.ndarray) -> np.ndarray:
+        """Bits of each stream of a batch; x is memory for the log odds of its lanes."""
         counts = np.array(list(map(len, seen)))
         # each stream's decisions fill whole lanes of SPAN; lanes that are not full come last, the longest of them first
         full, left = counts // SPAN, counts % SPAN
         order = np.argsort(-left, kind="stable")
         first, partial = np.cumsum(full) - full, np.empty_like(counts)
         partial[order] = full.sum() + np.arange(len(counts))
-        x = np.empty((len(START), int(full.sum()) + np.count_nonzero(left), SPAN), np.float32)
         lanes = zip(counts.tolist(), first.tolist(), full.tolist(), left.tolist(), partial.tolist(), strict=True)
         for ends, found in self._looked(streams, np.frombuffer(b"".join(seen), np.uint8)):
             begin = 0
@@ -541,11 +597,15 @@ class Model:
                     raise ValueError(f"{count} predictions for {end - begin} decisions")
                 one, begin = found[:, begin:end], end
                 if n:
-                    x[:, at : at + n] = one[:, : n * SPAN].reshape(len(x), n, SPAN)
+                    x[:, at : at + n] = one[:, : n * SPAN].reshape(len(x), n, -1, STEPS)
                 if rest:
-                    x[:, row, :rest] = one[:, n * SPAN :]
-                    x[:, row, rest : rest + -rest % STEPS] = 0
-        cost = self._mix(x, np.concatenate([np.full(full.sum(), SPAN), left[order]]))
+                    steps, rest = divmod(rest, STEPS)
+                    x[:, row, :steps] = one[:, n * SPAN : count - rest].reshape(len(x), steps, STEPS)
+                    if rest:
+                        x[:, row, steps, :rest] = one[:, count - rest :]
+                        x[:, row, steps, rest:] = 0
+        length = np.concatenate([np.full(full.sum(), SPAN), left[order]])
+        cost = self._mix(x, length[: np.count_nonzero(length)])
         own = np.concatenate([[0], np.cumsum(cost)])
         some = np.flatnonzero(left)
         total = own[first + full] - own[first]
@@ -556,19 +616,21 @@ class Model:
     def _mix(x: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Cost (nats) of every lane: log odds are weighted sums, and all lanes' weights follow their cost's gradient.
 
-        x holds the predictors' log odds against the bit that came, each (lanes, SPAN). Lanes come by falling length; what is
-        left of a lane's last STEPS must be 0 and adds log 2 a decision.
+        x holds the predictors' log odds against the bit that came, each (lanes, SPAN), or cut into (lanes, SPAN / STEPS, STEPS).
+        Lanes come by falling length; what is left of a lane's last STEPS must be 0 and adds log 2 a decision.
         """
-        n = x.shape[1]
+        x, n = x.reshape(len(x), x.shape[1], -1, STEPS), len(length)
         w = np.repeat(np.array(START, np.float32)[:, None], n, axis=1)
         more, held = (np.zeros(s, np.float32) for s in (n, w.shape))
+        values, odds = (np.empty((STEPS, *s), np.float32) for s in (w.shape, (n,)))
         rate, cost = np.float32(RATE), np.zeros(n)
         for t in range(0, SPAN, STEPS):
             n = int(np.count_nonzero(length > t))
-            w, more, held = w[:, :n], more[:n], held[:, :n]
-            odds = np.empty((STEPS, n), np.float32)
-            # copied in two steps: reading along lanes of SPAN and writing across them at once takes three times as long
-            for v, e in zip(np.ascontiguousarray(x[:, :n, t : t + STEPS]).transpose(2, 0, 1).copy(), odds, strict=True):
+            w, more, held, values, odds = w[:, :n], more[:n], held[:, :n], values[:, :, :n], odds[:, :n]
+            for k, log_odds in enumerate(x[:, :n, t // STEPS]):
+                for at in range(0, n, 512):  # lanes that fit a fast cache are turned together
+                    values[:, k, at : at + 512] = log_odds[at : at + 512].T
+            for v, e in zip(values, odds, strict=True):
                 np.multiply(w, v, out=held)
                 np.add.reduce(held, axis=0, out=e)
                 np.exp(e, out=e)
@@ -602,49 +664,59 @@ def score(docs: DataFrame) -> DataFrame:
     word_spans = scratch.materialize(_word_spans(words, distinct), "word-spans")
     words = scratch.materialize(_word_predictions(word_spans, trees, 1 + distinct // PIECE), "word-predictions")
 
-    def known(n: int, seen: bytes) -> tuple[float, bytes]:
-        return math.log10(n + 1) - rest, bytes(seen)
+    def known(n: pa.ChunkedArray) -> np.ndarray:
+        return np.array([math.log10(k + 1) - rest for k in n.to_pylist()])
 
+    word_type = pa.schema([("word", pa.string()), ("n", pa.int64()), ("seen", pa.binary())])
     short = words.where((F.col("n") > 0) & (F.octet_length("word") <= LONGEST))
-    top = sc.broadcast({r.word.encode(): known(r.n, r.seen) for r in frequent_words(short, FREQUENT).collect()})  # FREQUENT rows at most
+    frequent = frequent_words(short, FREQUENT).select("word", "n", "seen").toArrow().cast(word_type).combine_chunks()  # FREQUENT rows at most
+    top = sc.broadcast((pa.concat_arrays(frequent["word"].chunks or [pa.array([], pa.string())]), known(frequent["n"]), pa.concat_arrays(frequent["seen"].chunks or [pa.array([], pa.binary())])))
     spans = scratch.materialize(_spans(docs, top), "spans")
     rare = spans.where("word IS NOT NULL").select("span", "word").join(words, "word")
     both = spans.where("word IS NULL").unionByName(rare, allowMissingColumns=True)
     columns = ["docs", "word", "n", "seen"]
 
-    def scored_span(ids: list, texts: list[bytes], held: dict) -> pa.RecordBatch:
-        look, end = held.__getitem__, held[b""]
-        rows, streams, seen = [], [], []
-        for doc_id, text in zip(ids, texts, strict=True):
-            found = tokens_of(text)
-            got = [*map(look, found), end]
-            base = [x[0] for x in got]
-            streams.append(stream_of(found))
-            seen.append(b"".join([x[1] for x in got]))
-            rows.append((doc_id, held_out(doc_id), len(got), len(got) - base.count(-rest), math.fsum(base), len(streams[-1])))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        bits = model.value.bits_of(streams, seen)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(bits)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "n_bytes", "bits"])
+    def scored_span(ids: list, texts: list[bytes], rare: pa.Table) -> pa.RecordBatch:
+        lists, (words, odds, predicted) = token_lists(pa.array(texts, pa.large_binary())), top.value
+        flat, size, n = lists.flatten(), np.diff(lists.offsets.to_numpy()), rare.num_rows
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # not those of texts without tokens
+        size = size - np.add.reduceat(~real, np.cumsum(size) - size, dtype=np.int64)
+        # tokens are numbered: those of the join first, which are distinct, and the end behind all texts
+        numbered = pa.concat_arrays([*rare["word"].chunks, flat.filter(pa.array(real)), pa.array([""])]).dictionary_encode()
+        number = numbered.indices.to_numpy()
+        found = pc.index_in(numbered.dictionary[n:], words)
+        if found.null_count or (number[:n] != np.arange(n)).any():
+            raise ValueError("tokens without predictions, or with more than one")
+        base = np.concatenate([known(rare["n"]), odds[found.to_numpy()]])
+        seen = pa.concat_arrays([*rare["seen"].chunks, predicted.take(found)]).cast(pa.large_binary())
+        stop = np.cumsum(size + 1)
+        at = np.full(stop[-1], number[-1])
+        at[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = number[n:-1]
+        each, seen = base[at], seen.take(pa.array(at))
+        begin = stop - size - 1
+        spans = [*zip(begin.tolist(), stop.tolist(), strict=True)]
+        streams = streams_of(lists)
+        places, data = np.frombuffer(seen.buffers()[1], np.int64).tolist(), memoryview(seen.buffers()[2])
+        bits = model.value.bits_of(streams, [data[places[i] : places[j]] for i, j in spans])
+        columns = {
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(size + 1, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((each != -rest).astype(np.int64), begin)), "base_score": pa.array([math.fsum(each[i:j].tolist()) for i, j in spans], pa.float64()),
+            "n_bytes": pa.array([*map(len, streams)], pa.int64()), "bits": pa.array(bits),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, more = dict(top.value), []  # a span's other tokens are among the frequent ones as long as it is scored
+        parts = [pa.RecordBatch.from_pylist([], word_type)]
         for batch in batches:
-            at = 0
-            for end in [*np.flatnonzero(batch.column("word").is_null().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
-                word, n, seen = (batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False).tolist() for c in columns[1:])
-                word = [*map(str.encode, word)]
-                held.update(zip(word, map(known, n, seen), strict=True))
-                more += word
-                if end < batch.num_rows:
-                    yield scored_span(*_inflated(batch.column("docs")[end].as_py()), held)
-                    for w in more:
-                        del held[w]
-                    more = []
-                at = end + 1
+            at, table = 0, batch.select(columns[1:]).cast(word_type)
+            for end in np.flatnonzero(batch.column("word").is_null().to_numpy(zero_copy_only=False)).tolist():
+                yield scored_span(*_inflated(batch.column("docs")[end].as_py()), pa.Table.from_batches([*parts, table.slice(at, end - at)]))
+                parts, at = parts[:1], end + 1
+            parts.append(table.slice(at))
 
     # a span's tokens come first, its documents last
     held = both.select("span", *columns).repartition("span").sortWithinPartitions("span", F.col("word").isNull())
-    scored = held.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, bits double")
+    scored = held.mapInArrow(_freed(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, bits double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score",
         (-F.col("bits") * float(np.log10(2))).alias("score"), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
